@@ -22,8 +22,9 @@ def content_key(content) -> F.Column:
 def first_copies(df: DataFrame, content: str, order: tuple[str, ...], id_cols: tuple[str, ...]
                  ) -> DataFrame:
     """Ids of the first row per stripped content, first by ``order``."""
+    fields = list(dict.fromkeys(order + id_cols))
     keyed = df.select(content_key(content).alias("_k"),
-                      F.struct(*[F.col(c) for c in order + id_cols]).alias("_o"))
+                      F.struct(*[F.col(c) for c in fields]).alias("_o"))
     win = keyed.groupBy("_k").agg(F.min("_o").alias("_o"))
     return win.select(*[F.col(f"_o.{c}").alias(c) for c in id_cols])
 

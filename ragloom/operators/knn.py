@@ -52,7 +52,7 @@ def _exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     den = _norms(q) * _norms(v)
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = np.where(den > 0, dot / np.where(den > 0, den, 1.0), 0.0)
-    return 1.0 - sim
+    return np.maximum(1.0 - sim, 0.0)
 
 
 def _approx(qb: np.ndarray, v: np.ndarray, vsq: np.ndarray, vn: np.ndarray,

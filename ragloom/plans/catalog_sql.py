@@ -49,7 +49,7 @@ def dense(metric: str, a: str = "a.embedding", b: str = "b.embedding") -> str:
     dot = f"list_sum([ p[1]::DOUBLE * p[2]::DOUBLE for p in list_zip({a}, {b}) ])"
     na = f"sqrt(list_sum([ x::DOUBLE * x::DOUBLE for x in {a} ]))"
     nb = f"sqrt(list_sum([ x::DOUBLE * x::DOUBLE for x in {b} ]))"
-    return f"(1 - {dot} / ({na} * {nb}))"
+    return f"greatest(1 - {dot} / ({na} * {nb}), 0)"
 
 
 def knn_sql(metric: str, k: int, where: str = "TRUE") -> str:
@@ -96,9 +96,9 @@ def mcq_text(ctx: str, q: str, opts: str, ans: str | None = None, expl: str | No
     return s
 
 
-def reorder_pos(rank: str = "rank", part: str = "question_id") -> str:
-    """R7 written as the ordering rule (independent of the closed form used in Spark)."""
-    n = f"count(*) OVER (PARTITION BY {part})"
+def reorder_pos(rank: str = "rank", part: str = "question_id", n: str = "n") -> str:
+    """R7 written as the ordering rule (independent of the closed form used in Spark);
+    ``n`` is the list length, computed in an inner query."""
     return (f"row_number() OVER (PARTITION BY {part} ORDER BY ({n} - {rank}) % 2, "
             f"CASE WHEN ({n} - {rank}) % 2 = 0 THEN {rank} ELSE -{rank} END)")
 
@@ -132,8 +132,10 @@ scored AS (SELECT d.*, {overlap('b.text', 'd.content')} AS score
            FROM dedup2 d JOIN benchmark b ON b.item_id = d.question_id),
 best AS (SELECT question_id, content,
                 row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS rank
-         FROM scored QUALIFY rank <= 4),
-re AS (SELECT question_id, content, {reorder_pos()} AS pos FROM best),
+         FROM scored
+         QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) <= 4),
+re AS (SELECT question_id, content, {reorder_pos()} AS pos
+       FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM best)),
 ctx AS (SELECT question_id, replace(string_agg(content, ' ' ORDER BY pos), {NL}, '. ') AS context,
                count(*) AS n_hits FROM re GROUP BY question_id)
 SELECT b.item_id AS question_id, {qa_text('ctx.context', 'b.text')} AS prompt,
@@ -154,7 +156,7 @@ scored AS (SELECT t.qid, t.vid, t.rank, {overlap('b.text', 'd.text')} AS score
 SELECT qid AS item_id, vid AS doc_id,
        row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank)::INTEGER AS rank,
        round(score, 6) AS score
-FROM scored QUALIFY rank <= 5
+FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) <= 5
 """
 
 HASH_EMBED = f"""
@@ -183,7 +185,8 @@ FROM d
 
 LONG_CONTEXT = f"""
 WITH md AS ({MERGE_DEDUP})
-SELECT query_id, vec_id, ({reorder_pos('rank', 'query_id')})::INTEGER AS rank FROM md
+SELECT query_id, vec_id, ({reorder_pos('rank', 'query_id')})::INTEGER AS rank
+FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM md)
 """
 
 FALLBACK = f"""
