@@ -135,25 +135,53 @@ def mmr_select(query: np.ndarray, cands: np.ndarray, k: int, lambda_mult: float)
 
 
 def mmr(candidates: DataFrame, query_vectors: DataFrame, k: int, lambda_mult: float = 0.5,
-        qid: str = QID, vid: str = "chunk_id", qvec: str = "embedding") -> DataFrame:
-    """R2: MMR over each question's candidates (``knn(..., with_vectors=True)`` with
-    ``fetch_k``). One group per question, bounded by fetch_k rows."""
+        qid: str = QID, vid: str = "chunk_id", qvec: str = "embedding",
+        fetch_k: int | None = None, similarity_k: int = 0,
+        payload: tuple[str, ...] = ()) -> DataFrame:
+    """R2: MMR over each question's candidates (``knn(..., with_vectors=True)``,
+    in distance order). One group per question, bounded by the candidate depth.
+
+    With ``similarity_k > 0`` the same pass also emits the plain similarity
+    list (the first ``similarity_k`` candidates) tagged ``_src = 0`` next to the
+    MMR picks (``_src = 1``), so one kNN scan feeds both retrievers and
+    ``merge_interleave_tagged`` merges them. ``payload`` columns pass through.
+    """
     qv = query_vectors.select(F.col(qid), F.col(qvec).alias("_qvec"))
     joined = candidates.join(qv, qid, "inner")
-    id_type = candidates.schema[vid].dataType
-    qid_type = candidates.schema[qid].dataType
-    schema = T.StructType([T.StructField(qid, qid_type), T.StructField(vid, id_type),
-                           T.StructField("rank", T.IntegerType()),
-                           T.StructField("distance", T.DoubleType())])
+    depth = fetch_k
+    payload = tuple(payload)
+    fields = [T.StructField(qid, candidates.schema[qid].dataType),
+              T.StructField(vid, candidates.schema[vid].dataType),
+              T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType()),
+              T.StructField("_src", T.IntegerType())]
+    fields += [T.StructField(c, candidates.schema[c].dataType) for c in payload]
+    schema = T.StructType(fields)
+    cols = [qid, vid, "distance", *payload]
 
     def per_question(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank"])
-        cands = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["cand_vec"]])
-        order = mmr_select(np.asarray(pdf["_qvec"].iloc[0], dtype=np.float64), cands, k,
-                           lambda_mult)
-        sel = pdf.iloc[order]
-        return pd.DataFrame({qid: sel[qid].to_numpy(), vid: sel[vid].to_numpy(),
-                             "rank": np.arange(1, len(order) + 1, dtype=np.int32),
-                             "distance": sel["distance"].to_numpy()})
-
-    return joined.groupBy(qid).applyInPandas(per_question, schema)
+        parts = []
+        if similarity_k > 0:
+            sim = pdf[pdf["rank"] <= similarity_k]
+            parts.append(sim[cols].assign(rank=sim["rank"].astype(np.int32).to_numpy(), _src=0))
+        pool = pdf if depth is None else pdf[pdf["rank"] <= depth]
+        if len(pool) and k > 0:
+            cands = np.stack([np.asarray(x, dtype=np.float64) for x in pool["cand_vec"]])
+            order = mmr_select(np.asarray(pool["_qvec"].iloc[0], dtype=np.float64), cands, k,
+                               lambda_mult)
+            sel = pool.iloc[order]
+            parts.append(sel[cols].assign(rank=np.arange(1, len(order) + 1, dtype=np.int32),
+                                          _src=1))
+        if not parts:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        return pd.concat(parts)[[f.name for f in schema.fields]]
+
+    out = joined.groupBy(qid).applyInPandas(per_question, schema)
+    return out if similarity_k > 0 else out.drop("_src")
+
+
+def merge_interleave_tagged(hits: DataFrame, qid: str = QID, rank: str = "rank",
+                            src: str = "_src") -> DataFrame:
+    """R3 over lists already stacked in one DataFrame and tagged by ``src``."""
+    w = Window.partitionBy(qid).orderBy(rank, src)
+    return hits.withColumn(rank, F.row_number().over(w)).drop(src)

@@ -131,13 +131,15 @@ def _field_type(df: DataFrame, name: str) -> T.DataType:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         query_id: str = "question_id", query_vec: str = "embedding",
         vector_id: str = "chunk_id", vector_vec: str = "embedding",
-        with_vectors: bool = False, rank_digits: int = 9,
+        with_vectors: bool = False, payload: tuple[str, ...] = (), rank_digits: int = 9,
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
         force_blocks: bool = False) -> DataFrame:
     """Top-k nearest ``vectors`` rows for every ``queries`` row.
 
-    Output: ``query_id, vector_id, rank INT (1-based), distance DOUBLE`` and,
-    with ``with_vectors``, the candidate vector as ``cand_vec``. Filters on
+    Output: ``query_id, vector_id, rank INT (1-based), distance DOUBLE``, the
+    ``payload`` columns of the vector table (e.g. the chunk text, carried
+    through the same scan instead of a join back to the big table) and, with
+    ``with_vectors``, the candidate vector as ``cand_vec``. Filters on
     ``vectors`` (P13) must be applied before the call; they reach the scan.
     """
     if metric not in METRICS:
@@ -145,13 +147,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     if query_id == vector_id:
         raise ValueError("query_id and vector_id must have different names")
     spark = queries.sparkSession
+    payload = tuple(payload)
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")) \
         .where(F.col("_qv").isNotNull())
-    v = vectors.select(F.col(vector_id).alias("_vid"), F.col(vector_vec).alias("_vv")) \
-        .where(F.col("_vv").isNotNull())
-    qid_t, vid_t = _field_type(q, "_qid"), _field_type(v, "_vid")
-    fields = [T.StructField("_qid", qid_t), T.StructField("_vid", vid_t),
+    # no isNotNull filter here: a filter on a UDF-made vector column would make
+    # Spark evaluate the UDF twice; the kernels skip NULL vectors instead
+    v = vectors.select(F.col(vector_id).alias("_vid"), F.col(vector_vec).alias("_vv"),
+                       *[F.col(c) for c in payload])
+    fields = [T.StructField("_qid", q.schema["_qid"].dataType),
+              T.StructField("_vid", v.schema["_vid"].dataType),
               T.StructField("_dist", T.DoubleType()), T.StructField("_key", T.DoubleType())]
+    fields += [T.StructField(c, v.schema[c].dataType) for c in payload]
     if with_vectors:
         fields.append(T.StructField("cand_vec", T.ArrayType(T.FloatType())))
     schema = T.StructType(fields)
@@ -160,45 +166,52 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     if force_blocks or n_q * max(dim, 1) * 8 > max_broadcast_bytes:
-        local = _knn_blocks(q, v, k, metric, schema, with_vectors, rank_digits, n_q, dim,
-                            max_broadcast_bytes)
+        local = _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q,
+                            dim, max_broadcast_bytes)
     else:
         tbl = q.toArrow()
         qids = tbl.column("_qid").to_numpy(zero_copy_only=False)
         Q = _matrix(tbl.column("_qv"), dim)
         bc = spark.sparkContext.broadcast((qids, Q))
-        local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, rank_digits, schema),
-                             schema)
+        local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
+                                          schema), schema)
     w = Window.partitionBy("_qid").orderBy("_key", "_vid")
     out = (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
            .select(F.col("_qid").alias(query_id), F.col("_vid").alias(vector_id),
                    F.col("rank").cast("int").alias("rank"), F.col("_dist").alias("distance"),
-                   *(["cand_vec"] if with_vectors else [])))
+                   *payload, *(["cand_vec"] if with_vectors else [])))
     return out
 
 
-def _scan_kernel(bc, k, metric, with_vectors, rank_digits, schema):
+def _scan_kernel(bc, k, metric, with_vectors, payload, rank_digits, schema):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow_schema = to_arrow_schema(schema)
+
     def kernel(batches):
         qids, Q = bc.value
-        acc = []  # running local top-k: (qrow, vid, dist, key, vec)
+        acc = []  # running local top-k: (qrow, vid, dist, key, vec, payload arrays)
         for b in batches:
+            if b.column("_vv").null_count:
+                b = b.filter(b.column("_vv").is_valid())
             if b.num_rows == 0:
                 continue
             V = _matrix(b.column("_vv"))
             vids = b.column("_vid").to_numpy(zero_copy_only=False)
             r, c, d, key = topk_block(Q, V, vids, k, metric, rank_digits)
-            acc.append((r, vids[c], d, key, V[c] if with_vectors else None))
+            take = pa.array(c, pa.int64())
+            acc.append((r, vids[c], d, key, V[c] if with_vectors else None,
+                        [b.column(p).take(take) for p in payload]))
             if len(acc) > 8:
                 acc = [_merge_acc(acc, k, with_vectors)]
         if not acc:
             return
-        r, vid, d, key, vec = _merge_acc(acc, k, with_vectors)
+        r, vid, d, key, vec, pay = _merge_acc(acc, k, with_vectors)
         cols = [pa.array(qids[r]), pa.array(vid), pa.array(d, pa.float64()),
-                pa.array(key, pa.float64())]
+                pa.array(key, pa.float64()), *pay]
         if with_vectors:
             cols.append(_list_array(vec))
-        yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-            [pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields]))
+        yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
     return kernel
 
 
@@ -209,7 +222,9 @@ def _merge_acc(acc, k, with_vectors):
     key = np.concatenate([a[3] for a in acc])
     vec = np.concatenate([a[4] for a in acc]) if with_vectors else None
     keep = _first_k_per_row(r, [key, _sortable(vid)], k)
-    return r[keep], vid[keep], d[keep], key[keep], (vec[keep] if with_vectors else None)
+    take = pa.array(keep, pa.int64())
+    pay = [pa.concat_arrays([a[5][i] for a in acc]).take(take) for i in range(len(acc[0][5]))]
+    return r[keep], vid[keep], d[keep], key[keep], (vec[keep] if with_vectors else None), pay
 
 
 def _list_array(m: np.ndarray) -> pa.Array:
@@ -218,21 +233,7 @@ def _list_array(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.reshape(-1).astype(np.float32)))
 
 
-def _arrow_type(t: T.DataType) -> pa.DataType:
-    if isinstance(t, T.LongType):
-        return pa.int64()
-    if isinstance(t, T.IntegerType):
-        return pa.int32()
-    if isinstance(t, T.StringType):
-        return pa.string()
-    if isinstance(t, T.DoubleType):
-        return pa.float64()
-    if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.FloatType):
-        return pa.list_(pa.float32())
-    raise TypeError(f"unsupported id type {t}")
-
-
-def _knn_blocks(q, v, k, metric, schema, with_vectors, rank_digits, n_q, dim,
+def _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q, dim,
                 max_bytes):
     """Block form: no driver collect; every (query block, vector block) pair is one group."""
     row_bytes = max(dim, 1) * 8
@@ -246,6 +247,7 @@ def _knn_blocks(q, v, k, metric, schema, with_vectors, rank_digits, n_q, dim,
 
     def pair(qp, vp):
         import pandas as pd
+        vp = vp[vp["_vv"].notna()]
         if len(qp) == 0 or len(vp) == 0:
             return pd.DataFrame({f.name: [] for f in schema.fields})
         Q = np.stack(qp["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).values)
@@ -253,6 +255,8 @@ def _knn_blocks(q, v, k, metric, schema, with_vectors, rank_digits, n_q, dim,
         vids = vp["_vid"].to_numpy()
         r, c, d, key = topk_block(Q, V, vids, k, metric, rank_digits)
         out = {"_qid": qp["_qid"].to_numpy()[r], "_vid": vids[c], "_dist": d, "_key": key}
+        for p in payload:
+            out[p] = vp[p].to_numpy()[c]
         if with_vectors:
             out["cand_vec"] = [V[i].astype(np.float32) for i in c]
         return pd.DataFrame(out)

@@ -79,20 +79,30 @@ def copy_labels(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     return df.withColumn("labels", F.col(ids))
 
 
-def completion_mask(df: DataFrame, marker_ids: Column, labels: str = "labels") -> DataFrame:
+def completion_mask(df: DataFrame, marker_ids: list[int], labels: str = "labels") -> DataFrame:
     """Labels up to and including the first response marker become -100;
-    no marker -> every label is -100."""
+    no marker -> every label is -100.
+
+    The marker is found by a string search over the comma-joined ids (no
+    per-position lambda), and the mask is ``array_repeat`` + ``slice``.
+    """
     lab = F.col(labels)
-    m = F.size(marker_ids)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lab), F.lit(1))),
-                    lambda p: F.slice(lab, p, m) == marker_ids)
-    pos = F.when((F.size(lab) > 0) & (m > 0), F.element_at(F.concat(hits, F.array(F.lit(None).cast("int"))), 1))
-    end = pos - 1 + m
-    masked = F.when(pos.isNull(), F.transform(lab, lambda x: F.lit(IGNORE_INDEX))).otherwise(
-        F.transform(lab, lambda x, i: F.when(i < end, F.lit(IGNORE_INDEX)).otherwise(x)))
+    m = len(marker_ids)
+    if m == 0:
+        return df.withColumn(labels, F.array_repeat(F.lit(IGNORE_INDEX), F.size(lab)))
+    joined = F.concat(F.lit(","), F.array_join(lab, ","), F.lit(","))
+    at = F.instr(joined, "," + ",".join(str(int(x)) for x in marker_ids) + ",")
+    head = F.substring(joined, 1, at)
+    pos = F.length(head) - F.length(F.replace(head, F.lit(","), F.lit("")))  # 1-based token index
+    end = pos - 1 + F.lit(m)
+    masked = F.when(at == 0, F.array_repeat(F.lit(IGNORE_INDEX), F.size(lab))).otherwise(
+        F.concat(F.array_repeat(F.lit(IGNORE_INDEX), end),
+                 F.slice(lab, end + 1, F.greatest(F.size(lab) - end, F.lit(0)))))
     return df.withColumn(labels, masked)
 
 
-def response_marker_ids(tokenizer=None) -> Column:
+def response_marker_ids(spark, tokenizer=None, marker: str = PR.ANSWER_TAG) -> list[int]:
+    """Token ids of the response marker (one tiny job, one row to the driver)."""
     tok = tokenizer or whitespace_tokenizer()
-    return tok(F.lit(PR.ANSWER_TAG))
+    row = spark.range(1).select(tok(F.lit(marker)).alias("ids")).first()
+    return [int(x) for x in (row["ids"] or [])]

@@ -365,7 +365,7 @@ def copy_labels(spark, sf):
 
 
 def completion_mask(spark, sf):
-    t = TK.completion_mask(TK.copy_labels(_tokens(spark, sf)), TK.response_marker_ids())
+    t = TK.completion_mask(TK.copy_labels(_tokens(spark, sf)), TK.response_marker_ids(spark))
     return t.select("question_id",
                     F.size(F.filter("labels", lambda x: x == TK.IGNORE_INDEX)).cast("int")
                     .alias("n_masked"),

@@ -57,14 +57,16 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
         chunks = chunks.where(chunk_filter)
     qv = embed_questions(questions, cfg, text)
     depth = max(cfg.k if cfg.use_similarity else 0, cfg.fetch_k if cfg.use_mmr else 0)
-    cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id", with_vectors=cfg.use_mmr)
-    lists = []
-    if cfg.use_similarity:
-        lists.append(cand.where(F.col("rank") <= cfg.k).select(QID, "chunk_id", "rank", "distance"))
+    # one scan of the chunk table: the text rides along with the top-k rows
+    cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id", with_vectors=cfg.use_mmr,
+               payload=("content",))
     if cfg.use_mmr:
-        lists.append(H.mmr(cand.where(F.col("rank") <= cfg.fetch_k), qv, cfg.k, cfg.lambda_mult))
-    merged = lists[0] if len(lists) == 1 else H.merge_interleave(*lists)
-    hits = merged.join(chunks.select("chunk_id", "content"), "chunk_id", "inner")
+        both = H.mmr(cand, qv, cfg.k, cfg.lambda_mult, fetch_k=cfg.fetch_k,
+                     similarity_k=cfg.k if cfg.use_similarity else 0, payload=("content",))
+        hits = H.merge_interleave_tagged(both) if cfg.use_similarity else both
+    else:
+        hits = cand.where(F.col("rank") <= cfg.k).select(QID, "chunk_id", "rank", "distance",
+                                                         "content")
     if cfg.dedup:
         hits = H.dedup_hits(hits)
     if cfg.rerank:
