@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from .partitioning import spread
 
 # Separators tried in order (paragraph, line, word, character).
 DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
@@ -107,7 +108,7 @@ def chunk_documents(docs: DataFrame, chunk_size: int = 512, overlap: int = 150,
     ingest of the same text yields the same ids (K1 relies on it).
     """
     cols = [F.col(id_col).alias("doc_id")] + [F.col(c) for c in keep]
-    exploded = docs.select(*cols, F.posexplode(split_udf(chunk_size, overlap, separators)(
+    exploded = spread(docs).select(*cols, F.posexplode(split_udf(chunk_size, overlap, separators)(
         F.col(text_col))).alias("chunk_index", "content"))
     return exploded.select(
         chunk_id_expr(F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("chunk_id"),

@@ -1,8 +1,10 @@
 """Training-set token operators.
 
 The tokenizer is injected as a Column function ``text -> array<int>``. The
-shipped default runs JVM-side: whitespace tokens (``STRIP_CHARS`` class),
-``id = int(md5(token)[0:6], 16) % vocab``. Real subword tokenizers plug in
+shipped default: whitespace tokens (``STRIP_CHARS`` class),
+``id = int(md5(token)[0:6], 16) % vocab``, computed over Arrow batches with
+a per-batch token cache (``whitespace_tokenizer``); ``whitespace_tokenizer_sql``
+is the same rule in built-in expressions. Real subword tokenizers plug in
 as a pandas UDF with the same shape (``batch_tokenizer``).
 """
 
@@ -23,6 +25,29 @@ _WS_SPLIT = "[ \\t\\n\\r\\f\\x0B]+"
 
 
 def whitespace_tokenizer(vocab: int = DEFAULT_VOCAB) -> Callable[[Column], Column]:
+    import hashlib
+    import re
+
+    split = re.compile(_WS_SPLIT).split
+
+    def ids(texts: list[str]) -> list[list[int]]:
+        cache: dict[str, int] = {}
+        out = []
+        for t in texts:
+            row = []
+            for w in split(t):
+                if w:
+                    v = cache.get(w)
+                    if v is None:
+                        v = cache[w] = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:6], 16) % vocab
+                    row.append(v)
+            out.append(row)
+        return out
+
+    return batch_tokenizer(ids)
+
+
+def whitespace_tokenizer_sql(vocab: int = DEFAULT_VOCAB) -> Callable[[Column], Column]:
     def tok(text: Column) -> Column:
         parts = F.filter(F.split(F.coalesce(text, F.lit("")), _WS_SPLIT), lambda x: x != F.lit(""))
         return F.transform(parts, lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10)

@@ -21,6 +21,7 @@ from ..operators import hits as H
 from ..operators import order as OR
 from ..operators import tokens as TK
 from ..operators.knn import knn
+from ..operators.partitioning import spread
 from ..operators.split import chunk_documents, window_chunks
 from . import retrieve as RT
 
@@ -28,7 +29,9 @@ DIM = EM.DEFAULT_DIM
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    # the corpus feeds Python stages (split, embed): keep every core busy
+    return spread(df) if name == "documents" else df
 
 
 # ---------------------------------------------------------------------------
