@@ -407,6 +407,27 @@ def graph_edges(spark, sf):
             .agg(F.countDistinct("chunk_id").alias("n_chunks")))
 
 
+# ---------------------------------------------------------------------------
+# streaming ingest
+
+
+def incremental_ingest(spark, sf):
+    """ST1 + K1: two drops of ``documents`` (English first, then the whole
+    table, which repeats the first drop) through the streaming ingest; the
+    table must hold every chunk exactly once."""
+    from ..session import scratch_path
+    from ..streaming.ingest import start_ingest
+
+    docs = _t(spark, sf, "documents")
+    base = scratch_path(spark, "ingest")
+    src, table, ckpt = f"{base}/drops", f"{base}/table", f"{base}/checkpoint"
+    docs.where(F.col("lang") == "en").write.parquet(src)
+    start_ingest(spark, src, table, ckpt).awaitTermination()
+    docs.write.mode("append").parquet(src)
+    start_ingest(spark, src, table, ckpt).awaitTermination()
+    return spark.read.parquet(table).select("doc_id", "chunk_index", "chunk_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recursive_chunks": recursive_chunks,
     "chunk_stats": chunk_stats,
@@ -443,4 +464,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batches": batches,
     "shards": shards,
     "graph_edges": graph_edges,
+    "incremental_ingest": incremental_ingest,
 }
