@@ -214,6 +214,24 @@ def accuracy(spark, sf):
     return EV.accuracy(pred, truth)
 
 
+def knn_ivf(spark, sf):
+    """Approximate l2 top-10 by IVF (16 cells, 4 probes), all vectors as queries."""
+    from ..operators.ivf import knn_ivf as ivf
+
+    out = ivf(_queries(spark, sf), _vec(spark, sf), 10, 16, 4, "l2", query_id="query_id",
+              vector_id="vec_id")
+    return _knn_out(out)
+
+
+def ivf_recall(spark, sf):
+    """Recall@10 of the IVF search against the exact search (one row)."""
+    from ..operators.ivf import recall_at_k
+
+    exact = knn(_queries(spark, sf), _vec(spark, sf), 10, "l2", query_id="query_id",
+                vector_id="vec_id")
+    return recall_at_k(knn_ivf(spark, sf), exact, "query_id", "vec_id", 10)
+
+
 # ---------------------------------------------------------------------------
 # corpus maintenance
 
@@ -465,4 +483,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shards": shards,
     "graph_edges": graph_edges,
     "incremental_ingest": incremental_ingest,
+    "knn_ivf": knn_ivf,
+    "ivf_recall": ivf_recall,
 }

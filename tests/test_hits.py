@@ -124,3 +124,15 @@ def test_mmr_lambda_one_is_cosine_order(spark, vec_df):
 
 def test_backup_k():
     assert H.backup_k(300) == 3 and H.backup_k(50) == 1 and H.backup_k(0) == 1
+
+
+def test_ivf_all_cells_equals_exact(spark, vec_df):
+    from ragloom.operators.ivf import knn_ivf
+
+    df, _ = vec_df
+    q = df.withColumnRenamed("vec_id", "qid")
+    exact = _lists(knn(q, df, 5, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    # every cell probed and cells split into sub-blocks of 3 rows: must equal the exact search
+    approx = _lists(knn_ivf(q, df, 5, 4, 4, "l2", query_id="qid", vector_id="vec_id",
+                            block_rows=3), "qid", "vec_id")
+    assert approx == exact
