@@ -133,7 +133,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         vector_id: str = "chunk_id", vector_vec: str = "embedding",
         with_vectors: bool = False, payload: tuple[str, ...] = (), rank_digits: int = 9,
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-        force_blocks: bool = False) -> DataFrame:
+        force_blocks: bool = False, fan_in: int = 256) -> DataFrame:
     """Top-k nearest ``vectors`` rows for every ``queries`` row.
 
     Output: ``query_id, vector_id, rank INT (1-based), distance DOUBLE``, the
@@ -175,6 +175,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         bc = spark.sparkContext.broadcast((qids, Q))
         local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
                                           schema), schema)
+    local = _tree_level(local, k, v.rdd.getNumPartitions(), fan_in)
     w = Window.partitionBy("_qid").orderBy("_key", "_vid")
     out = (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
            .select(F.col("_qid").alias(query_id), F.col("_vid").alias(vector_id),
@@ -183,6 +184,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     return out
 
 
+def _tree_level(local: DataFrame, k: int, n_tasks: int, fan_in: int) -> DataFrame:
+    """Every scan task emits <= k rows per query, so the final per-query group
+    holds k x n_tasks rows. Above ``fan_in`` tasks an intermediate top-k over
+    (query, task group) cuts that to k x ceil(n_tasks / fan_in)."""
+    if n_tasks <= fan_in:
+        return local
+    groups = math.ceil(n_tasks / fan_in)
+    w = Window.partitionBy("_qid", "_grp").orderBy("_key", "_vid")
+    return (local.withColumn("_grp", F.pmod(F.spark_partition_id(), F.lit(groups)))
+            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+            .drop("_grp", "_r"))
+
+
 def _scan_kernel(bc, k, metric, with_vectors, payload, rank_digits, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 

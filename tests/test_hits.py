@@ -136,3 +136,12 @@ def test_ivf_all_cells_equals_exact(spark, vec_df):
     approx = _lists(knn_ivf(q, df, 5, 4, 4, "l2", query_id="qid", vector_id="vec_id",
                             block_rows=3), "qid", "vec_id")
     assert approx == exact
+
+
+def test_knn_tree_level_same_result(spark, vec_df):
+    df, _ = vec_df
+    q = df.withColumnRenamed("vec_id", "qid")
+    a = _lists(knn(q, df, 5, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    b = _lists(knn(q, df.repartition(6), 5, "l2", query_id="qid", vector_id="vec_id", fan_in=2),
+               "qid", "vec_id")
+    assert a == b

@@ -107,3 +107,40 @@ def test_registered_scorer_in_rerank(spark):
                                  lambda qs, ts: [float(len(t)) for t in ts])))
     hits = RT.retrieve(q, ch, cfg)
     assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["c5", "c4"]
+
+
+def test_jobs_end_to_end(spark, tmp_dir):
+    import json
+
+    from ragloom.functions.embed import hash_embedding
+    from ragloom.plans import jobs as J
+
+    recs = {f"question {i}": {"question": f"alpha beta gamma {i}", "option 1": "yes",
+                              "option 2": "no", "answer": "option 1: yes",
+                              "explanation": f"because {i}"} for i in range(1, 21)}
+    with open(f"{tmp_dir}/train.json", "w") as f:
+        json.dump(recs, f)
+    with open(f"{tmp_dir}/test.json", "w") as f:
+        json.dump({k: {"question": v["question"], "option 1": "a"} for k, v in list(recs.items())[:5]}, f)
+    ch = spark.createDataFrame([(f"c{i}", f"alpha text {i}\nbeta {i}") for i in range(40)],
+                               "chunk_id string, content string")
+    ch = ch.withColumn("embedding", hash_embedding(F.col("content")))
+    cfg = RT.RetrieverConfig(k=4, fetch_k=8, top_n=2)
+    qs = __import__("ragloom.sources.tables", fromlist=["x"]).load_questions(spark, f"{tmp_dir}/train.json")
+    ds = J.build_finetune_set(qs, ch, cfg, context_length=64, out=f"{tmp_dir}/ds")
+    rows = ds.collect()
+    assert len(rows) == 20 and sum(r.split == "test" for r in rows) == 2
+    assert all(len(r.input_ids) <= 64 and len(r.labels) == len(r.input_ids) for r in rows)
+    assert {r.split for r in spark.read.parquet(f"{tmp_dir}/ds").select("split").collect()} == \
+        {"train", "test"}
+    pr = J.build_inference_prompts(spark, 2, ch, cfg, f"{tmp_dir}/train.json",
+                                   f"{tmp_dir}/test.json")
+    assert pr.groupBy("split").count().orderBy("split").collect()[0]["count"] == 5
+    ans = J.test_model(pr.where(F.col("split") == "train"), "echo", "T", f"{tmp_dir}/ans",
+                       make=echo_factory())
+    assert ans.count() == 20
+    truth = f"{tmp_dir}/truth.csv"
+    with open(truth, "w") as f:
+        f.write("Question_ID,Answer_ID\n" + "".join(f"{i},1\n" for i in range(1, 21)))
+    m = J.metrics(spark, f"{tmp_dir}/ans", truth).first()
+    assert m.n_pred == 20 and m.n_matched == 20
