@@ -95,7 +95,8 @@ def split_udf(chunk_size: int = 512, overlap: int = 150,
     def _udf(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, chunk_size, overlap, seps))
 
-    return _udf
+    # deterministic in fact; see functions.embed._dense_udf
+    return _udf.asNondeterministic()
 
 
 def chunk_documents(docs: DataFrame, chunk_size: int = 512, overlap: int = 150,
