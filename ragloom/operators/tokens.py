@@ -88,13 +88,20 @@ def truncate_left(df: DataFrame, max_length: Column | int, ids: str = "input_ids
 
 
 def tokenize_truncate(df: DataFrame, context_length: int, tokenizer=None,
-                      text_col: str = "prompt") -> DataFrame:
+                      text_col: str = "prompt", materialize: bool = True) -> DataFrame:
     """D3: tokenize, then truncate all rows to min(longest, context_length).
 
     The global maximum is one aggregate (partial max per task, one value to
-    the driver) and is then applied as a literal.
+    the driver) and is then applied as a literal. The tokenized table is
+    checkpointed first (shared ``spark.checkpoint.dir``) so the upstream
+    retrieval and prompt building run once, not once per pass.
     """
     tok = tokenize(df, tokenizer, text_col)
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        tok = tok.checkpoint(eager=True)
     ml = max_token_length(tok, context_length).first()["max_length"]
     return truncate_left(tok, int(ml or 0))
 

@@ -72,11 +72,7 @@ def retrieve_sql(spark, sf):
     q = _benchmark_questions(spark, sf)
     cfg = RT.RetrieverConfig(k=10, top_n=4, use_mmr=False)
     hits = RT.retrieve(q, chunks, cfg)
-    prompts = RT.inference_prompts(q, hits, kind="qa")
-    n = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    return (prompts.join(n, "question_id", "left_outer")
-            .select("question_id", "prompt",
-                    F.coalesce(F.col("n_hits"), F.lit(0)).cast("long").alias("n_hits")))
+    return RT.inference_prompts(q, hits, kind="qa", with_counts=True)
 
 
 def retrieve_prompt(spark, sf):
@@ -86,11 +82,7 @@ def retrieve_prompt(spark, sf):
         "options", F.array().cast("array<struct<key:string,value:string>>"))
     cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5)
     hits = RT.retrieve(q, chunks, cfg)
-    prompts = RT.inference_prompts(q, hits, kind="mcq")
-    n = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    return (prompts.join(n, "question_id", "left_outer")
-            .select("question_id", "prompt",
-                    F.coalesce(F.col("n_hits"), F.lit(0)).cast("long").alias("n_hits")))
+    return RT.inference_prompts(q, hits, kind="mcq", with_counts=True)
 
 
 def rerank_overlap(spark, sf):

@@ -120,8 +120,10 @@ def variants_from_text(df: DataFrame, text: str = "generated", question: str = "
 # Prompts from questions and hits
 
 
-def inference_prompts(questions: DataFrame, hits: DataFrame, kind: str = "mcq") -> DataFrame:
-    """(question_id, prompt) for every question (empty context if no hit)."""
+def inference_prompts(questions: DataFrame, hits: DataFrame, kind: str = "mcq",
+                      with_counts: bool = False) -> DataFrame:
+    """(question_id, prompt) for every question (empty context if no hit);
+    ``with_counts`` adds ``n_hits`` from the same aggregation."""
     ctx = H.build_context(hits)
     q = questions.join(ctx, QID, "left_outer")
     context = F.coalesce(F.col("context"), F.lit(""))
@@ -131,6 +133,9 @@ def inference_prompts(questions: DataFrame, hits: DataFrame, kind: str = "mcq")
         p = PR.qa_prompt(F.col("question"), context)
     else:
         raise ValueError("kind must be 'mcq' or 'qa'")
+    if with_counts:
+        return q.select(QID, p.alias("prompt"),
+                        F.coalesce(F.col("n_hits"), F.lit(0)).cast("long").alias("n_hits"))
     return q.select(QID, p.alias("prompt"))
 
 
