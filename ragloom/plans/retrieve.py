@@ -81,6 +81,14 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
     return hits.select(QID, "chunk_id", "content", "rank", "score", "distance")
 
 
+def apply_transformers(hits: DataFrame, questions: DataFrame,
+                       transformers: list[Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """A document-compressor pipeline; each step maps (hits, questions) -> hits."""
+    for t in transformers:
+        hits = t(hits, questions)
+    return hits
+
+
 def retrieve_with_fallback(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
                            backup: RetrieverConfig | None = None, text: str = "question",
                            chunk_filter: Column | None = None) -> DataFrame:

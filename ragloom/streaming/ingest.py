@@ -48,3 +48,29 @@ def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: s
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def start_docx_ingest(spark: SparkSession, folder: str, table: str, checkpoint: str,
+                      chunk_size: int = 512, overlap: int = 150, available_now: bool = True):
+    """ST1 for Word files: ``binaryFile`` stream -> S2 text -> chunk/embed/append."""
+    from ..functions import text as TX
+    from ..sources.files import _docx_udf
+
+    binary_schema = T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    stream = (spark.readStream.format("binaryFile").schema(binary_schema)
+              .option("pathGlobFilter", "*.docx").load(folder))
+    docs = stream.select(F.xxhash64("path").alias("doc_id"),
+                         TX.basename(F.col("path")).alias("source"),
+                         _docx_udf(F.col("content")).alias("text"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        from ..operators.split import add_release_metadata
+
+        ch = add_release_metadata(chunk_documents(batch, chunk_size, overlap))
+        vector_append(ch.withColumn("embedding", EM.hash_embedding(F.col("content"))), table)
+
+    w = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

@@ -144,3 +144,34 @@ def test_jobs_end_to_end(spark, tmp_dir):
         f.write("Question_ID,Answer_ID\n" + "".join(f"{i},1\n" for i in range(1, 21)))
     m = J.metrics(spark, f"{tmp_dir}/ans", truth).first()
     assert m.n_pred == 20 and m.n_matched == 20
+
+
+def test_docx_stream_ingest(spark, tmp_dir):
+    from ragloom.streaming.ingest import start_docx_ingest
+
+    folder = f"{tmp_dir}/stream_docs"
+    make_docs(folder)
+    table, ckpt = f"{tmp_dir}/vt", f"{tmp_dir}/ck"
+    start_docx_ingest(spark, folder, table, ckpt, 20, 5).awaitTermination()
+    n1 = spark.read.parquet(table).count()
+    write_docx(f"{folder}/rel_18.docx", ["Another release text."])
+    start_docx_ingest(spark, folder, table, ckpt, 20, 5).awaitTermination()
+    t = spark.read.parquet(table)
+    assert t.count() > n1
+    assert t.where(F.col("year") == 18).count() > 0
+    assert t.select("chunk_id").distinct().count() == t.count()
+
+
+def test_registered_embedder(spark):
+    import numpy as np
+
+    from ragloom.functions import embed as EM
+
+    EM.register_embedder("const", lambda texts, kind: np.ones((len(texts), 3)) *
+                         (1.0 if kind == "query" else 2.0), 3)
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    r = df.select(EM.embed(F.col("t"), "const", "query").alias("e")).collect()
+    assert [list(x.e) for x in r] == [[1.0, 1.0, 1.0]] * 2
+    import pytest
+    with pytest.raises(ValueError):
+        EM.embed(F.col("t"), "missing")
