@@ -148,8 +148,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         raise ValueError("query_id and vector_id must have different names")
     spark = queries.sparkSession
     payload = tuple(payload)
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")) \
-        .where(F.col("_qv").isNotNull())
+    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"))
     # no isNotNull filter here: a filter on a UDF-made vector column would make
     # Spark evaluate the UDF twice; the kernels skip NULL vectors instead
     v = vectors.select(F.col(vector_id).alias("_vid"), F.col(vector_vec).alias("_vv"),
@@ -162,14 +161,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         fields.append(T.StructField("cand_vec", T.ArrayType(T.FloatType())))
     schema = T.StructType(fields)
 
-    # size check before anything is shipped: rows x dim x 8 bytes
-    stats = q.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    # size check before anything is shipped: rows x dim x 8 bytes. The count
+    # does not evaluate the vector column; the dimension comes from one row.
+    n_q = q.count()
+    first = q.select(F.size("_qv").alias("d")).where(F.col("d") > 0).limit(1).collect()
+    dim = int(first[0]["d"]) if first else 0
     if force_blocks or n_q * max(dim, 1) * 8 > max_broadcast_bytes:
-        local = _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q,
-                            dim, max_broadcast_bytes)
+        local = _knn_blocks(q.where(F.col("_qv").isNotNull()), v, k, metric, schema,
+                            with_vectors, payload, rank_digits, n_q, dim, max_broadcast_bytes)
     else:
         tbl = q.toArrow()
+        tbl = tbl.filter(tbl.column("_qv").is_valid())
         qids = tbl.column("_qid").to_numpy(zero_copy_only=False)
         Q = _matrix(tbl.column("_qv"), dim)
         bc = spark.sparkContext.broadcast((qids, Q))
