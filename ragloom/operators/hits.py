@@ -156,10 +156,11 @@ def mmr(candidates: DataFrame, query_vectors: DataFrame, k: int, lambda_mult: fl
               T.StructField("_src", T.IntegerType())]
     fields += [T.StructField(c, candidates.schema[c].dataType) for c in payload]
     schema = T.StructType(fields)
+    names = [f.name for f in schema.fields]
     cols = [qid, vid, "distance", *payload]
 
-    def per_question(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank"])
+    def per_question(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        pdf = pdf.sort_values("rank")
         parts = []
         if similarity_k > 0:
             sim = pdf[pdf["rank"] <= similarity_k]
@@ -172,11 +173,36 @@ def mmr(candidates: DataFrame, query_vectors: DataFrame, k: int, lambda_mult: fl
             sel = pool.iloc[order]
             parts.append(sel[cols].assign(rank=np.arange(1, len(order) + 1, dtype=np.int32),
                                           _src=1))
-        if not parts:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        return pd.concat(parts)[[f.name for f in schema.fields]]
+        return parts
 
-    out = joined.groupBy(qid).applyInPandas(per_question, schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, g in pdf.groupby(qid, sort=False):
+            parts.extend(per_question(g))
+        if not parts:
+            return pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names]
+
+    def kernel(batches):
+        # rows arrive clustered by question; a question cut by a batch
+        # boundary is carried into the next batch
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if len(pdf) == 0:
+                continue
+            last = pdf[qid].iloc[-1]
+            tail = (pdf[qid] == last).to_numpy()
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield run(done)
+        if carry is not None and len(carry):
+            yield run(carry)
+
+    clustered = joined.repartition(qid).sortWithinPartitions(qid, "rank")
+    out = clustered.mapInPandas(kernel, schema)
     return out if similarity_k > 0 else out.drop("_src")
 
 

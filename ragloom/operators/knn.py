@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 _QBLOCK = 512          # queries per matrix product inside a task
+_MAX_DIM = 16384       # no embedding is wider; bounds the query block by its row count
 _TOL = 1e-7            # slack on the preselection threshold (approx error is ~1e-15)
 
 
@@ -162,10 +163,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     schema = T.StructType(fields)
 
     # size check before anything is shipped: rows x dim x 8 bytes. The count
-    # does not evaluate the vector column; the dimension comes from one row.
+    # does not evaluate the vector column; the dimension needs one pass only
+    # when the row count alone cannot prove the bound.
     n_q = q.count()
-    first = q.select(F.size("_qv").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    dim = int(first[0]["d"]) if first else 0
+    if n_q * _MAX_DIM * 8 <= max_broadcast_bytes and not force_blocks:
+        dim = 0
+    else:
+        dim = int(q.agg(F.max(F.size("_qv"))).first()[0] or 0)
     if force_blocks or n_q * max(dim, 1) * 8 > max_broadcast_bytes:
         local = _knn_blocks(q.where(F.col("_qv").isNotNull()), v, k, metric, schema,
                             with_vectors, payload, rank_digits, n_q, dim, max_broadcast_bytes)
@@ -174,6 +178,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         tbl = tbl.filter(tbl.column("_qv").is_valid())
         qids = tbl.column("_qid").to_numpy(zero_copy_only=False)
         Q = _matrix(tbl.column("_qv"), dim)
+        if Q.nbytes > max_broadcast_bytes:
+            raise ValueError("query block over the broadcast limit")
         bc = spark.sparkContext.broadcast((qids, Q))
         local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
                                           schema), schema)
