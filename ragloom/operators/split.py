@@ -129,6 +129,17 @@ def add_release_metadata(chunks: DataFrame, source_col: str = "source") -> DataF
             .withColumn("tag", TX.release_tag(F.col("year"))))
 
 
+def release_name_report(chunks: DataFrame, source_col: str = "source") -> DataFrame:
+    """H1: per source, whether it carries the release prefix and whether the
+    number parsed; unparsable names become NULL years and are counted here."""
+    base = TX.basename(F.col(source_col))
+    d = chunks.select(base.alias("source")).distinct()
+    return d.select(
+        F.count_if(F.col("source").startswith(TX.RELEASE_PREFIX)).alias("n_release_names"),
+        F.count_if(F.col("source").startswith(TX.RELEASE_PREFIX)
+                   & TX.release_year(F.col("source")).isNull()).alias("n_unparsable"))
+
+
 def window_chunks(docs: DataFrame, size: int = 512, step: int = 362, text_col: str = "text",
                   id_col: str = "doc_id") -> DataFrame:
     """Plain fixed windows (test aid with a SQL twin): start at 1, 1+step, ...

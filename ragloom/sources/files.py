@@ -58,12 +58,40 @@ def _docx_udf(content: pd.Series) -> pd.Series:
     return content.map(docx_to_text)
 
 
-def load_documents(spark: SparkSession, folder: str, extensions=(".docx",)) -> DataFrame:
+def _safe_docx(data):
+    try:
+        return {"text": docx_to_text(data), "error": None}
+    except Exception as e:  # noqa: BLE001 - reported per file, never swallowed
+        return {"text": None, "error": f"{type(e).__name__}: {e}"}
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()),
+                            T.StructField("error", T.StringType())]))
+def _docx_checked_udf(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_safe_docx(c) for c in content], columns=["text", "error"])
+
+
+def load_documents(spark: SparkSession, folder: str, extensions=(".docx",),
+                   quarantine: str | None = None) -> DataFrame:
     """documents(doc_id, source, path, text) with ``doc_id = xxhash64(path)``
-    and ``source`` = the file's basename (T2)."""
+    and ``source`` = the file's basename (T2).
+
+    H9: by default a file that cannot be read fails the job. With
+    ``quarantine`` (a path), unreadable files are written there with their
+    error and left out of the result."""
     files = discover_files(spark, folder, extensions)
-    return files.select(F.xxhash64("path").alias("doc_id"), TX.basename(F.col("path")).alias("source"),
-                        F.col("path"), _docx_udf(F.col("content")).alias("text"))
+    ids = [F.xxhash64("path").alias("doc_id"), TX.basename(F.col("path")).alias("source"),
+           F.col("path")]
+    if quarantine is None:
+        return files.select(*ids, _docx_udf(F.col("content")).alias("text"))
+    # parsed once (checkpointed), then split into good rows and quarantined files
+    parsed = files.select(*ids, _docx_checked_udf(F.col("content")).alias("r")) \
+        .checkpoint(eager=True)
+    parsed.where(F.col("r.error").isNotNull()).select(
+        "doc_id", "source", "path", F.col("r.error").alias("error")) \
+        .write.mode("append").parquet(quarantine)
+    return parsed.where(F.col("r.error").isNull()).select(
+        "doc_id", "source", "path", F.col("r.text").alias("text"))
 
 
 def load_text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:

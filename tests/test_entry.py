@@ -47,3 +47,15 @@ def test_flagship_hits_verbatim_items(spark):
     n = truth.select("question_id").distinct().count()
     assert n >= 10
     assert found / n >= 0.8
+
+
+def test_flagship_same_for_1_4_17_partitions(spark):
+    from conftest import SF001
+
+    outs = []
+    for n in (1, 4, 17):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        outs.append(sorted((r.question_id, r.prompt, r.n_hits)
+                           for r in C.retrieve_prompt(spark, SF001).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert outs[0] == outs[1] == outs[2]

@@ -175,3 +175,18 @@ def test_registered_embedder(spark):
     import pytest
     with pytest.raises(ValueError):
         EM.embed(F.col("t"), "missing")
+
+
+def test_quarantine_and_release_report(spark, tmp_dir):
+    from ragloom.operators.split import chunk_documents, release_name_report
+
+    folder = f"{tmp_dir}/qdocs"
+    make_docs(folder)
+    with open(f"{folder}/broken.docx", "wb") as f:
+        f.write(b"not a zip file")
+    docs = load_documents(spark, folder, quarantine=f"{tmp_dir}/quarantine")
+    assert sorted(r.source for r in docs.collect()) == ["notes.docx", "rel_17.docx", "rel_x.docx"]
+    q = spark.read.parquet(f"{tmp_dir}/quarantine").collect()
+    assert [r.source for r in q] == ["broken.docx"] and q[0].error
+    rep = release_name_report(chunk_documents(docs)).first()
+    assert (rep.n_release_names, rep.n_unparsable) == (2, 1)
