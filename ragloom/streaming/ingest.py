@@ -35,17 +35,37 @@ def ingest_batch(docs: DataFrame, table: str, chunk_size: int = 512, overlap: in
 
 def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: str,
                  schema: T.StructType = DOCUMENT_SCHEMA, chunk_size: int = 512,
-                 overlap: int = 150, available_now: bool = True, max_files_per_trigger: int = 0):
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+                 overlap: int = 150, available_now: bool = True, max_files_per_trigger: int = 0,
+                 dedup: str = "table"):
+    """Start the stream; with ``available_now`` it processes what is there and stops.
+
+    ``dedup="table"``: each micro-batch anti-joins its chunk ids with the
+    table's id column (also catches rows written by batch jobs).
+    ``dedup="state"``: the stream drops repeated ``chunk_id`` in Spark's
+    key-partitioned state store, so the per-batch cost follows the batch and
+    not the table; rows written outside this stream are not seen.
+    """
+    if dedup not in ("table", "state"):
+        raise ValueError("dedup must be 'table' or 'state'")
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, table, chunk_size, overlap)
+    if dedup == "table":
+        def each(batch: DataFrame, batch_id: int) -> None:
+            ingest_batch(batch, table, chunk_size, overlap)
+
+        w = stream.writeStream.foreachBatch(each)
+    else:
+        chunks = chunk_documents(stream, chunk_size, overlap).dropDuplicates(["chunk_id"])
+        chunks = chunks.withColumn("embedding", EM.hash_embedding(F.col("content")))
+
+        def append(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("append").parquet(table)
 
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        w = chunks.writeStream.foreachBatch(append)
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

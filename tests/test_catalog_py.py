@@ -48,3 +48,18 @@ def test_mmr_query_brute_force(spark):
         order = sorted(range(len(ids)), key=lambda j: (round(d[j], 9), ids[j]))[:20]
         picks = mmr_oracle(list(V[qi]), [list(V[j]) for j in order], 5, 0.5)
         assert got[ids[qi]] == [ids[order[p]] for p in picks]
+
+
+def test_stream_ingest_state_dedup(spark, tmp_path):
+    from ragloom.streaming.ingest import start_ingest
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    src, table, ck = f"{tmp_path}/src", f"{tmp_path}/t", f"{tmp_path}/ck"
+    docs.where("lang = 'en'").write.parquet(src)
+    start_ingest(spark, src, table, ck, dedup="state").awaitTermination()
+    docs.write.mode("append").parquet(src)
+    start_ingest(spark, src, table, ck, dedup="state").awaitTermination()
+    got = sorted((r.doc_id, r.chunk_index) for r in spark.read.parquet(table).collect())
+    want = sorted((doc_id, i) for doc_id, _, text in _docs()
+                  for i, _ in enumerate(split_oracle(text, 512, 150)))
+    assert got == want
