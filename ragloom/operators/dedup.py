@@ -23,6 +23,11 @@ def first_copies(df: DataFrame, content: str, order: tuple[str, ...], id_cols: t
                  ) -> DataFrame:
     """Ids of the first row per stripped content, first by ``order``."""
     fields = list(dict.fromkeys(order + id_cols))
+    if len(fields) == 1:
+        # one column: a plain min, aggregated by hash (partial on the map side)
+        c = fields[0]
+        keyed = df.select(content_key(content).alias("_k"), F.col(c))
+        return keyed.groupBy("_k").agg(F.min(c).alias(c)).select(c)
     keyed = df.select(content_key(content).alias("_k"),
                       F.struct(*[F.col(c) for c in fields]).alias("_o"))
     win = keyed.groupBy("_k").agg(F.min("_o").alias("_o"))

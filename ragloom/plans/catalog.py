@@ -29,9 +29,7 @@ DIM = EM.DEFAULT_DIM
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    # the corpus feeds Python stages (split, embed): keep every core busy
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
@@ -63,7 +61,8 @@ def _benchmark_questions(spark, sf):
 
 
 def _embedded(df: DataFrame, text: str = "content") -> DataFrame:
-    return df.withColumn("embedding", EM.hash_embedding(F.col(text), DIM))
+    # a Python stage: keep every core busy even when the input has few splits
+    return spread(df).withColumn("embedding", EM.hash_embedding(F.col(text), DIM))
 
 
 def retrieve_sql(spark, sf):
@@ -101,8 +100,8 @@ def hash_embed(spark, sf):
                                              F.col("doc_id").alias("id"), "text")
     bench = _t(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"),
                                               F.col("item_id").alias("id"), "text")
-    e = docs.unionByName(bench).select("kind", "id", EM.hash_embedding(F.col("text"), DIM)
-                                       .alias("v"))
+    e = spread(docs.unionByName(bench)).select("kind", "id",
+                                               EM.hash_embedding(F.col("text"), DIM).alias("v"))
     return (e.select("kind", "id", F.posexplode("v").alias("dim", "w"))
             .where(F.col("w") != 0)
             .select("kind", "id", F.col("dim").cast("int").alias("dim"),
