@@ -145,7 +145,7 @@ def window_chunks(docs: DataFrame, size: int = 512, step: int = 362, text_col: s
     """Plain fixed windows (test aid with a SQL twin): start at 1, 1+step, ...
     while start <= length; each window is ``substring(text, start, size)``."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text_col), F.lit(1)), F.lit(step))
-    w = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
+    w = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
                     F.posexplode(F.when(F.length(text_col) > 0, starts)).alias("chunk_index", "_s"))
     content = F.substring(F.col("_t"), F.col("_s"), size)
     return w.select(chunk_id_expr(F.col("doc_id"), F.col("chunk_index"), content).alias("chunk_id"),
