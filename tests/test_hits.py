@@ -145,3 +145,15 @@ def test_knn_tree_level_same_result(spark, vec_df):
     b = _lists(knn(q, df.repartition(6), 5, "l2", query_id="qid", vector_id="vec_id", fan_in=2),
                "qid", "vec_id")
     assert a == b
+
+
+def test_ivf_query_blocks_equal_exact(spark, vec_df):
+    from ragloom.operators.ivf import knn_ivf
+
+    df, _ = vec_df
+    q = df.withColumnRenamed("vec_id", "qid")
+    exact = _lists(knn(q, df, 4, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    # few cells, all probed, tiny blocks on both sides
+    approx = _lists(knn_ivf(q, df, 4, 2, 2, "l2", query_id="qid", vector_id="vec_id",
+                            block_rows=2), "qid", "vec_id")
+    assert approx == exact
