@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20   # per-side size of one (query block, vector block) group
 _QBLOCK = 512          # queries per matrix product inside a task
 _MAX_DIM = 16384       # no embedding is wider; bounds the query block by its row count
 _TOL = 1e-7            # slack on the preselection threshold (approx error is ~1e-15)
@@ -258,10 +259,13 @@ def _list_array(m: np.ndarray) -> pa.Array:
 def _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q, dim,
                 max_bytes):
     """Block form: no driver collect; every (query block, vector block) pair is one group."""
+    # each cogroup holds one query block and one vector block in pandas;
+    # blocks are kept to BLOCK_BYTES of float64 whatever the broadcast limit
     row_bytes = max(dim, 1) * 8
     n_v = v.count()
-    qb = max(1, math.ceil(n_q * row_bytes / max_bytes))
-    vb = max(1, math.ceil(n_v * row_bytes / max_bytes))
+    block = min(max_bytes, BLOCK_BYTES)
+    qb = max(1, math.ceil(n_q * row_bytes / block))
+    vb = max(1, math.ceil(n_v * row_bytes / block))
     qx = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
           .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))))
     vx = (v.withColumn("_vb", F.pmod(F.xxhash64("_vid"), F.lit(vb)))
