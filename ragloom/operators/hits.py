@@ -114,14 +114,20 @@ def mmr_select(query: np.ndarray, cands: np.ndarray, k: int, lambda_mult: float)
     if min(k, n) <= 0:
         return []
 
-    def unit(m):
-        nrm = np.sqrt((m * m).sum(axis=-1, keepdims=True))
-        return np.divide(m, nrm, out=np.zeros_like(m), where=nrm > 0)
-
-    c = unit(cands.astype(np.float64))
-    qs = c @ unit(query.astype(np.float64))
+    c = cands.astype(np.float64)
+    q = query.astype(np.float64)
+    cn = np.sqrt((c * c).sum(axis=1))
+
+    def cos(x: np.ndarray, xn: float) -> np.ndarray:
+        # dot / (|a| |b|), zero where a norm is zero; per-row sums keep it
+        # deterministic for identical rows
+        den = cn * xn
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(den > 0, (c * x).sum(axis=1) / np.where(den > 0, den, 1.0), 0.0)
+
+    qs = cos(q, float(np.sqrt((q * q).sum())))
     picked = [int(np.argmax(qs))]
-    red = c @ c[picked[0]]
+    red = cos(c[picked[0]], cn[picked[0]])
     taken = np.zeros(n, dtype=bool)
     taken[picked[0]] = True
     while len(picked) < min(k, n):
@@ -130,7 +136,7 @@ def mmr_select(query: np.ndarray, cands: np.ndarray, k: int, lambda_mult: float)
         nxt = int(np.argmax(score))
         picked.append(nxt)
         taken[nxt] = True
-        red = np.maximum(red, c @ c[nxt])
+        red = np.maximum(red, cos(c[nxt], cn[nxt]))
     return picked
 
 

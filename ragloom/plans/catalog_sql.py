@@ -3,7 +3,7 @@
 They are written independently of the Spark code from the operator
 definitions: same tables, same parameters, same column names and types.
 Queries whose oracle is pure Python (``recursive_chunks``, ``chunk_stats``,
-``mmr``, ``retrieve_prompt``) have no entry here.
+``retrieve_prompt``, ``incremental_ingest``, the IVF pair) have no entry here.
 """
 
 from __future__ import annotations
@@ -66,6 +66,13 @@ SELECT query_id, vec_id,
 FROM ({knn_sql(metric, k, where)})"""
 
 
+def cos_sql(a: str, b: str) -> str:
+    """dot / (|a| |b|) in double, 0 when a norm is zero."""
+    return (f"coalesce(list_sum([ p[1]::DOUBLE * p[2]::DOUBLE for p in list_zip({a}, {b}) ]) / "
+            f"nullif(sqrt(list_sum([ x::DOUBLE * x::DOUBLE for x in {a} ])) * "
+            f"sqrt(list_sum([ x::DOUBLE * x::DOUBLE for x in {b} ])), 0), 0)")
+
+
 def overlap(q: str, c: str) -> str:
     qw = f"list_distinct({words(q)})"
     cw = f"list_distinct({words(c)})"
@@ -354,7 +361,35 @@ SELECT x.src AS src, x.dst AS dst, 'NEXT_TO' AS type, count(DISTINCT doc_id) AS
 FROM p GROUP BY ALL
 """
 
+# R2 as a recursive CTE: candidates = 20 nearest by l2; greedy picks of
+# 0.5 * cos(q, c) - 0.5 * max cos(c, picked), ties to the nearer candidate.
+MMR = f"""
+WITH RECURSIVE
+cand AS (
+  SELECT a.vec_id AS qid, b.vec_id AS vid, a.embedding AS qe, b.embedding AS ve, {dense('l2')} AS d
+  FROM embeddings a CROSS JOIN embeddings b
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(d, 9), b.vec_id) <= 20),
+cs AS (SELECT qid, vid, ve, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vid) AS pos,
+              {cos_sql('qe', 've')} AS sq FROM cand),
+cc AS (SELECT x.qid, x.vid AS a, y.vid AS b, {cos_sql('x.ve', 'y.ve')} AS s
+       FROM cs x JOIN cs y USING (qid)),
+m(qid, picked, step) AS (
+  SELECT qid, [vid], 1 FROM cs
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sq DESC, pos) = 1
+  UNION ALL
+  SELECT qid, list_append(picked, vid), step + 1 FROM (
+    SELECT m.qid, m.picked, m.step, c.vid, c.pos, 0.5 * c.sq - 0.5 * max(cc.s) AS score
+    FROM m JOIN cs c ON c.qid = m.qid AND NOT list_contains(m.picked, c.vid)
+           JOIN cc ON cc.qid = m.qid AND cc.a = c.vid AND list_contains(m.picked, cc.b)
+    WHERE m.step < 5
+    GROUP BY m.qid, m.picked, m.step, c.vid, c.pos, c.sq)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) = 1)
+SELECT qid AS query_id, unnest(picked) AS vec_id, generate_subscripts(picked, 1)::INTEGER AS rank
+FROM m WHERE step = 5
+"""
+
 SQL: dict[str, str] = {
+    "mmr": MMR,
     "retrieve_sql": RETRIEVE_SQL,
     "source_metadata": SOURCE_METADATA,
     "dedup_corpus": f"""
