@@ -157,3 +157,13 @@ def test_ivf_query_blocks_equal_exact(spark, vec_df):
     approx = _lists(knn_ivf(q, df, 4, 2, 2, "l2", query_id="qid", vector_id="vec_id",
                             block_rows=2), "qid", "vec_id")
     assert approx == exact
+
+
+def test_long_context_reorder_is_permutation_with_best_at_an_end(spark):
+    rows = [(n, r, f"c{r}") for n in (1, 2, 9, 16, 33) for r in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "question_id int, rank int, chunk_id string")
+    got = _lists(H.long_context_reorder(df))
+    for n, order in got.items():
+        assert sorted(order, key=lambda c: int(c[1:])) == [f"c{r}" for r in range(1, n + 1)]
+        assert "c1" in (order[0], order[-1])
+        assert order == long_context_order([f"c{r}" for r in range(1, n + 1)])

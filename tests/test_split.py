@@ -69,3 +69,14 @@ def test_window_chunks(spark):
            for r in window_chunks(df, 4, 3).orderBy("doc_id", "chunk_index").collect()]
     assert got == [(1, 0, "abcd"), (1, 1, "defg"), (1, 2, "ghij"), (1, 3, "j")]
     assert window_chunks(df, 4, 3).where(F.col("doc_id") == 2).count() == 0
+
+
+def test_sf001_probe_chunk_count(spark):
+    """SURVEY probe: 7,360 chunks at 512/150 on sf0.01, longest 512, all stripped."""
+    from conftest import SF01
+
+    from ragloom.plans import catalog as C
+
+    r = C.recursive_chunks(spark, SF01).agg(F.count("*").alias("n"), F.max("n_chars").alias("m")
+                                            ).first()
+    assert (r.n, r.m) == (7360, 512)
