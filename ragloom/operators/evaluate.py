@@ -3,7 +3,8 @@
 Answers are compared as strings (H4). Predictions are paired with truth by
 an equi-join on the id (the reference sorts both and compares positions,
 which is the same thing when ids are unique). Duplicate ids are reported
-in the counts (``n_dup_pred``/``n_dup_truth``) and ``check_unique`` raises.
+by ``check_unique``, which raises; ``accuracy`` itself reduces the truth
+table to one row per id before joining, so no id can fan out into pairs.
 """
 
 from __future__ import annotations
@@ -20,13 +21,22 @@ def truth_semijoin(truth: DataFrame, pred: DataFrame, id_col: str = ID) -> DataF
     return truth.join(pred.select(id_col), id_col, "left_semi")
 
 
+def truth_by_id(truth: DataFrame, id_col: str = ID, ans: str = ANS) -> DataFrame:
+    """One truth row per id (partial aggregation on the map side), so repeated
+    ids can never multiply into pairs in a join; an id with conflicting
+    answers gets a NULL answer and so never counts as correct."""
+    t = truth.select(F.col(id_col).cast("string").alias(id_col),
+                     F.col(ans).cast("string").alias("a"))
+    return (t.groupBy(id_col).agg(F.min("a").alias("actual"), F.max("a").alias("_hi"))
+            .select(id_col, F.when(F.col("actual") == F.col("_hi"), F.col("actual"))
+                    .alias("actual")))
+
+
 def align_answers(pred: DataFrame, truth: DataFrame, id_col: str = ID, ans: str = ANS) -> DataFrame:
     """(id, predicted, actual, correct) for ids present on both sides."""
     p = pred.select(F.col(id_col).cast("string").alias(id_col),
                     F.col(ans).cast("string").alias("predicted"))
-    t = truth.select(F.col(id_col).cast("string").alias(id_col),
-                     F.col(ans).cast("string").alias("actual"))
-    return (p.join(t, id_col, "inner")
+    return (p.join(truth_by_id(truth, id_col, ans), id_col, "inner")
             .withColumn("correct", F.coalesce(F.col("predicted") == F.col("actual"), F.lit(False))))
 
 
@@ -34,8 +44,7 @@ def accuracy(pred: DataFrame, truth: DataFrame, id_col: str = ID, ans: str = ANS
     """A1: one row ``n_pred, n_matched, n_correct, accuracy`` (accuracy over matched ids)."""
     p = pred.select(F.col(id_col).cast("string").alias(id_col),
                     F.col(ans).cast("string").alias("predicted"))
-    t = truth.select(F.col(id_col).cast("string").alias(id_col),
-                     F.col(ans).cast("string").alias("actual"), F.lit(1).alias("_m"))
+    t = truth_by_id(truth, id_col, ans).withColumn("_m", F.lit(1))
     agg = p.join(t, id_col, "left_outer").agg(
         F.count(F.lit(1)).alias("n_pred"),
         F.count("_m").alias("n_matched"),

@@ -106,3 +106,12 @@ def test_tokenize_truncate_keeps_right_end(spark):
 def full_ids(spark, text):
     df = spark.createDataFrame([(text,)], "prompt string")
     return TK.tokenize(df).first().input_ids
+
+
+def test_accuracy_duplicate_truth_ids_do_not_fan_out(spark):
+    pred = spark.createDataFrame([("1", "2")] * 50, "Question_ID string, Answer_ID string")
+    truth = spark.createDataFrame([("1", "2")] * 40 + [("2", "1")],
+                                  "Question_ID string, Answer_ID string")
+    r = EV.accuracy(pred, truth).first()
+    assert (r.n_pred, r.n_matched, r.n_correct) == (50, 50, 50)
+    assert EV.align_answers(pred, truth).count() == 50
