@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from .partitioning import spread
 
 EDGE_TYPE = T.StructType([
     T.StructField("src", T.StringType()), T.StructField("src_type", T.StringType()),
@@ -62,8 +61,8 @@ def batch_extractor(fn: Callable[[list[str]], list[list[dict]]]) -> Callable[[Co
 def extract_graph(chunks: DataFrame, extractor: Callable[[Column], Column],
                   text: str = "text", chunk_id: str = "chunk_id") -> DataFrame:
     """edges(src, dst, type, chunk_id) of every chunk, one row per distinct edge and chunk.
-    Extraction is heavy per-row work, so the input is spread over the cores first."""
-    e = spread(chunks).select(F.col(chunk_id).alias("chunk_id"),
+    Extraction is heavy per-row work: spread a small scan first."""
+    e = chunks.select(F.col(chunk_id).alias("chunk_id"),
                       F.explode(extractor(F.col(text))).alias("e"))
     return e.select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"),
                     F.col("e.rel").alias("type"), F.col("e.src_type").alias("src_type"),

@@ -184,7 +184,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         bc = spark.sparkContext.broadcast((qids, Q))
         local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
                                           schema), schema)
-    local = _tree_level(local, k, v.rdd.getNumPartitions(), fan_in)
+    local = _tree_level(local, k, fan_in)
     w = Window.partitionBy("_qid").orderBy("_key", "_vid")
     out = (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
            .select(F.col("_qid").alias(query_id), F.col("_vid").alias(vector_id),
@@ -193,15 +193,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     return out
 
 
-def _tree_level(local: DataFrame, k: int, n_tasks: int, fan_in: int) -> DataFrame:
-    """Every scan task emits <= k rows per query, so the final per-query group
-    holds k x n_tasks rows. Above ``fan_in`` tasks an intermediate top-k over
-    (query, task group) cuts that to k x ceil(n_tasks / fan_in)."""
-    if n_tasks <= fan_in:
-        return local
-    groups = math.ceil(n_tasks / fan_in)
+def _tree_level(local: DataFrame, k: int, fan_in: int) -> DataFrame:
+    """Every scan task emits <= k rows per query, so a single merge would hold
+    k x (number of tasks) rows per query. An intermediate top-k over
+    (query, task_id // fan_in) first bounds every group by k x fan_in rows
+    whatever the size of the vector table (one group when there are at most
+    ``fan_in`` tasks). No partition count is needed up front."""
     w = Window.partitionBy("_qid", "_grp").orderBy("_key", "_vid")
-    return (local.withColumn("_grp", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    return (local.withColumn("_grp", F.floor(F.spark_partition_id() / F.lit(fan_in)))
             .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
             .drop("_grp", "_r"))
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from .partitioning import spread
 
 # Separators tried in order (paragraph, line, word, character).
 DEFAULT_SEPARATORS = ("\n\n", "\n", " ", "")
@@ -105,11 +104,14 @@ def chunk_documents(docs: DataFrame, chunk_size: int = 512, overlap: int = 150,
                     separators: tuple[str, ...] = DEFAULT_SEPARATORS) -> DataFrame:
     """documents -> chunks(chunk_id, doc_id, <keep>, chunk_index, content).
 
+    Tasks follow the input's partitions; spread a small scan first
+    (``partitioning.spread``).
+
     ``chunk_id = sha2(doc_id|chunk_index|content)`` is stable, so a second
     ingest of the same text yields the same ids (K1 relies on it).
     """
     cols = [F.col(id_col).alias("doc_id")] + [F.col(c) for c in keep]
-    exploded = spread(docs).select(*cols, F.posexplode(split_udf(chunk_size, overlap, separators)(
+    exploded = docs.select(*cols, F.posexplode(split_udf(chunk_size, overlap, separators)(
         F.col(text_col))).alias("chunk_index", "content"))
     return exploded.select(
         chunk_id_expr(F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("chunk_id"),
@@ -145,7 +147,7 @@ def window_chunks(docs: DataFrame, size: int = 512, step: int = 362, text_col: s
     """Plain fixed windows (test aid with a SQL twin): start at 1, 1+step, ...
     while start <= length; each window is ``substring(text, start, size)``."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text_col), F.lit(1)), F.lit(step))
-    w = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
+    w = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
                     F.posexplode(F.when(F.length(text_col) > 0, starts)).alias("chunk_index", "_s"))
     content = F.substring(F.col("_t"), F.col("_s"), size)
     return w.select(chunk_id_expr(F.col("doc_id"), F.col("chunk_index"), content).alias("chunk_id"),

@@ -32,18 +32,23 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus for heavy per-row stages (split, embed, extract): spread at the scan."""
+    return spread(_t(spark, sf, "documents"))
+
+
 # ---------------------------------------------------------------------------
 # T1 / A3
 
 
 def recursive_chunks(spark, sf):
-    ch = chunk_documents(_t(spark, sf, "documents"), 512, 150)
+    ch = chunk_documents(_docs(spark, sf), 512, 150)
     return ch.select("doc_id", "chunk_index", F.length("content").cast("long").alias("n_chars"),
                      F.md5("content").alias("content_md5"))
 
 
 def chunk_stats(spark, sf):
-    ch = chunk_documents(_t(spark, sf, "documents"), 512, 150)
+    ch = chunk_documents(_docs(spark, sf), 512, 150)
     return ch.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.countDistinct("doc_id").alias("n_docs"),
@@ -61,13 +66,12 @@ def _benchmark_questions(spark, sf):
 
 
 def _embedded(df: DataFrame, text: str = "content") -> DataFrame:
-    # a Python stage: keep every core busy even when the input has few splits
-    return spread(df).withColumn("embedding", EM.hash_embedding(F.col(text), DIM))
+    return df.withColumn("embedding", EM.hash_embedding(F.col(text), DIM))
 
 
 def retrieve_sql(spark, sf):
     """E1, R1, R4, R6, R7, P3, P5 over plain windows (512, step 362)."""
-    chunks = _embedded(window_chunks(_t(spark, sf, "documents"), 512, 362))
+    chunks = _embedded(window_chunks(_docs(spark, sf), 512, 362))
     q = _benchmark_questions(spark, sf)
     cfg = RT.RetrieverConfig(k=10, top_n=4, use_mmr=False)
     hits = RT.retrieve(q, chunks, cfg)
@@ -76,7 +80,7 @@ def retrieve_sql(spark, sf):
 
 def retrieve_prompt(spark, sf):
     """Flagship: T1 chunks -> E1 -> R1 + R2 -> R3 -> R4 -> R6 -> R7 -> P3 -> P4."""
-    chunks = _embedded(chunk_documents(_t(spark, sf, "documents"), 512, 150))
+    chunks = _embedded(chunk_documents(_docs(spark, sf), 512, 150))
     q = _benchmark_questions(spark, sf).withColumn(
         "options", F.array().cast("array<struct<key:string,value:string>>"))
     cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5)
@@ -86,7 +90,7 @@ def retrieve_prompt(spark, sf):
 
 def rerank_overlap(spark, sf):
     """E3 + R6: kNN (k=20) over whole documents, best 5 by word overlap."""
-    docs = _embedded(_t(spark, sf, "documents").select(
+    docs = _embedded(_docs(spark, sf).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
     q = _benchmark_questions(spark, sf)
     cfg = RT.RetrieverConfig(k=20, top_n=5, use_mmr=False, dedup=False, reorder=False)
@@ -398,7 +402,7 @@ def multi_query(spark, sf):
          .select(F.col("conv_id").alias("question_id"), F.col("u.text").alias("question"),
                  F.col("u.text").alias("generated")))
     variants = RT.variants_from_text(u)
-    docs = _embedded(_t(spark, sf, "documents").select(
+    docs = _embedded(_docs(spark, sf).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
     cfg = RT.RetrieverConfig(k=3, use_mmr=False, dedup=False, rerank=False, reorder=False)
     h = RT.multi_query(variants, docs, cfg)
@@ -410,7 +414,7 @@ def multi_query(spark, sf):
 
 
 def graph_edges(spark, sf):
-    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    d = _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
     edges = GR.extract_graph(d, GR.cooccurrence_extractor())
     return (edges.groupBy("src", "dst", "type")
             .agg(F.countDistinct("chunk_id").alias("n_chunks")))
@@ -427,7 +431,7 @@ def incremental_ingest(spark, sf):
     from ..session import scratch_path
     from ..streaming.ingest import start_ingest
 
-    docs = _t(spark, sf, "documents")
+    docs = _docs(spark, sf)
     base = scratch_path(spark, "ingest")
     src, table, ckpt = f"{base}/drops", f"{base}/table", f"{base}/checkpoint"
     docs.where(F.col("lang") == "en").write.parquet(src)

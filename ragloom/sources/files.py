@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..operators.partitioning import spread
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -79,7 +80,8 @@ def load_documents(spark: SparkSession, folder: str, extensions=(".docx",),
     H9: by default a file that cannot be read fails the job. With
     ``quarantine`` (a path), unreadable files are written there with their
     error and left out of the result."""
-    files = discover_files(spark, folder, extensions)
+    # parsing is per-file Python work: spread the listed files over the cores
+    files = spread(discover_files(spark, folder, extensions))
     ids = [F.xxhash64("path").alias("doc_id"), TX.basename(F.col("path")).alias("source"),
            F.col("path")]
     if quarantine is None:
