@@ -68,15 +68,20 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    SparkContext) is used as is. Only a local master (tests, bench) gets a
+    scratch folder of its own; on a cluster a missing setting is an error,
+    never a machine-local folder.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder on shared storage")
         path = tempfile.mkdtemp(prefix="ragloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
