@@ -190,3 +190,26 @@ def test_quarantine_and_release_report(spark, tmp_dir):
     assert [r.source for r in q] == ["broken.docx"] and q[0].error
     rep = release_name_report(chunk_documents(docs)).first()
     assert (rep.n_release_names, rep.n_unparsable) == (2, 1)
+
+
+def test_vector_scan_prompt_and_dataset_round_trip(spark, tmp_dir):
+    from ragloom.sources import tables as SRC
+
+    vt = f"{tmp_dir}/vec"
+    spark.createDataFrame([(f"c{i:02d}", [float(i)]) for i in range(20)],
+                          "chunk_id string, embedding array<float>").write.parquet(vt)
+    page = SRC.read_vectors(spark, vt, ("chunk_id", "embedding"), limit=5, offset=10)
+    assert [r.chunk_id for r in page.collect()] == [f"c{i}" for i in range(10, 15)]
+    assert SRC.read_vectors(spark, vt, ("chunk_id",)).columns == ["chunk_id"]
+
+    prompts = spark.createDataFrame([("1", "p1"), ("2", "p2")], "question_id string, prompt string")
+    SK.write_prompts(prompts, f"{tmp_dir}/prompts")
+    assert sorted(r.prompt for r in SRC.read_prompts(spark, f"{tmp_dir}/prompts").collect()) == \
+        ["p1", "p2"]
+
+    ds = prompts.withColumn("split", F.when(F.col("question_id") == "1", "test").otherwise("train"))
+    SK.write_dataset(ds, f"{tmp_dir}/ds")
+    test = SRC.read_dataset(spark, f"{tmp_dir}/ds", "test")
+    assert [r.question_id for r in test.collect()] == ["1"]
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "split" in plan
