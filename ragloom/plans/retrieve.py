@@ -37,6 +37,9 @@ class RetrieverConfig:
     reorder: bool = True
     embedder: str = "hash"
     dim: int = EM.DEFAULT_DIM
+    # approximate search (IVF) instead of the exact one when ivf_cells > 0
+    ivf_cells: int = 0
+    ivf_nprobe: int = 8
     # E3 plug-in: (question column, content column) -> score column
     scorer: Callable[[Column, Column], Column] | None = None
 
@@ -58,8 +61,14 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
     qv = embed_questions(questions, cfg, text)
     depth = max(cfg.k if cfg.use_similarity else 0, cfg.fetch_k if cfg.use_mmr else 0)
     # one scan of the chunk table: the text rides along with the top-k rows
-    cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id", with_vectors=cfg.use_mmr,
-               payload=("content",))
+    if cfg.ivf_cells > 0:
+        from ..operators.ivf import knn_ivf
+
+        cand = knn_ivf(qv, chunks, depth, cfg.ivf_cells, cfg.ivf_nprobe, cfg.metric,
+                       vector_id="chunk_id", with_vectors=cfg.use_mmr, payload=("content",))
+    else:
+        cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id",
+                   with_vectors=cfg.use_mmr, payload=("content",))
     if cfg.use_mmr:
         both = H.mmr(cand, qv, cfg.k, cfg.lambda_mult, fetch_k=cfg.fetch_k,
                      similarity_k=cfg.k if cfg.use_similarity else 0, payload=("content",))

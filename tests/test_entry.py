@@ -59,3 +59,19 @@ def test_flagship_same_for_1_4_17_partitions(spark):
                            for r in C.retrieve_prompt(spark, SF001).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_retrieve_with_ivf_probing_all_cells_equals_exact(spark):
+    from conftest import SF001
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    chunks = chunk_documents(docs).withColumn("embedding", C.EM.hash_embedding(F.col("content")))
+    chunks = chunks.checkpoint()
+    q = spark.read.parquet(f"{SF001}/benchmark.parquet").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    exact = RT.retrieve(q, chunks, RT.RetrieverConfig(k=5, fetch_k=10, top_n=3))
+    approx = RT.retrieve(q, chunks, RT.RetrieverConfig(k=5, fetch_k=10, top_n=3, ivf_cells=4,
+                                                       ivf_nprobe=4))
+    cols = ["question_id", "chunk_id", "rank"]
+    assert sorted(map(tuple, exact.select(cols).collect())) == \
+        sorted(map(tuple, approx.select(cols).collect()))
