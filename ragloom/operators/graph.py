@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as TX
 
 EDGE_TYPE = T.StructType([
     T.StructField("src", T.StringType()), T.StructField("src_type", T.StringType()),
