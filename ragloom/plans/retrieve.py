@@ -125,6 +125,16 @@ def multi_query(variants: DataFrame, chunks: DataFrame, cfg: RetrieverConfig) ->
         Window.partitionBy(QID).orderBy("variant_no", "rank")))
 
 
+def generate_variants(questions: DataFrame, generator: str, make=None,
+                      max_new_tokens: int = 256, batch_size: int = 128) -> DataFrame:
+    """R11 front half: P7 prompt -> E4 generation -> T7 lines, original last."""
+    from ..functions import models as MD
+
+    gen = MD.generate(PR.multi_query_prompt(F.col("question")), generator, max_new_tokens,
+                      batch_size, make)
+    return variants_from_text(questions.select(QID, "question", gen.alias("generated")))
+
+
 def variants_from_text(df: DataFrame, text: str = "generated", question: str = "question") -> DataFrame:
     """T7 + include_original: generated lines first (in order), original question last."""
     lines = TX.line_list(F.col(text))

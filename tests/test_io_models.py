@@ -213,3 +213,23 @@ def test_vector_scan_prompt_and_dataset_round_trip(spark, tmp_dir):
     assert [r.question_id for r in test.collect()] == ["1"]
     plan = test._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
+
+
+def test_generate_variants_then_multi_query(spark):
+    from ragloom.functions.embed import hash_embedding
+
+    def make():
+        def gen(prompts, n):
+            return ["  alpha one \n\n beta two\n" for _ in prompts]
+        return gen
+
+    q = spark.createDataFrame([(1, "gamma three")], "question_id int, question string")
+    v = RT.generate_variants(q, "lines", make=make)
+    assert [(r.variant_no, r.question) for r in v.orderBy("variant_no").collect()] == \
+        [(1, "alpha one"), (2, "beta two"), (3, "gamma three")]
+    ch = spark.createDataFrame([("c1", "alpha one"), ("c2", "beta two"), ("c3", "gamma three"),
+                                ("c4", "delta")], "chunk_id string, content string")
+    ch = ch.withColumn("embedding", hash_embedding(F.col("content")))
+    cfg = RT.RetrieverConfig(k=1, use_mmr=False, dedup=False, rerank=False, reorder=False)
+    hits = RT.multi_query(v, ch, cfg)
+    assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["c1", "c2", "c3"]
