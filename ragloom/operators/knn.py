@@ -35,7 +35,7 @@ METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 64 << 20   # per-side size of one (query block, vector block) group
 _QBLOCK = 512          # queries per matrix product inside a task
-_MAX_DIM = 16384       # no embedding is wider; bounds the query block by its row count
+_MAX_DIM = 4096        # widest common embedding; bounds the query block by its row count
 _TOL = 1e-7            # slack on the preselection threshold (approx error is ~1e-15)
 
 
@@ -171,16 +171,18 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         dim = 0
     else:
         dim = int(q.agg(F.max(F.size("_qv"))).first()[0] or 0)
-    if force_blocks or n_q * max(dim, 1) * 8 > max_broadcast_bytes:
-        local = _knn_blocks(q.where(F.col("_qv").isNotNull()), v, k, metric, schema,
-                            with_vectors, payload, rank_digits, n_q, dim, max_broadcast_bytes)
-    else:
+    Q = None
+    if not force_blocks and n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
         tbl = q.toArrow()
         tbl = tbl.filter(tbl.column("_qv").is_valid())
         qids = tbl.column("_qid").to_numpy(zero_copy_only=False)
         Q = _matrix(tbl.column("_qv"), dim)
-        if Q.nbytes > max_broadcast_bytes:
-            raise ValueError("query block over the broadcast limit")
+        if Q.nbytes > max_broadcast_bytes:       # wider than assumed: take the block form
+            dim, Q = Q.shape[1], None
+    if Q is None:
+        local = _knn_blocks(q.where(F.col("_qv").isNotNull()), v, k, metric, schema,
+                            with_vectors, payload, rank_digits, n_q, dim, max_broadcast_bytes)
+    else:
         bc = spark.sparkContext.broadcast((qids, Q))
         local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
                                           schema), schema)

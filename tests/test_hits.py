@@ -167,3 +167,13 @@ def test_long_context_reorder_is_permutation_with_best_at_an_end(spark):
         assert sorted(order, key=lambda c: int(c[1:])) == [f"c{r}" for r in range(1, n + 1)]
         assert "c1" in (order[0], order[-1])
         assert order == long_context_order([f"c{r}" for r in range(1, n + 1)])
+
+
+def test_knn_falls_back_to_blocks_when_block_too_wide(spark, vec_df):
+    df, _ = vec_df
+    q = df.withColumnRenamed("vec_id", "qid")
+    a = _lists(knn(q, df, 3, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    # 30 x 8 x 8 bytes = 1920 > 1000: collected, found too wide, block form
+    b = _lists(knn(q, df, 3, "l2", query_id="qid", vector_id="vec_id",
+                   max_broadcast_bytes=1000), "qid", "vec_id")
+    assert a == b
