@@ -135,3 +135,24 @@ def completion_mask_oracle(labels, marker):
 
 def answer_parse_oracle(text):
     return text.split(":")[0][-1:].strip(" \t\n\r\f\v")
+
+
+def hash_embed_oracle(text, dim=256):
+    import hashlib
+
+    import regex
+
+    toks = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    v = [0.0] * dim
+    for t in toks:
+        v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim] += 1.0
+    n = math.sqrt(sum(x * x for x in v))
+    import numpy as np
+
+    return (np.array(v) / (n if n > 0 else 1.0)).astype(np.float32).astype(np.float64)
+
+
+def words_oracle(text):
+    import regex
+
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
