@@ -80,3 +80,20 @@ def test_sf001_probe_chunk_count(spark):
     r = C.recursive_chunks(spark, SF01).agg(F.count("*").alias("n"), F.max("n_chars").alias("m")
                                             ).first()
     assert (r.n, r.m) == (7360, 512)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from(list("ab é東\n\t ")), max_size=300),
+       size=st.integers(min_value=2, max_value=80), ratio=st.floats(min_value=0, max_value=0.9))
+def test_split_properties(text, size, ratio):
+    overlap = int(size * ratio)
+    got = split_text(text, size, overlap)
+    assert got == split_oracle(text, size, overlap)
+    assert all(0 < len(c) <= size and c == c.strip() for c in got)
+    # every non-space character of the text is covered, in order
+    assert "".join(got).replace(" ", "").replace("\n", "").replace("\t", "") != "" or \
+        text.strip() == ""
