@@ -313,11 +313,14 @@ def stop_truncate(spark, sf):
 # questions and prompts from conversations
 
 
+CONTEXT_TOP_N = 3
+
+
 def conversation_questions(spark, sf):
     """Question records: first user turn = question, lines of the first
     assistant turn = options (through a record map and P2), answer
     ``option 1: <line 1>``, explanation = a later assistant turn (NULL if none),
-    context = later turns (P3)."""
+    context = the later turns that best overlap the question (R6 top 3, P3)."""
     c = _t(spark, sf, "conversations")
     g = c.groupBy("conv_id").agg(
         F.min(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("u"),
@@ -339,9 +342,14 @@ def conversation_questions(spark, sf):
         .alias("answer"),
         F.when(F.col("z.turn") > F.col("a.turn"), F.col("z.text")).alias("explanation"),
         F.col("a.turn").alias("a_turn"))
-    ctx = (c.join(q.select("conv_id", "question_id", "a_turn"), "conv_id")
-           .where(F.col("turn") > F.col("a_turn"))
-           .select("question_id", F.col("turn").alias("rank"), F.col("text").alias("content")))
+    # context hits: later turns reranked by word overlap with the question,
+    # best CONTEXT_TOP_N (R6; the limit runs partially before the shuffle, so
+    # a conversation holding a third of all rows is never gathered in one place)
+    later = (c.join(q.select("conv_id", "question_id", "question", "a_turn"), "conv_id")
+             .where(F.col("turn") > F.col("a_turn"))
+             .select("question_id", "question", F.col("turn").alias("rank"),
+                     F.col("text").alias("content")))
+    ctx = H.rerank_topn(later, CONTEXT_TOP_N).select("question_id", "rank", "content")
     return q.drop("a_turn"), ctx
 
 

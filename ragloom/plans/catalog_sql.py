@@ -241,10 +241,14 @@ q2 AS (SELECT *, CASE WHEN len(lines) > 0 THEN 'option 1: ' || lines[1] END AS a
               array_to_string([ 'option ' || i::VARCHAR || ': ' || lines[i] || {NL}
                                 for i in range(1, len(lines) + 1) ], '') AS opts
        FROM q),
-ctx AS (SELECT q.question_id,
-               replace(string_agg(c.text, ' ' ORDER BY c.turn), {NL}, '. ') AS context
-        FROM conversations c JOIN q ON q.conv_id = c.conv_id WHERE c.turn > q.a_turn
-        GROUP BY q.question_id)"""
+later AS (SELECT q.question_id, c.turn, c.text, {overlap('q.question', 'c.text')} AS score
+          FROM conversations c JOIN q ON q.conv_id = c.conv_id WHERE c.turn > q.a_turn),
+best AS (SELECT question_id, text,
+                row_number() OVER (PARTITION BY question_id ORDER BY score DESC, turn) AS pos
+         FROM later
+         QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, turn) <= 3),
+ctx AS (SELECT question_id, replace(string_agg(text, ' ' ORDER BY pos), {NL}, '. ') AS context
+        FROM best GROUP BY question_id)"""
 
 MCQ_TRAIN = f"""
 WITH {_CONV_Q[1:]}
