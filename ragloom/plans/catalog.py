@@ -78,6 +78,16 @@ def retrieve_sql(spark, sf):
     return RT.inference_prompts(q, hits, kind="qa", with_counts=True)
 
 
+def retrieve_mmr_sql(spark, sf):
+    """The full R8 chain (similarity + MMR, merge, dedup, rerank, reorder, P3, P5)
+    over plain windows, so that every step has a SQL twin."""
+    chunks = _embedded(window_chunks(_docs(spark, sf), 512, 362))
+    q = _benchmark_questions(spark, sf)
+    cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5)
+    hits = RT.retrieve(q, chunks, cfg)
+    return RT.inference_prompts(q, hits, kind="qa", with_counts=True)
+
+
 def retrieve_prompt(spark, sf):
     """Flagship: T1 chunks -> E1 -> R1 + R2 -> R3 -> R4 -> R6 -> R7 -> P3 -> P4."""
     chunks = _embedded(chunk_documents(_docs(spark, sf), 512, 150))
@@ -454,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_stats": chunk_stats,
     "retrieve_sql": retrieve_sql,
     "retrieve_prompt": retrieve_prompt,
+    "retrieve_mmr_sql": retrieve_mmr_sql,
     "source_metadata": source_metadata,
     "dedup_corpus": dedup_corpus,
     "duplicate_count": duplicate_count,

@@ -150,6 +150,75 @@ SELECT b.item_id AS question_id, {qa_text('ctx.context', 'b.text')} AS prompt,
 FROM benchmark b LEFT JOIN ctx ON ctx.question_id = b.item_id
 """
 
+_WIN = f"""
+win0 AS (
+  SELECT doc_id, unnest(generate_series(1, length(text), 362)) AS s, text
+  FROM documents WHERE length(text) > 0),
+win AS (
+  SELECT doc_id, ((s - 1) // 362)::INTEGER AS chunk_index, substring(text, s, 512) AS content
+  FROM win0),
+chunks AS (SELECT sha256(concat_ws('|', doc_id::VARCHAR, chunk_index::VARCHAR, content)) AS chunk_id,
+                  content FROM win)"""
+
+RETRIEVE_MMR_SQL = f"""
+WITH RECURSIVE {_WIN[1:]},
+q AS (SELECT item_id AS id, text FROM benchmark),
+{hvec('qv', 'benchmark', 'item_id', 'text')[1:]},
+{hvec('cv', 'chunks', 'chunk_id', 'content')[1:]},
+cids AS (SELECT DISTINCT chunk_id AS id FROM chunks),
+{sparse_l2('qv', 'cv', 'q', 'cids')[1:]},
+cand AS (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vid) AS pos
+         FROM qv_cv_d QUALIFY pos <= 20),
+qdot AS (SELECT c.qid, c.vid, c.pos,
+                coalesce(x.dot, 0) / nullif(sqrt(qn.ss) * sqrt(vn.ss), 0) AS cq
+         FROM cand c LEFT JOIN qv_cv_dot x ON x.qid = c.qid AND x.vid = c.vid
+         LEFT JOIN qv_n qn ON qn.id = c.qid LEFT JOIN cv_n vn ON vn.id = c.vid),
+cs AS (SELECT qid, vid, pos, coalesce(cq, 0) AS sq FROM qdot),
+pairs AS (SELECT a.qid, a.vid AS a, b.vid AS b FROM cand a JOIN cand b USING (qid)),
+pdot AS (SELECT p.qid, p.a, p.b, sum(x.w::DOUBLE * y.w::DOUBLE) AS dot
+         FROM pairs p JOIN cv x ON x.id = p.a JOIN cv y ON y.id = p.b AND y.dim = x.dim
+         GROUP BY ALL),
+cc AS (SELECT p.qid, p.a, p.b,
+              coalesce(coalesce(d.dot, 0) / nullif(sqrt(na.ss) * sqrt(nb.ss), 0), 0) AS s
+       FROM pairs p LEFT JOIN pdot d ON d.qid = p.qid AND d.a = p.a AND d.b = p.b
+       LEFT JOIN cv_n na ON na.id = p.a LEFT JOIN cv_n nb ON nb.id = p.b),
+m(qid, picked, step) AS (
+  SELECT qid, [vid], 1 FROM cs
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sq DESC, pos) = 1
+  UNION ALL
+  SELECT qid, list_append(picked, vid), step + 1 FROM (
+    SELECT m.qid, m.picked, m.step, c.vid, c.pos, 0.5 * c.sq - 0.5 * max(cc.s) AS score
+    FROM m JOIN cs c ON c.qid = m.qid AND NOT list_contains(m.picked, c.vid)
+           JOIN cc ON cc.qid = m.qid AND cc.a = c.vid AND list_contains(m.picked, cc.b)
+    WHERE m.step < 10
+    GROUP BY m.qid, m.picked, m.step, c.vid, c.pos, c.sq)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) = 1),
+mmr AS (SELECT qid, unnest(picked) AS vid, generate_subscripts(picked, 1) AS rank
+        FROM m WHERE step = (SELECT max(step) FROM m m2 WHERE m2.qid = m.qid)),
+merged AS (SELECT qid, vid, pos AS rank, 0 AS src FROM cand WHERE pos <= 10
+           UNION ALL SELECT qid, vid, rank, 1 FROM mmr),
+hits AS (SELECT h.qid AS question_id, h.vid AS chunk_id, c.content,
+                row_number() OVER (PARTITION BY h.qid ORDER BY h.rank, h.src) AS rank
+         FROM merged h JOIN (SELECT DISTINCT chunk_id, content FROM chunks) c ON c.chunk_id = h.vid),
+dedup AS (SELECT * FROM hits
+          QUALIFY row_number() OVER (PARTITION BY question_id, {strip('content')} ORDER BY rank) = 1),
+dedup2 AS (SELECT question_id, chunk_id, content,
+                  row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM dedup),
+scored AS (SELECT d.*, {overlap('b.text', 'd.content')} AS score
+           FROM dedup2 d JOIN benchmark b ON b.item_id = d.question_id),
+best AS (SELECT question_id, content,
+                row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS rank
+         FROM scored
+         QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) <= 5),
+re AS (SELECT question_id, content, {reorder_pos()} AS pos
+       FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM best)),
+ctx AS (SELECT question_id, replace(string_agg(content, ' ' ORDER BY pos), {NL}, '. ') AS context,
+               count(*) AS n_hits FROM re GROUP BY question_id)
+SELECT b.item_id AS question_id, {qa_text('ctx.context', 'b.text')} AS prompt,
+       coalesce(ctx.n_hits, 0)::BIGINT AS n_hits
+FROM benchmark b LEFT JOIN ctx ON ctx.question_id = b.item_id
+"""
+
 RERANK_OVERLAP = f"""
 WITH q AS (SELECT item_id AS id FROM benchmark),
 dids AS (SELECT doc_id AS id FROM documents),
@@ -394,6 +463,7 @@ FROM m WHERE step = 5
 
 SQL: dict[str, str] = {
     "mmr": MMR,
+    "retrieve_mmr_sql": RETRIEVE_MMR_SQL,
     "retrieve_sql": RETRIEVE_SQL,
     "source_metadata": SOURCE_METADATA,
     "dedup_corpus": f"""
