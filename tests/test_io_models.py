@@ -233,3 +233,27 @@ def test_generate_variants_then_multi_query(spark):
     cfg = RT.RetrieverConfig(k=1, use_mmr=False, dedup=False, rerank=False, reorder=False)
     hits = RT.multi_query(v, ch, cfg)
     assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["c1", "c2", "c3"]
+
+
+def test_retrieve_with_fallback_and_transformers(spark):
+    from ragloom.functions.embed import hash_embedding
+
+    ch = spark.createDataFrame([(f"c{i}", f"topic{i % 3} words {i}", i % 3) for i in range(30)],
+                               "chunk_id string, content string, grp int")
+    ch = ch.withColumn("embedding", hash_embedding(F.col("content")))
+    q = spark.createDataFrame([(1, "topic0 words"), (2, "topic1 words")],
+                              "question_id int, question string")
+    cfg = RT.RetrieverConfig(k=300, fetch_k=10, top_n=5, rerank=False)
+    # the primary's filter leaves nothing to search: every question goes to the
+    # backup, which searches the whole table with max(1, 300 // 100) = 3 results
+    out = RT.retrieve_with_fallback(q, ch, cfg, chunk_filter=F.col("grp") > 5)
+    counts = {r.question_id: r["count"] for r in out.groupBy("question_id").count().collect()}
+    assert counts == {1: 3, 2: 3}
+    # a primary that answers everything leaves the backup unused
+    full = RT.retrieve_with_fallback(q, ch, cfg)
+    assert full.groupBy("question_id").count().agg(F.min("count")).first()[0] > 3
+
+    def keep_best(hits, qs):
+        return hits.where(F.col("rank") == 1)
+
+    assert RT.apply_transformers(out, q, [keep_best]).count() == 2
