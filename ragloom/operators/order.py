@@ -64,10 +64,10 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 123,
 def exact_split(df: DataFrame, id_col: str, test_size: float = 0.1, seed: int = 123,
                 split_col: str = "split") -> DataFrame:
     """Shuffled train/test split with exactly ``ceil(test_size * n)`` test rows."""
-    n = df.count()
-    n_test = math.ceil(test_size * n)
     idx = row_index(df.withColumn("_h", hash_order(id_col, seed)), [F.col("_h"), F.col(id_col)],
                     "_i")
+    n = idx.count()   # reads the checkpointed rows, not the upstream plan
+    n_test = math.ceil(test_size * n)
     return (idx.withColumn(split_col, F.when(F.col("_i") < n_test, F.lit("test"))
                            .otherwise(F.lit("train"))).drop("_h", "_i"))
 
@@ -85,5 +85,7 @@ def fixed_batches(df: DataFrame, size: int, order: list, name: str = "batch_id")
 
 def balanced_shards(df: DataFrame, n_jobs: int, order: list, name: str = "shard_id") -> DataFrame:
     """``int(n / n_jobs) + 1`` rows per shard, in ``order``."""
-    n = df.count()
-    return fixed_batches(df, int(n / n_jobs) + 1, order, name)
+    idx = row_index(df, order, "_i")
+    n = idx.count()   # reads the checkpointed rows, not the upstream plan
+    size = int(n / n_jobs) + 1
+    return idx.withColumn(name, F.floor(F.col("_i") / F.lit(size)).cast("long")).drop("_i")
