@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+BROADCAST_CONF = "ragloom.knn.maxBroadcastBytes"   # session setting, bytes
 BLOCK_BYTES = 64 << 20   # per-side size of one (query block, vector block) group
 _QBLOCK = 512          # queries per matrix product inside a task
 _MAX_DIM = 4096        # widest common embedding; bounds the query block by its row count
@@ -134,7 +135,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         query_id: str = "question_id", query_vec: str = "embedding",
         vector_id: str = "chunk_id", vector_vec: str = "embedding",
         with_vectors: bool = False, payload: tuple[str, ...] = (), rank_digits: int = 9,
-        max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+        max_broadcast_bytes: int | None = None,
         force_blocks: bool = False, fan_in: int = 256) -> DataFrame:
     """Top-k nearest ``vectors`` rows for every ``queries`` row.
 
@@ -149,6 +150,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     if query_id == vector_id:
         raise ValueError("query_id and vector_id must have different names")
     spark = queries.sparkSession
+    if max_broadcast_bytes is None:
+        max_broadcast_bytes = int(spark.conf.get(BROADCAST_CONF, str(DEFAULT_MAX_BROADCAST_BYTES)))
     payload = tuple(payload)
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"))
     # no isNotNull filter here: a filter on a UDF-made vector column would make

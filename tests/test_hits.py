@@ -177,3 +177,15 @@ def test_knn_falls_back_to_blocks_when_block_too_wide(spark, vec_df):
     b = _lists(knn(q, df, 3, "l2", query_id="qid", vector_id="vec_id",
                    max_broadcast_bytes=1000), "qid", "vec_id")
     assert a == b
+
+
+def test_knn_broadcast_limit_from_session(spark, vec_df):
+    df, _ = vec_df
+    q = df.withColumnRenamed("vec_id", "qid")
+    a = _lists(knn(q, df, 3, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    spark.conf.set("ragloom.knn.maxBroadcastBytes", "100")
+    try:
+        b = _lists(knn(q, df, 3, "l2", query_id="qid", vector_id="vec_id"), "qid", "vec_id")
+    finally:
+        spark.conf.unset("ragloom.knn.maxBroadcastBytes")
+    assert a == b
