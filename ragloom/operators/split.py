@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +88,16 @@ def split_text(text: str | None, chunk_size: int = 512, overlap: int = 150,
 
 def split_udf(chunk_size: int = 512, overlap: int = 150,
               separators: tuple[str, ...] = DEFAULT_SEPARATORS):
-    """Arrow-batched UDF ``text -> array<string>``."""
+    """Arrow UDF ``text -> array<string>`` (chunk lists go back as one flat buffer)."""
     seps = tuple(separators)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, chunk_size, overlap, seps))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def _udf(texts: pa.Array) -> pa.Array:
+        parts = [split_text(t, chunk_size, overlap, seps) for t in texts.to_pylist()]
+        offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+        np.cumsum([len(p) for p in parts], out=offsets[1:])
+        flat = [c for p in parts for c in p]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.string()))
 
     # deterministic in fact; see functions.embed._dense_udf
     return _udf.asNondeterministic()
