@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,10 +57,15 @@ def whitespace_tokenizer_sql(vocab: int = DEFAULT_VOCAB) -> Callable[[Column], C
 
 
 def batch_tokenizer(fn: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
-    """Wrap a Python batch tokenizer (list of texts -> list of id lists) as a Column function."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _tok(texts: pd.Series) -> pd.Series:
-        return pd.Series(fn(texts.fillna("").tolist()))
+    """Wrap a Python batch tokenizer (list of texts -> list of id lists) as a
+    Column function (Arrow UDF; the id lists go back as one flat buffer)."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _tok(texts: pa.Array) -> pa.Array:
+        rows = fn([t if t is not None else "" for t in texts.to_pylist()])
+        offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+        np.cumsum([len(r) for r in rows], out=offsets[1:])
+        flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(offsets[-1]))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
     return _tok
 
 
