@@ -99,8 +99,7 @@ def split_udf(chunk_size: int = 512, overlap: int = 150,
         flat = [c for p in parts for c in p]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.string()))
 
-    # deterministic in fact; see functions.embed._dense_udf
-    return _udf.asNondeterministic()
+    return _udf
 
 
 def chunk_documents(docs: DataFrame, chunk_size: int = 512, overlap: int = 150,
@@ -116,8 +115,10 @@ def chunk_documents(docs: DataFrame, chunk_size: int = 512, overlap: int = 150,
     ingest of the same text yields the same ids (K1 relies on it).
     """
     cols = [F.col(id_col).alias("doc_id")] + [F.col(c) for c in keep]
-    exploded = docs.select(*cols, F.posexplode(split_udf(chunk_size, overlap, separators)(
-        F.col(text_col))).alias("chunk_index", "content"))
+    # posexplode_outer + an explicit filter: an inner explode would make Spark
+    # infer size(chunks) > 0 and evaluate the UDF a second time for that filter
+    exploded = docs.select(*cols, F.posexplode_outer(split_udf(chunk_size, overlap, separators)(
+        F.col(text_col))).alias("chunk_index", "content")).where(F.col("content").isNotNull())
     return exploded.select(
         chunk_id_expr(F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("chunk_id"),
         "doc_id", *keep, F.col("chunk_index").cast("int").alias("chunk_index"), "content")

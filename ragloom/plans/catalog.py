@@ -116,7 +116,7 @@ def hash_embed(spark, sf):
                                               F.col("item_id").alias("id"), "text")
     e = spread(docs.unionByName(bench)).select("kind", "id",
                                                EM.hash_embedding(F.col("text"), DIM).alias("v"))
-    return (e.select("kind", "id", F.posexplode("v").alias("dim", "w"))
+    return (e.select("kind", "id", F.posexplode_outer("v").alias("dim", "w"))
             .where(F.col("w") != 0)
             .select("kind", "id", F.col("dim").cast("int").alias("dim"),
                     F.round(F.col("w").cast("double"), 6).alias("w")))

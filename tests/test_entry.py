@@ -75,3 +75,18 @@ def test_retrieve_with_ivf_probing_all_cells_equals_exact(spark):
     cols = ["question_id", "chunk_id", "rank"]
     assert sorted(map(tuple, exact.select(cols).collect())) == \
         sorted(map(tuple, approx.select(cols).collect()))
+
+
+def test_metadata_filter_reaches_the_scan_before_python(spark):
+    """P13 on an inline chunk table: the predicate is pushed into the Parquet
+    scan below the split and embed UDFs, and each UDF runs once."""
+    from conftest import SF01
+
+    docs = C._docs(spark, SF01)
+    chunks = C._embedded(chunk_documents(docs))
+    q = C._benchmark_questions(spark, SF01)
+    hits = RT.retrieve(q, chunks, RT.RetrieverConfig(k=5, use_mmr=False),
+                       chunk_filter=F.col("source") == "src3")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,src3)" in plan
+    assert plan.count("ArrowEvalPython") == 3      # split, chunk embed, question embed
