@@ -257,3 +257,26 @@ def test_retrieve_with_fallback_and_transformers(spark):
         return hits.where(F.col("rank") == 1)
 
     assert RT.apply_transformers(out, q, [keep_best]).count() == 2
+
+
+def test_text_files_and_graph_sink(spark, tmp_dir):
+    from ragloom.operators import graph as GR
+    from ragloom.sources.files import load_text_files
+
+    folder = f"{tmp_dir}/txt"
+    os.makedirs(folder)
+    with open(f"{folder}/a.txt", "w") as f:
+        f.write("Alpha met Beta. Gamma saw Delta and Alpha.\nBeta left.")
+    with open(f"{folder}/skip.md", "w") as f:
+        f.write("Zeta Eta.")
+    docs = load_text_files(spark, folder)
+    assert [r.source for r in docs.collect()] == ["a.txt"]
+    edges = GR.extract_graph(docs.withColumnRenamed("doc_id", "chunk_id"),
+                             GR.cooccurrence_extractor())
+    got = sorted((r.src, r.dst) for r in edges.collect())
+    assert got == [("alpha", "beta"), ("delta", "alpha"), ("gamma", "delta")]
+    nodes = GR.graph_nodes(edges)
+    assert nodes.count() == 4
+    base = f"{tmp_dir}/graph"
+    assert SK.graph_append(edges, nodes, base) == (4, 3)
+    assert SK.graph_append(edges, nodes, base) == (0, 0)      # re-delivery adds nothing
