@@ -54,15 +54,20 @@ def ship_package(spark: SparkSession) -> None:
 
     pkg = os.path.dirname(os.path.abspath(ragloom.__file__))
     root = os.path.dirname(pkg)
-    fd, path = tempfile.mkstemp(prefix="ragloom-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w") as z:
-        for dirpath, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    try:
+        fd, path = tempfile.mkstemp(prefix="ragloom-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w") as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+    except OSError as e:  # workers may still import it from their path
+        import warnings
+
+        warnings.warn(f"could not ship ragloom to the workers: {e}")
     _SHIPPED.add(sc.applicationId)
 
 
