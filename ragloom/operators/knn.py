@@ -144,6 +144,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     through the same scan instead of a join back to the big table) and, with
     ``with_vectors``, the candidate vector as ``cand_vec``. Filters on
     ``vectors`` (P13) must be applied before the call; they reach the scan.
+    Query ids must be unique (rows sharing an id would merge their lists);
+    vector ids break distance ties.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
