@@ -85,7 +85,7 @@ def _fullest(sizes: list[int], counts: list[int], room: int) -> Counter:
     return used
 
 
-def plan(counts: dict[int, int], capacity: int, epsilon: float = 0.125, groups: int = 256):
+def plan(counts: dict[int, int], capacity: int, epsilon: float = 0.25, groups: int = 1024):
     """(rules, number of sequences). A rule is (length, first rank, last rank + 1,
     first sequence, offset); ranks are within the pieces of that length."""
     rules: list[tuple[int, int, int, int, int]] = []
@@ -161,7 +161,7 @@ def plan(counts: dict[int, int], capacity: int, epsilon: float = 0.125, groups:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024,
-         end_id: int = T.END_ID, epsilon: float = 0.125, groups: int = 256,
+         end_id: int = T.END_ID, epsilon: float = 0.25, groups: int = 1024,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = tokenizer or T.default_path()
