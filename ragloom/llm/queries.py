@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, url_rules, wavelet
+from . import langid, packing, quality_model, quality_rules, url_rules, wavelet
+from .common import remainder
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
@@ -17,6 +18,16 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def _held_out(mod: int, value: int):
+    return F.coalesce(remainder("doc_id", mod) == value, F.lit(False))
+
+
+def op1_quality_model(spark, sf):
+    scored = quality_model.score_quality(_t(spark, sf, "documents"), _t(spark, sf, "labels"),
+                                         remainder("doc_id", 5) != 0)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op2_url_rules(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(_t(spark, sf, "pages"), rules)
@@ -26,11 +37,24 @@ def op4_best_fit_packing(spark, sf):
     return packing.pack(_t(spark, sf, "documents"))
 
 
+def op5_language_id(spark, sf):
+    docs = _t(spark, sf, "documents")
+    bundles = langid.profiles(docs.where(remainder("doc_id", 4) != 2))
+    found = langid.identify(docs, bundles, ["doc_id"])
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_wavelet_tokens(spark, sf):
     return wavelet.token_files(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op4_best_fit_packing, op8_wavelet_tokens)}
+def op10_quality_rules(spark, sf):
+    return quality_rules.judge_quality(_t(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_model, op2_url_rules, op4_best_fit_packing, op5_language_id, op8_wavelet_tokens,
+    op10_quality_rules)}
 
 SQL = {
     "op2_url_rules": r"""
