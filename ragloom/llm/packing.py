@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(rows, texts):
-        ids = T.encoder(tokenizer).ids([t.decode("utf-8", "replace") for t in texts])
+        ids = T.encoder(tokenizer).ids(texts)
         take, piece, start, length, crc = [], [], [], [], []
         for i, raw in enumerate(ids):
             raw += end

@@ -5,7 +5,7 @@ the byte-level pattern, so a text is the concatenation of its space-led words,
 and each word encodes by itself. Words repeat, so their ids are kept (two
 generations of a bounded table per worker process); only unseen words reach the
 library. Texts with other white-space runs, where that rule does not hold, are
-encoded whole. Strings of special tokens inside a text are ordinary text.
+encoded whole. A single line break between words is a pre-token of its own. Strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -16,26 +16,48 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Words kept per generation and worker process (about 150 bytes each).
-KEEP = 600_000
+#: Words kept per generation and worker process (about 200 bytes each).
+KEEP = 1_200_000
+_OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_RUNS = (b"  ", b"\n\n", b" \n", b"\n ")
 _ENC: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    follow from U+0100 on in ascending order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class _Words(dict):
-    """word -> little-endian uint32 ids; an unseen word is encoded on first use."""
+    """word -> little-endian uint32 ids; an unseen word is encoded on first use.
 
-    def __init__(self, encode, keep: int):
+    ``lead`` is put before each word (a space, or nothing at a text's or a line's
+    begin); ``bare`` is the table without lead, for what follows a line break."""
+
+    def __init__(self, encode, part, lead: str, keep: int, bare: _Words | None = None):
         super().__init__()
-        self.encode, self.keep, self.old = encode, keep, {}
+        self.encode, self.part = encode, part
+        self.lead, self.keep, self.old = lead, keep, {}
+        self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:           # single line breaks between words: each its own pre-token
+            first, *rest = word.split("\n")
+            return self[first] + b"".join([self.bare["\n"] + self.bare[w] for w in rest]
+                                          ) if word != "\n" else self.encode(word)
         ids = self.old.get(word)
         if ids is None:
             core = word.rstrip(".,!?;:")
-            if len(core) < len(word) and core[1:].isalpha():
-                ids = self[core] + self.encode(word[len(core):])
+            if core and len(core) < len(word) and core.isalpha():
+                ids = self[core] + self.bare[word[len(core):]]
             else:
-                ids = self.encode(word)
+                ids = (self.part if word.isalpha() else self.encode)(self.lead + word)
         if len(self) >= self.keep:
             self.old = dict(self)
             self.clear()
@@ -44,7 +66,7 @@ class _Words(dict):
 
 
 class Encoder:
-    """``ids(texts)``: little-endian uint32 ids of each text as bytes."""
+    """``ids(texts)``: little-endian uint32 ids of each UTF-8 text as bytes."""
 
     def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,20 +75,37 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.words = _Words(self.whole, keep)
-        self.odd = regex.compile(r"\s\s|\s\Z")
+        self.model = self.tok.model
+        self.bare = _Words(self.whole, self.part, "", keep // 8)
+        self.words = _Words(self.whole, self.part, " ", keep, self.bare)
+        self.odd = regex.compile(r"[^\S \n]")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token: the library's model on its byte letters."""
+        letters = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def plain(self, raw: bytes, text: str) -> bool:
+        """No white space but single spaces and single line breaks between words."""
+        return not (any(r in raw for r in _RUNS) or raw[:1] in (b" ", b"\n")
+                    or raw[-1:] in (b" ", b"\n")
+                    or len(raw.translate(None, _OTHER_SPACE)) < len(raw)
+                    or not raw.isascii() and self.odd.search(text))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
         out, get = [], self.words.__getitem__
-        for t in texts:
-            if self.odd.search(t):
-                out.append(self.whole(t))
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
+            if not raw:
+                out.append(b"")
+            elif self.plain(raw, text):
+                first, *rest = text.split(" ")
+                out.append(self.bare[first] + b"".join(map(get, rest)))
             else:
-                first, *rest = t.split(" ")
-                out.append(b"".join(map(get, [first, *[" " + w for w in rest]])))
+                out.append(self.whole(text))
         return out
 
 

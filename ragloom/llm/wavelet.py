@@ -34,7 +34,7 @@ from .common import slices
 
 BLOCK = 512
 #: Tokens per shard; with the codec a shard is about 2 bytes a token.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -47,9 +47,10 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        cur, zeros, planes, ranks = np.asarray(ids, np.uint32), [], [], []
+        kind = np.uint16 if bits <= 16 else np.uint32
+        cur, zeros, planes, ranks = np.asarray(ids).astype(kind), [], [], []
         for b in range(bits - 1, -1, -1):
-            one = (cur >> np.uint32(b) & 1).astype(bool)
+            one = (cur & kind(1 << b)) != 0
             raw = np.packbits(one)
             pad = -len(raw) % (BLOCK // 8)
             raw = np.concatenate([raw, np.zeros(pad, np.uint8)])
@@ -57,9 +58,9 @@ class WaveletMatrix:
             planes.append(raw)
             ranks.append(np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u4")
                          if len(ones) else np.zeros(0, "<u4"))
-            low = cur[~one]
+            low = cur.compress(~one)
             zeros.append(len(low))
-            cur = np.concatenate([low, cur[one]])
+            cur = np.concatenate([low, cur.compress(one)])
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, k: int, i: int) -> int:
@@ -121,13 +122,15 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every id, undoing the partitions from the last plane up."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for k in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[k], count=self.n)
+            one = bit.view(bool)
             up = np.empty_like(cur)
-            up[~one] = cur[:self.zeros[k]]
-            up[one] = cur[self.zeros[k]:]
-            cur = up | (one.astype(np.uint32) << np.uint32(len(self.planes) - 1 - k))
+            up[np.flatnonzero(~one)] = cur[:self.zeros[k]]
+            up[np.flatnonzero(one)] = cur[self.zeros[k]:] | kind(1 << (len(self.planes) - 1 - k))
+            cur = up
         return cur
 
 
@@ -191,7 +194,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str | None = None,
                  "data": pa.array([pack_shard(ids, names, starts, bits)], pa.binary())})
 
         for rows, texts in slices(batches, text_col):
-            ids = T.encoder(file).ids([t.decode("utf-8", "replace") for t in texts])
+            ids = T.encoder(file).ids(texts)
             for d, raw in zip(rows.column(0).to_pylist(), ids):
                 names.append(d)
                 starts.append(n)
