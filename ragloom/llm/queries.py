@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality_model, quality_rules, url_rules, wavelet
+from . import jaccard_join, langid, packing, quality_model, quality_rules, url_rules, wavelet
 from .common import remainder
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -48,13 +48,17 @@ def op8_wavelet_tokens(spark, sf):
     return wavelet.token_files(_t(spark, sf, "documents"))
 
 
+def op9_ngram_jaccard(spark, sf):
+    return jaccard_join.similar_groups(_t(spark, sf, "documents"))
+
+
 def op10_quality_rules(spark, sf):
     return quality_rules.judge_quality(_t(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_model, op2_url_rules, op4_best_fit_packing, op5_language_id, op8_wavelet_tokens,
-    op10_quality_rules)}
+    op9_ngram_jaccard, op10_quality_rules)}
 
 SQL = {
     "op2_url_rules": r"""
