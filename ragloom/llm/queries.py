@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, packing, quality_model, quality_rules, url_rules, wavelet
+from . import decontaminate, jaccard_join, langid, packing, quality_model, quality_rules, url_rules, wavelet
 from .common import remainder
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -44,6 +44,10 @@ def op5_language_id(spark, sf):
     return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_benchmark_leaks(spark, sf):
+    return decontaminate.leaks(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
+
+
 def op8_wavelet_tokens(spark, sf):
     return wavelet.token_files(_t(spark, sf, "documents"))
 
@@ -57,8 +61,8 @@ def op10_quality_rules(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_model, op2_url_rules, op4_best_fit_packing, op5_language_id, op8_wavelet_tokens,
-    op9_ngram_jaccard, op10_quality_rules)}
+    op1_quality_model, op2_url_rules, op4_best_fit_packing, op5_language_id,
+    op7_benchmark_leaks, op8_wavelet_tokens, op9_ngram_jaccard, op10_quality_rules)}
 
 SQL = {
     "op2_url_rules": r"""
