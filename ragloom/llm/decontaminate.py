@@ -22,6 +22,7 @@ an empty table on either side gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,7 +55,7 @@ class Index:
     items: list
     item_words: list[list[str]]
     terms: dict[str, int]
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    postings: list[tuple[list[int], list[float]]]
     block_max: np.ndarray      # terms x blocks
     stride: int
 
@@ -85,7 +86,7 @@ def build_index(items: list[tuple]) -> Index | None:
     for x, p in impact.items():
         at = np.array([k for k, _ in p])
         share = np.array([w for _, w in p]) / own[at]
-        postings.append((at, share))
+        postings.append((at.tolist(), share.tolist()))
         # a little above, as the bounds are summed in single precision
         np.maximum.at(block_max[terms[x]], at // BLOCK_ITEMS, (share * 1.0001).astype(np.float32))
     return Index([i for i, _ in rows], [w for _, w in rows], terms, postings, block_max,
@@ -94,8 +95,8 @@ def build_index(items: list[tuple]) -> Index | None:
 
 def block_max_wand(index: Index, query: list[int], theta: float) -> list[tuple[int, float]]:
     """All (item number, score) with score >= theta for distinct term ids ``query``."""
-    lists = [[index.postings[t][0], index.postings[t][1], 0, index.block_max[t],
-              float(index.postings[t][1].max())] for t in query]
+    lists = [[*index.postings[t], 0, index.block_max[t].tolist(), max(index.postings[t][1])]
+             for t in query]
     out = []
     while lists:
         lists.sort(key=lambda p: p[0][p[2]])
@@ -107,26 +108,26 @@ def block_max_wand(index: Index, query: list[int], theta: float) -> list[tuple[i
                 break
         if pivot < 0:
             break
-        item = int(lists[pivot][0][lists[pivot][2]])
+        item = lists[pivot][0][lists[pivot][2]]
         while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == item:
             pivot += 1
         block = item // BLOCK_ITEMS
-        if sum(float(p[3][block]) for p in lists[:pivot + 1]) < theta:
+        if sum(p[3][block] for p in lists[:pivot + 1]) < theta:
             # no item before the block's end, or before the next list begins, can do it
             goal = (block + 1) * BLOCK_ITEMS
             if pivot + 1 < len(lists):
-                goal = min(goal, int(lists[pivot + 1][0][lists[pivot + 1][2]]))
+                goal = min(goal, lists[pivot + 1][0][lists[pivot + 1][2]])
             goal = max(goal, item + 1)
             moved = lists[:pivot + 1]
         elif lists[0][0][lists[0][2]] == item:
-            score = sum(float(p[1][p[2]]) for p in lists[:pivot + 1])
+            score = sum(p[1][p[2]] for p in lists[:pivot + 1])
             if score >= theta:
                 out.append((item, score))
             goal, moved = item + 1, lists[:pivot + 1]
         else:
             goal, moved = item, [p for p in lists[:pivot] if p[0][p[2]] < item]
         for p in moved:
-            p[2] += int(np.searchsorted(p[0][p[2]:], goal))
+            p[2] = bisect_left(p[0], goal, p[2])
         lists = [p for p in lists if p[2] < len(p[0])]
     return out
 
