@@ -67,3 +67,15 @@ def map_texts(df: DataFrame, cols: list[str], fn: Callable, schema: str,
 
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
     return rows.column(rows.schema.get_field_index(name))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int):
+    """Rows of sorted batches, by equal values of the first ``keys`` columns; lazily."""
+    from itertools import groupby
+
+    def rows():
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                yield from zip(*(c.slice(at, 256).to_pylist() for c in b.columns))
+
+    return groupby(rows(), key=lambda r: r[:keys])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, written
+from .common import map_texts, runs_of, slices, written
 from .components import components
 
 #: At most this many frequent tokens are told apart, the most frequent ones.
@@ -179,17 +179,6 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _runs(batches, keys: int):
-    """Rows of sorted batches, by equal values of the first ``keys`` columns; lazily."""
-    from itertools import groupby
-
-    def rows():
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns))
-
-    return groupby(rows(), key=lambda r: r[:keys])
-
-
 def differences(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
     """(hub, id, size, hub_size, far, delta): each member's symmetric difference from its hub."""
     kind = docs.schema["_id"].dataType.simpleString()
@@ -205,7 +194,7 @@ def differences(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
             .select("hub", "run", "member", "_id", "text"))
 
     def run(batches):
-        for (hub, _), group in _runs(batches, 2):
+        for (hub, _), group in runs_of(batches, 2):
             middle = None
             out = []
             for _, _, member, ident, text in group:
@@ -294,7 +283,7 @@ def far_links(deltas: DataFrame, percent: int) -> DataFrame:
                         F.lit(1).alias("side"), "_id", "size", "delta")
 
     def run(batches):
-        for _, group in _runs(batches, 3):
+        for _, group in runs_of(batches, 3):
             far, rows = [], []
             for _, _, _, side, *row in group:
                 (rows if side else far).append(row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, packing, quality_model, quality_rules, url_rules, wavelet
+from . import decontaminate, jaccard_join, langid, packing, quality_model, quality_rules, toxicity, url_rules, wavelet, wrapper
 from .common import remainder
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -33,6 +33,10 @@ def op2_url_rules(spark, sf):
     return url_rules.judge_urls(_t(spark, sf, "pages"), rules)
 
 
+def op3_main_text(spark, sf):
+    return wrapper.main_text(_t(spark, sf, "pages"))
+
+
 def op4_best_fit_packing(spark, sf):
     return packing.pack(_t(spark, sf, "documents"))
 
@@ -44,6 +48,12 @@ def op5_language_id(spark, sf):
     return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark, sf):
+    scored = toxicity.score_toxicity(_t(spark, sf, "documents"), _t(spark, sf, "labels"),
+                                     remainder("doc_id", 4) != 2)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op7_benchmark_leaks(spark, sf):
     return decontaminate.leaks(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
 
@@ -61,8 +71,8 @@ def op10_quality_rules(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_model, op2_url_rules, op4_best_fit_packing, op5_language_id,
-    op7_benchmark_leaks, op8_wavelet_tokens, op9_ngram_jaccard, op10_quality_rules)}
+    op1_quality_model, op2_url_rules, op3_main_text, op4_best_fit_packing, op5_language_id,
+    op6_toxicity, op7_benchmark_leaks, op8_wavelet_tokens, op9_ngram_jaccard, op10_quality_rules)}
 
 SQL = {
     "op2_url_rules": r"""
