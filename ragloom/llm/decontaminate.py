@@ -227,5 +227,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     gone = written(leaks(docs, benchmark, id_col=id_col, **options)
                    .select(F.col(id_col).alias("_gone")).distinct(), "leaks")
     few = gone.count() <= 1_000_000     # 16 MB; more are joined by a shuffle
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone")),
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(gone["_gone"]),
                      "left_anti")

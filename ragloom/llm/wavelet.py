@@ -35,6 +35,7 @@ from .common import slices
 BLOCK = 512
 #: Tokens per shard; with the codec a shard is about 2 bytes a token.
 SHARD_TOKENS = 1 << 18
+SHARDS = "part int, seq int, n_tokens long, n_docs long, data binary"
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -208,13 +209,13 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     (docs.select(id_col, text_col).repartitionByRange(F.col(id_col))
      .sortWithinPartitions(id_col, text_col)
-     .mapInArrow(run, "part int, seq int, n_tokens long, n_docs long, data binary")
+     .mapInArrow(run, SHARDS)
      .write.option("compression", "zstd").parquet(path))
     return path
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(SHARDS).parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:

@@ -32,6 +32,8 @@ from .url_rules import host_and_path
 RUN = 200
 #: Characters of html held at once in a run.
 HELD = 32 << 20
+#: Nesting that is kept; what is deeper counts to the element at this depth.
+DEEPEST = 200
 #: Share of a run's pages on which a node must be the same to be template, and of the
 #: varying text that the content slot must hold.
 SAME, MOST = 0.9, 0.6
@@ -64,10 +66,11 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "kids", "parent")
+    __slots__ = ("tag", "label", "out", "kids", "parent", "depth")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
         names = []
         if "=" in attrs:
             for m in _ATTR.finditer(attrs):
@@ -126,6 +129,8 @@ def parse(text: str) -> Node:
         here.kids.append(node)
         if tag in RAW:
             raw = tag if not (m["attrs"] or "").endswith("/") else None
+        if here.depth >= DEEPEST:        # deeper elements only break the text
+            continue
         if tag not in VOID and not (m["attrs"] or "").endswith("/") or tag in BLOCK - {"hr"}:
             here = node
     if not raw and at < len(text):
