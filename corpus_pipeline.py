@@ -55,15 +55,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if both or gone.where("_gone is null").limit(1).count():
         return _by_row(docs)
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"),
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"],
                      "left_anti")
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
     """Quality verdicts by the row's own number, for ids that repeat or are null."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    judged = quality_rules.judge_quality(numbered, id_col="_row")
-    return numbered.join(judged.where("kept").select("_row"), "_row", "left_semi").drop("_row")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = quality_rules.judge_quality(numbered, id_col=row)
+    return numbered.join(judged.where("kept").select(row), row, "left_semi").drop(row)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
