@@ -3,13 +3,15 @@
 Models are not built here. A generator is registered by name with a factory
 ``make() -> generate(prompts: list[str], max_new_tokens: int) -> list[str]``;
 a scorer with ``make() -> score(questions: list[str], texts: list[str]) -> list[float]``.
-The factory runs once per Python worker (cached), and the model is called on
+The factory runs once per Python worker and call of ``generate`` or ``cross_score``
+(so two models of one name never mix), and the model is called on
 Arrow batches of ``batch_size`` rows, which is where the reference's batch
 sizes (512 / 128) go.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 _GENERATORS: dict[str, Callable[[], Callable]] = {}
 _SCORERS: dict[str, Callable[[], Callable]] = {}
-_LOADED: dict[tuple[str, str], Callable] = {}
+_LOADED: dict[tuple[str, str, str], Callable] = {}
 
 
 def register_generator(name: str, make: Callable[[], Callable[[list[str], int], list[str]]]) -> None:
@@ -30,13 +32,10 @@ def register_scorer(name: str, make: Callable[[], Callable[[list[str], list[str]
     _SCORERS[name] = make
 
 
-def _load(kind: str, name: str, registry: dict, make=None):
-    key = (kind, name)
+def _load(kind: str, name: str, call: str, make: Callable):
+    key = (kind, name, call)
     if key not in _LOADED:
-        factory = make or registry.get(name)
-        if factory is None:
-            raise ValueError(f"unknown {kind} {name!r}")
-        _LOADED[key] = factory()
+        _LOADED[key] = make()
     return _LOADED[key]
 
 
@@ -49,11 +48,11 @@ def generate(prompt, name: str, max_new_tokens: int = 4, batch_size: int = 128,
     """
     if make is None and name not in _GENERATORS:
         raise ValueError(f"unknown generator {name!r}")
-    make = make or _GENERATORS[name]
+    make, call = make or _GENERATORS[name], uuid.uuid4().hex
 
     @F.pandas_udf(T.StringType())
     def _gen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = _load("generator", name, _GENERATORS, make)
+        fn = _load("generator", name, call, make)
         for s in batches:
             texts = s.fillna("").tolist()
             out: list[str] = []
@@ -69,11 +68,11 @@ def cross_score(question, text, name: str, batch_size: int = 256,
     """(question, chunk text) -> relevance score from a registered scorer."""
     if make is None and name not in _SCORERS:
         raise ValueError(f"unknown scorer {name!r}")
-    make = make or _SCORERS[name]
+    make, call = make or _SCORERS[name], uuid.uuid4().hex
 
     @F.pandas_udf(T.DoubleType())
     def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        fn = _load("scorer", name, _SCORERS, make)
+        fn = _load("scorer", name, call, make)
         for q, t in batches:
             qs, ts = q.fillna("").tolist(), t.fillna("").tolist()
             out: list[float] = []

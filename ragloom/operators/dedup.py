@@ -54,8 +54,3 @@ def duplicate_count(df: DataFrame, content: str = "text") -> DataFrame:
     return per_key.agg(F.sum("_n").cast("long").alias("n_rows"),
                        F.count(F.lit(1)).alias("n_unique"),
                        F.sum(F.col("_n") - 1).cast("long").alias("n_duplicates"))
-
-
-def delete_ids(df: DataFrame, ids: DataFrame, id_cols: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
-    """K2: rows of ``df`` whose id is not in ``ids`` (write to a new version path)."""
-    return df.join(ids.select(*id_cols), list(id_cols), "left_anti")

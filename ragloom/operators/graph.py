@@ -59,14 +59,16 @@ def batch_extractor(fn: Callable[[list[str]], list[list[dict]]]) -> Callable[[Co
 
 def extract_graph(chunks: DataFrame, extractor: Callable[[Column], Column],
                   text: str = "text", chunk_id: str = "chunk_id") -> DataFrame:
-    """edges(src, dst, type, chunk_id) of every chunk, one row per distinct edge and chunk.
+    """edges(src, dst, type, chunk_id) of every chunk, one row per distinct edge and chunk
+    (chunk ids must be unique: distinct inside the row, no shuffle).
     Extraction is heavy per-row work: spread a small scan first."""
     # explode_outer + filter: no inferred size() filter re-running a UDF extractor
     e = chunks.select(F.col(chunk_id).alias("chunk_id"),
-                      F.explode_outer(extractor(F.col(text))).alias("e")).where(F.col("e").isNotNull())
+                      F.explode_outer(F.array_distinct(extractor(F.col(text)))).alias("e")
+                      ).where(F.col("e").isNotNull())
     return e.select(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"),
                     F.col("e.rel").alias("type"), F.col("e.src_type").alias("src_type"),
-                    F.col("e.dst_type").alias("dst_type"), "chunk_id").distinct()
+                    F.col("e.dst_type").alias("dst_type"), "chunk_id")
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:

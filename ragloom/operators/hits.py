@@ -186,7 +186,7 @@ def mmr(candidates: DataFrame, query_vectors: DataFrame, k: int, lambda_mult: fl
         for _, g in pdf.groupby(qid, sort=False):
             parts.extend(per_question(g))
         if not parts:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         return pd.concat(parts)[names]
 
     def kernel(batches):

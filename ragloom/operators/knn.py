@@ -35,9 +35,9 @@ METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 BROADCAST_CONF = "ragloom.knn.maxBroadcastBytes"   # session setting, bytes
 BLOCK_BYTES = 64 << 20   # per-side size of one (query block, vector block) group
-_QBLOCK = 512          # queries per matrix product inside a task
+_CELLS = 4 << 20       # distances held at once inside a task
+_PAIRS = 1 << 20       # numbers re-scored at once
 _MAX_DIM = 4096        # widest common embedding; bounds the query block by its row count
-_TOL = 1e-7            # slack on the preselection threshold (approx error is ~1e-15)
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
@@ -70,6 +70,13 @@ def _approx(qb: np.ndarray, v: np.ndarray, vsq: np.ndarray, vn: np.ndarray,
         return 1.0 - np.where(den > 0, g / np.where(den > 0, den, 1.0), 0.0)
 
 
+def _slack(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Bound of the rounding error of ``_approx`` for every pair."""
+    qn, vn = _norms(q)[:, None], _norms(v)[None, :]
+    scale = {"l2": (qn + vn) ** 2, "ip": 1.0 + qn * vn}.get(metric, np.full((1, 1), 4.0))
+    return 8 * np.finfo(float).eps * (q.shape[1] + 8) * scale
+
+
 def _first_k_per_row(rows: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
     """Indices of the first ``k`` entries per row after sorting by (row, *keys)."""
     order = np.lexsort(tuple(reversed(keys)) + (rows,))
@@ -83,29 +90,46 @@ def topk_block(Q: np.ndarray, V: np.ndarray, vids: np.ndarray, k: int, metric: s
                rank_digits: int = 9):
     """Local top-k of every query row of ``Q`` among the rows of ``V``.
 
-    Returns flat arrays (query_row, vector_row, distance, key).
+    Returns flat arrays (query_row, vector_row, distance, key). A pair is re-scored
+    exactly unless the matrix product, less its rounding error, is above the k-th best
+    with it; both sides are centred first, so vectors far from the origin keep their
+    digits. Queries go in blocks and their pairs in slices, each cut to k at once, so
+    equal vectors take no more memory than others.
     """
     nq, nv = Q.shape[0], V.shape[0]
     if nq == 0 or nv == 0 or k <= 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0), np.zeros(0)
     kk = min(k, nv)
-    vsq = (V * V).sum(axis=1)
+    ids = _sortable(vids)
+    centre = V.mean(axis=0) if metric == "l2" else 0.0
+    Vc, step = V - centre, max(1, _CELLS // nv)
+    vsq = (Vc * Vc).sum(axis=1)
     vn = np.sqrt(vsq)
-    out_r, out_c = [], []
-    for s in range(0, nq, _QBLOCK):
-        qb = Q[s:s + _QBLOCK]
-        D = _approx(qb, V, vsq, vn, metric)
-        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-        r, c = np.nonzero(D <= (kth + _TOL * (1.0 + np.abs(kth)))[:, None])
-        out_r.append(r + s)
-        out_c.append(c)
-    rows = np.concatenate(out_r)
-    cols = np.concatenate(out_c)
-    dist = _exact(Q[rows], V[cols], metric)
-    key = np.round(dist, rank_digits)
-    keep = _first_k_per_row(rows, [key, _sortable(vids[cols])], k)
-    return rows[keep], cols[keep], dist[keep], key[keep]
+    found = []
+    for s in range(0, nq, step):
+        qb = Q[s:s + step] - centre
+        D = _approx(qb, Vc, vsq, vn, metric)
+        err = _slack(qb, Vc, metric) + 0.5 * 10.0 ** -rank_digits
+        kth = np.partition(D + err, kk - 1, axis=1)[:, kk - 1]
+        r, c = np.nonzero(D - err <= kth[:, None])
+        r += s
+        dist = np.empty(len(r))
+        part = max(1, _PAIRS // max(1, V.shape[1]))
+        for at in range(0, len(r), part):
+            i = slice(at, at + part)
+            dist[i] = _exact(Q[r[i]], V[c[i]], metric)
+        key = np.round(dist, rank_digits)
+        keep = _first_k_per_row(r, [key, ids[c]], k)
+        found.append((r[keep], c[keep], dist[keep], key[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def empty_frame(schema: T.StructType):
+    """No rows, with columns Arrow can turn into the types of ``schema``."""
+    import pandas as pd
+
+    return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
 
 
 def _sortable(ids: np.ndarray) -> np.ndarray:
@@ -279,9 +303,10 @@ def _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q
 
     def pair(qp, vp):
         import pandas as pd
+
         vp = vp[vp["_vv"].notna()]
         if len(qp) == 0 or len(vp) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return empty_frame(schema)
         Q = np.stack(qp["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).values)
         V = np.stack(vp["_vv"].map(lambda a: np.asarray(a, dtype=np.float64)).values)
         vids = vp["_vid"].to_numpy()

@@ -46,30 +46,46 @@ def reverse_order(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return df.orderBy(F.desc(ordinal))
 
 
-def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 123,
-             small_limit: int = 100_000) -> DataFrame:
-    """O3: exactly ``n`` rows picked by a seeded hash order; ``n < 0`` keeps all.
-
-    Small ``n`` uses a top-n (bounded per task); large ``n`` the exact row index.
-    """
-    if n < 0:
-        return df
+def hash_threshold(df: DataFrame, n: int, id_col: str, seed: int | str, digits: int = 5):
+    """The first ``n`` rows in the seeded hash order, as a condition.
+
+    A histogram of the first ``digits`` hash digits (at most 16 ** digits rows) gives the
+    bucket in which the n-th row lies; only that bucket's keys are ordered."""
     h = hash_order(id_col, seed)
-    if n <= small_limit:
-        return df.orderBy(h, F.col(id_col)).limit(n)
-    idx = row_index(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], "_i")
-    return idx.where(F.col("_i") < n).drop("_h", "_i")
+    bucket = F.substring(h, 1, digits)
+    # one row a bucket, at most 16 ** digits
+    total, last = 0, None
+    for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy("b").toLocalIterator():
+        if total + r["c"] > n:
+            last = r["b"]
+            break
+        total += r["c"]
+    if last is None:
+        return F.lit(True)
+    edge = (df.where(bucket == last).select(h.alias("h"), F.col(id_col).alias("i"))
+            .orderBy("h", "i").offset(n - total).limit(1).first())
+    return (h < F.lit(edge["h"])) | ((h == F.lit(edge["h"])) & (F.col(id_col) < F.lit(edge["i"])))
+
+
+def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 123) -> DataFrame:
+    """O3: exactly ``n`` rows picked by a seeded hash order; ``n < 0`` keeps all. A filter:
+    no sort and no shuffle of the rows. Ids must be unique."""
+    return df if n < 0 else df.where(hash_threshold(df, n, id_col, seed))
 
 
 def exact_split(df: DataFrame, id_col: str, test_size: float = 0.1, seed: int = 123,
                 split_col: str = "split") -> DataFrame:
-    """Shuffled train/test split with exactly ``ceil(test_size * n)`` test rows."""
-    idx = row_index(df.withColumn("_h", hash_order(id_col, seed)), [F.col("_h"), F.col(id_col)],
-                    "_i")
-    n = idx.count()   # reads the checkpointed rows, not the upstream plan
-    n_test = math.ceil(test_size * n)
-    return (idx.withColumn(split_col, F.when(F.col("_i") < n_test, F.lit("test"))
-                           .otherwise(F.lit("train"))).drop("_h", "_i"))
+    """Shuffled train/test split with exactly ``ceil(test_size * n)`` test rows; like
+    ``sample_n`` a filter. Ids must be unique."""
+    ids = df.select(id_col)
+    n_test = math.ceil(test_size * ids.count())
+    return df.withColumn(split_col, F.when(hash_threshold(ids, n_test, id_col, seed), F.lit("test"))
+                         .otherwise(F.lit("train")))
+
+
+def sort_by_id(df: DataFrame, id_col: str = "Question_ID") -> DataFrame:
+    """O1: rows in the numeric order of their id (ids that are no number last, as text)."""
+    return df.orderBy(F.expr(f"try_cast(`{id_col}` AS BIGINT)").asc_nulls_last(), F.col(id_col))
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:

@@ -30,7 +30,10 @@ def answer_questions(prompts: DataFrame, generator: str, task: str = "",
 
 
 def score_answers(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """A1 (with R12/R13): one row of counts and accuracy."""
+    """A1 (with R12/R13): one row of counts and accuracy; an id that occurs twice on
+    either side raises (H5)."""
+    EV.check_unique(pred)
+    EV.check_unique(truth)
     return EV.accuracy(pred, truth)
 
 
@@ -67,4 +70,4 @@ def load_docs(spark: SparkSession, folder: str, table: str, chunk_size: int = 51
     docs = load_documents(spark, folder, extensions)
     ch = add_release_metadata(chunk_documents(docs, chunk_size, overlap))
     emb = embed(F.col("content")) if embed else EM.hash_embedding(F.col("content"))
-    return vector_append(ch.withColumn("embedding", emb), table)
+    return vector_append(ch, table, embed=lambda new: new.withColumn("embedding", emb))

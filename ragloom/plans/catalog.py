@@ -324,43 +324,50 @@ def stop_truncate(spark, sf):
 
 
 CONTEXT_TOP_N = 3
+CONTEXT_TURNS = 8
+
+
+def user_turns(c: DataFrame) -> DataFrame:
+    """(conv_id, u_turn, question_id, question): every user turn is a question."""
+    return c.where(F.col("role") == "user").select(
+        "conv_id", F.col("turn").alias("u_turn"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        .alias("question_id"), F.col("text").alias("question"))
 
 
 def conversation_questions(spark, sf):
-    """Question records: first user turn = question, lines of the first
-    assistant turn = options (through a record map and P2), answer
-    ``option 1: <line 1>``, explanation = a later assistant turn (NULL if none),
-    context = the later turns that best overlap the question (R6 top 3, P3)."""
+    """Question records: every user turn = question, lines of the assistant turn
+    after it = options (through a record map and P2), answer ``option 1: <line 1>``,
+    context = those of the next ``CONTEXT_TURNS`` turns after the answer that best
+    overlap the question (R6 top 3, P3), explanation = the last assistant turn among
+    them (NULL if none). Turns meet by equi-joins on (conversation, turn), so a long
+    conversation costs as much as its turns."""
     c = _t(spark, sf, "conversations")
-    g = c.groupBy("conv_id").agg(
-        F.min(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("u"),
-        F.min(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("a"),
-        F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("z"))
-    g = g.where(F.col("u").isNotNull())
-    lines = F.coalesce(TX.line_list(F.col("a.text")), F.array().cast("array<string>"))
+    reply = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("u_turn"), F.col("turn").alias("a_turn"),
+        F.col("text").alias("a_text"))
+    u = user_turns(c).join(reply, ["conv_id", "u_turn"], "left")
+    later = (u.where(F.col("a_turn").isNotNull())
+             .select("conv_id", "question_id", "question", F.explode(F.sequence(
+                 F.col("a_turn") + 1, F.col("a_turn") + CONTEXT_TURNS)).alias("turn"))
+             .join(c.select("conv_id", "turn", "role", F.col("text").alias("content")),
+                   ["conv_id", "turn"]))
+    last = (later.where(F.col("role") == "assistant").groupBy("question_id")
+            .agg(F.max_by("content", "turn").alias("explanation")))
+    lines = F.coalesce(TX.line_list(F.col("a_text")), F.array().cast("array<string>"))
     opt = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("option "), (i + 1).cast("string"))
                                                    .alias("key"), x.alias("value")))
     rec = F.map_from_entries(F.concat(F.array(F.struct(F.lit("question").alias("key"),
-                                                       F.col("u.text").alias("value"))), opt))
-    key = F.concat(F.lit("question "), F.col("conv_id").cast("string"))
-    q = g.select(
-        TX.question_number(key).alias("question_id"),
-        F.col("conv_id"),
-        F.col("u.text").alias("question"),
+                                                       F.col("question").alias("value"))), opt))
+    key = F.concat(F.lit("question "), F.col("question_id"))
+    q = u.join(last, "question_id", "left").select(
+        TX.question_number(key).alias("question_id"), "conv_id", "question",
         TX.option_entries(rec).alias("options"),
         F.when(F.size(lines) > 0, F.concat(F.lit("option 1: "), F.element_at(lines, 1)))
-        .alias("answer"),
-        F.when(F.col("z.turn") > F.col("a.turn"), F.col("z.text")).alias("explanation"),
-        F.col("a.turn").alias("a_turn"))
-    # context hits: later turns reranked by word overlap with the question,
-    # best CONTEXT_TOP_N (R6; the limit runs partially before the shuffle, so
-    # a conversation holding a third of all rows is never gathered in one place)
-    later = (c.join(q.select("conv_id", "question_id", "question", "a_turn"), "conv_id")
-             .where(F.col("turn") > F.col("a_turn"))
-             .select("question_id", "question", F.col("turn").alias("rank"),
-                     F.col("text").alias("content")))
-    ctx = H.rerank_topn(later, CONTEXT_TOP_N).select("question_id", "rank", "content")
-    return q.drop("a_turn"), ctx
+        .alias("answer"), "explanation")
+    ctx = H.rerank_topn(later.withColumnRenamed("turn", "rank"), CONTEXT_TOP_N).select(
+        "question_id", "rank", "content")
+    return q, ctx
 
 
 def mcq_prompt_train(spark, sf):
@@ -411,14 +418,10 @@ def completion_mask(spark, sf):
 
 
 def multi_query(spark, sf):
-    """Lines of the first user turn are the generated variants, the
-    whole turn is the original (last); kNN top-3 over whole documents."""
-    c = _t(spark, sf, "conversations")
-    u = (c.groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.struct("turn", "text")))
-                                  .alias("u"))
-         .where(F.col("u").isNotNull())
-         .select(F.col("conv_id").alias("question_id"), F.col("u.text").alias("question"),
-                 F.col("u.text").alias("generated")))
+    """Lines of a user turn are the generated variants, the whole turn is the
+    original (last); kNN top-3 over whole documents."""
+    u = user_turns(_t(spark, sf, "conversations")).select(
+        "question_id", "question", F.col("question").alias("generated"))
     variants = RT.variants_from_text(u)
     docs = _embedded(_docs(spark, sf).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
@@ -435,7 +438,7 @@ def graph_edges(spark, sf):
     d = _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
     edges = GR.extract_graph(d, GR.cooccurrence_extractor())
     return (edges.groupBy("src", "dst", "type")
-            .agg(F.countDistinct("chunk_id").alias("n_chunks")))
+            .agg(F.count(F.lit(1)).alias("n_chunks")))
 
 
 # ---------------------------------------------------------------------------
@@ -447,6 +450,7 @@ def incremental_ingest(spark, sf):
     table, which repeats the first drop) through the streaming ingest; the
     table must hold every chunk exactly once."""
     from ..session import scratch_path
+    from ..sinks.tables import read_current
     from ..streaming.ingest import start_ingest
 
     docs = _docs(spark, sf)
@@ -456,7 +460,7 @@ def incremental_ingest(spark, sf):
     start_ingest(spark, src, table, ckpt).awaitTermination()
     docs.write.mode("append").parquet(src)
     start_ingest(spark, src, table, ckpt).awaitTermination()
-    return spark.read.parquet(table).select("doc_id", "chunk_index", "chunk_id")
+    return read_current(spark, table).select("doc_id", "chunk_index", "chunk_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -293,25 +293,26 @@ FROM j
 """
 
 _CONV_Q = f"""
-g AS (SELECT conv_id,
-             arg_min(text, turn) FILTER (WHERE role = 'user') AS u_text,
-             min(turn) FILTER (WHERE role = 'user') AS u_turn,
-             arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a_text,
-             min(turn) FILTER (WHERE role = 'assistant') AS a_turn,
-             arg_max(text, turn) FILTER (WHERE role = 'assistant') AS z_text,
-             max(turn) FILTER (WHERE role = 'assistant') AS z_turn
-      FROM conversations GROUP BY conv_id HAVING u_turn IS NOT NULL),
-q AS (SELECT conv_id, conv_id::VARCHAR AS question_id, u_text AS question, a_turn,
+u AS (SELECT u.conv_id, u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS question_id,
+             u.text AS question, a.turn AS a_turn, a.text AS a_text
+      FROM conversations u LEFT JOIN conversations a
+        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+      WHERE u.role = 'user'),
+near AS (SELECT u.question_id, u.question, c.turn, c.role, c.text
+         FROM u JOIN conversations c ON c.conv_id = u.conv_id
+         WHERE c.turn > u.a_turn AND c.turn <= u.a_turn + 8),
+z AS (SELECT question_id, arg_max(text, turn) AS explanation FROM near
+      WHERE role = 'assistant' GROUP BY question_id),
+q AS (SELECT u.question_id, u.question,
              coalesce(list_filter(list_transform(string_split(a_text, {NL}), lambda x: {strip('x')}),
                                   lambda x: x <> ''), []) AS lines,
-             CASE WHEN z_turn > a_turn THEN z_text END AS explanation
-      FROM g),
+             z.explanation
+      FROM u LEFT JOIN z USING (question_id)),
 q2 AS (SELECT *, CASE WHEN len(lines) > 0 THEN 'option 1: ' || lines[1] END AS answer,
               array_to_string([ 'option ' || i::VARCHAR || ': ' || lines[i] || {NL}
                                 for i in range(1, len(lines) + 1) ], '') AS opts
        FROM q),
-later AS (SELECT q.question_id, c.turn, c.text, {overlap('q.question', 'c.text')} AS score
-          FROM conversations c JOIN q ON q.conv_id = c.conv_id WHERE c.turn > q.a_turn),
+later AS (SELECT question_id, turn, text, {overlap('question', 'text')} AS score FROM near),
 best AS (SELECT question_id, text,
                 row_number() OVER (PARTITION BY question_id ORDER BY score DESC, turn) AS pos
          FROM later
@@ -380,13 +381,13 @@ FROM lab
 """
 
 MULTI_QUERY = f"""
-WITH u AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user'
-           GROUP BY conv_id),
-l AS (SELECT conv_id, list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}),
-                                  lambda x: x <> '') AS lines, text FROM u),
-v AS (SELECT conv_id, unnest(list_append(lines, text)) AS question,
+WITH u AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS question_id, text
+           FROM conversations WHERE role = 'user'),
+l AS (SELECT question_id, list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}),
+                                      lambda x: x <> '') AS lines, text FROM u),
+v AS (SELECT question_id, unnest(list_append(lines, text)) AS question,
              generate_subscripts(list_append(lines, text), 1) AS variant_no FROM l),
-vk AS (SELECT conv_id::VARCHAR || '#' || variant_no::VARCHAR AS vid, conv_id, variant_no, question
+vk AS (SELECT question_id || '#' || variant_no::VARCHAR AS vid, question_id, variant_no, question
        FROM v),
 dids AS (SELECT doc_id AS id FROM documents),
 vq AS (SELECT vid AS id FROM vk),
@@ -396,11 +397,11 @@ vq AS (SELECT vid AS id FROM vk),
 top AS (SELECT qid, vid AS doc_id,
                row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vid) AS rank
         FROM qv_dv_d QUALIFY rank <= 3),
-h AS (SELECT vk.conv_id, vk.variant_no, top.doc_id, top.rank FROM top JOIN vk ON vk.vid = top.qid
-      QUALIFY row_number() OVER (PARTITION BY vk.conv_id, top.doc_id
+h AS (SELECT vk.question_id, vk.variant_no, top.doc_id, top.rank FROM top JOIN vk ON vk.vid = top.qid
+      QUALIFY row_number() OVER (PARTITION BY vk.question_id, top.doc_id
                                  ORDER BY vk.variant_no, top.rank) = 1)
-SELECT conv_id AS question_id, doc_id,
-       row_number() OVER (PARTITION BY conv_id ORDER BY variant_no, rank)::INTEGER AS rank
+SELECT question_id, doc_id,
+       row_number() OVER (PARTITION BY question_id ORDER BY variant_no, rank)::INTEGER AS rank
 FROM h
 """
 

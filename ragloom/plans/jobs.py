@@ -42,16 +42,21 @@ def build_finetune_set(questions: DataFrame, chunks: DataFrame, cfg: RT.Retrieve
 def build_inference_prompts(spark: SparkSession, run_mode: int, chunks: DataFrame,
                             cfg: RT.RetrieverConfig, train_questions: str | None = None,
                             test_questions: str | None = None, kind: str = "mcq",
-                            out: str | None = None) -> DataFrame:
-    """K6: one job over the selected question files, tagged by ``split``."""
+                            out: str | None = None, n_samples: int = -1) -> DataFrame:
+    """K6: one job over the selected question files, tagged by ``split``;
+    ``n_samples >= 0`` takes that many questions of each (O3)."""
     train = SRC.load_questions(spark, train_questions) if train_questions else None
     test = SRC.load_questions(spark, test_questions) if test_questions else None
+    train, test = (q if q is None else OR.sample_n(q, n_samples, "question_id")
+                   for q in (train, test))
     qs = SK.route_splits(run_mode, train, test).withColumn(
         "question_id", F.concat_ws(":", "split", "question_id"))
     hits = RT.retrieve_with_fallback(qs, chunks, cfg)
-    prompts = RT.inference_prompts(qs, hits, kind).withColumn(
-        "split", F.split_part(F.col("question_id"), F.lit(":"), F.lit(1))).withColumn(
-        "question_id", F.split_part(F.col("question_id"), F.lit(":"), F.lit(2)))
+    prompts = RT.inference_prompts(qs, hits, kind)
+    # the split has no colon, an id may have some
+    at = F.instr("question_id", ":")
+    prompts = prompts.withColumn("split", F.expr("substring(question_id, 1, instr(question_id, ':') - 1)")
+                                 ).withColumn("question_id", F.substr("question_id", at + 1))
     if out:
         prompts.write.mode("overwrite").partitionBy("split").parquet(out)
     return prompts

@@ -100,14 +100,23 @@ def apply_transformers(hits: DataFrame, questions: DataFrame,
 
 def retrieve_with_fallback(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
                            backup: RetrieverConfig | None = None, text: str = "question",
-                           chunk_filter: Column | None = None) -> DataFrame:
+                           chunk_filter: Column | None = None,
+                           backup_filter: Column | None = None) -> DataFrame:
     """Questions without any primary hit are answered by the backup
-    retriever (by default the same chain with ``max(1, k // 100)`` results)."""
+    retriever (by default the same chain with ``max(1, k // 100)`` results, over the
+    same chunks unless ``backup_filter`` says otherwise). The primary hits are written
+    once below ``spark.checkpoint.dir`` and read for both sides."""
     from dataclasses import replace
 
+    from ..session import scratch_path
+
     backup = backup or replace(cfg, k=H.backup_k(cfg.k))
+    spark, path = questions.sparkSession, scratch_path(questions.sparkSession, "primary")
     primary = retrieve(questions, chunks, cfg, text, chunk_filter)
-    return H.fallback(primary, questions, lambda q: retrieve(q, chunks, backup, text))
+    primary.write.parquet(path)
+    primary = spark.read.schema(primary.schema).parquet(path)
+    wider = chunk_filter if backup_filter is None else backup_filter
+    return H.fallback(primary, questions, lambda q: retrieve(q, chunks, backup, text, wider))
 
 
 def multi_query(variants: DataFrame, chunks: DataFrame, cfg: RetrieverConfig) -> DataFrame:

@@ -1,16 +1,20 @@
 """Sinks and table maintenance (K1-K7).
 
-Writes go to Parquet paths (on a cluster: shared storage). Tables that are
-rewritten (K2) are versioned: each version is a sub-folder ``v=<n>`` written
-in full and visible once Spark's ``_SUCCESS`` marker exists, so a reader of
-the current version is never overwritten under its feet.
+Writes go to Parquet paths (on a cluster: shared storage). A vector table is a
+folder of versions: each is a sub-folder ``v=<n>``, visible once Spark's
+``_SUCCESS`` marker exists. K1 appends to the current version, K2 writes the next
+one, so a reader of the current version is never overwritten under its feet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import duplicate_rows
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -23,34 +27,40 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def vector_append(chunks: DataFrame, path: str, key: str = "chunk_id") -> int:
+def vector_append(chunks: DataFrame, base: str, key: str = "chunk_id",
+                  embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """K1: append chunks whose id is not in the table yet (re-delivery adds nothing).
 
-    Returns the number of appended rows. The anti-join shuffles ids only on
-    the table side (one column is read)."""
+    Rows go into the current version (the first append makes version 1), so K2 and
+    ``read_current`` see one table. Ids are compared first; ``embed`` (or any other
+    costly step) runs on the rows that are left. Returns the number of added rows."""
     spark = chunks.sparkSession
+    have = versions(spark, base)
     new = chunks.dropDuplicates([key])
-    if path_exists(spark, path):
-        have = spark.read.parquet(path).select(key)
-        new = new.join(have, key, "left_anti")
-    new = new.cache()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    if have:
+        new = new.join(read_current(spark, base).select(key), key, "left_anti")
+    if embed is not None:
+        new = embed(new)
+    seen = Observation()
+    new = new.observe(seen, F.count(F.lit(1)).alias("n"))
+    if have:
+        new.write.mode("append").parquet(f"{base.rstrip('/')}/v={have[-1]}")
+    else:
+        write_version(new, base)
+    return int(seen.get["n"])
+
+
+def _version_folders(spark: SparkSession, base: str) -> dict[int, bool]:
+    """Version number -> whether it was committed."""
+    fs, p = _fs(spark, base)
+    if not fs.exists(p):
+        return {}
+    return {int(st.getPath().getName()[2:]): fs.exists(st.getPath().suffix("/_SUCCESS"))
+            for st in fs.listStatus(p) if st.getPath().getName().startswith("v=")}
 
 
 def versions(spark: SparkSession, base: str) -> list[int]:
-    fs, p = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return sorted(v for v, done in _version_folders(spark, base).items() if done)
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
@@ -61,9 +71,9 @@ def read_current(spark: SparkSession, base: str) -> DataFrame:
 
 
 def write_version(df: DataFrame, base: str) -> int:
-    """Write ``df`` as the next version of the table at ``base``."""
-    v = versions(df.sparkSession, base)
-    n = (v[-1] + 1) if v else 1
+    """Write ``df`` as the next version of the table at ``base``; a number that an
+    unfinished write has taken is left alone."""
+    n = max(_version_folders(df.sparkSession, base), default=0) + 1
     df.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/v={n}")
     return n
 
@@ -74,6 +84,14 @@ def vector_delete(spark: SparkSession, base: str, ids: DataFrame, key: str = "ch
     return write_version(cur.join(ids.select(key), key, "left_anti"), base)
 
 
+def dedup_collection(spark: SparkSession, base: str, content: str = "content",
+                     key: str = "chunk_id") -> int:
+    """R5 + K2 as one job: a new version without the later copies of any content
+    (first by id). Returns its number."""
+    cur = read_current(spark, base)
+    return vector_delete(spark, base, duplicate_rows(cur, content, (key,), (key,)), key)
+
+
 def write_prompts(prompts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K3."""
     prompts.write.mode(mode).parquet(path)
@@ -84,33 +102,21 @@ def write_dataset(dataset: DataFrame, path: str, mode: str = "overwrite") -> Non
     dataset.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_answers(answers: DataFrame, path: str, task: str = "", single_file: bool = False,
-                  max_single_file_rows: int = 5_000_000) -> None:
-    """K5: ``Question_ID,Answer_ID,Task`` CSV with a header.
-
-    Multi-part by default; ``single_file`` (the reference's one CSV) funnels
-    the rows through one task and is refused above ``max_single_file_rows``.
-    """
-    out = answers.select(F.col("Question_ID").cast("string"), F.col("Answer_ID").cast("string"),
-                         F.lit(task).alias("Task"))
-    if single_file:
-        n = out.count()
-        if n > max_single_file_rows:
-            raise ValueError(f"{n} rows is too many for one file; write multi-part")
-        out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+def write_answers(answers: DataFrame, path: str, task: str = "") -> None:
+    """K5: ``Question_ID,Answer_ID,Task`` CSV parts with a header each."""
+    (answers.select(F.col("Question_ID").cast("string"), F.col("Answer_ID").cast("string"),
+                    F.lit(task).alias("Task"))
+     .write.mode("overwrite").option("header", True).csv(path))
 
 
 def route_splits(run_mode: int, train: DataFrame | None = None,
                  test: DataFrame | None = None) -> DataFrame:
     """K6: 0 = train, 1 = test, 2 = both, as one DataFrame tagged by ``split``."""
-    parts = []
-    if run_mode in (0, 2) and train is not None:
-        parts.append(train.withColumn("split", F.lit("train")))
-    if run_mode in (1, 2) and test is not None:
-        parts.append(test.withColumn("split", F.lit("test")))
-    if not parts:
-        raise ValueError("run_mode must be 0, 1 or 2 with the matching inputs")
+    wanted = {0: ["train"], 1: ["test"], 2: ["train", "test"]}.get(run_mode)
+    given = {"train": train, "test": test}
+    if wanted is None or any(given[w] is None for w in wanted):
+        raise ValueError("run_mode must be 0, 1 or 2 with all of its inputs")
+    parts = [given[w].withColumn("split", F.lit(w)) for w in wanted]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -26,6 +26,14 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 def discover_files(spark: SparkSession, folder: str, extensions=(".docx",)) -> DataFrame:
     """Files directly in ``folder`` (no recursion) for each extension;
     one ``binaryFile`` read per extension, then ``unionByName``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hidden = [st.getPath().getName() for st in fs.listStatus(root) if st.isFile()
+              and st.getPath().getName().startswith(("_", "."))
+              and st.getPath().getName().endswith(tuple(extensions))]
+    if hidden:   # Spark's sources pass over such names without a word
+        raise ValueError(f"files Spark would not read, rename them: {sorted(hidden)[:5]}")
     out = None
     for ext in extensions:
         df = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}")
@@ -35,22 +43,44 @@ def discover_files(spark: SparkSession, folder: str, extensions=(".docx",)) -> D
 
 
 def docx_to_text(data: bytes | None) -> str | None:
-    """Paragraph texts of a .docx (``w:t`` runs, tabs and breaks kept), joined by a blank line."""
+    """Paragraph texts of a .docx (``w:t`` runs, tabs and breaks kept), joined by a blank
+    line: headers, the document, footers. A paragraph inside another (a text box) is a
+    paragraph of its own, after the one around it."""
     if data is None:
         return None
-    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    paras = []
-    for p in root.iter(f"{_W}p"):
-        parts = []
-        for node in p.iter():
+    paras: list[str] = []
+
+    def own(p):
+        parts, todo, inner = [], list(reversed(p)), []
+        while todo:
+            node = todo.pop()
+            if node.tag == f"{_W}p":
+                inner.append(node)
+                continue
             if node.tag == f"{_W}t" and node.text:
                 parts.append(node.text)
             elif node.tag == f"{_W}tab":
                 parts.append("\t")
             elif node.tag in (f"{_W}br", f"{_W}cr"):
                 parts.append("\n")
+            todo.extend(reversed(node))
         paras.append("".join(parts))
+        for x in inner:
+            own(x)
+
+    def walk(node):
+        for x in node:
+            if x.tag == f"{_W}p":
+                own(x)
+            else:
+                walk(x)
+
+    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+        names = sorted(z.namelist())
+        parts = [*(n for n in names if n.startswith("word/header")), "word/document.xml",
+                 *(n for n in names if n.startswith("word/footer"))]
+        for part in parts:
+            walk(ElementTree.fromstring(z.read(part)))
     return "\n\n".join(paras)
 
 

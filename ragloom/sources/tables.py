@@ -23,7 +23,8 @@ def questions_from_json(raw: DataFrame, value: str = "value") -> DataFrame:
     Record order is kept: ``from_json`` builds the map in document order and
     ``posexplode`` numbers it; options keep their order inside the record (H11).
     """
-    m = F.from_json(F.col(value), QUESTION_FILE_TYPE)
+    # a malformed file fails the job instead of giving no rows (H9)
+    m = F.from_json(F.col(value), QUESTION_FILE_TYPE, {"mode": "FAILFAST"})
     e = raw.select(F.posexplode(F.map_entries(m)).alias("ordinal", "e"))
     rec = F.col("e.value")
     return e.select(
@@ -37,7 +38,9 @@ def questions_from_json(raw: DataFrame, value: str = "value") -> DataFrame:
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """S3: the reference's question file (one JSON object per file)."""
-    return questions_from_json(spark.read.text(path, wholetext=True))
+    q = questions_from_json(spark.read.text(path, wholetext=True))
+    # a file is one row and one task: spread its questions
+    return q.repartition(spark.sparkContext.defaultParallelism, "question_id")
 
 
 def read_vectors(spark: SparkSession, path: str, columns=("chunk_id", "embedding"),

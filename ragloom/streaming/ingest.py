@@ -30,7 +30,7 @@ def ingest_batch(docs: DataFrame, table: str, chunk_size: int = 512, overlap: in
     """Chunk + embed + K1 append of one batch of documents."""
     ch = chunk_documents(docs, chunk_size, overlap)
     emb = embed(F.col("content")) if embed else EM.hash_embedding(F.col("content"))
-    return vector_append(ch.withColumn("embedding", emb), table)
+    return vector_append(ch, table, embed=lambda new: new.withColumn("embedding", emb))
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: str,
@@ -43,7 +43,8 @@ def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: s
     table's id column (also catches rows written by batch jobs).
     ``dedup="state"``: the stream drops repeated ``chunk_id`` in Spark's
     key-partitioned state store, so the per-batch cost follows the batch and
-    not the table; rows written outside this stream are not seen.
+    not the table; rows written outside this stream are not seen. Each batch has
+    its own folder ``batch=<id>`` below ``table``.
     """
     if dedup not in ("table", "state"):
         raise ValueError("dedup must be 'table' or 'state'")
@@ -62,7 +63,8 @@ def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: s
         chunks = chunks.withColumn("embedding", EM.hash_embedding(F.col("content")))
 
         def append(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("append").parquet(table)
+            # a replayed batch replaces its own folder
+            batch.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
 
         w = chunks.writeStream.foreachBatch(append)
     w = w.option("checkpointLocation", checkpoint)
@@ -89,7 +91,8 @@ def start_docx_ingest(spark: SparkSession, folder: str, table: str, checkpoint:
         from ..operators.split import add_release_metadata
 
         ch = add_release_metadata(chunk_documents(batch, chunk_size, overlap))
-        vector_append(ch.withColumn("embedding", EM.hash_embedding(F.col("content"))), table)
+        vector_append(ch, table, embed=lambda new: new.withColumn(
+            "embedding", EM.hash_embedding(F.col("content"))))
 
     w = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

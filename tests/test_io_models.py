@@ -1,4 +1,6 @@
 import os
+
+import pytest
 import zipfile
 
 from pyspark.sql import functions as F
@@ -39,8 +41,11 @@ def test_load_docs_and_metadata(spark, tmp_dir):
     table = f"{tmp_dir}/vectors"
     n1 = AN.load_docs(spark, folder, table, 20, 5)
     n2 = AN.load_docs(spark, folder, table, 20, 5)          # K1: twice == once
-    t = spark.read.parquet(table)
+    t = SK.read_current(spark, table)
     assert n1 == t.count() and n2 == 0
+    one = t.first().chunk_id                                # K1 and K2 share the table
+    SK.vector_delete(spark, table, spark.createDataFrame([(one,)], "chunk_id string"))
+    assert SK.read_current(spark, table).count() == n1 - 1
     meta = {r.source: (r.year, r.tag) for r in t.select("source", "year", "tag").distinct().collect()}
     assert meta["rel_17.docx"] == (17, "3GPP Release 17")
     assert meta["rel_x.docx"] == (None, None) and meta["notes.docx"] == (None, None)
@@ -54,11 +59,19 @@ def test_versioned_delete(spark, tmp_dir):
     assert SK.vector_delete(spark, base, ids) == 2
     assert SK.versions(spark, base) == [1, 2]
     assert SK.read_current(spark, base).count() == 8
+    os.makedirs(f"{base}/v=3")                              # a write that never finished
+    df = df.withColumn("v", F.col("v").cast("string"))
+    assert SK.write_version(df, base) == 4
+    assert SK.vector_append(df.union(df), base) == 0
+    assert SK.vector_append(df.withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id")), base) == 10
+    assert SK.read_current(spark, base).count() == 20
+    assert SK.dedup_collection(spark, base, content="v") == 5
+    assert sorted(r.chunk_id for r in SK.read_current(spark, base).collect()) == [f"c{i}" for i in range(10)]
 
 
 def test_answers_sink_and_routing(spark, tmp_dir):
     ans = spark.createDataFrame([("1", "2"), ("2", "3")], "Question_ID string, Answer_ID string")
-    SK.write_answers(ans, f"{tmp_dir}/out", task="Phi-2", single_file=True)
+    SK.write_answers(ans.coalesce(1), f"{tmp_dir}/out", task="Phi-2")
     files = [f for f in os.listdir(f"{tmp_dir}/out") if f.endswith(".csv")]
     assert len(files) == 1
     with open(f"{tmp_dir}/out/{files[0]}") as f:
@@ -66,6 +79,8 @@ def test_answers_sink_and_routing(spark, tmp_dir):
     r = SK.route_splits(2, ans, ans)
     assert sorted(x.split for x in r.select("split").distinct().collect()) == ["test", "train"]
     assert SK.route_splits(1, ans, ans).count() == 2
+    with pytest.raises(ValueError):
+        SK.route_splits(2, ans)
 
 
 def echo_factory():
@@ -167,8 +182,8 @@ def test_registered_embedder(spark):
 
     from ragloom.functions import embed as EM
 
-    EM.register_embedder("const", lambda texts, kind: np.ones((len(texts), 3)) *
-                         (1.0 if kind == "query" else 2.0), 3)
+    EM.register_embedder("const", lambda texts, prefix: np.ones((len(texts), 3)) *
+                         (1.0 if prefix == "search_query" else 2.0), 3)
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     r = df.select(EM.embed(F.col("t"), "const", "query").alias("e")).collect()
     assert [list(x.e) for x in r] == [[1.0, 1.0, 1.0]] * 2
@@ -244,9 +259,11 @@ def test_retrieve_with_fallback_and_transformers(spark):
     q = spark.createDataFrame([(1, "topic0 words"), (2, "topic1 words")],
                               "question_id int, question string")
     cfg = RT.RetrieverConfig(k=300, fetch_k=10, top_n=5, rerank=False)
-    # the primary's filter leaves nothing to search: every question goes to the
-    # backup, which searches the whole table with max(1, 300 // 100) = 3 results
-    out = RT.retrieve_with_fallback(q, ch, cfg, chunk_filter=F.col("grp") > 5)
+    # the primary's filter leaves nothing to search and the backup keeps it
+    assert RT.retrieve_with_fallback(q, ch, cfg, chunk_filter=F.col("grp") > 5).count() == 0
+    # a wider backup searches the whole table with max(1, 300 // 100) = 3 results
+    out = RT.retrieve_with_fallback(q, ch, cfg, chunk_filter=F.col("grp") > 5,
+                                    backup_filter=F.lit(True))
     counts = {r.question_id: r["count"] for r in out.groupBy("question_id").count().collect()}
     assert counts == {1: 3, 2: 3}
     # a primary that answers everything leaves the backup unused
@@ -280,3 +297,59 @@ def test_text_files_and_graph_sink(spark, tmp_dir):
     base = f"{tmp_dir}/graph"
     assert SK.graph_append(edges, nodes, base) == (4, 3)
     assert SK.graph_append(edges, nodes, base) == (0, 0)      # re-delivery adds nothing
+
+
+def test_two_models_of_one_name_do_not_mix(spark):
+    from ragloom.functions.models import generate
+
+    df = spark.createDataFrame([("p",)], "prompt string").coalesce(1)
+    for word in ("one", "two"):
+        def make(word=word):
+            return lambda prompts, n: [word for _ in prompts]
+        assert df.select(generate("prompt", "g", make=make).alias("g")).first().g == word
+
+
+def test_malformed_questions_fail(spark, tmp_dir):
+    from ragloom.sources.tables import load_questions
+
+    with open(f"{tmp_dir}/q.json", "w") as f:
+        f.write('{"question 1": {"question": "wh')
+    with pytest.raises(Exception):
+        load_questions(spark, f"{tmp_dir}/q.json").collect()
+
+
+def test_hidden_files_and_nested_paragraphs(spark, tmp_dir):
+    import zipfile
+
+    from ragloom.sources.files import discover_files, docx_to_text
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    path = f"{tmp_dir}/_a.docx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>outer</w:t></w:r><w:txbx>"
+                   "<w:p><w:r><w:t>inner</w:t></w:r></w:p></w:txbx></w:p></w:body></w:document>")
+        z.writestr("word/header1.xml", f"<w:hdr {w}><w:p><w:r><w:t>head</w:t></w:r></w:p></w:hdr>")
+        z.writestr("word/footer1.xml", f"<w:ftr {w}><w:p><w:r><w:t>foot</w:t></w:r></w:p></w:ftr>")
+    with open(path, "rb") as f:
+        assert docx_to_text(f.read()) == "head\n\nouter\n\ninner\n\nfoot"
+    with pytest.raises(ValueError):
+        discover_files(spark, tmp_dir)
+
+
+def test_duplicate_ids_raise_when_scored(spark):
+    one = spark.createDataFrame([("1", "a"), ("2", "b")], "Question_ID string, Answer_ID string")
+    with pytest.raises(ValueError):
+        AN.score_answers(one.union(one), one)
+    assert AN.score_answers(one, one).first().accuracy == 1.0
+
+
+def test_prefix_reaches_the_embedder(spark):
+    import numpy as np
+
+    from ragloom.functions.embed import embed, embedding_dim, register_embedder
+
+    register_embedder("prefix_length", lambda texts, prefix: np.full((len(texts), 2), len(prefix)), 2)
+    df = spark.createDataFrame([("a",), ("b",)], "t string")
+    got = df.select(embed("t", "prefix_length", "query").alias("v"))
+    assert got.first().v == [len("search_query")] * 2
+    assert tuple(embedding_dim(got, "v").first()) == (2, 2)
