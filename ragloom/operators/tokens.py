@@ -139,6 +139,41 @@ def completion_mask(df: DataFrame, marker_ids: list[int], labels: str = "labels"
     return df.withColumn(labels, masked)
 
 
+def turn_mask(df: DataFrame, response_ids: list[int], instruction_ids: list[int],
+              labels: str = "labels") -> DataFrame:
+    """D5 with both markers: labels from each instruction marker to the end of the
+    response marker after it become -100, so only responses count; a row that lacks
+    either marker is masked whole (left truncation may have cut the first one).
+    Rows are bounded by the context length."""
+    resp, inst = list(map(int, response_ids)), list(map(int, instruction_ids))
+
+    def starts(row, marker):
+        n = len(marker)
+        return [i for i in range(len(row) - n + 1) if row[i:i + n] == marker] if n else []
+
+    def mask(row: list[int]) -> list[int]:
+        ends = [i + len(resp) for i in starts(row, resp)]
+        asks = starts(row, inst)
+        if not ends or not asks:
+            return [IGNORE_INDEX] * len(row)
+        if asks[0] > ends[0] - len(resp):
+            asks = [0, *asks]
+        out = list(row)
+        for i, (lo, hi) in enumerate(zip(asks, ends)):
+            lo = 0 if i == 0 else lo
+            out[lo:hi] = [IGNORE_INDEX] * max(0, hi - lo)
+        if len(ends) < len(asks):
+            out[asks[-1]:] = [IGNORE_INDEX] * (len(out) - asks[-1])
+        return out
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _mask(rows: pa.Array) -> pa.Array:
+        return pa.array([mask(r) if r is not None else None for r in rows.to_pylist()],
+                        pa.list_(pa.int32()))
+
+    return df.withColumn(labels, _mask(F.col(labels).cast("array<int>")))
+
+
 def response_marker_ids(spark, tokenizer=None, marker: str = PR.ANSWER_TAG) -> list[int]:
     """Token ids of the response marker (one tiny job, one row to the driver)."""
     tok = tokenizer or whitespace_tokenizer()

@@ -219,13 +219,20 @@ def accuracy(spark, sf):
     return EV.accuracy(pred, truth)
 
 
-def knn_ivf(spark, sf):
-    """Approximate l2 top-10 by IVF (16 cells, 4 probes), all vectors as queries."""
+def _ivf(spark, sf, exact):
+    from ..operators.ivf import cells_for
     from ..operators.ivf import knn_ivf as ivf
 
-    out = ivf(_queries(spark, sf), _vec(spark, sf), 10, 16, 4, "l2", query_id="query_id",
-              vector_id="vec_id")
-    return _knn_out(out)
+    v = _vec(spark, sf)
+    n = cells_for(v.count())
+    # vectors without structure need most cells for a recall of 0.95
+    return _knn_out(ivf(_queries(spark, sf), v, 10, n, max(1, n // 8 if exact else n * 3 // 4), "l2",
+                        query_id="query_id", vector_id="vec_id", exact=exact))
+
+
+def knn_ivf(spark, sf):
+    """l2 top-10 by cell pruning (about sqrt(n) cells), exact; all vectors as queries."""
+    return _ivf(spark, sf, True)
 
 
 def ivf_recall(spark, sf):
@@ -234,7 +241,7 @@ def ivf_recall(spark, sf):
 
     exact = knn(_queries(spark, sf), _vec(spark, sf), 10, "l2", query_id="query_id",
                 vector_id="vec_id")
-    return recall_at_k(knn_ivf(spark, sf), exact, "query_id", "vec_id", 10)
+    return recall_at_k(_ivf(spark, sf, False), exact, "query_id", "vec_id", 10)
 
 
 # ---------------------------------------------------------------------------

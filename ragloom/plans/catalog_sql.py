@@ -478,6 +478,7 @@ FROM documents
 """,
     "hash_embed": HASH_EMBED,
     "knn_l2": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
+    "knn_ivf": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_cosine": ("SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM "
                    f"({knn_ranked('cosine', 10)})"),
     "knn_filtered": ("SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM "

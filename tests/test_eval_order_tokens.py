@@ -116,3 +116,13 @@ def test_accuracy_duplicate_truth_ids_do_not_fan_out(spark):
     r = EV.accuracy(pred, truth).first()
     assert (r.n_pred, r.n_matched, r.n_correct) == (50, 50, 50)
     assert EV.align_answers(pred, truth).count() == 50
+
+
+def test_turn_mask(spark):
+    rows = [([1, 9, 2, 8, 5, 6], [-100, -100, -100, -100, 5, 6]),       # 9 = instruction, 8 = response
+            ([9, 2, 8, 5, 9, 3, 8, 7], [-100, -100, -100, 5, -100, -100, -100, 7]),
+            ([2, 8, 5, 9, 3], [-100, -100, 5, -100, -100]),               # cut on the left
+            ([2, 8, 5], [-100] * 3), ([9, 2, 5], [-100] * 3), ([], [])]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, labels array<int>")
+    got = {r.i: r.labels for r in TK.turn_mask(df, [8], [9]).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]

@@ -55,3 +55,13 @@ def test_ivf_with_unprobed_cells(spark):
     assert few and all(r.content == f"text {r.chunk_id}" for r in few)
     every = knn_ivf(q, v, 5, 8, 8, with_vectors=True, payload=("content",))
     assert sorted((r.question_id, r.chunk_id) for r in every.collect()) == want
+
+
+@pytest.mark.parametrize("probe", [1, 3])
+def test_exact_cell_pruning(spark, probe):
+    q, v, want = tables(spark)
+    got = knn_ivf(q, v, 5, 8, probe, with_vectors=True, payload=("content",), exact=True).collect()
+    assert sorted((r.question_id, r.chunk_id) for r in got) == want
+    assert all(r.content == f"text {r.chunk_id}" for r in got)
+    few = v.limit(3)                                  # fewer vectors than k
+    assert knn_ivf(q, few, 5, 2, 1, exact=True).count() == 7 * 3
