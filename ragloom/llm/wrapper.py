@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of
+from .common import runs_of, written
 from .url_rules import host_and_path
 
 RUN = 200
@@ -34,6 +34,8 @@ RUN = 200
 HELD = 32 << 20
 #: Nesting that is kept; what is deeper counts to the element at this depth.
 DEEPEST = 200
+#: Large hosts up to this many are broadcast, more are joined by a shuffle.
+BROADCAST_HOSTS = 500_000
 #: Share of a run's pages on which a node must be the same to be template, and of the
 #: varying text that the content slot must hold.
 SAME, MOST = 0.9, 0.6
@@ -336,10 +338,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, _ = host_and_path(F.col(url_col))
     src = pages.select(host.alias("_host"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"),
                        F.col(html_col).alias("_html"))
-    counts = src.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / run).cast("int").alias("_runs"))
+    # hosts of several runs, at most pages / run; the others have run 0 only
+    counts = written(src.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / run).cast("int").alias("_runs"))
+                     .where("_runs > 1"), "large-hosts")
+    few = counts.count() <= BROADCAST_HOSTS
     kinds = {c: src.schema[c].dataType.simpleString() for c in ("_id", "_url")}
-    rows = (src.join(counts, "_host")
-            .select("_host", F.pmod(F.xxhash64("_id", "_url"), F.col("_runs")).cast("int").alias("_run"),
+    rows = (src.join(F.broadcast(counts) if few else counts, "_host", "left")
+            .select("_host", F.pmod(F.xxhash64("_id", "_url"), F.coalesce("_runs", F.lit(1)))
+                    .cast("int").alias("_run"),
                     "_id", "_url", "_html"))
 
     def induce(batches):
