@@ -223,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                    **options) -> DataFrame:
-    """The documents without any leak."""
+    """The documents without any leak. Rows that share an id, a null one too, go together."""
     gone = written(leaks(docs, benchmark, id_col=id_col, **options)
                    .select(F.col(id_col).alias("_gone")).distinct(), "leaks")
     few = gone.count() <= 1_000_000     # 16 MB; more are joined by a shuffle

@@ -59,6 +59,9 @@ MARKS = set("ad ads advert adverts advertisement advertising banner sponsor spon
             "modal overlay newsletter subscribe subscription signup login share sharing social "
             "comment comments commentlist disqus reply replies respond related recommended widget "
             "widgets pagination pager toolbar skip complementary contentinfo search".split())
+#: Words that make a mark speak of a layout ("has-sidebar"), and of an article's own header.
+NOT_MARKED = set("has with no without wrap wrapper container layout".split())
+ARTICLE_WORDS = set("article post entry content story page".split())
 CONTAINERS = set("body div section article main td center".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
                   r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
@@ -80,8 +83,10 @@ class Node:
                     re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or ""))]
         self.label = " ".join([tag, *sorted(set(names))])
         inside = parent is not None and _within(parent, ("article", "main"))
+        marked = (not MARKS.isdisjoint(names) and NOT_MARKED.isdisjoint(names)
+                  or "header" in names and not inside and ARTICLE_WORDS.isdisjoint(names))
         self.out = (tag in DROPPED or tag == "footer" or tag == "header" and not inside
-                    or tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(names)
+                    or tag not in ("html", "body", "article", "main") and marked
                     or tag == "article" and not MARKS.isdisjoint({"comment", "comments", "reply"} & set(names)))
 
 
