@@ -2,8 +2,7 @@
 
 They are written independently of the Spark code from the operator
 definitions: same tables, same parameters, same column names and types.
-Queries whose oracle is pure Python (``recursive_chunks``, ``chunk_stats``,
-``retrieve_prompt``, ``incremental_ingest``, the IVF pair) have no entry here.
+Only ``ivf_recall`` (approximate, depends on k-means) has no entry here.
 """
 
 from __future__ import annotations
@@ -160,6 +159,49 @@ win AS (
 chunks AS (SELECT sha256(concat_ws('|', doc_id::VARCHAR, chunk_index::VARCHAR, content)) AS chunk_id,
                   content FROM win)"""
 
+# T1 as a recursive query over the pieces of a text: lines (each with its leading
+# break), or the words of a line of 512 characters and more. ``cs`` holds the running
+# lengths of one run of pieces; a step ends a chunk at the first piece that does not
+# fit and drops pieces until at most 150 characters overlap. It covers texts without
+# blank lines and without words of 512 characters, as the driver's are.
+T1 = """
+ln AS (SELECT doc_id, text, k, CASE WHEN k = 1 THEN parts[1] ELSE chr(10) || parts[k] END AS p
+       FROM (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS k
+             FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+                   WHERE length(text) > 0))),
+ln2 AS (SELECT doc_id, k, p, length(p) AS n,
+               (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(p))::BIGINT AS at0,
+               length(p) >= 512 OR NOT contains(text, chr(10)) AS wide FROM ln),
+ln3 AS (SELECT *, count_if(wide) OVER (PARTITION BY doc_id ORDER BY k) - wide::INT AS before
+        FROM ln2 WHERE p <> ''),
+piece AS (SELECT doc_id, 2 * before AS run, k AS ord, n,
+                 min(at0) OVER (PARTITION BY doc_id, before) AS at0 FROM ln3 WHERE NOT wide
+          UNION ALL
+          SELECT doc_id, 2 * before + 1, j, CASE WHEN j = 1 THEN length(w[1]) ELSE 1 + length(w[j]) END, at0
+          FROM (SELECT doc_id, before, at0, w, unnest(range(1, len(w) + 1)) AS j
+                FROM (SELECT doc_id, before, at0, string_split(p, ' ') AS w FROM ln3 WHERE wide))),
+run AS (SELECT doc_id, run, any_value(at0) AS at0, list_prepend(0::BIGINT, list(c ORDER BY ord)) AS cs
+        FROM (SELECT doc_id, run, at0, ord, (sum(n) OVER (PARTITION BY doc_id, run ORDER BY ord))::BIGINT AS c
+              FROM piece WHERE n > 0) GROUP BY doc_id, run),
+rec AS (SELECT doc_id, run, at0, cs, len(cs) - 1 AS n, 0::BIGINT AS s, -1::BIGINT AS ip, 0 AS seq,
+               0::BIGINT AS a, 0::BIGINT AS b, FALSE AS done FROM run
+        UNION ALL
+        SELECT doc_id, run, at0, cs, n,
+               CASE WHEN e IS NULL THEN s ELSE list_min(list_filter(range(s, e + 1), lambda t:
+                    cs[e + 1] - cs[t + 1] <= 150
+                    AND (cs[e + 2] - cs[t + 1] <= 512 OR t = e))) END,
+               coalesce(e, n), seq + 1, s, coalesce(e, n), e IS NULL
+        FROM (SELECT *, list_min(list_filter(range(greatest(ip, s) + 1, n),
+                                             lambda j: cs[j + 2] - cs[s + 1] > 512)) AS e
+              FROM rec WHERE NOT done)),
+cut AS (SELECT r.doc_id, d.source, run, seq,
+               trim(substr(d.text, r.at0 + cs[a + 1] + 1, cs[b + 1] - cs[a + 1]),
+                    chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)) AS content
+        FROM rec r JOIN documents d ON d.doc_id = r.doc_id WHERE seq > 0),
+t1 AS MATERIALIZED (SELECT doc_id, source, content,
+              (row_number() OVER (PARTITION BY doc_id ORDER BY run, seq) - 1)::INTEGER AS chunk_index
+       FROM cut WHERE content <> '')"""
+
 RETRIEVE_MMR_SQL = f"""
 WITH RECURSIVE {_WIN[1:]},
 q AS (SELECT item_id AS id, text FROM benchmark),
@@ -167,16 +209,17 @@ q AS (SELECT item_id AS id, text FROM benchmark),
 {hvec('cv', 'chunks', 'chunk_id', 'content')[1:]},
 cids AS (SELECT DISTINCT chunk_id AS id FROM chunks),
 {sparse_l2('qv', 'cv', 'q', 'cids')[1:]},
-cand AS (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vid) AS pos
+cand AS MATERIALIZED (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vid) AS pos
          FROM qv_cv_d QUALIFY pos <= 20),
 qdot AS (SELECT c.qid, c.vid, c.pos,
                 coalesce(x.dot, 0) / nullif(sqrt(qn.ss) * sqrt(vn.ss), 0) AS cq
          FROM cand c LEFT JOIN qv_cv_dot x ON x.qid = c.qid AND x.vid = c.vid
          LEFT JOIN qv_n qn ON qn.id = c.qid LEFT JOIN cv_n vn ON vn.id = c.vid),
 cs AS (SELECT qid, vid, pos, coalesce(cq, 0) AS sq FROM qdot),
-pairs AS (SELECT a.qid, a.vid AS a, b.vid AS b FROM cand a JOIN cand b USING (qid)),
-pdot AS (SELECT p.qid, p.a, p.b, sum(x.w::DOUBLE * y.w::DOUBLE) AS dot
-         FROM pairs p JOIN cv x ON x.id = p.a JOIN cv y ON y.id = p.b AND y.dim = x.dim
+pairs AS MATERIALIZED (SELECT a.qid, a.vid AS a, b.vid AS b FROM cand a JOIN cand b USING (qid)),
+px AS MATERIALIZED (SELECT p.qid, p.a, p.b, x.dim, x.w FROM pairs p JOIN cv x ON x.id = p.a),
+pdot AS (SELECT p.qid, p.a, p.b, sum(p.w::DOUBLE * y.w::DOUBLE) AS dot
+         FROM px p JOIN cv y ON y.id = p.b AND y.dim = p.dim
          GROUP BY ALL),
 cc AS (SELECT p.qid, p.a, p.b,
               coalesce(coalesce(d.dot, 0) / nullif(sqrt(na.ss) * sqrt(nb.ss), 0), 0) AS s
@@ -292,6 +335,12 @@ SELECT count(*) AS n_pred, count(*) FILTER (WHERE m) AS n_matched,
 FROM j
 """
 
+RETRIEVE_PROMPT = (
+    RETRIEVE_MMR_SQL.replace(_WIN[1:], T1 + """,
+chunks AS MATERIALIZED (SELECT sha256(doc_id::VARCHAR || '|' || chunk_index::VARCHAR || '|' || content) AS chunk_id,
+                  content FROM t1)""")
+    .replace(qa_text('ctx.context', 'b.text'), mcq_text('ctx.context', 'b.text', "''")))
+
 _CONV_Q = f"""
 u AS (SELECT u.conv_id, u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS question_id,
              u.text AS question, a.turn AS a_turn, a.text AS a_text
@@ -477,6 +526,22 @@ SELECT count(*) AS n_rows, count(DISTINCT {strip('text')}) AS n_unique,
 FROM documents
 """,
     "hash_embed": HASH_EMBED,
+    "recursive_chunks": f"""
+WITH RECURSIVE {T1}
+SELECT doc_id, chunk_index, length(content) AS n_chars, md5(content) AS content_md5 FROM t1
+""",
+    "chunk_stats": f"""
+WITH RECURSIVE {T1}
+SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs,
+       max(length(content)) AS max_chars, sum(length(content))::BIGINT AS total_chars
+FROM t1 GROUP BY source
+""",
+    "incremental_ingest": f"""
+WITH RECURSIVE {T1}
+SELECT doc_id, chunk_index,
+       sha256(doc_id::VARCHAR || '|' || chunk_index::VARCHAR || '|' || content) AS chunk_id FROM t1
+""",
+    "retrieve_prompt": RETRIEVE_PROMPT,
     "knn_l2": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_ivf": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_cosine": ("SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM "
