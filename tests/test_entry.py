@@ -21,7 +21,7 @@ def test_every_sql_twin_has_a_query_and_runs():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "conversations", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "conversations", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     for name in s:
         con.execute(s[name]).fetchall()
