@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Largest number of text bytes handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, runs_of, slices, written
@@ -47,10 +47,26 @@ FREQUENT = 1 << 18
 OFTEN = 32
 #: Ids up to this many are broadcast (16 MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A size class 2^c has 2^c / SPREAD partitions of the frequent tokens.
+SPREAD = 16
 #: Members of a hub compared in one run; tokens of differences in one block.
 RUN, BLOCK = 2000, 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_WORDS: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """word -> 62-bit hash; the table is bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 250_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word) >> 2
+        return got
+
+
+_WORDS = _Words()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,27 +75,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word(w: bytes) -> int:
-    import xxhash
+def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; A-Z lower-cased."""
+    cut = [t.lower().split() for t in texts]
+    h = np.array([_WORDS[w] for c in cut for w in c], np.int64).view(np.uint64)
+    odd = [np.uint64(int(_MIX[i % 3]) * (2 * i + 1) % (1 << 64)) for i in range(width)]
+
+    def grams(part, k):
+        acc = np.full(max(0, len(part) - k + 1), np.uint64(k))
+        for i in range(k):
+            acc += part[i:i + len(acc)] * odd[i]
+        return mix(acc)
 
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    return _WORDS.setdefault(w, xxhash.xxh3_64_intdigest(w))
+    whole, out, at = grams(h, width), [], 0
+    for c in cut:
+        n = len(c)
+        out.append(np.unique(whole[at:at + n - width + 1]) if n >= width
+                   else grams(h[at:at + n], n) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def shingles(text: bytes, width: int = 3) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; A-Z lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    get = _WORDS.get
-    h = np.array([get(w) or _word(w) for w in words], np.uint64)
-    n = max(1, len(h) - width + 1)
-    k = min(width, len(h))
-    acc = np.full(n, np.uint64(k))
-    for i in range(k):
-        acc = mix(acc * _MIX[0] + h[i:i + n])
-    return np.unique(acc)
+    return shingle_sets([text], width)[0]
 
 
 def size_class(n: int) -> int:
@@ -88,7 +106,7 @@ def size_class(n: int) -> int:
 
 def spread_of(c: int) -> int:
     """Partitions of the frequent tokens (and tokens a prefix is extended by) in a class."""
-    return (1 << c) // 16 if c >= 5 else 0
+    return (1 << c) // SPREAD if c >= 5 else 0
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -100,8 +118,9 @@ def head_length(n: int, percent: int, c: int) -> int:
     return min(n, n - least_overlap(n, percent) + 1 + spread_of(c))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(signature hashes, frequent tokens in the set) of a sorted token set."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int):
+    """Of a sorted token set: (class, rare signatures, pair signatures, frequent tokens in the
+    prefix) for each size class it takes part in, and how many frequent tokens it has."""
     n = len(tokens)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -116,9 +135,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
         m = spread_of(c)
         salt = [np.uint64((c + 1) * int(k) % (1 << 64)) for k in _MIX]
         rare = prefix[~often[prefix]] if m else prefix
-        out.append(mix(tokens[rare] + salt[0]))
-        if m:
-            f = tokens[prefix[often[prefix]]]
+        pairs = []
+        f = tokens[prefix[often[prefix]]] if m else tokens[:0]
+        if len(f):
             part = (f >> np.uint64(7)) % np.uint64(m)
             o = np.argsort(part, kind="stable")
             f, part = f[o], part[o]
@@ -127,10 +146,12 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
                 same = part[:-step] == part[step:]
                 if not same.any():
                     break
-                a, b = f[:-step][same], f[step:][same]
-                out.append(mix(mix(np.minimum(a, b) + salt[1]) ^ np.maximum(a, b)))
+                x, y = f[:-step][same], f[step:][same]
+                pairs.append(mix(mix(np.minimum(x, y) + salt[1]) ^ np.maximum(x, y)))
                 step += 1
-    return np.unique(np.concatenate(out)), int(often.sum())
+        out.append((c, mix(tokens[rare] + salt[0]),
+                    np.unique(np.concatenate(pairs)) if pairs else tokens[:0], len(f)))
+    return out, int(often.sum())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -142,7 +163,7 @@ def node_table(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(rows, texts):
-        sets = [shingles(t, width) for t in texts]
+        sets = shingle_sets(texts, width)
         return [rows.column(0), [len(s) for s in sets],
                 [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                  for s in sets]]
@@ -163,8 +184,7 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
                                               names=["token", "n"])
 
         for _, texts in slices(batches):
-            for t in texts:
-                s = shingles(t, width)
+            for s in shingle_sets(texts, width):
                 held.append(s[:2 * head_length(len(s), percent, size_class(max(1, len(s))))])
                 n += len(held[-1])
             if n > 1 << 22:
@@ -179,6 +199,36 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
+def hub_members(signed: DataFrame, percent: int) -> DataFrame:
+    """(hub, _id): for each signature, its members and the most typical of them.
+
+    Most signatures have one member and go first. Then a set needs m + 1 shared tokens
+    in its prefix to have any partner: those that are left and the frequent ones in it.
+    Of what remains, only sets whose sizes allow a link meet."""
+    # a signature of two sets goes unless their sizes allow a link
+    shared = (signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"),
+                                        F.max("size").alias("high"))
+              .where((F.col("n") > 2) | (F.col("n") == 2) & (100 * F.col("low") >= percent * F.col("high")))
+              .select("sig"))
+    # what describes the set travels as two numbers
+    met = signed.select("sig", "_id", (F.col("size").cast("long") * 128 + F.col("class") * 2
+                                       + F.col("rare").cast("int")).alias("x"),
+                        (F.col("held").cast("long") * 1024 + F.col("often")).alias("y")).join(shared, "sig")
+    c, size = F.shiftright("x", 1).bitwiseAND(F.lit(63)), F.shiftright("x", 7)
+    m = F.when(c >= 5, F.floor(F.pow(F.lit(2), c) / SPREAD)).otherwise(0)
+    have = F.sum(F.col("x").bitwiseAND(F.lit(1))).over(Window.partitionBy("_id", c))
+    # a little wider than the largest ratio of linked sizes: partners are one step apart at most
+    step = F.floor(F.log(size.cast("double")) / F.log(F.lit(101.0 / percent)))
+    often = F.col("y").bitwiseAND(F.lit(1023)).alias("often")
+    rows = written(met.withColumn("have", have).where(F.col("have") + F.shiftright("y", 10) > m).select(
+        "sig", "_id", often, F.explode(F.array(step, step + 1)).alias("step")), "shared")
+    hubs = (rows.groupBy("sig", "step")
+            .agg(F.max(F.struct("often", "_id")).alias("top"),
+                 F.min("_id").alias("a"), F.max("_id").alias("b"))
+            .where("a != b").select("sig", "step", F.col("top._id").alias("hub")))
+    return rows.join(hubs, ["sig", "step"]).where("_id != hub").select("hub", "_id").distinct()
+
+
 def differences(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
     """(hub, id, size, hub_size, far, delta): each member's symmetric difference from its hub."""
     kind = docs.schema["_id"].dataType.simpleString()
@@ -319,26 +369,25 @@ def similar_groups(docs: DataFrame, percent: int = 90, width: int = 3, id_col: s
     shared = src.sparkSession.sparkContext.broadcast(frequent)   # at most FREQUENT numbers
 
     def sign(rows, texts):
-        take, sig, weight = [], [], []
-        for i, t in enumerate(texts):
-            s = shingles(t, width)
-            if len(s):
-                got, often = signatures(s, shared.value, percent)
-                take.append(np.full(len(got), i))
-                sig.append(got)
-                weight.append(np.full(len(got), often * 1000 // len(s), np.int32))
+        take, sig, info = [], [], []
+        for i, s in enumerate(shingle_sets(texts, width)):
+            if not len(s):
+                continue
+            classes, often = signatures(s, shared.value, percent)
+            for c, rare, pairs, held in classes:
+                for one, got in ((True, rare), (False, pairs)):
+                    take.append(np.full(len(got), i))
+                    sig.append(got)
+                    info.append((len(got), len(s), c, one, held, often * 1000 // len(s)))
         if not sig:
-            return [rows.column(0).slice(0, 0), [], []]
-        return [rows.column(0).take(pa.array(np.concatenate(take))),
-                _signed(np.concatenate(sig)), pa.array(np.concatenate(weight))]
-
-    signed = written(map_texts(alone, ["_id"], sign, f"_id {kind}, sig long, often int"),
-                     "signatures")
-    hubs = (signed.groupBy("sig").agg(F.max(F.struct("often", "_id")).alias("top"),
-                                      F.min("_id").alias("a"), F.max("_id").alias("b"))
-            .where("a != b").select("sig", F.col("top._id").alias("hub")))
-    stars = written(signed.join(hubs, "sig").where("_id != hub").select("hub", "_id").distinct(),
-                    "members")
+            return [rows.column(0).slice(0, 0), *[[]] * 6]
+        times, *cols = (np.array(x) for x in zip(*info))
+        return [rows.column(0).take(pa.array(np.concatenate(take))), _signed(np.concatenate(sig)),
+                *(pa.array(np.repeat(x, times)) for x in cols)]
+
+    signed = written(map_texts(alone, ["_id"], sign, f"_id {kind}, sig long, size int, class int, "
+                               "rare boolean, held int, often int"), "signatures")
+    stars = written(hub_members(signed, percent), "members")
     far = (100 + percent) * F.octet_length("delta") / 8 > (100 - percent) * (F.col("size") + F.col("hub_size"))
     deltas = written(differences(alone, stars, width).withColumn("far", far), "differences")
     links = (deltas.where("not far").select(F.col("_id").alias("u"), F.col("hub").alias("v"))
@@ -360,8 +409,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     gone = written(groups.where(F.col(id_col) != F.col("component_id"))
                    .select(F.col(id_col).alias("_gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    ids = groups.where(F.col(id_col) == F.col("component_id") ).groupBy(id_col).count()
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    ids = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count()
     if ids.where("count > 1").limit(1).count():   # rows that repeat an id: one of them
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(
             kept.where(F.col(id_col).isNull()))
