@@ -8,7 +8,8 @@ documents they keep, with the columns they came with, whatever those are.
   document whose language cannot be told (no letter) goes.
 * quality_rules: documents that fail the base rules or lie far from their language
   and source go.
-* ngram_jaccard: of each group of linked documents that with the smallest id stays.
+* ngram_jaccard: of each group of linked documents (five words, 80 percent) that with
+  the smallest id stays.
 * benchmark_leaks: documents that repeat a benchmark item go.
 * best_fit_packing: one row per piece of the documents that are left.
 
@@ -26,6 +27,8 @@ from ragloom.session import ensure_checkpoint_dir, ship_package
 
 #: Ids up to this many are broadcast (16 MB), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Near duplicates share this percentage of their n-grams of so many words.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
 
 
 def _ready(spark: SparkSession) -> None:
@@ -71,7 +74,7 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, percent=NEAR_PERCENT, width=NEAR_WIDTH)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

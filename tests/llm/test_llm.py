@@ -607,3 +607,19 @@ def test_pipeline(spark, odd, none, library):
         whole.where(F.col("doc_id").isin(list(kept)))).collect()}
     leaks = {r.doc_id for r in decontaminate.leaks(whole, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids == {d for d in kept if groups[d] == d} - leaks
+
+
+def test_pipeline_near_duplicates_by_five_words(spark, docs):
+    """Copies with an appendix or scattered edits go, as by brute force at five words and 0.8."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = [f"w{i}" for i in range(400)]
+    longer = text + [f"x{i}" for i in range(60)]
+    edited = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(text)]
+    other = [f"f{i}" if i % 20 == 10 else w for i, w in enumerate(text)]
+    rows = [_row(10_000 + i, " ".join(t)) for i, t in enumerate((text, longer, edited, other))]
+    d = docs.select("doc_id", "text").unionByName(
+        spark.createDataFrame(rows, DOCS).select("doc_id", "text"))
+    want = {i for i, _, low in brute_groups(d.collect(), 80, 5) if i == low}
+    got = {r.doc_id for r in pipeline.ngram_jaccard(spark, d, SF).collect()}
+    assert got == want
+    assert got & {10_000, 10_001, 10_002, 10_003} == {10_000, 10_003}
