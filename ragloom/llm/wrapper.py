@@ -4,9 +4,9 @@ Pages of one host are cut into runs of about ``RUN`` pages (a large host has man
 runs, so no host meets in one task). Within a run every page's tree of block
 elements is aligned with a reference page by simple tree matching. Aligned nodes
 whose text is the same on nearly all pages are template; the others are slots. The
-content slot is the deepest container that holds most of the varying text, or the
-article around it; its counterpart on each page gives that page's text. A page that
-does not align, or a host with a single page, falls back to its own main article or
+content slot of a page is the deepest container, or row of equal ones, that holds all
+of its varying text, or the articles in or around it, all of them in page order. A page
+that does not align, or a host with a single page, falls back to its own articles or
 densest container. Menus, page headers, footers, side bars, notices, adverts, forms,
 comments of readers, scripts and styles are left out by their element or by the
 words of their class, id or role.
@@ -36,8 +36,8 @@ HELD = 32 << 20
 DEEPEST = 200
 #: Large hosts up to this many are broadcast, more are joined by a shuffle.
 BROADCAST_HOSTS = 500_000
-#: Share of a run's pages on which a node must be the same to be template, and of the
-#: varying text that the content slot must hold.
+#: Share of a run's pages on which a node must be the same to be template, and of a slot's
+#: text beside its articles from which they are not taken for the whole.
 SAME, MOST = 0.9, 0.6
 
 #: Fixed values of the markup language.
@@ -239,27 +239,70 @@ def aligned(a: Shape, b: Shape, memo: dict) -> list[tuple[Shape, Shape]]:
     return out
 
 
-def own_root(root: Node) -> Node:
-    """The main article of a page by itself, or its densest container."""
-    best, weight, every = root, -1, []
+def tops(root: Node, tags: tuple) -> list[Node]:
+    """The outermost elements of ``tags`` in page order, without what is not the article."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.out and n is not root:
+            continue
+        if n.tag in tags:
+            out.append(n)
+        else:
+            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node))
+    return out
+
+
+def articles(root: Node) -> list[Node]:
+    """All articles of a page, or its main elements."""
+    return tops(root, ("article",)) or tops(root, ("main",))
+
+
+def own_roots(root: Node) -> list[Node]:
+    """The articles of a page by itself, or its densest container."""
+    if found := articles(root):
+        return found
+    best, weight = root, -1
     todo = [root]
     while todo:
         n = todo.pop()
         if n.out and n is not root:
             continue
-        every.append(n)
         todo.extend(k for k in n.kids if isinstance(k, Node))
-    for tags in (("article",), ("main",)):
-        found = [n for n in every if n.tag in tags and not _within(n.parent, tags)]
-        if found:
-            return max(found, key=lambda n: sum(map(len, blocks(n))))
-    for n in every:
         if n.tag in CONTAINERS:
             here = sum(len(" ".join(blocks(k))) for k in _block_kids(n)
                        if k.tag not in CONTAINERS and not k.out)
             if here > weight:
                 best, weight = n, here
-    return best
+    return [best]
+
+
+def _texts(nodes: list[Node]) -> list[str]:
+    return [b for n in nodes if not n.out for b in blocks(n)]
+
+
+def _own_text(node: Node) -> bool:
+    """Whether ``node`` has text outside its block children."""
+    todo = list(node.kids)
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            if k.strip():
+                return True
+        elif k.tag not in BLOCK and not k.out:
+            todo.extend(k.kids)
+    return False
+
+
+def _slot(shape: Shape, fresh) -> Shape:
+    """From ``shape`` down while all ``fresh`` text is in one container; what stands for
+    several nodes, or has text of its own, is not left."""
+    while len(shape.nodes) == 1 and not _own_text(shape.nodes[0]):
+        new = [k for k in shape.kids if fresh(k)]
+        if len(new) != 1 or new[0].nodes[0].tag not in CONTAINERS:
+            break
+        shape = new[0]
+    return shape
 
 
 def extract(pages: list[str]) -> list[str]:
@@ -267,51 +310,53 @@ def extract(pages: list[str]) -> list[str]:
     roots = [parse(p) for p in pages]
     shapes = [Shape([r]) for r in roots]
     if len(pages) < 2:
-        return [" ".join(blocks(own_root(r))) for r in roots]
+        return [" ".join(_texts(own_roots(r))) for r in roots]
     # the reference has the shape that most pages have
     kinds = Counter((s.size, tuple(k.label for k in s.kids)) for s in shapes)
     common = max(kinds, key=lambda k: (kinds[k], k))
     ref = next(s for s in shapes if (s.size, tuple(k.label for k in s.kids)) == common)
-    pairs, texts = [], {}
+    partners, texts = [], {}
     for s in shapes:
         got = aligned(ref, s, {})
-        pairs.append({id(x): y for x, y in got})
+        partners.append({id(y): id(x) for x, y in got})
         for x, y in got:
-            texts.setdefault(id(x), Counter())[hash(tuple(
-                b for n in y.nodes for b in ([] if n.out else blocks(n))))] += 1
-    order, todo = [], [(ref, None)]
-    while todo:
-        x, up = todo.pop()
-        order.append((x, up))
-        todo.extend((k, x) for k in x.kids)
-    template = {i for i, c in texts.items() if len(pages) > 2
-                and max(c.values()) >= SAME * len(pages)}
-    length = Counter()
-    for page in pairs:
-        for x, _ in order:
-            y = page.get(id(x))
-            if y is not None and id(x) not in template and not any(n.out for n in y.nodes):
-                length[id(x)] += sum(len(b) for n in y.nodes for b in blocks(n))
-    # from the root down: the child container that still holds most of the varying text
-    slot, total = ref, max(1, length[id(ref)])
-    while True:
-        down = [k for k in slot.kids if k.nodes[0].tag in CONTAINERS
-                and length[id(k)] >= MOST * total]
-        if not down or slot.nodes[0].tag in ("article", "main"):
-            break
-        slot = max(down, key=lambda k: length[id(k)])
+            texts.setdefault(id(x), Counter())[hash(tuple(_texts(y.nodes)))] += 1
+    same = {i for i, c in texts.items() if max(c.values()) >= SAME * len(pages)}
     out = []
-    for root, page in zip(roots, pairs):
-        y = page.get(id(slot))
-        node = y.nodes[0] if y is not None else None
-        if node is None or node.tag in ("html", "body") or node.out:
-            node = own_root(root)
-        else:
-            node = _within(node, ("article", "main")) or node
-        drop = {id(n) for x, up in order if id(x) in template and slot is not x
-                and (z := page.get(id(x))) is not None for n in z.nodes} if node.tag not in (
-                    "article", "main") else ()
-        out.append(" ".join(_kept(node, drop)))
+    for root, s, partner in zip(roots, shapes, partners):
+        def constant(y, partner=partner):
+            return partner.get(id(y)) in same
+
+        out.append(" ".join(_page(root, s, partner, constant, len(pages) > 2)))
+    return out
+
+
+def _page(root: Node, shape: Shape, partner: dict, constant, drop: bool) -> list[str]:
+    """Blocks of a page's slot without the template."""
+    if not any(y.nodes[0].tag not in ("html", "body") for y in _below(shape) if id(y) in partner):
+        return _texts(own_roots(root))
+    slot = _slot(shape, lambda y: not constant(y) and _texts(y.nodes))
+    around = [_within(n, ("article", "main")) for n in slot.nodes]
+    found = articles(root)
+    if all(around) and found:
+        return _texts(found if any(n in found for n in around) else
+                      tops(root, (around[0].tag,)) or found)
+    hidden = {id(n) for y in _below(slot) if y is not slot and constant(y)
+              for n in y.nodes} if drop else ()
+    kept = [b for n in slot.nodes if not n.out for b in _kept(n, hidden)]
+    # what is marked as the article, unless most of the text is beside it
+    inside = _texts(found)
+    if sum(map(len, inside)) >= (1 - MOST) * sum(map(len, kept)) and inside:
+        return inside
+    return kept
+
+
+def _below(shape: Shape) -> list[Shape]:
+    out, todo = [], [shape]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo.extend(x.kids)
     return out
 
 

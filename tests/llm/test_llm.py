@@ -159,6 +159,20 @@ def test_main_text_by_induction():
     assert wrapper.extract([page(0, "<p>Only one page here")]) == ["Head 0 Only one page here"]
 
 
+def test_main_text_of_several_containers():
+    for n in (2, 5):
+        for a, b in (("<div>", "</div>"), ("<section>", "</section>"), ("<table><tr><td>", "</table>")):
+            pages = [page(i, "".join(f"{a}part {k} of {i}{b}" for k in range(3))) for i in range(n)]
+            assert wrapper.extract(pages) == [f"Head {i} " + " ".join(
+                f"part {k} of {i}" for k in range(3)) for i in range(n)]
+        pages = [page(i, f"<div><p>{'long ' * 20}{i}</div><div class=rest><p>short {i}</div>") for i in range(n)]
+        assert wrapper.extract(pages) == [f"Head {i} {'long ' * 20}{i} short {i}" for i in range(n)]
+        pages = [f"<ul class=menu><li>x</ul><article><p>one {i}</article><article><p>two, longer {i}"
+                 f"</article><div>side</div>" for i in range(n)]
+        assert wrapper.extract(pages) == [f"one {i} two, longer {i}" for i in range(n)]
+        assert wrapper.extract(pages[:1]) == ["one 0 two, longer 0"]
+
+
 def test_tree_matching_is_maximal():
     a, b = (wrapper.Shape([wrapper.parse(t)]) for t in (
         "<div><p>a<p>b<ul><li>x</ul></div><h2>t</h2>", "<h2>u</h2><div><p>a<ul><li>x<li>y</ul></div>"))
