@@ -3,11 +3,11 @@
 Pages of one host are cut into runs of about ``RUN`` pages (a large host has many
 runs, so no host meets in one task). Within a run every page's tree of block
 elements is aligned with a reference page by simple tree matching. Aligned nodes
-whose text is the same on nearly all pages are template; the others are slots. The
-content slot of a page is the deepest container, or row of equal ones, that holds all
-of its varying text, or the articles in or around it, all of them in page order. A page
-that does not align, or a host with a single page, falls back to its own articles or
-densest container. Menus, page headers, footers, side bars, notices, adverts, forms,
+whose text is the same on nearly all pages, of which copies count once, are template
+where they have that text; the others are slots. The content slot of a page is the
+deepest container, or row of equal ones, that holds all of its varying text, or the
+articles in or around it, all of them in page order. A page that does not align, or a
+host with a single text, falls back to its own articles or densest container. Menus, page headers, footers, side bars, notices, adverts, forms,
 comments of readers, scripts and styles are left out by their element or by the
 words of their class, id or role.
 
@@ -311,23 +311,30 @@ def extract(pages: list[str]) -> list[str]:
     shapes = [Shape([r]) for r in roots]
     if len(pages) < 2:
         return [" ".join(_texts(own_roots(r))) for r in roots]
+    # copies count once, or their text would be the same everywhere and so template
+    distinct = list({tuple(blocks(r)): i for i, r in reversed([*enumerate(roots)])}.values())
+    if len(distinct) < 2:
+        return [" ".join(_texts(own_roots(r))) for r in roots]
     # the reference has the shape that most pages have
-    kinds = Counter((s.size, tuple(k.label for k in s.kids)) for s in shapes)
+    kinds = Counter((shapes[i].size, tuple(k.label for k in shapes[i].kids)) for i in distinct)
     common = max(kinds, key=lambda k: (kinds[k], k))
     ref = next(s for s in shapes if (s.size, tuple(k.label for k in s.kids)) == common)
-    partners, texts = [], {}
-    for s in shapes:
+    counted, partners, texts = set(distinct), [], {}
+    for p, s in enumerate(shapes):
         got = aligned(ref, s, {})
         partners.append({id(y): id(x) for x, y in got})
-        for x, y in got:
-            texts.setdefault(id(x), Counter())[hash(tuple(_texts(y.nodes)))] += 1
-    same = {i for i, c in texts.items() if max(c.values()) >= SAME * len(pages)}
+        if p in counted:
+            for x, y in got:
+                texts.setdefault(id(x), Counter())[hash(tuple(_texts(y.nodes)))] += 1
+    template = {i: t for i, c in texts.items() for t, n in c.most_common(1)
+                if n >= SAME * len(distinct)}
     out = []
     for root, s, partner in zip(roots, shapes, partners):
         def constant(y, partner=partner):
-            return partner.get(id(y)) in same
+            x = partner.get(id(y))
+            return x in template and template[x] == hash(tuple(_texts(y.nodes)))
 
-        out.append(" ".join(_page(root, s, partner, constant, len(pages) > 2)))
+        out.append(" ".join(_page(root, s, partner, constant, len(distinct) > 2)))
     return out
 
 

@@ -173,6 +173,19 @@ def test_main_text_of_several_containers():
         assert wrapper.extract(pages[:1]) == ["one 0 two, longer 0"]
 
 
+def test_main_text_of_copies():
+    body = "<p>" + "copied text " * 9 + "<p>second paragraph"
+    copy, text = page(7, body), "Head 7 " + "copied text " * 9 + "second paragraph"
+    for others in (0, 1, 4):        # 20 copies, with and without other pages of the host
+        pages = [copy] * 20 + [page(i, f"<p>text of {i}<p>more of {i}") for i in range(others)]
+        assert wrapper.extract(pages) == [text] * 20 + [
+            f"Head {i} text of {i} more of {i}" for i in range(others)]
+    # a node that is the same on nearly all pages, where a page differs
+    pages = [page(i, f"<p>text of {i}").replace("Always the same", "Not here" if i == 3 else "Always the same")
+             for i in range(20)]
+    assert wrapper.extract(pages) == [f"Head {i} text of {i}" + " Not here" * (i == 3) for i in range(20)]
+
+
 def test_tree_matching_is_maximal():
     a, b = (wrapper.Shape([wrapper.parse(t)]) for t in (
         "<div><p>a<p>b<ul><li>x</ul></div><h2>t</h2>", "<h2>u</h2><div><p>a<ul><li>x<li>y</ul></div>"))
