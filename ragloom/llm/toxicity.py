@@ -2,10 +2,11 @@
 
 Writers hide words by leetspeak, spacing and repetition. Every token that could be
 so written is a lattice: a look-alike character may stand for one of its letters or
-for nothing, a repeated letter may be dropped, a separator between single letters
-may join them or end the word. Viterbi decoding under a character language model
+for nothing, a repeated letter may be dropped, a separator between letters, or a space
+between short pieces, may join them or end the word. Viterbi decoding under a character language model
 (4-grams with back-off, counted over the whole corpus) picks the likeliest reading;
-a token without such characters has one reading, itself, and is not decoded.
+a token without such characters has one reading, itself, and is not decoded. A token
+whose letters are only doubled counts as it stands, too.
 
 Restored words and their beginnings (``PREFIXES`` letters) are the evidence. From
 labelled texts, each distinct text once, those are kept that toxic texts hold with a
@@ -55,7 +56,9 @@ Z, CERTAIN, CERTAIN_BEGINNING = 2.5, 0.4, 0.7
 BROADCAST_IDS = 1_000_000
 KEEP = 400_000
 _K, _M = 0x01000193, 0xFFFFFFFF
-_TRIPLE = re.compile(r"(.)\1\1")
+#: Letters of a piece that a spaced word may be cut into.
+SHORT = 4
+_TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 
 
 def _bucket(gram: str) -> int:
@@ -113,11 +116,26 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
+class _Pieces(dict):
+    """token -> its letters if they may be a piece of a spaced word, or an empty string."""
+
+    def __missing__(self, token: str) -> str:
+        core = token.strip(EDGE)
+        if not 0 < len(core) <= SHORT or not (core.isalpha() or any(
+                c.isalpha() for c in core) and all(c.isalpha() or c in LEET for c in core)):
+            core = ""
+        if len(self) > KEEP:
+            self.clear()
+        self[token] = core
+        return core
+
+
 class Decoder:
     """Restored words of a text under a table of n-gram counts."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.costs, self.known = table, {}, {}
+        self.table, self.costs, self.known, self.joined = table, {}, {}, {}
+        self.pieces = _Pieces()
         self.total = max(1.0, float(table.sum()) / ORDER)
 
     def cost(self, context: str, c: str) -> float:
@@ -171,12 +189,32 @@ class Decoder:
             letters.append(letter)
         return tuple("".join(reversed(letters)).split())
 
+    def undoubled(self, word: str) -> tuple[str, ...]:
+        """``viterbi`` of letters of which none is repeated more than once."""
+        at = [m.start() for m in _DOUBLE.finditer(word)]
+        if len(at) > 2:
+            return self.viterbi(word)
+        readings = [(0.0, word)]
+        for i in reversed(at):           # the few readings one by one
+            readings += [(fee + COST_DOUBLE, w[:i] + w[i + 1:]) for fee, w in readings]
+        best = None
+        for value, w in readings:
+            context = "^" * (ORDER - 1)
+            for c in w + "$":
+                value += self.cost(context, c)
+                context = context[1:] + c
+            if best is None or value < best[0]:
+                best = (value, w)
+        return (best[1],)
+
     def token(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
             core = token.strip(EDGE)
             if core.isalpha():
                 got = (core,) if not _TRIPLE.search(core) else self.viterbi(core)
+                if got == (core,) and _DOUBLE.search(core):     # a true pair stays beside
+                    got += tuple(w for w in self.undoubled(core) if w != core)
                 # the look-alikes at the edges may belong to the word
                 if len(core) < len(token) and any(c in "$@+|!(" for c in token):
                     inner = token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_")
@@ -192,11 +230,59 @@ class Decoder:
             self.known[token] = got
         return got
 
+    def spaced(self, run: tuple[str, ...]) -> tuple[str, ...]:
+        """Words that the likeliest reading of short pieces in a row joins from several."""
+        got = self.joined.get(run)
+        if got is None:
+            if not all(p.isalpha() for p in run):
+                plain = {w for p in run for w in self.token(p)}
+                got = tuple(w for w in self.viterbi(" ".join(run)) if w not in plain)
+            else:
+                got = self._joined(run)
+            if len(self.joined) > KEEP:
+                self.joined.clear()
+            self.joined[run] = got
+        return got
+
+    def _joined(self, run: tuple[str, ...]) -> tuple[str, ...]:
+        start, cost = "^" * (ORDER - 1), self.cost
+        best: dict[str, tuple[float, tuple]] = {start: (0.0, ())}
+        for piece in run:                # a state is the last letters; the cheaper stays
+            nxt: dict[str, tuple[float, tuple]] = {}
+            for last, (so_far, path) in best.items():
+                options = [(last, so_far + COST_JOIN, True)] if path else []
+                options.append((start, so_far + (cost(last, "$") + COST_BREAK if path else 0.0), False))
+                for context, value, joins in options:
+                    for c in piece:
+                        value += cost(context, c)
+                        context = context[1:] + c
+                    if context not in nxt or value < nxt[context][0]:
+                        nxt[context] = (value, (path, joins))
+            best = nxt
+        path = min(((v + cost(x, "$"), p) for x, (v, p) in best.items()), key=lambda e: e[0])[1]
+        out, word = [], []
+        for piece in reversed(run):
+            path, joins = path
+            word.append(piece)
+            if not joins:
+                if len(word) > 1:
+                    out.append("".join(reversed(word)))
+                word = []
+        return tuple(out)
+
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
         out: set[str] = set()
         for t in set(tokens):
             out.update(self.token(t))
+        pieces: list[str] = []
+        for p in [*map(self.pieces.__getitem__, tokens), ""]:
+            if p:                        # short pieces in a row are one lattice
+                pieces.append(p)
+            elif pieces:
+                if len(pieces) > 1:
+                    out.update(self.spaced(tuple(pieces)))
+                pieces = []
         short = [i for i, t in enumerate(tokens) if len(t) == 1]
         run: list[int] = []
         for i in [*short, -9]:           # single characters in a row are one lattice

@@ -367,6 +367,39 @@ def test_decoder_restores_hidden_words():
     assert d.words("") == set() and d.token("12345") == ()
 
 
+def test_decoder_restores_doubled_and_split_words():
+    text = ("idiot stupid pathetic trash loser disgusting the and their there read writing story "
+            "is a of in to it book all letter green tree ") * 50
+    d = toxicity.Decoder(toxicity.count_grams(Counter(text.split())))
+    for hidden, word in [("idioot", "idiot"), ("stuupid", "stupid"), ("iiddiioott", "idiot")]:
+        assert word in d.token(hidden), (hidden, d.token(hidden))
+    for plain in ("book", "all", "letter", "green", "tree"):
+        assert d.token(plain) == (plain,)
+    for hidden, word in [("id iot", "idiot"), ("st u pid", "stupid"), ("tra sh,", "trash"),
+                         ("path etic", "pathetic"), ("1d iot", "idiot")]:
+        assert word in d.words(f"a very {hidden} story"), hidden
+    assert d.words("it is in the book of all") == set("it is in the book of all".split())
+
+
+def test_joined_pieces_equal_exhaustive_search():
+    import itertools
+
+    d = toxicity.Decoder(toxicity.count_grams(Counter("idiot stupid the it is in into to a".split() * 9)))
+    for run in ("id iot", "st u pid", "in to the", "it is a st upid id iot", "i t is"):
+        pieces, best = run.split(), None
+        for cut in itertools.product((False, True), repeat=len(pieces) - 1):
+            words, cost = [pieces[0]], 0.0
+            for c, p in zip(cut, pieces[1:]):
+                cost += toxicity.COST_BREAK if c else toxicity.COST_JOIN
+                words = [*words, p] if c else [*words[:-1], words[-1] + p]
+            for w in words:
+                context = "^^^"
+                for c in w + "$":
+                    cost, context = cost + d.cost(context, c), (context + c)[-3:]
+            best = min(best or (cost, words), (cost, words))
+        assert set(d.spaced(tuple(pieces))) == {w for w in best[1] if w not in pieces}
+
+
 def test_viterbi_equals_exhaustive_search():
     import itertools
 
