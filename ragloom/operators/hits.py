@@ -10,8 +10,11 @@ by the retriever's k.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,3 +220,72 @@ def merge_interleave_tagged(hits: DataFrame, qid: str = QID, rank: str = "rank",
     """R3 over lists already stacked in one DataFrame and tagged by ``src``."""
     w = Window.partitionBy(qid).orderBy(rank, src)
     return hits.withColumn(rank, F.row_number().over(w)).drop(src)
+
+
+#: Turns of a conversation that are scored against its questions in one group.
+TURN_BLOCK = 2000
+
+
+def best_later(questions: DataFrame, turns: DataFrame, blocks: DataFrame, top_n: int) -> DataFrame:
+    """(question_id, turn, content, score): of all turns after ``a_turn`` in a question's
+    conversation a superset of the best ``top_n`` by ``overlap_score`` (ties: the earlier).
+
+    ``blocks`` (conv_id, n) names conversations that are cut: each block of questions meets
+    each block of turns in a group of its own, and only its best leave it."""
+
+    def cut(df, mine, other):
+        n = F.coalesce("n", F.lit(1))
+        return (df.where(F.col("conv_id").isNotNull()).join(F.broadcast(blocks), "conv_id", "left")
+                .withColumn(mine, F.pmod(F.xxhash64("turn"), n))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), n - 1))))
+
+    def hashed(text):
+        return F.transform(F.array_distinct(TX.words(F.col(text))), lambda w: F.xxhash64(w))
+
+    left = cut(questions.withColumnRenamed("a_turn", "turn"), "i", "j").select(
+        "conv_id", F.col("i").cast("int"), F.col("j").cast("int"), F.lit(1).alias("side"),
+        F.col("turn").cast("long"), QID, hashed("question").alias("words"))
+    right = cut(turns, "j", "i").select(
+        "conv_id", F.col("i").cast("int"), F.col("j").cast("int"), F.lit(0).alias("side"),
+        F.col("turn").cast("long"), F.col("text").alias(QID), hashed("text").alias("words"))
+
+    def run(batches):
+        rows = (r for b in batches for at in range(0, b.num_rows, 256)
+                for r in zip(*(c.slice(at, 256).to_pylist() for c in b.columns)))
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            held, asked = [], None
+            out = []
+            for _, _, _, side, turn, text, words in group:
+                if not side:
+                    held.append((turn, text, words))
+                    continue
+                if asked is None:
+                    at = np.array([t for t, _, _ in held], np.int64)
+                    known = np.array([w is not None for _, _, w in held], bool)
+                    token = np.array([x for _, _, w in held for x in w or ()], np.int64)
+                    owner = np.repeat(np.arange(len(held)), [len(w or ()) for _, _, w in held])
+                    order = np.argsort(token, kind="stable")
+                    token, owner, asked = token[order], owner[order], True
+                score = np.zeros(len(held))
+                for x in words or ():
+                    lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+                    score[owner[lo:hi]] += 1
+                score /= max(1, len(words or ()))
+                score[~known if words is not None else slice(None)] = -1
+                later = np.flatnonzero(at > turn)
+                for k in later[np.lexsort((at[later], -score[later]))[:top_n]]:
+                    out.append((text, int(at[k]), held[k][1], score[k] if score[k] >= 0 else None))
+                if len(out) > 1000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.float64()))],
+            names=[QID, "turn", "content", "score"])
+
+    return (left.unionByName(right).repartition("conv_id", "i", "j")
+            .sortWithinPartitions("conv_id", "i", "j", "side", "turn")
+            .mapInArrow(run, f"{QID} string, turn long, content string, score double"))

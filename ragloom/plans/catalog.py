@@ -331,7 +331,6 @@ def stop_truncate(spark, sf):
 
 
 CONTEXT_TOP_N = 3
-CONTEXT_TURNS = 8
 
 
 def user_turns(c: DataFrame) -> DataFrame:
@@ -345,35 +344,43 @@ def user_turns(c: DataFrame) -> DataFrame:
 def conversation_questions(spark, sf):
     """Question records: every user turn = question, lines of the assistant turn
     after it = options (through a record map and P2), answer ``option 1: <line 1>``,
-    context = those of the next ``CONTEXT_TURNS`` turns after the answer that best
-    overlap the question (R6 top 3, P3), explanation = the last assistant turn among
-    them (NULL if none). Turns meet by equi-joins on (conversation, turn), so a long
-    conversation costs as much as its turns."""
+    context = those of all turns after the answer that best overlap the question (R6
+    top 3, P3), explanation = the last assistant turn of the conversation if it is after
+    the answer (else NULL). Long conversations are cut into blocks of turns."""
     c = _t(spark, sf, "conversations")
     reply = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("u_turn"), F.col("turn").alias("a_turn"),
         F.col("text").alias("a_text"))
-    u = user_turns(c).join(reply, ["conv_id", "u_turn"], "left")
-    later = (u.where(F.col("a_turn").isNotNull())
-             .select("conv_id", "question_id", "question", F.explode(F.sequence(
-                 F.col("a_turn") + 1, F.col("a_turn") + CONTEXT_TURNS)).alias("turn"))
-             .join(c.select("conv_id", "turn", "role", F.col("text").alias("content")),
-                   ["conv_id", "turn"]))
-    last = (later.where(F.col("role") == "assistant").groupBy("question_id")
-            .agg(F.max_by("content", "turn").alias("explanation")))
+    # conversations of several blocks, at most turns / TURN_BLOCK
+    blocks = (c.groupBy("conv_id").agg(F.ceil(F.count(F.lit(1)) / H.TURN_BLOCK).cast("int").alias("n"))
+              .where("n > 1"))
+    n = F.coalesce("n", F.lit(1))
+    u = (user_turns(c).join(reply, ["conv_id", "u_turn"], "left")
+         .join(F.broadcast(blocks), "conv_id", "left")
+         .withColumn("_part", F.pmod(F.xxhash64("u_turn"), n)).drop("n"))
+    later = H.best_later(u.where(F.col("a_turn").isNotNull())
+                         .select("conv_id", "question_id", "question", "a_turn"),
+                         c.select("conv_id", "turn", "text"), blocks, CONTEXT_TOP_N)
+    last = (c.where(F.col("role") == "assistant").groupBy("conv_id")
+            .agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("last_turn"))
+            .join(F.broadcast(blocks), "conv_id", "left")
+            .select("conv_id", "last_text", "last_turn",
+                    F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("_part")))
+    u = u.join(last, ["conv_id", "_part"], "left").withColumn(
+        "explanation", F.when(F.col("last_turn") > F.col("a_turn"), F.col("last_text")))
     lines = F.coalesce(TX.line_list(F.col("a_text")), F.array().cast("array<string>"))
     opt = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("option "), (i + 1).cast("string"))
                                                    .alias("key"), x.alias("value")))
     rec = F.map_from_entries(F.concat(F.array(F.struct(F.lit("question").alias("key"),
                                                        F.col("question").alias("value"))), opt))
     key = F.concat(F.lit("question "), F.col("question_id"))
-    q = u.join(last, "question_id", "left").select(
+    q = u.select(
         TX.question_number(key).alias("question_id"), "conv_id", "question",
         TX.option_entries(rec).alias("options"),
         F.when(F.size(lines) > 0, F.concat(F.lit("option 1: "), F.element_at(lines, 1)))
         .alias("answer"), "explanation")
-    ctx = H.rerank_topn(later.withColumnRenamed("turn", "rank"), CONTEXT_TOP_N).select(
-        "question_id", "rank", "content")
+    ctx = H.rerank_topn(later.withColumnRenamed("turn", "rank"), CONTEXT_TOP_N,
+                        F.col("score")).select("question_id", "rank", "content")
     return q, ctx
 
 

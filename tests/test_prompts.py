@@ -105,3 +105,45 @@ def test_compress_and_multi_query_prompts(spark):
     assert r.p.startswith("<|system|>\n") and "not exceeding 7 words.</s>\n<|user|>" in r.p
     assert r.p.endswith("Question:\nQ</s>\n<|assistant|>\n")
     assert r.m.endswith("separated by newlines.\n    Q\n    ")
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_context_of_long_conversations(spark, tmp_dir, monkeypatch, block):
+    """All later turns are ranked, and the last assistant turn of the conversation explains."""
+    import random
+    import re
+
+    from ragloom.operators import hits as H
+    from ragloom.plans import catalog
+
+    monkeypatch.setattr(H, "TURN_BLOCK", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(conv, t, "assistant" if t % 2 else "user",
+             None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(0, 9))))
+            for conv, n in ((1, 61), (2, 6), (3, 1)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_dir}/conversations.parquet")
+    q, ctx = catalog.conversation_questions(spark, tmp_dir)
+    got = {r.question_id: r.explanation for r in q.collect()}
+    near = {}
+    for r in ctx.collect():
+        near.setdefault(r.question_id, {})[r["rank"]] = r.content
+
+    def share(a, b):
+        if a is None or b is None:
+            return -1
+        a, b = (set(re.findall(r"\w+", x)) for x in (a, b))
+        return len(a & b) / max(1, len(a))
+
+    asked = [r for r in rows if r[2] == "user"]
+    assert len(got) == len(asked)
+    for conv, t, _, text in asked:
+        later = [r for r in rows if r[0] == conv and r[1] > t + 1]
+        if not any(r[0] == conv and r[1] == t + 1 for r in rows):
+            later = []
+        said = [r[3] for r in later if r[2] == "assistant"]
+        key = f"{conv}-{t}"
+        best = [r[3] for r in sorted(later, key=lambda r: (-share(text, r[3]), r[1]))[:3]]
+        assert got[key] == (said[-1] if said else None)
+        assert near.get(key, {}) == dict(enumerate(best, 1))
