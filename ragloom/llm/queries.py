@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, packing, quality_model, quality_rules, toxicity, url_rules, wavelet, wrapper
+from . import (decontaminate, jaccard_join, langid, packing, quality_model, quality_rules, repair,
+               token_counts, toxicity, url_rules, wavelet, whitening, wrapper)
 from .common import remainder
 
 #: Fixed values of the URL query: host, path, verdict.
@@ -70,9 +71,23 @@ def op10_quality_rules(spark, sf):
     return quality_rules.judge_quality(_t(spark, sf, "documents"))
 
 
+def op11_conversation_repair(spark, sf):
+    turns = _t(spark, sf, "conversations")
+    return repair.repair(repair.damaged(turns), turns)
+
+
+def op12_whitening(spark, sf):
+    return whitening.whiten(_t(spark, sf, "embeddings"))
+
+
+def op13_token_counts(spark, sf):
+    return token_counts.count_tokens(_t(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_model, op2_url_rules, op3_main_text, op4_best_fit_packing, op5_language_id,
-    op6_toxicity, op7_benchmark_leaks, op8_wavelet_tokens, op9_ngram_jaccard, op10_quality_rules)}
+    op6_toxicity, op7_benchmark_leaks, op8_wavelet_tokens, op9_ngram_jaccard, op10_quality_rules,
+    op11_conversation_repair, op12_whitening, op13_token_counts)}
 
 SQL = {
     "op2_url_rules": r"""
