@@ -49,38 +49,44 @@ def reverse_order(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def hash_threshold(df: DataFrame, n: int, id_col: str, seed: int | str, digits: int = 5):
     """The first ``n`` rows in the seeded hash order, as a condition.
 
-    A histogram of the first ``digits`` hash digits (at most 16 ** digits rows) gives the
+    Rows without an id come after all others and cannot be told apart: where the cut
+    falls among them, all of them are beyond it. A histogram of the first ``digits`` hash digits (at most 16 ** digits rows) gives the
     bucket in which the n-th row lies; only that bucket's keys are ordered."""
     h = hash_order(id_col, seed)
     bucket = F.substring(h, 1, digits)
     # one row a bucket, at most 16 ** digits
     total, last = 0, None
+    df = df.where(F.col(id_col).isNotNull())
     for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy("b").toLocalIterator():
         if total + r["c"] > n:
             last = r["b"]
             break
         total += r["c"]
     if last is None:
-        return F.lit(True)
+        return F.col(id_col).isNotNull()
     edge = (df.where(bucket == last).select(h.alias("h"), F.col(id_col).alias("i"))
             .orderBy("h", "i").offset(n - total).limit(1).first())
-    return (h < F.lit(edge["h"])) | ((h == F.lit(edge["h"])) & (F.col(id_col) < F.lit(edge["i"])))
+    return F.coalesce((h < F.lit(edge["h"]))
+                      | ((h == F.lit(edge["h"])) & (F.col(id_col) < F.lit(edge["i"]))), F.lit(False))
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 123) -> DataFrame:
-    """O3: exactly ``n`` rows picked by a seeded hash order; ``n < 0`` keeps all. A filter:
-    no sort and no shuffle of the rows. Ids must be unique."""
-    return df if n < 0 else df.where(hash_threshold(df, n, id_col, seed))
+    """O3: exactly ``n`` rows picked by a seeded hash order; ``n < 0`` or ``n`` of at least
+    the number of rows keeps all. A filter: no sort and no shuffle of the rows. Ids must be
+    unique; rows without one are taken only together with all others."""
+    return df if n < 0 or n >= df.count() else df.where(hash_threshold(df, n, id_col, seed))
 
 
 def exact_split(df: DataFrame, id_col: str, test_size: float = 0.1, seed: int = 123,
                 split_col: str = "split") -> DataFrame:
     """Shuffled train/test split with exactly ``ceil(test_size * n)`` test rows; like
-    ``sample_n`` a filter. Ids must be unique."""
+    ``sample_n`` a filter. Ids must be unique; rows without one count, and are train unless
+    every row is a test row."""
     ids = df.select(id_col)
-    n_test = math.ceil(test_size * ids.count())
-    return df.withColumn(split_col, F.when(hash_threshold(ids, n_test, id_col, seed), F.lit("test"))
-                         .otherwise(F.lit("train")))
+    n = ids.count()
+    n_test = math.ceil(test_size * n)
+    first = F.lit(True) if n_test >= n else hash_threshold(ids, n_test, id_col, seed)
+    return df.withColumn(split_col, F.when(first, F.lit("test")).otherwise(F.lit("train")))
 
 
 def sort_by_id(df: DataFrame, id_col: str = "Question_ID") -> DataFrame:

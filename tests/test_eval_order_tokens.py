@@ -126,3 +126,15 @@ def test_turn_mask(spark):
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, labels array<int>")
     got = {r.i: r.labels for r in TK.turn_mask(df, [8], [9]).collect()}
     assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+
+
+def test_split_and_sample_with_null_ids(spark):
+    df = spark.range(130).select(F.when(F.col("id") >= 30, F.col("id")).alias("id"))
+    for n, want in ((0, 0), (25, 25), (99, 99), (100, 100), (130, 130), (-1, 130)):
+        got = OR.sample_n(df, n, "id")
+        assert got.count() == want and (want == 130 or got.where("id is null").count() == 0)
+    assert OR.sample_n(df, 110, "id").count() == 100      # the cut falls among rows without id
+    small = df.limit(110)
+    for share, want in ((0.5, 55), (0.0, 0), (1.0, 110)):
+        split = OR.exact_split(small, "id", share)
+        assert split.where("split = 'test'").count() == want and split.count() == 110
