@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,25 @@ def generate(prompt, name: str, max_new_tokens: int = 4, batch_size: int = 128,
     return _gen(prompt if isinstance(prompt, Column) else F.col(prompt))
 
 
+def generate_distinct(df: DataFrame, name: str, prompt: str = "prompt", out: str = "generated",
+                      max_new_tokens: int = 4, batch_size: int = 128,
+                      make: Callable | None = None) -> DataFrame:
+    """E4 over a table: every distinct prompt is generated once, and ``out`` joins each row
+    by its prompt's hash. Prompts are dealt by hash and sorted by length, so a batch holds
+    prompts of similar length; equal prompts are merged before the shuffle. The generated
+    texts are written below ``spark.checkpoint.dir``: a second read asks no model."""
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    keyed = df.withColumn("_h", F.sha2(F.coalesce(F.col(prompt), F.lit("")), 256))
+    once = (keyed.groupBy("_h").agg(F.first(F.coalesce(F.col(prompt), F.lit(""))).alias("_p"))
+            .sortWithinPartitions(F.length("_p"), "_h"))
+    texts = once.select("_h", generate(F.col("_p"), name, max_new_tokens, batch_size, make).alias(out))
+    path = scratch_path(spark, "generated")
+    texts.write.parquet(path)
+    return keyed.join(spark.read.schema(texts.schema).parquet(path), "_h").drop("_h")
+
+
 def cross_score(question, text, name: str, batch_size: int = 256,
                 make: Callable | None = None) -> Column:
     """(question, chunk text) -> relevance score from a registered scorer."""

@@ -9,10 +9,9 @@ Plan (no cross join, no all-pairs rows):
   a ``row_number`` window on the query id then picks the global top-k
   (Spark plans it as WindowGroupLimit, so the partial limit also runs before
   the shuffle).
-* block form (query set over the broadcast limit): queries and vectors are
-  hashed into blocks, each vector block is paired with each query block by
-  an equi-join key and a ``cogroup().applyInPandas`` kernel computes the
-  local top-k of one (query block, vector block) pair; the same window merges.
+* code form (query set over the broadcast limit): ``vafile.knn_codes``, where
+  one-byte codes of both sides meet block by block and only survivors are
+  scored on the full vectors; payload is fetched by id after the merge.
 
 Distances (float64 from the stored floats): ``l2`` squared Euclidean (the
 vector store's default), ``cosine`` 1 - cos, ``ip`` 1 - dot. Ordering is by
@@ -23,8 +22,6 @@ matrix product and re-scored exactly per pair.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,7 +31,6 @@ from pyspark.sql import types as T
 METRICS = ("l2", "cosine", "ip")
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 BROADCAST_CONF = "ragloom.knn.maxBroadcastBytes"   # session setting, bytes
-BLOCK_BYTES = 64 << 20   # per-side size of one (query block, vector block) group
 _CELLS = 4 << 20       # distances held at once inside a task
 _PAIRS = 1 << 20       # numbers re-scored at once
 _MAX_DIM = 4096        # widest common embedding; bounds the query block by its row count
@@ -209,12 +205,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         if Q.nbytes > max_broadcast_bytes:       # wider than assumed: take the block form
             dim, Q = Q.shape[1], None
     if Q is None:
-        local = _knn_blocks(q.where(F.col("_qv").isNotNull()), v, k, metric, schema,
-                            with_vectors, payload, rank_digits, n_q, dim, max_broadcast_bytes)
-    else:
-        bc = spark.sparkContext.broadcast((qids, Q))
-        local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
-                                          schema), schema)
+        from .vafile import knn_codes
+
+        found = knn_codes(queries, vectors, k, metric, query_id, query_vec, vector_id, vector_vec,
+                          rank_digits)
+        if not payload and not with_vectors:
+            return found
+        rest = vectors.select(vector_id, *payload, *(
+            [F.col(vector_vec).cast("array<float>").alias("cand_vec")] if with_vectors else []))
+        return found.join(rest, vector_id).select(*found.columns, *[
+            c for c in rest.columns if c != vector_id])
+    bc = spark.sparkContext.broadcast((qids, Q))
+    local = v.mapInArrow(_scan_kernel(bc, k, metric, with_vectors, payload, rank_digits,
+                                      schema), schema)
     local = _tree_level(local, k, fan_in)
     w = Window.partitionBy("_qid").orderBy("_key", "_vid")
     out = (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -284,39 +287,3 @@ def _list_array(m: np.ndarray) -> pa.Array:
     n, d = m.shape
     offsets = np.arange(0, (n + 1) * d, d, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.reshape(-1).astype(np.float32)))
-
-
-def _knn_blocks(q, v, k, metric, schema, with_vectors, payload, rank_digits, n_q, dim,
-                max_bytes):
-    """Block form: no driver collect; every (query block, vector block) pair is one group."""
-    # each cogroup holds one query block and one vector block in pandas;
-    # blocks are kept to BLOCK_BYTES of float64 whatever the broadcast limit
-    row_bytes = max(dim, 1) * 8
-    n_v = v.count()
-    block = min(max_bytes, BLOCK_BYTES)
-    qb = max(1, math.ceil(n_q * row_bytes / block))
-    vb = max(1, math.ceil(n_v * row_bytes / block))
-    qx = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
-          .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))))
-    vx = (v.withColumn("_vb", F.pmod(F.xxhash64("_vid"), F.lit(vb)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-    def pair(qp, vp):
-        import pandas as pd
-
-        vp = vp[vp["_vv"].notna()]
-        if len(qp) == 0 or len(vp) == 0:
-            return empty_frame(schema)
-        Q = np.stack(qp["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).values)
-        V = np.stack(vp["_vv"].map(lambda a: np.asarray(a, dtype=np.float64)).values)
-        vids = vp["_vid"].to_numpy()
-        r, c, d, key = topk_block(Q, V, vids, k, metric, rank_digits)
-        out = {"_qid": qp["_qid"].to_numpy()[r], "_vid": vids[c], "_dist": d, "_key": key}
-        for p in payload:
-            out[p] = vp[p].to_numpy()[c]
-        if with_vectors:
-            out["cand_vec"] = [V[i].astype(np.float32) for i in c]
-        return pd.DataFrame(out)
-
-    return (qx.groupBy("_qb", "_vb").cogroup(vx.groupBy("_qb", "_vb"))
-            .applyInPandas(pair, schema))

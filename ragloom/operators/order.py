@@ -41,6 +41,36 @@ def row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
             .drop("_mid", "_p", "_off"))
 
 
+def group_rank(df: DataFrame, group: list[str], order: list, name: str = "rank") -> DataFrame:
+    """``name`` = 1-based place of each row in ``order`` within its ``group`` (which together
+    must be a total order), exact for groups of any size: rows are sorted by ranges, so a
+    large group lies in many partitions, and the rows of a group in earlier partitions are
+    summed over one small row per (partition, group at its edge)."""
+    keys = [F.col(g).asc_nulls_first() for g in group]
+    spark = df.sparkSession
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    mid = (df.withColumnRenamed(name, "_old") if name in df.columns else df)
+    order = ["_old" if c == name else c for c in order]
+    mid = (mid.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
+           .checkpoint(eager=True))
+    part = F.shiftright(F.col("_mid"), 33)
+    # first row number and size of every group in every partition, aggregated per task
+    runs = mid.groupBy(*group, part.alias("_p")).agg(F.min("_mid").alias("_first"),
+                                                     F.count(F.lit(1)).alias("_c"))
+    ahead = F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(
+        Window.unboundedPreceding, -1))
+    runs = runs.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_p", "_first",
+                       F.coalesce(ahead, F.lit(0)).alias("_before"))
+    same = part == F.col("_p")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return (mid.join(runs, same)
+            .withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("int"))
+            .drop("_mid", "_p", "_first", "_before", "_old", *[f"_g{i}" for i in range(len(group))]))
+
+
 def reverse_order(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """O2: process in reverse file order."""
     return df.orderBy(F.desc(ordinal))

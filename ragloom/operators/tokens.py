@@ -139,39 +139,57 @@ def completion_mask(df: DataFrame, marker_ids: list[int], labels: str = "labels"
     return df.withColumn(labels, masked)
 
 
+def _marker_starts(lab: Column, marker: list[int]) -> Column:
+    """0-based places at which ``marker`` begins, in ascending order."""
+    want = F.array(*[F.lit(int(x)) for x in marker])
+    last = F.size(lab) - len(marker)
+    none = F.array().cast("array<int>")
+    if not marker:
+        return none
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                                      lambda i: F.slice(lab, i + 1, len(marker)) == want)).otherwise(none)
+
+
 def turn_mask(df: DataFrame, response_ids: list[int], instruction_ids: list[int],
               labels: str = "labels") -> DataFrame:
     """D5 with both markers: labels from each instruction marker to the end of the
     response marker after it become -100, so only responses count; a row that lacks
     either marker is masked whole (left truncation may have cut the first one).
-    Rows are bounded by the context length."""
-    resp, inst = list(map(int, response_ids)), list(map(int, instruction_ids))
-
-    def starts(row, marker):
-        n = len(marker)
-        return [i for i in range(len(row) - n + 1) if row[i:i + n] == marker] if n else []
-
-    def mask(row: list[int]) -> list[int]:
-        ends = [i + len(resp) for i in starts(row, resp)]
-        asks = starts(row, inst)
-        if not ends or not asks:
-            return [IGNORE_INDEX] * len(row)
-        if asks[0] > ends[0] - len(resp):
-            asks = [0, *asks]
-        out = list(row)
-        for i, (lo, hi) in enumerate(zip(asks, ends)):
-            lo = 0 if i == 0 else lo
-            out[lo:hi] = [IGNORE_INDEX] * max(0, hi - lo)
-        if len(ends) < len(asks):
-            out[asks[-1]:] = [IGNORE_INDEX] * (len(out) - asks[-1])
-        return out
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def _mask(rows: pa.Array) -> pa.Array:
-        return pa.array([mask(r) if r is not None else None for r in rows.to_pylist()],
-                        pa.list_(pa.int32()))
 
-    return df.withColumn(labels, _mask(F.col(labels).cast("array<int>")))
+    Built-in expressions only: places of both markers, paired in order (the first pair
+    begins at the row's start), and a fold that counts, token by token, the spans that
+    begin and end there. Rows are bounded by the context length."""
+    lab = F.col(labels).cast("array<int>")
+    starts, asked = _marker_starts(lab, response_ids), _marker_starts(lab, instruction_ids)
+    ends = F.transform(starts, lambda i: i + len(response_ids))
+    one = F.array(F.lit(0))
+    asks = F.when(F.get(asked, F.lit(0)) > F.get(starts, F.lit(0)), F.concat(one, asked)).otherwise(asked)
+    masked = F.transform(lab, lambda x: F.lit(IGNORE_INDEX))
+    row = F.struct(lab.alias("x"), asks.alias("a"), ends.alias("e"))
+
+    def spans(r):
+        pairs = F.least(F.size(r["a"]), F.size(r["e"]))
+        paired = F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(r["a"], i)).alias("lo"), F.get(r["e"], i).alias("hi")))
+        open_ = F.struct(F.element_at(r["a"], -1).alias("lo"), F.size(r["x"]).alias("hi"))
+        return F.when(F.size(r["e"]) < F.size(r["a"]), F.concat(paired, F.array(open_))).otherwise(paired)
+
+    def mask(r):
+        inside = F.transform(F.array(spans(r)), lambda s: F.transform(
+            r["x"], lambda x, i: F.when(F.exists(s, lambda p: (p["lo"] <= i) & (i < p["hi"])),
+                                        IGNORE_INDEX).otherwise(x)))
+        return F.get(inside, F.lit(0))
+
+    # arrays of one element name a value once, so that no place list is computed twice
+    out = F.get(F.transform(F.array(row), mask), F.lit(0))
+    found = (F.size(starts) > 0) & (F.size(asked) > 0)
+    return df.withColumn(labels, F.when(F.col(labels).isNull(), F.lit(None)).when(found, out)
+                         .otherwise(masked).cast("array<int>"))
+
+
+def instruction_marker_ids(spark, tokenizer=None) -> list[int]:
+    """Token ids of the instruction marker."""
+    return response_marker_ids(spark, tokenizer, PR.INSTRUCTIONS_TAG)
 
 
 def response_marker_ids(spark, tokenizer=None, marker: str = PR.ANSWER_TAG) -> list[int]:

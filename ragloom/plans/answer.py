@@ -22,9 +22,11 @@ QID = "question_id"
 def answer_questions(prompts: DataFrame, generator: str, task: str = "",
                      max_new_tokens: int = 4, batch_size: int = 128,
                      make: Callable | None = None) -> DataFrame:
-    """E4 + P8 + P9: prompts(question_id, prompt) -> (Question_ID, Answer_ID, Task)."""
-    gen = MD.generate(F.col("prompt"), generator, max_new_tokens, batch_size, make)
-    out = prompts.select(F.col(QID).cast("string").alias("Question_ID"), gen.alias("_g"))
+    """E4 + P8 + P9: prompts(question_id, prompt) -> (Question_ID, Answer_ID, Task); the
+    model is asked once per distinct prompt."""
+    out = MD.generate_distinct(
+        prompts.select(F.col(QID).cast("string").alias("Question_ID"), "prompt"), generator,
+        out="_g", max_new_tokens=max_new_tokens, batch_size=batch_size, make=make)
     return out.select("Question_ID", TX.answer_parse(F.col("_g")).alias("Answer_ID"),
                       F.lit(task).alias("Task"))
 

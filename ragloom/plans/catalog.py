@@ -65,15 +65,22 @@ def _benchmark_questions(spark, sf):
                                              F.col("text").alias("question"))
 
 
+def _stored(chunks: DataFrame) -> DataFrame:
+    """The chunk table as a retrieval user has it: split and embedded once, bucketed by id."""
+    from ..sinks.chunks import store_chunks
+
+    return store_chunks(chunks)
+
+
 def _embedded(df: DataFrame, text: str = "content") -> DataFrame:
     return df.withColumn("embedding", EM.hash_embedding(F.col(text), DIM))
 
 
 def retrieve_sql(spark, sf):
     """E1, R1, R4, R6, R7, P3, P5 over plain windows (512, step 362)."""
-    chunks = _embedded(window_chunks(_docs(spark, sf), 512, 362))
+    chunks = _stored(_embedded(window_chunks(_docs(spark, sf), 512, 362)))
     q = _benchmark_questions(spark, sf)
-    cfg = RT.RetrieverConfig(k=10, top_n=4, use_mmr=False)
+    cfg = RT.RetrieverConfig(k=10, top_n=4, use_mmr=False, late=True)
     hits = RT.retrieve(q, chunks, cfg)
     return RT.inference_prompts(q, hits, kind="qa", with_counts=True)
 
@@ -81,19 +88,20 @@ def retrieve_sql(spark, sf):
 def retrieve_mmr_sql(spark, sf):
     """The full R8 chain (similarity + MMR, merge, dedup, rerank, reorder, P3, P5)
     over plain windows, so that every step has a SQL twin."""
-    chunks = _embedded(window_chunks(_docs(spark, sf), 512, 362))
+    chunks = _stored(_embedded(window_chunks(_docs(spark, sf), 512, 362)))
     q = _benchmark_questions(spark, sf)
-    cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5)
+    cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5, late=True)
     hits = RT.retrieve(q, chunks, cfg)
     return RT.inference_prompts(q, hits, kind="qa", with_counts=True)
 
 
 def retrieve_prompt(spark, sf):
-    """Flagship: T1 chunks -> E1 -> R1 + R2 -> R3 -> R4 -> R6 -> R7 -> P3 -> P4."""
-    chunks = _embedded(chunk_documents(_docs(spark, sf), 512, 150))
+    """Flagship: T1 chunks -> E1 -> stored table -> R1 + R2 -> R3 -> R4 -> R6 -> R7 -> P3 -> P4."""
+    chunks = _stored(_embedded(chunk_documents(_docs(spark, sf), 512, 150))
+                     .select("chunk_id", "content", "embedding"))
     q = _benchmark_questions(spark, sf).withColumn(
         "options", F.array().cast("array<struct<key:string,value:string>>"))
-    cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5)
+    cfg = RT.RetrieverConfig(k=10, fetch_k=20, lambda_mult=0.5, top_n=5, late=True)
     hits = RT.retrieve(q, chunks, cfg)
     return RT.inference_prompts(q, hits, kind="mcq", with_counts=True)
 
@@ -143,6 +151,14 @@ def knn_l2(spark, sf):
                         vector_id="vec_id"))
 
 
+def knn_codes(spark, sf):
+    """R1 on two large sides: the vector-approximation file, exact; all vectors as queries."""
+    from ..operators.vafile import knn_codes as codes
+
+    return _knn_out(codes(_queries(spark, sf), _vec(spark, sf), 10, "l2", query_id="query_id",
+                          vector_id="vec_id"))
+
+
 def knn_cosine(spark, sf):
     return _knn_out(knn(_queries(spark, sf), _vec(spark, sf), 10, "cosine",
                         query_id="query_id", vector_id="vec_id"))
@@ -401,6 +417,7 @@ def qa_prompt(spark, sf):
 
 
 CONTEXT_LENGTH = 128
+TURN_CONTEXT_LENGTH = 400
 
 
 def _tokens(spark, sf):
@@ -427,6 +444,17 @@ def completion_mask(spark, sf):
                     F.array_join("labels", ",").alias("labels"))
 
 
+def turn_mask(spark, sf):
+    """D3, D4, D5 with the instruction and the response marker, over a longer context."""
+    p = mcq_prompt_train(spark, sf).select("question_id", "prompt")
+    t = TK.turn_mask(TK.copy_labels(TK.tokenize_truncate(p, TURN_CONTEXT_LENGTH)),
+                     TK.response_marker_ids(spark), TK.instruction_marker_ids(spark))
+    return t.select("question_id",
+                    F.size(F.filter("labels", lambda x: x == TK.IGNORE_INDEX)).cast("int")
+                    .alias("n_masked"),
+                    F.array_join("labels", ",").alias("labels"))
+
+
 # ---------------------------------------------------------------------------
 # multi-query
 
@@ -488,6 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_count": duplicate_count,
     "hash_embed": hash_embed,
     "knn_l2": knn_l2,
+    "knn_codes": knn_codes,
     "knn_cosine": knn_cosine,
     "knn_filtered": knn_filtered,
     "mmr": mmr,
@@ -502,6 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_truncate": token_truncate,
     "copy_labels": copy_labels,
     "completion_mask": completion_mask,
+    "turn_mask": turn_mask,
     "exact_split": exact_split,
     "split_sizes": split_sizes,
     "sample_n": sample_n,

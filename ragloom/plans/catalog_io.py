@@ -14,12 +14,15 @@ from ..operators import order as OR
 from ..operators.split import window_chunks
 from ..session import scratch_path
 from ..sinks import tables as SK
+from ..sinks.chunks import read_page, write_pages
 from ..sources import tables as SRC
 from . import answer as AN
 from . import catalog as C
 from .catalog_sql import GRAPH_EDGES, MCQ_INFER, SQL, strip
 
 QID = "question_id"
+#: The page that ``vector_page`` returns.
+PAGE_ROWS, PAGE_OFFSET = 100, 250
 
 
 def _length_model():
@@ -102,12 +105,32 @@ def graph_sink(spark, sf):
 
 
 def vector_page(spark, sf):
-    """A page of the vector table in id order, and P11 over the whole of it."""
+    """A page from the middle of the vector table in id order; of the sorted ranges only
+    those with the page are read."""
+    v = C._vec(spark, sf).select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path = scratch_path(spark, "pages")
+    write_pages(v, path)
+    page = read_page(spark, path, limit=PAGE_ROWS, offset=PAGE_OFFSET)
+    return page.select("chunk_id", F.size("embedding").alias("dim"))
+
+
+def embedding_dim(spark, sf):
+    """P11 over the whole vector table."""
     v = C._vec(spark, sf)
     path = scratch_path(spark, "vectors")
     v.select(F.col("vec_id").alias("chunk_id"), "embedding").write.parquet(path)
-    page = SRC.read_vectors(spark, path, ("chunk_id", "embedding"))
-    return EM.embedding_dim(page)
+    return EM.embedding_dim(SRC.read_vectors(spark, path, ("chunk_id", "embedding")))
+
+
+def sorted_answers(spark, sf):
+    """O1 with S5: the answers table in the numeric order of its ids, as numbered rows."""
+    path = scratch_path(spark, "answers")
+    v = C._vec(spark, sf).select(F.col("vec_id").cast("string").alias("Question_ID"),
+                                 F.col("label").cast("string").alias("Answer_ID"))
+    SK.write_answers(v, path, "demo")
+    order = [F.expr("try_cast(Question_ID AS BIGINT)").asc_nulls_last(), F.col("Question_ID")]
+    return OR.row_index(OR.sort_by_id(SRC.read_answers(spark, path)), order, "position").select(
+        "position", "Question_ID", "Answer_ID")
 
 
 def later_copies(spark, sf):
@@ -139,7 +162,7 @@ def answer_document(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     collection_dedup, ingest_drops, answers_roundtrip, prompts_roundtrip, dataset_roundtrip,
-    split_routing, graph_sink, vector_page, later_copies, multi_query_prompts, compress,
+    split_routing, graph_sink, vector_page, embedding_dim, sorted_answers, later_copies, multi_query_prompts, compress,
     answer_document)}
 
 _WINDOWS = """w AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 362 + 1))::INTEGER AS chunk_index,
@@ -176,7 +199,15 @@ SELECT doc_id, CASE quality WHEN 1 THEN 'train' ELSE 'test' END AS split FROM la
 WHERE quality IN (0, 1)
 """,
     "graph_sink": GRAPH_EDGES,
-    "vector_page": """
+    "vector_page": f"""
+SELECT vec_id AS chunk_id, len(embedding)::INTEGER AS dim FROM embeddings
+ORDER BY vec_id LIMIT {PAGE_ROWS} OFFSET {PAGE_OFFSET}
+""",
+    "sorted_answers": """
+SELECT row_number() OVER (ORDER BY vec_id, vec_id::VARCHAR) - 1 AS position,
+       vec_id::VARCHAR AS "Question_ID", label::VARCHAR AS "Answer_ID" FROM embeddings
+""",
+    "embedding_dim": """
 SELECT count(*) AS n_vectors, max(len(embedding))::INTEGER AS dim FROM embeddings
 """,
     "later_copies": f"""

@@ -349,7 +349,7 @@ u AS (SELECT u.conv_id, u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS question
       WHERE u.role = 'user'),
 near AS (SELECT u.question_id, u.question, c.turn, c.role, c.text
          FROM u JOIN conversations c ON c.conv_id = u.conv_id
-         WHERE c.turn > u.a_turn AND c.turn <= u.a_turn + 8),
+         WHERE c.turn > u.a_turn),
 z AS (SELECT question_id, arg_max(text, turn) AS explanation FROM near
       WHERE role = 'assistant' GROUP BY question_id),
 q AS (SELECT u.question_id, u.question,
@@ -429,6 +429,24 @@ SELECT question_id, len(list_filter(labels, lambda x: x = -100))::INTEGER AS n_m
 FROM lab
 """
 
+TURN_MASK = _TOKENS.replace("least(max(len(ids)), 128)", "least(max(len(ids)), 400)") + f""",
+mk AS (SELECT [ {_TOK} for t in ['###', 'Answer:'] ] AS r, [ {_TOK} for t in ['###', 'Instructions:'] ] AS a),
+pos AS (SELECT question_id, ids,
+               list_filter(range(0, len(ids)), lambda p: ids[p + 1:p + len(mk.r)] = mk.r) AS rs,
+               list_filter(range(0, len(ids)), lambda p: ids[p + 1:p + len(mk.a)] = mk.a) AS asked,
+               len(mk.r) AS m FROM tr CROSS JOIN mk),
+pair AS (SELECT question_id, ids, [ x + m for x in rs ] AS ends, len(rs) > 0 AND len(asked) > 0 AS ok,
+                CASE WHEN asked[1] > rs[1] THEN [0::BIGINT] || asked ELSE asked END AS asks FROM pos),
+lab AS (SELECT question_id, [ CASE WHEN NOT ok
+                  OR len(list_filter(range(1, least(len(asks), len(ends)) + 1), lambda k:
+                         i - 1 >= CASE WHEN k = 1 THEN 0 ELSE asks[k] END AND i - 1 < ends[k])) > 0
+                  OR (len(ends) < len(asks) AND i - 1 >= asks[-1]) THEN -100 ELSE ids[i] END
+                for i in range(1, len(ids) + 1) ] AS labels FROM pair)
+SELECT question_id, len(list_filter(labels, lambda x: x = -100))::INTEGER AS n_masked,
+       array_to_string(labels, ',') AS labels
+FROM lab
+"""
+
 MULTI_QUERY = f"""
 WITH u AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS question_id, text
            FROM conversations WHERE role = 'user'),
@@ -542,6 +560,7 @@ SELECT doc_id, chunk_index,
        sha256(doc_id::VARCHAR || '|' || chunk_index::VARCHAR || '|' || content) AS chunk_id FROM t1
 """,
     "retrieve_prompt": RETRIEVE_PROMPT,
+    "knn_codes": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_l2": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_ivf": f"SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM ({knn_ranked('l2', 10)})",
     "knn_cosine": ("SELECT query_id, vec_id, rank, round(d, 4) AS distance FROM "
@@ -559,6 +578,7 @@ SELECT doc_id, chunk_index,
     "token_truncate": TOKEN_TRUNCATE,
     "copy_labels": COPY_LABELS,
     "completion_mask": COMPLETION_MASK,
+    "turn_mask": TURN_MASK,
     "exact_split": """
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('123:' || doc_id::VARCHAR), doc_id)
                          <= ceil(0.1 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split

@@ -26,13 +26,14 @@ def build_finetune_set(questions: DataFrame, chunks: DataFrame, cfg: RT.Retrieve
                        context_length: int = 1024, tokenizer=None, kinds=("mcq",),
                        test_size: float = 0.1, seed: int = 123, out: str | None = None
                        ) -> DataFrame:
-    """D1 -> D3 -> D4 -> D5 -> O4 (-> K4 when ``out`` is given)."""
+    """D1 -> D3 -> D4 -> D5 (both markers) -> O4 (-> K4 when ``out`` is given)."""
     spark = questions.sparkSession
     hits = RT.retrieve_with_fallback(questions, chunks, cfg)
     prompts = RT.training_prompts(questions, hits, kinds).withColumn(
         "row_key", F.concat_ws("|", F.col("question_id").cast("string"), "kind"))
     tok = TK.tokenize_truncate(prompts, context_length, tokenizer)
-    lab = TK.completion_mask(TK.copy_labels(tok), TK.response_marker_ids(spark, tokenizer))
+    lab = TK.turn_mask(TK.copy_labels(tok), TK.response_marker_ids(spark, tokenizer),
+                       TK.instruction_marker_ids(spark, tokenizer))
     ds = OR.exact_split(lab, "row_key", test_size, seed).drop("row_key")
     if out:
         SK.write_dataset(ds, out)

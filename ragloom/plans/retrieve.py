@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed as EM
@@ -40,6 +40,9 @@ class RetrieverConfig:
     # approximate search (IVF) instead of the exact one when ivf_cells > 0
     ivf_cells: int = 0
     ivf_nprobe: int = 8
+    # chunks are a stored table (``sinks.chunks.store_chunks``): the search moves ids and
+    # distances only, text and vectors are fetched by id after the merge
+    late: bool = False
     # E3 plug-in: (question column, content column) -> score column
     scorer: Callable[[Column, Column], Column] | None = None
 
@@ -60,15 +63,19 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: RetrieverConfig,
         chunks = chunks.where(chunk_filter)
     qv = embed_questions(questions, cfg, text)
     depth = max(cfg.k if cfg.use_similarity else 0, cfg.fetch_k if cfg.use_mmr else 0)
-    # one scan of the chunk table: the text rides along with the top-k rows
+    # one scan of the chunk table; unless it is fetched late, the text rides along
+    ride = {} if cfg.late else {"with_vectors": cfg.use_mmr, "payload": ("content",)}
     if cfg.ivf_cells > 0:
         from ..operators.ivf import knn_ivf
 
         cand = knn_ivf(qv, chunks, depth, cfg.ivf_cells, cfg.ivf_nprobe, cfg.metric,
-                       vector_id="chunk_id", with_vectors=cfg.use_mmr, payload=("content",))
+                       vector_id="chunk_id", **ride)
     else:
-        cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id",
-                   with_vectors=cfg.use_mmr, payload=("content",))
+        cand = knn(qv, chunks, depth, cfg.metric, vector_id="chunk_id", **ride)
+    if cfg.late:
+        cand = cand.join(chunks.select("chunk_id", "content", *(
+            [F.col("embedding").cast("array<float>").alias("cand_vec")] if cfg.use_mmr else [])),
+            "chunk_id")
     if cfg.use_mmr:
         both = H.mmr(cand, qv, cfg.k, cfg.lambda_mult, fetch_k=cfg.fetch_k,
                      similarity_k=cfg.k if cfg.use_similarity else 0, payload=("content",))
@@ -122,16 +129,24 @@ def retrieve_with_fallback(questions: DataFrame, chunks: DataFrame, cfg: Retriev
 def multi_query(variants: DataFrame, chunks: DataFrame, cfg: RetrieverConfig) -> DataFrame:
     """``variants(question_id, variant_no, question)`` -> unique union of
     the hits of every variant, in the order variant 1's hits, then variant 2's
-    new hits, ... (original question last). One retrieval call for all."""
+    new hits, ... (original question last). One retrieval call for all.
+
+    A chunk's first place is a minimum, aggregated before the shuffle, and places are
+    counted by ``group_rank``: a question with any number of variants is no single group."""
+    from ..operators.order import group_rank
+
     keyed = variants.withColumn("_orig", F.col(QID)).withColumn(
         QID, F.concat_ws("#", F.col(QID).cast("string"), F.col("variant_no").cast("string")))
     hits = retrieve(keyed, chunks, cfg)
     back = keyed.select(QID, "_orig", "variant_no")
     h = hits.join(back, QID).drop(QID).withColumnRenamed("_orig", QID)
-    first = Window.partitionBy(QID, "chunk_id").orderBy("variant_no", "rank")
-    h = h.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
-    return h.withColumn("rank", F.row_number().over(
-        Window.partitionBy(QID).orderBy("variant_no", "rank")))
+    rest = [c for c in h.columns if c not in (QID, "chunk_id", "variant_no", "rank")]
+    first = h.groupBy(QID, "chunk_id").agg(
+        F.min(F.struct("variant_no", "rank")).alias("_p"),
+        *[F.min_by(c, F.struct("variant_no", "rank")).alias(c) for c in rest])
+    first = first.select(QID, "chunk_id", F.col("_p.variant_no").alias("variant_no"),
+                         F.col("_p.rank").alias("rank"), *rest)
+    return group_rank(first, [QID], ["variant_no", "rank"]).select(h.columns)
 
 
 def generate_variants(questions: DataFrame, generator: str, make=None,
