@@ -18,7 +18,7 @@ from ..sinks.chunks import read_page, write_pages
 from ..sources import tables as SRC
 from . import answer as AN
 from . import catalog as C
-from .catalog_sql import GRAPH_EDGES, MCQ_INFER, SQL, strip
+from .catalog_sql import GRAPH_EDGES, MCQ_INFER, RERANK_OVERLAP, SQL, T1, strip, words
 
 QID = "question_id"
 #: The page that ``vector_page`` returns.
@@ -133,6 +133,81 @@ def sorted_answers(spark, sf):
         "position", "Question_ID", "Answer_ID")
 
 
+def docx_roundtrip(spark, sf):
+    """S1, S2, ST1: every document as a Word file, read as a batch and as a stream of two
+    drops; a file that is no Word file is a row with an error."""
+    from ..sources import docx as DX
+
+    DX.register(spark)
+    d = C._t(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
+                                            "doc_id", "text")
+    base = scratch_path(spark, "docx")
+    folder, out, ckpt = f"{base}/files", f"{base}/rows", f"{base}/checkpoint"
+    DX.write_file(b"no Word file", folder, "broken.docx")
+    for drop in (d.where("doc_id % 2 = 0"), d.where("doc_id % 2 <> 0 or doc_id is null")):
+        DX.write_docx(drop, folder)
+        (spark.readStream.format("docx").load(folder).writeStream.format("parquet")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out).awaitTermination())
+    batch = spark.read.format("docx").load(folder)
+    both = batch.withColumn("way", F.lit("batch")).unionByName(
+        spark.read.schema(batch.schema).parquet(out).withColumn("way", F.lit("stream")))
+    number = F.expr(r"try_cast(regexp_extract(path, 'doc-(-?[0-9]+)[.]docx$', 1) AS BIGINT)")
+    return both.select("way", number.alias("doc_id"), F.md5("text").alias("text_md5"), "error")
+
+
+def docx_ingest(spark, sf):
+    """S1, S2, T1, E1, K1 as one job: Word files of all documents, split, embedded and
+    appended twice (the second load adds nothing)."""
+    from ..operators.split import chunk_documents
+    from ..sources import docx as DX
+
+    DX.register(spark)
+    d = C._t(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
+                                            "text")
+    base = scratch_path(spark, "docx-ingest")
+    DX.write_docx(d, f"{base}/files")
+    for _ in range(2):
+        docs = DX.documents(spark.read.format("docx").load(f"{base}/files"))
+        SK.vector_append(chunk_documents(docs, 512, 150), f"{base}/table", embed=lambda new: new.withColumn(
+            "embedding", EM.hash_embedding(F.col("content"))))
+    number = F.expr(r"try_cast(regexp_extract(source, 'doc-(-?[0-9]+)[.]docx$', 1) AS BIGINT)")
+    return SK.read_current(spark, f"{base}/table").select(
+        number.alias("doc_id"), "chunk_index", F.length("content").cast("long").alias("n_chars"),
+        F.md5("content").alias("content_md5"), F.size("embedding").alias("dim"))
+
+
+def lexical_retrieve(spark, sf):
+    """BM25 top 10 of every benchmark item over all documents."""
+    from ..operators import lexical as LX
+
+    docs = C._docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    path = scratch_path(spark, "lexical")
+    LX.build_index(docs, path)
+    return LX.search(C._benchmark_questions(spark, sf), path, 10).select(
+        F.col(QID).alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank",
+        F.round("score", 4).alias("score"))
+
+
+def hybrid_hits(spark, sf):
+    """The lexical retriever merged round robin with the vector retriever, then the
+    first place of every document (U3)."""
+    from ..operators import hits as H
+    from ..operators import lexical as LX
+    from . import retrieve as RT
+
+    docs = C._stored(C._embedded(C._docs(spark, sf).select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))))
+    q = C._benchmark_questions(spark, sf)
+    path = scratch_path(spark, "lexical")
+    LX.build_index(docs, path)
+    near = RT.retrieve(q, docs, RT.RetrieverConfig(k=5, use_mmr=False, dedup=False, rerank=False,
+                                                   reorder=False, late=True))
+    merged = H.merge_interleave(LX.retriever(path, docs, 5)(q), near)
+    first = merged.groupBy(QID, "chunk_id").agg(F.min("rank").alias("rank"))
+    return OR.group_rank(first, [QID], ["rank"]).select(
+        F.col(QID).alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank")
+
+
 def later_copies(spark, sf):
     """U4: ids of the rows a dedup run deletes."""
     return DD.duplicate_rows(C._t(spark, sf, "documents"))
@@ -162,7 +237,8 @@ def answer_document(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     collection_dedup, ingest_drops, answers_roundtrip, prompts_roundtrip, dataset_roundtrip,
-    split_routing, graph_sink, vector_page, embedding_dim, sorted_answers, later_copies, multi_query_prompts, compress,
+    split_routing, graph_sink, vector_page, embedding_dim, sorted_answers, docx_roundtrip, docx_ingest,
+    lexical_retrieve, hybrid_hits, later_copies, multi_query_prompts, compress,
     answer_document)}
 
 _WINDOWS = """w AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 362 + 1))::INTEGER AS chunk_index,
@@ -172,6 +248,17 @@ _Q = MCQ_INFER[MCQ_INFER.index("WITH"):MCQ_INFER.index("SELECT q2.question_id,")
 _PLAIN = len(PR.COMPRESS_SYSTEM.replace("{max_word_count}", "512")) + len(
     "<|system|>\n</s>\n<|user|>\nContext:\n\nQuestion:\n</s>\n<|assistant|>\n")
 _QA = len(PR.INSTRUCTIONS_TAG + " \n" + PR.QA_INSTRUCTION + "\n\nContext:\n\n\nQuestion:\n\n\n" + PR.ANSWER_TAG)
+_BM25 = f"""dw AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+sz AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
+tf AS (SELECT doc_id, len, term, count(*) AS tf
+       FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM dw) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT item_id, unnest(list_distinct({words("coalesce(text, '')")})) AS term FROM benchmark),
+sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE
+                                         / (tf + 1.2::DOUBLE * (0.25 + 0.75 * len / mean))), 6) AS score
+       FROM qt JOIN df USING (term) JOIN tf USING (term) CROSS JOIN sz GROUP BY ALL),
+bm25 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+         FROM sc)"""
 _HEAD, _TAIL = PR.MULTI_QUERY_INSTRUCTION + "\n    ", "\n    "
 
 IO_SQL = {
@@ -209,6 +296,31 @@ SELECT row_number() OVER (ORDER BY vec_id, vec_id::VARCHAR) - 1 AS position,
 """,
     "embedding_dim": """
 SELECT count(*) AS n_vectors, max(len(embedding))::INTEGER AS dim FROM embeddings
+""",
+    "docx_roundtrip": """
+SELECT way, doc_id, md5(coalesce(text, '')) AS text_md5, NULL::VARCHAR AS error
+FROM documents CROSS JOIN (VALUES ('batch'), ('stream')) w(way)
+UNION ALL SELECT way, NULL, NULL, 'BadZipFile: File is not a zip file'
+FROM (VALUES ('batch'), ('stream')) w(way)
+""",
+    "docx_ingest": f"""
+WITH RECURSIVE {T1}
+SELECT doc_id, chunk_index, length(content) AS n_chars, md5(content) AS content_md5,
+       256::INTEGER AS dim FROM t1
+""",
+    "lexical_retrieve": f"""
+WITH {_BM25}
+SELECT item_id, doc_id, rank, round(score, 4) AS score FROM bm25 WHERE rank <= 10
+""",
+    "hybrid_hits": f"""
+WITH {_BM25},
+near AS (SELECT * FROM ({RERANK_OVERLAP[:RERANK_OVERLAP.index('scored AS')].rstrip().rstrip(',')}
+         SELECT qid AS item_id, vid AS doc_id, rank FROM top WHERE rank <= 5)),
+m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank, src) AS r
+      FROM (SELECT item_id, doc_id, rank, 0 AS src FROM bm25 WHERE rank <= 5
+            UNION ALL SELECT item_id, doc_id, rank, 1 FROM near)),
+f AS (SELECT item_id, doc_id, min(r) AS r FROM m GROUP BY ALL)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY r)::INTEGER AS rank FROM f
 """,
     "later_copies": f"""
 SELECT doc_id FROM documents

@@ -73,26 +73,41 @@ def start_ingest(spark: SparkSession, source_dir: str, table: str, checkpoint: s
 
 
 def start_docx_ingest(spark: SparkSession, folder: str, table: str, checkpoint: str,
-                      chunk_size: int = 512, overlap: int = 150, available_now: bool = True):
-    """ST1 for Word files: ``binaryFile`` stream -> S2 text -> chunk/embed/append."""
+                      chunk_size: int = 512, overlap: int = 150, available_now: bool = True,
+                      quarantine: str | None = None):
+    """ST1 for Word files: ``binaryFile`` stream -> S2 text -> chunk/embed/append.
+
+    A file that cannot be read is written with its error to ``quarantine`` (by default
+    ``<table>-errors``) by the batch that meets it; the stream goes on."""
     from ..functions import text as TX
-    from ..sources.files import _docx_udf
+    from ..sources.files import _docx_checked_udf
 
+    errors = quarantine or f"{table.rstrip('/')}-errors"
     binary_schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
         T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
     stream = (spark.readStream.format("binaryFile").schema(binary_schema)
               .option("pathGlobFilter", "*.docx").load(folder))
-    docs = stream.select(F.xxhash64("path").alias("doc_id"),
+    docs = stream.select(F.xxhash64("path").alias("doc_id"), "path",
                          TX.basename(F.col("path")).alias("source"),
-                         _docx_udf(F.col("content")).alias("text"))
+                         _docx_checked_udf(F.col("content")).alias("r"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         from ..operators.split import add_release_metadata
 
-        ch = add_release_metadata(chunk_documents(batch, chunk_size, overlap))
-        vector_append(ch, table, embed=lambda new: new.withColumn(
-            "embedding", EM.hash_embedding(F.col("content"))))
+        batch = batch.persist()      # parsed once for both sides
+        try:
+            # a replayed batch replaces its own folder
+            (batch.where(F.col("r.error").isNotNull())
+             .select("doc_id", "path", "source", F.col("r.error").alias("error"))
+             .write.mode("overwrite").parquet(f"{errors}/batch={batch_id}"))
+            good = batch.where(F.col("r.error").isNull()).select(
+                "doc_id", "source", F.col("r.text").alias("text"))
+            ch = add_release_metadata(chunk_documents(good, chunk_size, overlap))
+            vector_append(ch, table, embed=lambda new: new.withColumn(
+                "embedding", EM.hash_embedding(F.col("content"))))
+        finally:
+            batch.unpersist()
 
     w = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
