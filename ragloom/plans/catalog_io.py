@@ -64,6 +64,22 @@ def _prompts(spark, sf):
     return C.user_turns(C._t(spark, sf, "conversations")).select(QID, F.col("question").alias("prompt"))
 
 
+def append_reads(spark, sf):
+    """K1 by the id index: a first drop, a drop of new ids, one that repeats a few
+    chunks, and all at once. Per drop: rows added, and whether less than half of the
+    stored ids was read."""
+    ch = window_chunks(C._t(spark, sf, "documents"), 512, 362).withColumn("chunk_id", F.concat_ws(
+        "-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+    base, rows = scratch_path(spark, "append-reads"), []
+    drops = (ch.where("doc_id % 4 = 0"), ch.where("doc_id % 4 = 1"),
+             ch.where("doc_id < 8 and doc_id % 4 = 0 and chunk_index = 0"), ch)
+    for i, drop in enumerate(drops):
+        reads: dict = {}
+        added = SK.vector_append(drop, base, reads=reads)
+        rows.append((i + 1, added, 2 * reads.get("ids_read", 0) < max(1, reads.get("ids", 0))))
+    return spark.createDataFrame(rows, "drop int, added long, few_reads boolean")
+
+
 def answers_roundtrip(spark, sf):
     """E4, P8, P9, K5, S5."""
     path = scratch_path(spark, "answers")
@@ -236,7 +252,7 @@ def answer_document(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    collection_dedup, ingest_drops, answers_roundtrip, prompts_roundtrip, dataset_roundtrip,
+    collection_dedup, ingest_drops, append_reads, answers_roundtrip, prompts_roundtrip, dataset_roundtrip,
     split_routing, graph_sink, vector_page, embedding_dim, sorted_answers, docx_roundtrip, docx_ingest,
     lexical_retrieve, hybrid_hits, later_copies, multi_query_prompts, compress,
     answer_document)}
@@ -270,6 +286,13 @@ QUALIFY row_number() OVER (PARTITION BY {strip('content')} ORDER BY doc_id, chun
     "ingest_drops": f"""
 WITH {_WINDOWS}
 SELECT doc_id::VARCHAR || '-' || chunk_index::VARCHAR AS chunk_id, 256::INTEGER AS dim FROM c
+""",
+    "append_reads": f"""
+WITH {_WINDOWS}
+SELECT 1::INTEGER AS drop, count(*) FILTER (WHERE doc_id % 4 = 0) AS added, TRUE AS few_reads FROM c
+UNION ALL SELECT 2, count(*) FILTER (WHERE doc_id % 4 = 1), TRUE FROM c
+UNION ALL SELECT 3, 0, TRUE
+UNION ALL SELECT 4, count(*) FILTER (WHERE doc_id % 4 NOT IN (0, 1)), FALSE FROM c
 """,
     "answers_roundtrip": """
 SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS "Question_ID",

@@ -27,24 +27,54 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: that with the least hash over all columns, so a replay keeps the
+    same one whatever the order of rows."""
+    rest = [c for c in rows.columns if c != key]
+    if not rest:
+        return rows.distinct()
+    plain = [c for c, t in rows.dtypes if "map<" not in t]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    best = rows.groupBy(key).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in plain])).alias("_row"))
+    return best.select(*[F.col(f"`{c}`") if c == key else F.col("_row")[c].alias(c)
+                         for c in rows.columns])
+
+
 def vector_append(chunks: DataFrame, base: str, key: str = "chunk_id",
-                  embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+                  embed: Callable[[DataFrame], DataFrame] | None = None,
+                  reads: dict | None = None) -> int:
     """K1: append chunks whose id is not in the table yet (re-delivery adds nothing).
 
     Rows go into the current version (the first append makes version 1), so K2 and
-    ``read_current`` see one table. Ids are compared first; ``embed`` (or any other
-    costly step) runs on the rows that are left. Returns the number of added rows."""
+    ``read_current`` see one table. Ids are compared first, through the table's id index
+    (``idindex``: Bloom filters, then the buckets that may hold one); ``embed`` (or any
+    other costly step) runs on the rows that are left. Of rows that share an id one is
+    kept, the same one on every replay; rows without an id are not kept apart. Returns the
+    number of added rows; ``reads`` is filled with what was read of the index."""
+    from ..session import scratch_path
+    from .idindex import IdIndex
+
     spark = chunks.sparkSession
     have = versions(spark, base)
-    new = chunks.dropDuplicates([key])
+    new = _one_per_key(chunks, key)
     if have:
-        new = new.join(read_current(spark, base).select(key), key, "left_anti")
+        index = IdIndex(spark, base, have[-1], key)
+        index.ready(read_current(spark, base))
+        # the batch's rows are read twice (ids, then what is left): written once
+        path = scratch_path(spark, "append")
+        new.write.parquet(path)
+        new = spark.read.schema(new.schema).parquet(path)
+        held = index.held(new.select(key), reads)
+        new = new.join(held, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        ids = new.select(key)
     if embed is not None:
         new = embed(new)
     seen = Observation()
     new = new.observe(seen, F.count(F.lit(1)).alias("n"))
     if have:
         new.write.mode("append").parquet(f"{base.rstrip('/')}/v={have[-1]}")
+        if seen.get["n"]:
+            index.add(ids)
     else:
         write_version(new, base)
     return int(seen.get["n"])
