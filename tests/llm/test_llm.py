@@ -664,7 +664,7 @@ def test_pipeline(spark, odd, none, library):
     ids = {r.doc_id for r in run.collect()}
     kept = {r.doc_id for r in quality_rules.judge_quality(whole).where("kept").collect()}
     groups = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(
-        whole.where(F.col("doc_id").isin(list(kept)))).collect()}
+        whole.where(F.col("doc_id").isin(list(kept))), percent=80, width=5).collect()}
     leaks = {r.doc_id for r in decontaminate.leaks(whole, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids == {d for d in kept if groups[d] == d} - leaks
 
