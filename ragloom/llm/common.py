@@ -15,6 +15,26 @@ from ..session import scratch_path
 SLICE_BYTES = 2 << 20
 
 
+_CLAIMS: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Tables that a worker process keeps between tasks belong to one operator at a time:
+    ``owner`` is about to use its own, so those of all others are dropped. Workers outlive
+    stages, and the tables of every stage of a pipeline would add up."""
+    if owner not in _CLAIMS:
+        for other in list(_CLAIMS):
+            _CLAIMS.pop(other)()
+        _CLAIMS[owner] = drop
+
+
+def broadcast_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows, as JSON, take at most ``limit`` bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(
+        *[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: the lineage
     ends at files that every executor can read."""

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, runs_of, slices, written
+from .common import claim, map_texts, runs_of, slices, written
 from .components import components
 
 #: At most this many frequent tokens are told apart, the most frequent ones.
@@ -77,6 +77,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word n-grams; A-Z lower-cased."""
+    claim("jaccard_join", _WORDS.clear)
     cut = [t.lower().split() for t in texts]
     h = np.array([_WORDS[w] for c in cut for w in c], np.int64).view(np.uint64)
     odd = [np.uint64(int(_MIX[i % 3]) * (2 * i + 1) % (1 << 64)) for i in range(width)]

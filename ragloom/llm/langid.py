@@ -28,17 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import claim, map_texts, slices
 
 DIM = 2048
 SEED = 11
 UNKNOWN = "und"
 #: n-grams handled at once when vectors are built.
 CHUNK = 4096
+#: Letter vectors kept in a worker process (2 KB each); letters beyond are made anew.
+KEPT_VECTORS = 4096
 _STATE: dict = {}
 
 
 def _letters() -> np.ndarray:
+    claim("langid", _STATE.clear)
     if "alpha" not in _STATE:
         _STATE["alpha"] = np.array([chr(i).isalpha() for i in range(0x110000)])
     return _STATE["alpha"]
@@ -47,10 +50,13 @@ def _letters() -> np.ndarray:
 def _vector(code: int, dim: int) -> np.ndarray:
     """The letter's vector; 0 is the word break."""
     key = (code, dim)
-    if key not in _STATE:
+    vec = _STATE.get(key)
+    if vec is None:
         rng = np.random.default_rng([SEED, code])
-        _STATE[key] = (rng.integers(0, 2, dim, dtype=np.int8) * 2 - 1).astype(np.int8)
-    return _STATE[key]
+        vec = (rng.integers(0, 2, dim, dtype=np.int8) * 2 - 1).astype(np.int8)
+        if len(_STATE) <= KEPT_VECTORS:
+            _STATE[key] = vec
+    return vec
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_texts
+from .common import claim, column, map_texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -118,6 +118,7 @@ class TokenCounter:
 
 def counter(path: str, whole: frozenset[str]) -> TokenCounter:
     """One counter per worker process and model file."""
+    claim("token_counts", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = TokenCounter(path, whole)
     return _COUNTERS[path]

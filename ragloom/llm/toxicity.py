@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import claim, map_texts, slices
 from .quality_model import labels_by_id
 
 #: Characters and the letters they may stand for.
@@ -381,6 +381,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
     key = uuid.uuid4().hex
 
     def decoder() -> Decoder:
+        claim("toxicity", _DECODERS.clear)
         if key not in _DECODERS:
             _DECODERS.clear()
             _DECODERS[key] = Decoder(table.value)
