@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import broadcast_small, map_texts, written
 from .stats import FIELDS, text_stats
 
 NAMES = ("length", "symbols", "capitals", "punctuation", "lines", "repeats")
@@ -70,13 +70,14 @@ def _pooled(ok: DataFrame, min_rows: int) -> DataFrame:
     by_lang = Window.partitionBy("_lang", "_small")
     sizes = sizes.withColumn("_small", small).withColumn("_nl", F.sum("_n").over(by_lang))
     sizes = sizes.withColumn("_rest", small & (F.col("_nl") < min_rows))
-    rest = sizes.where("_rest").agg(F.sum("_n").alias("_nr"))
-    keys = sizes.crossJoin(F.broadcast(rest)).select(   # one row
+    sizes = written(sizes, "groups")
+    rest = sizes.where("_rest").agg(F.sum("_n")).first()[0] or 0
+    keys = sizes.select(
         F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"),
         F.when(~small, F.concat_ws("\x01", text("_lang"), text("_source")))
         .when(~F.col("_rest"), F.concat(F.lit("\x02"), text("_lang")))
-        .when(F.col("_nr") >= min_rows, F.lit("\x03")).alias("_g"))
-    return ok.join(keys, F.col("_lang").eqNullSafe(F.col("_gl"))
+        .when(F.lit(rest >= min_rows), F.lit("\x03")).alias("_g"))
+    return ok.join(broadcast_small(keys), F.col("_lang").eqNullSafe(F.col("_gl"))
                    & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
 
 
@@ -150,7 +151,8 @@ def mahalanobis(table: DataFrame, share: float = 0.6, steps: int = 3,
     middle = raw.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"), *[
         F.percentile_approx(f"r{i}", 0.5, 1000).alias(f"c{i}") for i in range(P)])
     shrink = F.sqrt(F.col("n_words") / (F.col("n_words") + SHRINK))
-    rows = written(raw.join(middle.where("_g is not null"), "_g").select(
+    middle = broadcast_small(written(middle.where("_g is not null"), "medians"))
+    rows = written(raw.join(middle, "_g").select(
         "_id", "_lang", "_source", *FIELDS, "base_failed", "_g",
         *[((F.col(f"r{i}") - F.col(f"c{i}")) * shrink).alias(f"x{i}") for i in range(P)]),
         "statistics")
