@@ -11,13 +11,16 @@ encoded whole. A single line break between words is a pre-token of its own. Stri
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 import numpy as np
 
+from .common import claim
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Words kept per generation and worker process (about 200 bytes each).
-KEEP = 1_200_000
+#: Words kept per generation and worker process (about 200 bytes each, two generations).
+KEEP = 400_000
 _OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _RUNS = (b"  ", b"\n\n", b" \n", b"\n ")
 _ENC: dict = {}
@@ -32,6 +35,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE_LETTER = chr(_BYTE_LETTERS[32])
 
 
 class _Words(dict):
@@ -47,17 +51,23 @@ class _Words(dict):
         self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
-        if "\n" in word:           # single line breaks between words: each its own pre-token
-            first, *rest = word.split("\n")
-            return self[first] + b"".join([self.bare["\n"] + self.bare[w] for w in rest]
-                                          ) if word != "\n" else self.encode(word)
         ids = self.old.get(word)
         if ids is None:
-            core = word.rstrip(".,!?;:")
-            if core and len(core) < len(word) and core.isalpha():
-                ids = self[core] + self.bare[word[len(core):]]
+            if word.isalpha():
+                ids = self.part(self.lead + word)
+            elif "\n" in word and word != "\n":
+                # single line breaks between words: each its own pre-token; only the words
+                # are kept
+                first, *rest = word.split("\n")
+                bare, line = self.bare, self.bare["\n"]
+                return self[first] + b"".join([line + bare[w] for w in rest])
             else:
-                ids = (self.part if word.isalpha() else self.encode)(self.lead + word)
+                core = word.rstrip(punctuation)
+                if core and len(core) < len(word) and core.isalpha():
+                    # marks behind letters are a pre-token of their own
+                    ids = self[core] + self.bare[word[len(core):]]
+                else:
+                    ids = self.encode(word if word == "\n" else self.lead + word)
         if len(self) >= self.keep:
             self.old = dict(self)
             self.clear()
@@ -76,6 +86,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        size = self.tok.get_vocab_size()
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.bare = _Words(self.whole, self.part, "", keep // 8)
         self.words = _Words(self.whole, self.part, " ", keep, self.bare)
         self.odd = regex.compile(r"[^\S \n]")
@@ -85,8 +97,9 @@ class Encoder:
 
     def part(self, text: str) -> bytes:
         """Ids of one pre-token: the library's model on its byte letters."""
-        letters = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        letters = (text.replace(" ", _SPACE_LETTER) if text.isascii()
+                   else text.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
 
     def plain(self, raw: bytes, text: str) -> bool:
         """No white space but single spaces and single line breaks between words."""
@@ -111,6 +124,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
+    claim("tokenize", _ENC.clear)
     if path not in _ENC:
         _ENC[path] = Encoder(path)
     return _ENC[path]
