@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +31,9 @@ from .common import runs_of, written
 from .url_rules import host_and_path
 
 RUN = 200
-#: Characters of html held at once in a run.
+#: Characters of html a run should hold: a host has as many runs as this asks for.
 HELD = 32 << 20
-#: Nesting that is kept; what is deeper counts to the element at this depth.
+#: Levels of block elements that are aligned; text and marks are read at any depth.
 DEEPEST = 200
 #: Large hosts up to this many are broadcast, more are joined by a shuffle.
 BROADCAST_HOSTS = 500_000
@@ -71,18 +72,17 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "kids", "parent", "depth")
+    __slots__ = ("tag", "label", "out", "kids", "parent")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
-        self.depth = 0 if parent is None else parent.depth + 1
         names = []
         if "=" in attrs:
             for m in _ATTR.finditer(attrs):
                 names += [w.lower() for w in _NAME.findall(
                     re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or ""))]
         self.label = " ".join([tag, *sorted(set(names))])
-        inside = parent is not None and _within(parent, ("article", "main"))
+        inside = ("header" in names or tag == "header") and _within(parent, ("article", "main"))
         marked = (not MARKS.isdisjoint(names) and NOT_MARKED.isdisjoint(names)
                   or "header" in names and not inside and ARTICLE_WORDS.isdisjoint(names))
         self.out = (tag in DROPPED or tag == "footer" or tag == "header" and not inside
@@ -97,10 +97,25 @@ def _within(node: Node | None, tags: tuple) -> Node | None:
 
 
 def parse(text: str) -> Node:
-    """A tree of elements and strings; what is not closed ends with its parent."""
+    """A tree of elements and strings; what is not closed ends with its parent.
+
+    Linear in broken markup: nothing behind the last ``>`` is taken for a tag, and open
+    elements are counted by name, so an end without a begin is passed over at once."""
     root = Node("html", "", None)
     at, here, raw = 0, root, None
-    for m in _TAG.finditer(text):
+    opened: Counter = Counter()
+
+    def leave(up: Node) -> Node:
+        """Close ``up`` and all open elements in it."""
+        node = here
+        while True:
+            opened[node.tag] -= 1
+            if node is up:
+                return up.parent
+            node = node.parent
+
+    last = text.rfind(">") + 1
+    for m in _TAG.finditer(text, 0, last):
         tag = (m["tag"] or "").lower()
         if raw:                      # inside raw text only its own end counts
             if not (m["end"] and tag == raw):
@@ -112,36 +127,39 @@ def parse(text: str) -> Node:
         if m["cdata"]:
             here.kids.append(m["cdata"].replace("&", "&amp;"))
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(text)       # a comment without an end
             continue
         if m["end"]:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root:
-                here = up.parent
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up)
             continue
         if tag == "html":
             continue
-        if tag in ENDS_P and (p := _within(here, ("p", *CONTAINERS))) is not None and p.tag == "p":
-            here = p.parent
-        if tag in CLOSED_BY:
+        if tag in ENDS_P and opened["p"]:
+            p = _within(here, ("p", *CONTAINERS))
+            if p is not None and p.tag == "p":
+                here = leave(p)
+        if tag in CLOSED_BY and any(opened[t] for t in CLOSED_BY[tag]):
             up = here
             while up is not None and up.tag not in CLOSED_BY[tag] and up.tag not in (
                     "ul", "ol", "dl", "table", "select", *CONTAINERS - {"td"}):
                 up = up.parent
             while up is not None and up.tag in CLOSED_BY[tag]:
-                here = up.parent
+                here = leave(up)
                 up = here if tag == "tr" else None
         node = Node(tag, m["attrs"] or "", here)
         here.kids.append(node)
         if tag in RAW:
             raw = tag if not (m["attrs"] or "").endswith("/") else None
-        if here.depth >= DEEPEST:        # deeper elements only break the text
-            continue
         if tag not in VOID and not (m["attrs"] or "").endswith("/") or tag in BLOCK - {"hr"}:
             here = node
+            opened[tag] += 1
     if not raw and at < len(text):
-        here.kids.append(text[at:])
+        here.kids.append(text[at:].split("<!--", 1)[0] if at >= last else text[at:])
     return root
 
 
@@ -175,20 +193,22 @@ def blocks(node: Node) -> list[str]:
 
 
 class Shape:
-    """A block element with its block children; equal childless neighbours are one."""
+    """A block element with its block children; equal childless neighbours are one. Shapes
+    with equal ``sig`` have equal trees. Below ``DEEPEST`` levels a shape has no children."""
 
-    __slots__ = ("label", "nodes", "kids", "size")
+    __slots__ = ("label", "nodes", "kids", "size", "sig")
 
-    def __init__(self, nodes: list[Node]):
+    def __init__(self, nodes: list[Node], level: int = 0):
         self.label, self.nodes, self.kids = nodes[0].label, nodes, []
-        found = [k for n in nodes for k in _block_kids(n)]
-        for k in found:
-            leaf = not _block_kids(k)
+        for k in (k for n in nodes for k in _block_kids(n)) if level < DEEPEST else ():
+            leaf = level + 1 >= DEEPEST or not _block_kids(k)
             if leaf and self.kids and self.kids[-1].label == k.label and not self.kids[-1].kids:
                 self.kids[-1].nodes.append(k)
             else:
-                self.kids.append(Shape([k]))
+                self.kids.append(Shape([k], level + 1))
         self.size = 1 + sum(k.size for k in self.kids)
+        self.sig = blake2b(b"".join([k.sig for k in self.kids]) + self.label.encode(),
+                           digest_size=16).digest()
 
 
 def _block_kids(node: Node) -> list[Node]:
@@ -203,18 +223,42 @@ def _block_kids(node: Node) -> list[Node]:
     return out
 
 
+def _ends(a: Shape, b: Shape) -> tuple[int, int]:
+    """How many children the two begin and end with that are equal trees: they match each
+    other whole, which no other pairing of them can beat."""
+    n, head, tail = min(len(a.kids), len(b.kids)), 0, 0
+    while head < n and a.kids[head].sig == b.kids[head].sig:
+        head += 1
+    while tail < n - head and a.kids[-1 - tail].sig == b.kids[-1 - tail].sig:
+        tail += 1
+    return head, tail
+
+
+def _table(a: Shape, b: Shape, memo: dict) -> tuple[int, int, list[list[int]]]:
+    """Equal children at both ends, and the matching sizes of what is between them."""
+    head, tail = _ends(a, b)
+    left, right = a.kids[head:len(a.kids) - tail], b.kids[head:len(b.kids) - tail]
+    m = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left, 1):
+        above, row = m[i - 1], m[i]
+        for j, y in enumerate(right, 1):
+            row[j] = max(above[j], row[j - 1], above[j - 1] + match(x, y, memo))
+    return head, tail, m
+
+
 def match(a: Shape, b: Shape, memo: dict) -> int:
-    """Simple tree matching: the most node pairs that keep order and ancestry."""
+    """Simple tree matching: the most node pairs that keep order and ancestry. Known sizes
+    are kept by the trees' signatures, so equal siblings are compared once."""
     if a.label != b.label:
         return 0
-    key = (id(a), id(b))
+    if a.sig == b.sig:
+        return a.size
+    key = (a.sig, b.sig)
     if key not in memo:
-        m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
-        for i, x in enumerate(a.kids, 1):
-            for j, y in enumerate(b.kids, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + match(x, y, memo))
-        memo[key] = (m[-1][-1] + 1, m)
-    return memo[key][0]
+        head, tail, m = _table(a, b, memo)
+        memo[key] = 1 + m[-1][-1] + sum(k.size for k in a.kids[:head]) + sum(
+            k.size for k in a.kids[len(a.kids) - tail:])
+    return memo[key]
 
 
 def aligned(a: Shape, b: Shape, memo: dict) -> list[tuple[Shape, Shape]]:
@@ -225,12 +269,18 @@ def aligned(a: Shape, b: Shape, memo: dict) -> list[tuple[Shape, Shape]]:
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        m = memo[id(x), id(y)][1]
-        i, j = len(x.kids), len(y.kids)
+        if x.sig == y.sig:
+            todo.extend(zip(x.kids, y.kids))
+            continue
+        head, tail, m = _table(x, y, memo)
+        todo.extend(zip(x.kids[:head], y.kids))
+        todo.extend(zip(x.kids[len(x.kids) - tail:], y.kids[len(y.kids) - tail:]))
+        i, j = len(m) - 1, len(m[0]) - 1
         while i and j:
-            w = match(x.kids[i - 1], y.kids[j - 1], memo)
+            left, right = x.kids[head + i - 1], y.kids[head + j - 1]
+            w = match(left, right, memo)
             if w and m[i][j] == m[i - 1][j - 1] + w:
-                todo.append((x.kids[i - 1], y.kids[j - 1]))
+                todo.append((left, right))
                 i, j = i - 1, j - 1
             elif m[i][j] == m[i - 1][j]:
                 i -= 1
@@ -308,6 +358,7 @@ def _slot(shape: Shape, fresh) -> Shape:
 def extract(pages: list[str]) -> list[str]:
     """Main texts of one run of pages of a host."""
     roots = [parse(p) for p in pages]
+    memo: dict = {}
     shapes = [Shape([r]) for r in roots]
     if len(pages) < 2:
         return [" ".join(_texts(own_roots(r))) for r in roots]
@@ -321,7 +372,7 @@ def extract(pages: list[str]) -> list[str]:
     ref = next(s for s in shapes if (s.size, tuple(k.label for k in s.kids)) == common)
     counted, partners, texts = set(distinct), [], {}
     for p, s in enumerate(shapes):
-        got = aligned(ref, s, {})
+        got = aligned(ref, s, memo)
         partners.append({id(y): id(x) for x, y in got})
         if p in counted:
             for x, y in got:
@@ -395,8 +446,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, _ = host_and_path(F.col(url_col))
     src = pages.select(host.alias("_host"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"),
                        F.col(html_col).alias("_html"))
-    # hosts of several runs, at most pages / run; the others have run 0 only
-    counts = written(src.groupBy("_host").agg(F.ceil(F.count(F.lit(1)) / run).cast("int").alias("_runs"))
+    # hosts of several runs, by their pages and by their html; the others have run 0 only
+    counts = written(src.groupBy("_host").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / run), F.ceil(F.sum(F.length("_html")) / HELD)).cast("int").alias("_runs"))
                      .where("_runs > 1"), "large-hosts")
     few = counts.count() <= BROADCAST_HOSTS
     kinds = {c: src.schema[c].dataType.simpleString() for c in ("_id", "_url")}
@@ -407,15 +459,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def induce(batches):
         for _, group in runs_of(batches, 2):
-            held, size = [], 0
-            for r in group:
-                held.append(r)
-                size += len(r[4] or "")
-                if size > HELD:
-                    yield result(held)
-                    held, size = [], 0
-            if held:
-                yield result(held)
+            yield result(list(group))
 
     def result(held):
         texts = extract([r[4] or "" for r in held])

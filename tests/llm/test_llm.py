@@ -683,3 +683,43 @@ def test_pipeline_near_duplicates_by_five_words(spark, docs):
     got = {r.doc_id for r in pipeline.ngram_jaccard(spark, d, SF).collect()}
     assert got == want
     assert got & {10_000, 10_001, 10_002, 10_003} == {10_000, 10_003}
+
+
+# ---- main text: depth, broken markup, many siblings
+
+
+def _page_of(body):
+    return f"<html><body><nav>menu</nav><article>{body}</article><div class=sidebar>side</div></body></html>"
+
+
+def test_main_text_at_any_depth():
+    deep = "<div>" * 900 + "<p>inmost</p><nav>hidden</nav>" + "</div>" * 900 + "<p>after</p>"
+    assert wrapper.extract([_page_of(deep)]) == ["inmost after"]
+    pages = [_page_of(deep.replace("inmost", f"inmost {i}")) for i in range(3)]
+    assert wrapper.extract(pages) == [f"inmost {i} after" for i in range(3)]
+
+
+def test_broken_markup_is_read_once():
+    import time
+
+    start = time.time()
+    for text in ("<a " * 200_000, "<div>" * 30_000 + "</b>" * 30_000, "<span>" * 30_000 + "<p>x</p>" * 3000,
+                 "<p>x <!-- " * 20_000, "<li>" * 20_000, "<a '" * 50_000 + ">"):
+        wrapper.extract([text])
+    assert time.time() - start < 60
+    assert wrapper.extract(["<p>a</p> b <!-- gone <p>c</p> gone"]) == ["a b"]
+    assert wrapper.extract(["<p>a</p> b <!-- gone"]) == ["a b"]
+    assert wrapper.extract(["<p>1 < 2 and <em"]) == ["1 < 2 and <em"]
+
+
+def test_many_siblings():
+    import time
+
+    def page(n, tag):
+        rows = "".join(f"<tr><td>{tag} {i}</td><td><div>x</div>{i * n}</td></tr>" for i in range(n))
+        return _page_of(f"<table>{rows}</table>")
+
+    start = time.time()
+    got = wrapper.extract([page(2000, "a"), page(1990, "b"), page(1500, "c")])
+    assert time.time() - start < 60
+    assert got[2].startswith("c 0 x 0 c 1 x 1500") and got[2].count("x") == 1500
