@@ -34,7 +34,7 @@ HEADLINE = [
     "mcq_prompt_train",     # D1 prompts
     "completion_mask",      # D3-D5
     "graph_edges",          # E7
-    "knn_ivf",              # approximate kNN (IVF)
+    "knn_codes",            # R1 on two large sides (vector-approximation file)
 ]
 
 

@@ -54,8 +54,12 @@ def test_bounds_hold():
                                np.linalg.norm(b - vc, axis=1), "l2" if metric == "l2" else "ip")
             true = (np.square(a[:, None] - b[None]).sum(axis=2) if metric == "l2" else 1 - a @ b.T)
             assert (low <= true).all() and (true <= high).all()
+            # tight where both sides lie within the limits of the codes
+            miss = np.linalg.norm(b - vc, axis=1)
+            low, high = bounds(vc, miss, vc, miss, "l2" if metric == "l2" else "ip")
             if metric == "l2":
-                assert np.median(high - low) < 0.25 * np.median(true)
+                true = np.square(b[:, None] - b[None]).sum(axis=2)
+                assert np.median(high - low) < 0.05 * np.median(true)
 
 
 def test_same_as_the_scan_and_plan_without_replicated_vectors(spark):
