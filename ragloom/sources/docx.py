@@ -142,7 +142,7 @@ def text_to_docx(text: str) -> bytes:
     import zipfile
     from xml.sax.saxutils import escape
 
-    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", text)
+    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text)
 
     def run(s: str) -> str:
         s = escape(s, {"\r": "&#13;"})
