@@ -8,6 +8,9 @@ between short pieces, may join them or end the word. Viterbi decoding under a ch
 a token without such characters has one reading, itself, and is not decoded. A token
 whose letters are only doubled counts as it stands, too.
 
+Every text is decoded once: its distinct restored words (of three letters and more,
+as shorter ones are no evidence) are written as a table that learning and scoring read.
+
 Restored words and their beginnings (``PREFIXES`` letters) are the evidence. From
 labelled texts, each distinct text once, those are kept that toxic texts hold with a
 precision whose lower confidence bound reaches ``CERTAIN``; a text's score is that of
@@ -28,14 +31,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, map_texts, slices
+from .common import claim, map_texts, slices, written
 from .quality_model import labels_by_id
 
 #: Characters and the letters they may stand for.
@@ -130,26 +133,62 @@ class _Pieces(dict):
         return core
 
 
+class _Costs(dict):
+    """letters -> cost of the last one behind the others."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.total = table, max(1.0, float(table.sum()) / ORDER)
+
+    def __missing__(self, key: str) -> float:
+        p = 0.5 * (self.table[_bucket(key[-1])] + 0.5) / self.total
+        for n in range(2, ORDER + 1):
+            g = key[-n:]
+            p = (self.table[_bucket(g)] + 5 * p) / (self.table[_bucket(g[:-1])] + 5)
+        if len(self) > KEEP:
+            self.clear()
+        got = self[key] = -math.log(max(min(p, 1.0), 1e-12))
+        return got
+
+
+class _Moves(dict):
+    """(context, piece) -> (cost, last letters after it) of writing the piece behind the context."""
+
+    def __init__(self, costs: _Costs):
+        self.costs = costs
+
+    def __missing__(self, key: tuple[str, str]) -> tuple[float, str]:
+        (last, piece), value = key, 0.0
+        for c in piece:
+            value += self.costs[last + c]
+            last = last[1:] + c
+        if len(self) > KEEP:
+            self.clear()
+        got = self[key] = (value, last)
+        return got
+
+
+class _Known(dict):
+    """token -> its restored words."""
+
+    def __init__(self, restore):
+        self.restore = restore
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > KEEP:
+            self.clear()
+        got = self[token] = self.restore(token)
+        return got
+
+
 class Decoder:
     """Restored words of a text under a table of n-gram counts."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.costs, self.known, self.joined = table, {}, {}, {}
-        self.pieces = _Pieces()
-        self.total = max(1.0, float(table.sum()) / ORDER)
+        self.costs, self.pieces, self.joined = _Costs(table), _Pieces(), {}
+        self.moves, self.known = _Moves(self.costs), _Known(self._token)
 
     def cost(self, context: str, c: str) -> float:
-        key = context + c
-        got = self.costs.get(key)
-        if got is None:
-            p = 0.5 * (self.table[_bucket(c)] + 0.5) / self.total
-            for n in range(2, ORDER + 1):
-                g = key[-n:]
-                p = (self.table[_bucket(g)] + 5 * p) / (self.table[_bucket(g[:-1])] + 5)
-            got = self.costs[key] = -math.log(max(min(p, 1.0), 1e-12))
-            if len(self.costs) > KEEP:
-                self.costs.clear()
-        return got
+        return self.costs[context + c]
 
     def viterbi(self, token: str) -> tuple[str, ...]:
         """The likeliest words behind ``token``. A state is the last letters emitted and
@@ -197,44 +236,40 @@ class Decoder:
         readings = [(0.0, word)]
         for i in reversed(at):           # the few readings one by one
             readings += [(fee + COST_DOUBLE, w[:i] + w[i + 1:]) for fee, w in readings]
-        best = None
+        best, costs = None, self.costs
         for value, w in readings:
-            context = "^" * (ORDER - 1)
-            for c in w + "$":
-                value += self.cost(context, c)
-                context = context[1:] + c
+            marked = "^" * (ORDER - 1) + w + "$"
+            for i in range(len(w) + 1):
+                value += costs[marked[i:i + ORDER]]
             if best is None or value < best[0]:
                 best = (value, w)
         return (best[1],)
 
     def token(self, token: str) -> tuple[str, ...]:
-        got = self.known.get(token)
-        if got is None:
-            core = token.strip(EDGE)
-            if core.isalpha():
-                got = (core,) if not _TRIPLE.search(core) else self.viterbi(core)
-                if got == (core,) and _DOUBLE.search(core):     # a true pair stays beside
-                    got += tuple(w for w in self.undoubled(core) if w != core)
-                # the look-alikes at the edges may belong to the word
-                if len(core) < len(token) and any(c in "$@+|!(" for c in token):
-                    inner = token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_")
-                    if inner != core and len(inner) - len(core) <= 2 and not _TRIPLE.search(inner):
-                        got += self.viterbi(inner)
-            elif any(c.isalpha() for c in core):
-                got = self.viterbi(token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_"))
-                got += tuple(w for w in re.findall(r"[^\W\d_]+", core) if w not in got)
-            else:
-                got = ()
-            if len(self.known) > KEEP:
-                self.known.clear()
-            self.known[token] = got
-        return got
+        return self.known[token]
+
+    def _token(self, token: str) -> tuple[str, ...]:
+        core = token.strip(EDGE)
+        if core.isalpha():
+            got = (core,) if not _TRIPLE.search(core) else self.viterbi(core)
+            if got == (core,) and _DOUBLE.search(core):     # a true pair stays beside
+                got += tuple(w for w in self.undoubled(core) if w != core)
+            # the look-alikes at the edges may belong to the word
+            if len(core) < len(token) and any(c in "$@+|!(" for c in token):
+                inner = token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_")
+                if inner != core and len(inner) - len(core) <= 2 and not _TRIPLE.search(inner):
+                    got += self.viterbi(inner)
+            return got
+        if any(c.isalpha() for c in core):
+            got = self.viterbi(token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_"))
+            return got + tuple(w for w in re.findall(r"[^\W\d_]+", core) if w not in got)
+        return ()
 
     def spaced(self, run: tuple[str, ...]) -> tuple[str, ...]:
         """Words that the likeliest reading of short pieces in a row joins from several."""
         got = self.joined.get(run)
         if got is None:
-            if not all(p.isalpha() for p in run):
+            if not "".join(run).isalpha():
                 plain = {w for p in run for w in self.token(p)}
                 got = tuple(w for w in self.viterbi(" ".join(run)) if w not in plain)
             else:
@@ -245,19 +280,23 @@ class Decoder:
         return got
 
     def _joined(self, run: tuple[str, ...]) -> tuple[str, ...]:
-        start, cost = "^" * (ORDER - 1), self.cost
-        best: dict[str, tuple[float, tuple]] = {start: (0.0, ())}
-        for piece in run:                # a state is the last letters; the cheaper stays
+        start, cost, moves = "^" * (ORDER - 1), self.cost, self.moves
+        value, context = moves[start, run[0]]
+        best = {context: (value, ((), False))}
+        for piece in run[1:]:            # a state is the last letters; the cheaper stays
             nxt: dict[str, tuple[float, tuple]] = {}
+            least, before = math.inf, ()
             for last, (so_far, path) in best.items():
-                options = [(last, so_far + COST_JOIN, True)] if path else []
-                options.append((start, so_far + (cost(last, "$") + COST_BREAK if path else 0.0), False))
-                for context, value, joins in options:
-                    for c in piece:
-                        value += cost(context, c)
-                        context = context[1:] + c
-                    if context not in nxt or value < nxt[context][0]:
-                        nxt[context] = (value, (path, joins))
+                value, context = moves[last, piece]
+                value += so_far + COST_JOIN
+                if context not in nxt or value < nxt[context][0]:
+                    nxt[context] = (value, (path, True))
+                so_far += cost(last, "$") + COST_BREAK
+                if so_far < least:
+                    least, before = so_far, path
+            value, context = moves[start, piece]
+            if context not in nxt or value + least < nxt[context][0]:
+                nxt[context] = (value + least, (before, False))
             best = nxt
         path = min(((v + cost(x, "$"), p) for x, (v, p) in best.items()), key=lambda e: e[0])[1]
         out, word = [], []
@@ -272,18 +311,17 @@ class Decoder:
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
-        out: set[str] = set()
-        for t in set(tokens):
-            out.update(self.token(t))
-        pieces: list[str] = []
-        for p in [*map(self.pieces.__getitem__, tokens), ""]:
-            if p:                        # short pieces in a row are one lattice
-                pieces.append(p)
-            elif pieces:
+        distinct = set(tokens)
+        out = set(chain.from_iterable(map(self.known.__getitem__, distinct)))
+        joined = self.joined
+        for some, group in groupby(map(self.pieces.__getitem__, tokens), bool):
+            if some:                     # short pieces in a row are one lattice
+                pieces = tuple(group)
                 if len(pieces) > 1:
-                    out.update(self.spaced(tuple(pieces)))
-                pieces = []
-        short = [i for i, t in enumerate(tokens) if len(t) == 1]
+                    got = joined.get(pieces)
+                    out.update(self.spaced(pieces) if got is None else got)
+        single = {t for t in distinct if len(t) == 1}
+        short = [i for i, t in enumerate(tokens) if t in single] if single else []
         run: list[int] = []
         for i in [*short, -9]:           # single characters in a row are one lattice
             if run and i != run[-1] + 1:
@@ -305,29 +343,35 @@ def evidence(words: set[str], sure) -> set[str]:
     return found | {b for b in beginnings(words - found) if b in sure}
 
 
-def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(h, _y, text): each distinct labelled text once, toxic if any copy is."""
+def labelled(restored: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_id, _y, words): each distinct labelled text once, toxic if any copy is."""
     few = marks.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(marks) if few else marks, F.col("_id") == F.col("_lid"))
-    one = rows.groupBy(F.xxhash64("text").alias("h")).agg(
-        F.min("_id").alias("_lid"), F.max("_y").alias("_y"))
-    return docs.join(F.broadcast(one) if few else one, F.col("_id") == F.col("_lid")).where(
-        F.xxhash64("text") == F.col("h")).select("_id", "_y", "text")
+    known = restored.where("_train")
+    one = (known.join(F.broadcast(marks) if few else marks, F.col("_id") == F.col("_lid"))
+           .groupBy("h").agg(F.min("_id").alias("_lid"), F.max("_y").alias("_y"))
+           .withColumnRenamed("h", "_h"))
+    return known.join(F.broadcast(one) if few else one, (F.col("_id") == F.col("_lid"))
+                      & (F.col("h") == F.col("_h"))).select("_id", "_y", "words")
 
 
-def _tally(rows: DataFrame, decoder, found, least: int = 1) -> dict[str, int]:
+def _words(t: bytes) -> set[str]:
+    """The words that the restored table holds as one string."""
+    return set(t.decode().split("\n")) if t else set()
+
+
+def _tally(rows: DataFrame, found, least: int = 1) -> dict[str, int]:
     """Texts per item of ``found(words)``, for items of at least ``least`` texts."""
 
     def run(batches):
         count: Counter = Counter()
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, "words"):
             for t in texts:
-                count.update(found(decoder().words(t.decode("utf-8", "replace"))))
+                count.update(found(_words(t)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
             names=["w", "n"])
 
-    got = (rows.select("text").mapInArrow(run, "w string, n long").groupBy("w")
+    got = (rows.select("words").mapInArrow(run, "w string, n long").groupBy("w")
            .agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     return {r["w"]: r["n"] for r in got.collect()}
 
@@ -344,8 +388,8 @@ def _certain(toxic: dict[str, int], clean: dict[str, int], bound: float) -> dict
     return out
 
 
-def learn(rows: DataFrame, decoder) -> tuple[dict[str, float], float]:
-    """(evidence -> precision, rate of toxic texts without any) from (_y, text) rows.
+def learn(rows: DataFrame) -> tuple[dict[str, float], float]:
+    """(evidence -> precision, rate of toxic texts without any) from (_y, words) rows.
 
     Words first; then beginnings, on the words that are not evidence themselves. What
     is collected occurs in ``MIN_SHARE`` of the toxic texts, or is one of those items."""
@@ -355,14 +399,14 @@ def learn(rows: DataFrame, decoder) -> tuple[dict[str, float], float]:
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * sizes.get(True, 0)))
 
     def round_(found, bound):
-        toxic = _tally(bad, decoder, found, least)
+        toxic = _tally(bad, found, least)
         known = set(toxic)
-        return _certain(toxic, _tally(good, decoder, lambda w: found(w) & known), bound)
+        return _certain(toxic, _tally(good, lambda w: found(w) & known), bound)
 
-    sure = round_(lambda w: {x for x in w if len(x) > 2}, CERTAIN)
+    sure = round_(lambda w: w, CERTAIN)
     words = set(sure)
     sure |= round_(lambda w: beginnings(w - words), CERTAIN_BEGINNING)
-    left = _tally(bad, decoder, lambda w: () if evidence(w, sure) else ("",)).get("", 0)
+    left = _tally(bad, lambda w: () if evidence(w, sure) else ("",)).get("", 0)
     return sure, left / max(1, left + sizes.get(False, 0))
 
 
@@ -376,32 +420,37 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
     import uuid
 
     sc = docs.sparkSession.sparkContext
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"),
+                      (train & F.col(text_col).isNotNull()).alias("_train"),
+                      F.xxhash64(text_col).alias("h"))
     table = sc.broadcast(language_model(src))       # BUCKETS numbers
     key = uuid.uuid4().hex
+    kind = src.schema["_id"].dataType.simpleString()
 
-    def decoder() -> Decoder:
+    def restore(rows, texts):
         claim("toxicity", _DECODERS.clear)
         if key not in _DECODERS:
             _DECODERS.clear()
             _DECODERS[key] = Decoder(table.value)
-        return _DECODERS[key]
+        decode = _DECODERS[key].words
+        found = ["\n".join(sorted(w for w in decode(t.decode("utf-8", "replace")) if len(w) > 2))
+                 for t in texts]
+        return [rows.column(0), rows.column(1), rows.column(2), found]
 
-    marks = labels_by_id(labels.select(id_col, label_col), id_col, label_col)
-    rows = labelled(docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-                    .where("text is not null"), marks)
-    sure, rest = learn(rows, decoder)
-    kind = src.schema["_id"].dataType.simpleString()
+    restored = written(map_texts(src, ["_id", "_train", "h"], restore,
+                                 f"_id {kind}, _train boolean, h long, words string"), "restored")
+    sure, rest = learn(labelled(restored, labels_by_id(labels.select(id_col, label_col),
+                                                       id_col, label_col)))
 
     def run(rows, texts):
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            hits = evidence(decoder().words(t.decode("utf-8", "replace")), sure) if sure else ()
+            hits = evidence(_words(t), sure) if sure else ()
             out[i] = rest
             if hits:
                 stems = {h.rstrip("*")[:4] for h in hits}
                 out[i] = max(rest, 1 - (1 - max(sure[h] for h in hits)) * 0.5 ** (len(stems) - 1))
         return [rows.column(0), out, (out >= threshold).astype(np.int32)]
 
-    return map_texts(src, ["_id"], run, f"_id {kind}, score double, predicted int").withColumnRenamed(
-        "_id", id_col)
+    return map_texts(restored, ["_id"], run, f"_id {kind}, score double, predicted int",
+                     text_col="words").withColumnRenamed("_id", id_col)

@@ -416,6 +416,46 @@ def test_viterbi_equals_exhaustive_search():
         assert d.viterbi(token) == (best[1],)
 
 
+def test_learning_equals_counting(spark):
+    """Evidence, its precision and the rate of the rest, against counts over all texts."""
+    rng = random.Random(8)
+    plain = "the read story house green water moon table chair music".split()
+    rows = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        words = set(rng.choices(plain, k=6))
+        if toxic and i % 12:
+            words.add(rng.choice(["idiot", "moron", "moronic", "idiotic", "idiots"]))
+        rows.append((i, float(toxic), "\n".join(sorted(words))))
+    sure, rest = toxicity.learn(spark.createDataFrame(rows, "_id int, _y double, words string"))
+
+    def low(k, n):
+        z, p = toxicity.Z, k / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    def count(items):
+        bad, good = Counter(), Counter()
+        for _, y, w in rows:
+            (bad if y else good).update(items(set(w.split("\n"))))
+        return {x: (k + 0.1) / (k + good[x] + 1) for x, k in bad.items() if k >= toxicity.MIN_DOCS
+                and low(k, k + good[x]) >= (toxicity.CERTAIN_BEGINNING if x[-1] == "*" else toxicity.CERTAIN)}
+
+    want = count(lambda w: w)
+    whole = set(want)
+    want |= count(lambda w: {x[:n] + "*" for x in w - whole for n in toxicity.PREFIXES if len(x) > n})
+    assert whole and sure == pytest.approx(want)
+    left = sum(y > 0 and not toxicity.evidence(set(w.split("\n")), sure) for _, y, w in rows)
+    assert rest == pytest.approx(left / (left + sum(y == 0 for _, y, _ in rows)))
+
+
+def test_each_labelled_text_is_learned_once(spark):
+    table = spark.createDataFrame([(1, True, 7, "one"), (2, True, 7, "one"), (3, True, 8, "two"),
+                                   (4, False, 9, "three"), (5, None, 9, "three"), (None, True, 5, "x")],
+                                  "_id int, _train boolean, h long, words string")
+    marks = spark.createDataFrame([(1, 0.0), (2, 1.0), (4, 1.0), (5, 1.0)], "_lid int, _y double")
+    assert [tuple(r) for r in toxicity.labelled(table, marks).collect()] == [(1, 1.0, "one")]
+
+
 def test_toxicity_held_out_and_odd(spark, odd, none):
     rng = random.Random(4)
     plain = [w for w in "the read story house green water moon table chair music".split()]
