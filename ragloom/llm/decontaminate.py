@@ -3,9 +3,10 @@
 The benchmark's items are the documents of an inverted index, cut into shards of
 at most ``SHARD_ITEMS`` items so that what a task holds is bounded; every training
 passage is a query. Passages are windows of 2 S words every S words, S at least the
-longest item, so an item in a text lies whole in one window. Impacts are divided by
-the item's score against itself, so one threshold, a share of a full match, serves
-all items. Per batch, block maxima (blocks of ``BLOCK_ITEMS`` items) give each
+longest item, so an item in a text lies whole in one window. A score is a share of the
+item's score against itself; each item's threshold is the least share that a passage
+which passes verification can have (``least_share``), so retrieval loses no hit.
+Impacts are divided by it, and one bound serves all items. Per batch, block maxima (blocks of ``BLOCK_ITEMS`` items, kept only where a term occurs) give each
 window's best possible score; windows that could reach the threshold are run
 through document-at-a-time block-max WAND, which returns every item above it.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +36,11 @@ from .common import slices, written
 
 SHARD_ITEMS, BLOCK_ITEMS = 4096, 8
 K1, B = 1.2, 0.75
-#: Share of an item's self score that a passage must reach.
-THRESHOLD = 0.7
 OVERLAP = 0.8
 SHINGLE = 5
 MIN_STRIDE = 64
-#: (window, term) rows whose bounds are summed at once.
-CHUNK = 1 << 15
+#: (window, block) sums that are held at once.
+CHUNK = 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -50,17 +50,46 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Postings by term id, ascending item numbers, impacts as shares of the self score."""
+    """Postings by term id, ascending item numbers; an impact is a share of the item's
+    self score, divided by the share ``need`` that a verified passage has at least."""
 
     items: list
     item_words: list[list[str]]
     terms: dict[str, int]
     postings: list[tuple[list[int], list[float]]]
-    block_max: np.ndarray      # terms x blocks
+    need: np.ndarray
+    blocks: int
+    block_at: np.ndarray       # a term's block maxima begin here in the next two
+    block_no: np.ndarray
+    block_max: np.ndarray
     stride: int
 
+    def maxima(self, term: int) -> dict[int, float]:
+        part = slice(self.block_at[term], self.block_at[term + 1])
+        return dict(zip(self.block_no[part].tolist(), self.block_max[part].tolist()))
 
-def build_index(items: list[tuple]) -> Index | None:
+
+def least_share(item: list[str], share: dict[str, float], overlap: float) -> float:
+    """A lower bound of the self score's share that a passage holds if it covers
+    ``overlap`` of the item's question and answer.
+
+    A term is lost only if all its places are uncovered, so its share is dealt out over
+    them; the places that may be uncovered in each part take the largest ones."""
+    count = Counter(item)
+    value = np.array([share[w] / count[w] for w in item])
+    cut = question_length(item)
+    lost = 0.0
+    for part in (value[:cut], value[cut:]):
+        free = int((1 - overlap) * len(part) + 1e-9)
+        lost += np.sort(part)[len(part) - free:].sum()
+    return max(1.0 - lost, 0.0)
+
+
+def question_length(item: list[str]) -> int:
+    return -(-2 * len(item) // 3)
+
+
+def build_index(items: list[tuple], overlap: float = OVERLAP) -> Index | None:
     """``items``: (id, text). None if no item has a word."""
     rows = [(i, w) for i, t in items if (w := words(t or ""))]
     if not rows:
@@ -80,22 +109,30 @@ def build_index(items: list[tuple]) -> Index | None:
     for p in impact.values():
         for k, w in p:
             own[k] += w
-    terms = {x: i for i, x in enumerate(impact)}
-    block_max = np.zeros((len(terms), -(-n // BLOCK_ITEMS)), np.float32)
-    postings = []
+    shares: list[dict[str, float]] = [{} for _ in rows]
     for x, p in impact.items():
+        for k, w in p:
+            shares[k][x] = w / own[k]
+    # above zero, so that a passage without any of the item's words is never a candidate
+    need = np.array([max(least_share(w, shares[k], overlap), 1e-6) for k, (_, w) in enumerate(rows)])
+    terms = {x: i for i, x in enumerate(impact)}
+    postings, numbers, tops = [], [], []
+    for p in impact.values():
         at = np.array([k for k, _ in p])
-        share = np.array([w for _, w in p]) / own[at]
+        share = np.array([w for _, w in p]) / own[at] / need[at]
         postings.append((at.tolist(), share.tolist()))
-        # a little above, as the bounds are summed in single precision
-        np.maximum.at(block_max[terms[x]], at // BLOCK_ITEMS, (share * 1.0001).astype(np.float32))
-    return Index([i for i, _ in rows], [w for _, w in rows], terms, postings, block_max,
+        begin = np.flatnonzero(np.diff(at // BLOCK_ITEMS, prepend=-1))
+        numbers.append(at[begin] // BLOCK_ITEMS)
+        tops.append(np.maximum.reduceat(share, begin))
+    return Index([i for i, _ in rows], [w for _, w in rows], terms, postings, need,
+                 -(-n // BLOCK_ITEMS), np.cumsum([0, *map(len, numbers)]),
+                 np.concatenate(numbers), np.concatenate(tops),
                  max(MIN_STRIDE, max(len(w) for _, w in rows)))
 
 
 def block_max_wand(index: Index, query: list[int], theta: float) -> list[tuple[int, float]]:
     """All (item number, score) with score >= theta for distinct term ids ``query``."""
-    lists = [[*index.postings[t], 0, index.block_max[t].tolist(), max(index.postings[t][1])]
+    lists = [[*index.postings[t], 0, index.maxima(t), max(index.postings[t][1])]
              for t in query]
     out = []
     while lists:
@@ -112,7 +149,7 @@ def block_max_wand(index: Index, query: list[int], theta: float) -> list[tuple[i
         while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == item:
             pivot += 1
         block = item // BLOCK_ITEMS
-        if sum(p[3][block] for p in lists[:pivot + 1]) < theta:
+        if sum(p[3].get(block, 0.0) for p in lists[:pivot + 1]) < theta:
             # no item before the block's end, or before the next list begins, can do it
             goal = (block + 1) * BLOCK_ITEMS
             if pivot + 1 < len(lists):
@@ -140,12 +177,13 @@ def covered(item: list[str], passage: list[str]) -> float:
     for i in range(len(item) - k + 1):
         if tuple(item[i:i + k]) in there:
             mark[i:i + k] = True
-    cut = -(-2 * len(item) // 3)
+    cut = question_length(item)
     return float(min(mark[:cut].mean(), mark[cut:].mean() if cut < len(item) else 1.0))
 
 
-def search(index: Index, texts: list[bytes], theta: float, overlap: float):
+def search(index: Index, texts: list[bytes], overlap: float):
     """(text number, item number, score, overlap) of verified hits, windows apart."""
+    theta = 1 - 1e-9
     get, stride, width = index.terms.get, index.stride, len(index.terms)
     every, doc, place, base, first = [], [], [], 0, []
     for i, t in enumerate(texts):
@@ -165,27 +203,36 @@ def search(index: Index, texts: list[bytes], theta: float, overlap: float):
     window, term = key // width, key % width
     begins = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(key) else []
     first = np.array(first)
+    ends = np.append(begins, len(key))
+    entries = np.concatenate([[0], np.cumsum(np.diff(index.block_at)[term])])
+    step = max(1, CHUNK // index.blocks)
     at = 0
     while at < len(begins):
-        stop = max(at + 1, int(np.searchsorted(begins, begins[at] + CHUNK)))
-        lo, hi = begins[at], begins[stop] if stop < len(begins) else len(key)
-        bound = np.add.reduceat(index.block_max[term[lo:hi]], begins[at:stop] - lo, axis=0)
+        # so many windows that neither their sums nor their entries pass the bound
+        stop = int(np.searchsorted(entries[ends[1:]], entries[ends[at]] + CHUNK, "right"))
+        stop = max(at + 1, min(stop, at + step, len(begins)))
+        lo, hi = ends[at], ends[stop]
+        many = np.diff(entries[lo:hi + 1])
+        from_ = np.repeat(index.block_at[term[lo:hi]] - (entries[lo:hi] - entries[lo]), many)
+        entry = from_ + np.arange(len(from_))
+        row = np.repeat(np.repeat(np.arange(stop - at), np.diff(ends[at:stop + 1])), many)
+        bound = np.bincount(row * index.blocks + index.block_no[entry], index.block_max[entry],
+                            (stop - at) * index.blocks).reshape(stop - at, index.blocks)
         for k in np.flatnonzero(bound.max(1) >= theta):
-            b = begins[at + k]
-            e = begins[at + k + 1] if at + k + 1 < len(begins) else len(key)
+            b, e = ends[at + k], ends[at + k + 1]
             n = int(np.searchsorted(first, window[b], "right")) - 1
             start = int(window[b] - first[n]) * stride
             passage = every[n][start:start + 2 * stride]
-            for item, score in block_max_wand(index, term[b:e].tolist(), theta - 1e-9):
+            for item, score in block_max_wand(index, term[b:e].tolist(), theta):
                 got = covered(index.item_words[item], passage)
                 if got >= overlap:
-                    yield n, item, score, got
+                    yield n, item, min(score * float(index.need[item]), 1.0), got
         at = stop
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
-          overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP,
+          id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text") -> DataFrame:
     """(id, item id, score, overlap): documents with a passage that repeats an item."""
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_words")
                              ).where("_words is not null").distinct()
@@ -198,13 +245,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     found = None
     for s in range(max(1, -(-n // SHARD_ITEMS))):
         rows = items.where(shard == s).orderBy("_item", "_words").collect()  # one bounded shard
-        index = sc.broadcast(build_index([tuple(r) for r in rows]))
+        index = sc.broadcast(build_index([tuple(r) for r in rows], overlap))
 
         def run(batches, index=index):
             for rows, texts in slices(batches, text_col):
                 if index.value is None:
                     return
-                hits = list(search(index.value, texts, threshold, overlap))
+                hits = list(search(index.value, texts, overlap))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
                      pa.array([index.value.items[h[1]] for h in hits], items_type),

@@ -521,6 +521,48 @@ def test_leaks(spark, docs, odd, none):
         assert decontaminate.leaks(a, b).count() == 0
 
 
+def test_retrieval_loses_nothing_that_verification_accepts(spark):
+    """Items whose rarest words were changed, against coverage of every item by every text."""
+    rng = random.Random(5)
+    common, items, rows = [f"c{i}" for i in range(12)], [], []
+    for i in range(60):
+        rare = rng.randint(1, 4)
+        text = [rng.choice(common) for _ in range(rng.choice([4, 15, 30, 45]))]
+        for k, at in enumerate(rng.sample(range(len(text)), min(rare, len(text)))):
+            text[at] = f"r{i}x{k}"
+        items.append((i, " ".join(text)))
+        for n in range(6):               # n rare words changed, or words anywhere
+            new = list(text)
+            at = [j for j, w in enumerate(text) if w[0] == "r"][:n] if n < 4 else rng.sample(
+                range(len(text)), max(1, len(text) // 12))
+            for j in at:
+                new[j] = f"n{n}"
+            rows.append((6 * i + n, " ".join(["x"] * rng.randint(0, 90) + new + ["y"] * 9)))
+    split = {i: t.split() for i, t in items}
+    want = {(d, i) for d, t in rows for i, w in split.items()
+            if decontaminate.covered(w, t.split()) >= 0.8}
+    index = decontaminate.build_index(items)
+    assert index.need.min() < 0.5 and any(d % 6 in (1, 2) for d, _ in want)
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id int, text string"),
+                              spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    # small chunks give the same
+    kept, decontaminate.CHUNK = decontaminate.CHUNK, 64
+    try:
+        again = {(rows[n][0], index.items[k]) for n, k, *_ in decontaminate.search(
+            index, [t.encode() for _, t in rows], 0.8)}
+    finally:
+        decontaminate.CHUNK = kept
+    assert again == want
+
+
+def test_block_maxima_are_kept_where_a_term_occurs():
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(50)) + " the") for i in range(400)]
+    index = decontaminate.build_index(items)
+    assert len(index.block_max) == 400 * 50 + index.blocks
+    assert set(index.maxima(index.terms["the"])) == set(range(index.blocks))
+
+
 # ---- 9 near duplicates
 
 
