@@ -58,10 +58,12 @@ Z, CERTAIN, CERTAIN_BEGINNING = 2.5, 0.4, 0.7
 #: Labelled rows up to this many ids are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEEP = 400_000
+#: Words whose cost is worked out at once; pieces of a stretch up to which all its parts are.
+BATCH, LONG = 50_000, 6
 _K, _M = 0x01000193, 0xFFFFFFFF
 #: Letters of a piece that a spaced word may be cut into.
 SHORT = 4
-_TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
+_TRIPLE, _DOUBLE, _LOOKS = re.compile(r"(.)\1\1"), re.compile(r"(.)\1"), re.compile(r"[$@+|!(]")
 
 
 def _bucket(gram: str) -> int:
@@ -71,23 +73,29 @@ def _bucket(gram: str) -> int:
     return (h * 2654435761 & _M) >> 12
 
 
+def _gram_buckets(code: np.ndarray):
+    """Buckets of the 1- to ``ORDER``-grams of code points, by their first place (see ``_bucket``)."""
+    h = np.zeros(len(code) + 1, np.uint32)
+    for n in range(1, ORDER + 1):
+        h = h[:-1] * np.uint32(_K) + code[n - 1:]              # modulo 2^32
+        yield (h + np.uint32(n * pow(_K, n, 1 << 32) & _M)) * np.uint32(2654435761) >> np.uint32(12)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def count_grams(words: Counter) -> np.ndarray:
     """Hashed counts of the 1- to ``ORDER``-grams of ``^^^word$``."""
-    joined = "\0".join(f"^^^{w}$" for w in words) + "\0"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    code = _codes("\0".join([f"^^^{w}$" for w in words]) + "\0" * ORDER if words else "\0" * ORDER)
     end = code == 0
-    weight = np.repeat(np.fromiter(words.values(), float, len(words)),
-                       np.diff(np.concatenate([[-1], np.flatnonzero(end)])))
-    total = np.zeros(BUCKETS)
-    for n in range(1, ORDER + 1):
-        h = np.full(len(code) - n + 1, n, np.uint64)
-        whole = np.ones(len(h), bool)
-        for i in range(n):
-            part = slice(i, len(code) - n + 1 + i)
-            h = (h * np.uint64(_K) + code[part]) & np.uint64(_M)
-            whole &= ~end[part]
-        b = (h * np.uint64(2654435761) & np.uint64(_M)) >> np.uint64(12)
-        total += np.bincount(b[whole].astype(np.int64), weight[:len(h)][whole], BUCKETS)
+    wide = np.fromiter(map(len, words), np.int64, len(words)) + ORDER + 1
+    weight = np.append(np.repeat(np.fromiter(words.values(), float, len(words)), wide),
+                       np.zeros(len(code)))[:len(code)]
+    total, crosses = np.zeros(BUCKETS), np.zeros(len(code), bool)
+    for n, b in enumerate(_gram_buckets(code)):
+        crosses = crosses[:len(b)] | end[n:n + len(b)]
+        total += np.bincount(b, np.where(crosses, 0.0, weight[:len(b)]), BUCKETS)
     return total
 
 
@@ -123,7 +131,12 @@ class _Pieces(dict):
     """token -> its letters if they may be a piece of a spaced word, or an empty string."""
 
     def __missing__(self, token: str) -> str:
-        core = token.strip(EDGE)
+        if token.isalpha():              # most words of a text
+            if len(token) > SHORT:
+                return ""
+            core = token
+        else:
+            core = token.strip(EDGE)
         if not 0 < len(core) <= SHORT or not (core.isalpha() or any(
                 c.isalpha() for c in core) and all(c.isalpha() or c in LEET for c in core)):
             core = ""
@@ -168,24 +181,55 @@ class _Moves(dict):
 
 
 class _Known(dict):
-    """token -> its restored words."""
+    """What ``restore`` gives, kept: token -> its restored words, word -> it without doubled
+    letters, pieces -> how they join."""
 
     def __init__(self, restore):
         self.restore = restore
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
+    def __missing__(self, token) -> tuple:
         if len(self) > KEEP:
             self.clear()
         got = self[token] = self.restore(token)
         return got
 
 
+def _paired(tokens: list[str]) -> list[bool]:
+    """Which tokens have a character twice in a row."""
+    if not tokens:
+        return []
+    code = _codes(" ".join(tokens))
+    wide = np.fromiter(map(len, tokens), np.int64) + 1
+    same = np.append(code[1:] == code[:-1], False)
+    return (np.add.reduceat(same, np.cumsum(wide) - wide) > 0).tolist()
+
+
 class Decoder:
     """Restored words of a text under a table of n-gram counts."""
 
     def __init__(self, table: np.ndarray):
-        self.costs, self.pieces, self.joined = _Costs(table), _Pieces(), {}
+        self.costs, self.pieces = _Costs(table), _Pieces()
         self.moves, self.known = _Moves(self.costs), _Known(self._token)
+        self.stretches, self.single = _Known(self._stretch), _Known(self.undoubled)
+
+    def spell(self, words: list[str]) -> np.ndarray:
+        """Cost of each word as a whole, its end included; what ``cost`` adds up letter by letter."""
+        out = [np.zeros(0)]
+        for at in range(0, len(words), BATCH):
+            joined = "".join([f"^^^{w}$" for w in words[at:at + BATCH]])
+            wide = np.fromiter(map(len, words[at:at + BATCH]), np.int64)
+            begin = np.cumsum(wide + ORDER) - wide - ORDER
+            p, before = None, None
+            for n, b in enumerate(_gram_buckets(_codes(joined))):
+                count = self.costs.table[b]      # of the n-grams, by their first place
+                here = count[ORDER - 1 - n:]     # those that end at the ORDER-th place and later
+                p = (0.5 * (here + 0.5) / self.costs.total if before is None
+                     else (here + 5 * p) / (before[ORDER - 1 - n:][:len(here)] + 5))
+                before = count
+            fee = -np.log(np.clip(p, 1e-12, 1.0))
+            total = np.concatenate([[0.0], np.cumsum(fee)])
+            out.append(total[begin + wide + 1] - total[begin])
+        return np.concatenate(out)
 
     def cost(self, context: str, c: str) -> float:
         return self.costs[context + c]
@@ -230,20 +274,39 @@ class Decoder:
 
     def undoubled(self, word: str) -> tuple[str, ...]:
         """``viterbi`` of letters of which none is repeated more than once."""
+        readings = self._readings(word)
+        if not readings:
+            return self.viterbi(word)
+        value = self.spell([w for _, w in readings]) + [fee for fee, _ in readings]
+        return (readings[int(value.argmin())][1],)
+
+    @staticmethod
+    def _readings(word: str) -> list[tuple[float, str]]:
+        """(fee, word) with and without the second letter of each pair; none if there are many."""
         at = [m.start() for m in _DOUBLE.finditer(word)]
         if len(at) > 2:
-            return self.viterbi(word)
-        readings = [(0.0, word)]
-        for i in reversed(at):           # the few readings one by one
-            readings += [(fee + COST_DOUBLE, w[:i] + w[i + 1:]) for fee, w in readings]
-        best, costs = None, self.costs
-        for value, w in readings:
-            marked = "^" * (ORDER - 1) + w + "$"
-            for i in range(len(w) + 1):
-                value += costs[marked[i:i + ORDER]]
-            if best is None or value < best[0]:
-                best = (value, w)
-        return (best[1],)
+            return []
+        out = [(0.0, word)]
+        for i in reversed(at):
+            out += [(fee + COST_DOUBLE, w[:i] + w[i + 1:]) for fee, w in out]
+        return out
+
+    def _learn_doubled(self, words: list[str]) -> None:
+        """Words with pairs of letters that are not known yet, at one go."""
+        known, new, sizes, spelled, fees = self.single, [], [], [], []
+        for word in words:
+            readings = self._readings(word) if word not in known else []
+            if readings:
+                new.append(word)
+                sizes.append(len(readings))
+                fees += [fee for fee, _ in readings]
+                spelled += [w for _, w in readings]
+        value, at = self.spell(spelled) + np.array(fees), 0
+        if len(known) + len(new) > KEEP:
+            known.clear()
+        for word, n in zip(new, sizes):
+            known[word] = (spelled[at + int(value[at:at + n].argmin())],)
+            at += n
 
     def token(self, token: str) -> tuple[str, ...]:
         return self.known[token]
@@ -251,11 +314,14 @@ class Decoder:
     def _token(self, token: str) -> tuple[str, ...]:
         core = token.strip(EDGE)
         if core.isalpha():
-            got = (core,) if not _TRIPLE.search(core) else self.viterbi(core)
-            if got == (core,) and _DOUBLE.search(core):     # a true pair stays beside
-                got += tuple(w for w in self.undoubled(core) if w != core)
+            got = (core,)
+            if _DOUBLE.search(core):
+                if _TRIPLE.search(core):
+                    got = self.viterbi(core)
+                if got == (core,):       # a true pair stays beside
+                    got += tuple(w for w in self.single[core] if w != core)
             # the look-alikes at the edges may belong to the word
-            if len(core) < len(token) and any(c in "$@+|!(" for c in token):
+            if len(core) < len(token) and _LOOKS.search(token):
                 inner = token.strip(".,;:?\"')[]{}<>#%&*=/\\~`^-_")
                 if inner != core and len(inner) - len(core) <= 2 and not _TRIPLE.search(inner):
                     got += self.viterbi(inner)
@@ -267,22 +333,39 @@ class Decoder:
 
     def spaced(self, run: tuple[str, ...]) -> tuple[str, ...]:
         """Words that the likeliest reading of short pieces in a row joins from several."""
-        got = self.joined.get(run)
-        if got is None:
-            if not "".join(run).isalpha():
-                plain = {w for p in run for w in self.token(p)}
-                got = tuple(w for w in self.viterbi(" ".join(run)) if w not in plain)
-            else:
-                got = self._joined(run)
-            if len(self.joined) > KEEP:
-                self.joined.clear()
-            self.joined[run] = got
-        return got
+        if not "".join(run).isalpha():
+            plain = {w for p in run for w in self.token(p)}
+            return tuple(w for w in self.viterbi(" ".join(run)) if w not in plain)
+        # a piece of ORDER - 1 letters or more leaves one state behind it, whatever came
+        # before: the lattice falls apart there, and its parts come back again and again
+        joins, at, known, last = [False], 0, self.stretches, len(run) - 1
+        for i in range(1, last + 1):
+            if i == last or len(run[i]) >= ORDER - 1:
+                joins += known[run[at:i + 1]]
+                at = i
+        if True not in joins:
+            return ()
+        out, word = [], []
+        for piece, join in zip(run, joins):
+            if not join:
+                if len(word) > 1:
+                    out.append("".join(word))
+                word = []
+            word.append(piece)
+        return (*out, "".join(word)) if len(word) > 1 else tuple(out)
 
-    def _joined(self, run: tuple[str, ...]) -> tuple[str, ...]:
+    def _stretch(self, run: tuple[str, ...]) -> tuple[bool, ...]:
+        """Of the pieces behind the first, which the likeliest reading joins to the one before."""
         start, cost, moves = "^" * (ORDER - 1), self.cost, self.moves
         value, context = moves[start, run[0]]
-        best = {context: (value, ((), False))}
+        if len(run) == 2:                # most of them: two readings
+            joined, behind = moves[context, run[1]]
+            apart, alone = moves[start, run[1]]
+            apart += cost(context, "$") + COST_BREAK
+            if behind != alone:
+                joined, apart = joined + cost(behind, "$"), apart + cost(alone, "$")
+            return (joined + COST_JOIN <= apart,)
+        best = {context: (value, ())}
         for piece in run[1:]:            # a state is the last letters; the cheaper stays
             nxt: dict[str, tuple[float, tuple]] = {}
             least, before = math.inf, ()
@@ -299,37 +382,119 @@ class Decoder:
                 nxt[context] = (value + least, (before, False))
             best = nxt
         path = min(((v + cost(x, "$"), p) for x, (v, p) in best.items()), key=lambda e: e[0])[1]
-        out, word = [], []
-        for piece in reversed(run):
-            path, joins = path
-            word.append(piece)
-            if not joins:
-                if len(word) > 1:
-                    out.append("".join(reversed(word)))
-                word = []
-        return tuple(out)
+        joins = []
+        while path:
+            path, join = path
+            joins.append(join)
+        return tuple(reversed(joins))
 
     def words(self, text: str) -> set[str]:
-        tokens = text.lower().split()
-        distinct = set(tokens)
-        out = set(chain.from_iterable(map(self.known.__getitem__, distinct)))
-        joined = self.joined
-        for some, group in groupby(map(self.pieces.__getitem__, tokens), bool):
-            if some:                     # short pieces in a row are one lattice
-                pieces = tuple(group)
-                if len(pieces) > 1:
-                    got = joined.get(pieces)
-                    out.update(self.spaced(pieces) if got is None else got)
-        single = {t for t in distinct if len(t) == 1}
+        return self.all_words([text])[0]
+
+    def all_words(self, texts: list[str]) -> list[set[str]]:
+        """The restored words of each text."""
+        cut = [t.lower().split() for t in texts]
+        flat = list(chain.from_iterable(cut))
+        place = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+        vocabulary = list(place)
+        double = _paired(vocabulary)
+        plain, pieces, pairs = set(), [], set()  # plain tokens have one reading, themselves
+        for token, twice in zip(vocabulary, double):
+            if token.isalpha():
+                pieces.append(token if len(token) <= SHORT else "")
+                if twice:
+                    pairs.add(token)
+                else:
+                    plain.add(token)
+            else:
+                pieces.append(self.pieces[token])
+                if twice and (core := token.strip(EDGE)).isalpha() and _DOUBLE.search(core):
+                    pairs.add(core)
+        self._learn_doubled([w for w in pairs if not _TRIPLE.search(w)])
+        ids = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        doc = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        out = []
+        for tokens in cut:
+            distinct = set(tokens)
+            found = distinct & plain
+            found.update(chain.from_iterable(map(self.known.__getitem__, distinct - plain)))
+            self._single(tokens, {t for t in distinct if len(t) == 1}, found)
+            out.append(found)
+        for i, word in self._runs(ids, doc, pieces):
+            out[i].add(word)
+        return out
+
+    def _single(self, tokens: list[str], single: set[str], out: set[str]) -> None:
+        """Single characters in a row are one lattice."""
         short = [i for i, t in enumerate(tokens) if t in single] if single else []
         run: list[int] = []
-        for i in [*short, -9]:           # single characters in a row are one lattice
+        for i in [*short, -9]:
             if run and i != run[-1] + 1:
                 if len(run) > 2 and sum(tokens[k].isalnum() or tokens[k] in LEET for k in run) > 2:
                     out.update(self.viterbi(" ".join(tokens[k] for k in run)))
                 run = []
             run.append(i)
-        return out
+
+    def _runs(self, ids: np.ndarray, doc: np.ndarray, pieces: list[str]):
+        """(text, word) for the words that ``spaced`` finds in each run of pieces of a text.
+
+        What a run's stretches (see ``spaced``) cost is worked out for all of them at once:
+        the likeliest way to cut a stretch into words is a shortest path over its ends."""
+        wide = np.array([len(p) for p in pieces], np.int64)[ids] if len(ids) else ids
+        link = np.zeros(len(ids) + 1, bool)      # place i and the one before it are in one run
+        link[1:-1] = (wide[1:] > 0) & (wide[:-1] > 0) & (doc[1:] == doc[:-1])
+        before, behind = link[:-1], link[1:]
+        odd = np.array([not p.isalpha() for p in pieces], bool)[ids] if len(ids) else before
+        heads = np.flatnonzero(behind & ~before)
+        tails = np.flatnonzero(before & ~behind)
+        dirty = np.add.reduceat(odd, np.stack([heads, tails + 1], 1).ravel()[:2 * len(heads) - 1]
+                                if len(heads) else [])[::2] > 0 if len(heads) else heads > 0
+        for lo, hi in zip(heads[dirty], tails[dirty]):
+            for word in self.spaced(tuple(pieces[k] for k in ids[lo:hi + 1])):
+                yield int(doc[lo]), word
+            behind[lo:hi] = False                # these are done
+        before = link[:-1] & np.concatenate([[False], behind[:-1]]) if len(ids) else before
+        cuts = np.flatnonzero((before | behind) & ((wide >= ORDER - 1) | ~before | ~behind))
+        first = cuts[behind[cuts]]
+        length = np.append(cuts[1:], 0)[behind[cuts]] - first + 1
+        joins = np.zeros(len(ids) + 1, bool)     # place i is joined to the one before it
+        alone = self.spell(pieces)
+        for n in np.unique(length):
+            at = first[length == n]
+            rows = ids[at[:, None] + np.arange(n)]
+            key = rows[:, 0]
+            for k in range(1, n):
+                key = np.unique(key * len(pieces) + rows[:, k], return_inverse=True)[1]
+            _, where, same = np.unique(key, return_index=True, return_inverse=True)
+            joins[at[:, None] + np.arange(1, n)] = self._cut(rows[where], pieces, alone)[same]
+        begin = np.flatnonzero(joins[1:] & ~joins[:-1])
+        end = np.flatnonzero(joins[:-1] & ~joins[1:]) + 1
+        for lo, hi in zip(begin.tolist(), end.tolist()):
+            yield int(doc[lo]), "".join([pieces[k] for k in ids[lo:hi].tolist()])
+
+    def _cut(self, rows: np.ndarray, pieces: list[str], alone: np.ndarray) -> np.ndarray:
+        """Which pieces of each row (a stretch) are joined to the one before, the first left out."""
+        n = rows.shape[1]
+        if n > LONG:
+            return np.array([self.stretches[tuple(pieces[k] for k in r)] for r in rows.tolist()])
+        text = [[pieces[k] for k in column] for column in rows.T.tolist()]
+        cost = {(a, a + 1): alone[rows[:, a]] for a in range(n)}
+        for a in range(n):
+            word = text[a]
+            for b in range(a + 1, n):
+                word = [x + y for x, y in zip(word, text[b])]
+                cost[a, b + 1] = self.spell(word) + COST_JOIN * (b - a)
+        best, came = [np.zeros(len(rows))], []
+        for b in range(1, n + 1):
+            value = np.stack([best[a] + cost[a, b] + (COST_BREAK if a else 0.0) for a in range(b)])
+            came.append(value.argmin(0))
+            best.append(value.min(0))
+        joins, end = np.ones((len(rows), n), bool), np.full(len(rows), n)
+        for b in range(n, 0, -1):
+            here = np.flatnonzero(end == b)
+            end[here] = came[b - 1][here]
+            joins[here, end[here]] = False
+        return joins[:, 1:]
 
 
 def beginnings(words: set[str]) -> set[str]:
@@ -337,10 +502,21 @@ def beginnings(words: set[str]) -> set[str]:
     return {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def evidence(words: set[str], sure) -> set[str]:
+def stems(items) -> set[str]:
+    """The first letters of those of ``items`` that are beginnings."""
+    return {i[:PREFIXES[0]] for i in items if i.endswith("*")}
+
+
+def begun(words: set[str], known, stem: set[str]) -> set[str]:
+    """``beginnings`` of the words that are in ``known``, whose ``stems`` are ``stem``."""
+    n = PREFIXES[0]
+    return {b for b in beginnings({w for w in words if w[:n] in stem}) if b in known}
+
+
+def evidence(words: set[str], sure, stem: set[str] | None = None) -> set[str]:
     """Which of ``sure`` a text holds; a beginning counts only for words not in it."""
-    found = {w for w in words if w in sure}
-    return found | {b for b in beginnings(words - found) if b in sure}
+    found = sure.keys() & words
+    return found | begun(words - found, sure, stems(sure) if stem is None else stem)
 
 
 def labelled(restored: DataFrame, marks: DataFrame) -> DataFrame:
@@ -398,15 +574,15 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], float]:
     bad, good = rows.where("_y > 0.5"), rows.where("_y <= 0.5")
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * sizes.get(True, 0)))
 
-    def round_(found, bound):
-        toxic = _tally(bad, found, least)
-        known = set(toxic)
-        return _certain(toxic, _tally(good, lambda w: found(w) & known), bound)
-
-    sure = round_(lambda w: w, CERTAIN)
+    toxic = _tally(bad, lambda w: w, least)
+    known = set(toxic)
+    sure = _certain(toxic, _tally(good, lambda w: w & known), CERTAIN)
     words = set(sure)
-    sure |= round_(lambda w: beginnings(w - words), CERTAIN_BEGINNING)
-    left = _tally(bad, lambda w: () if evidence(w, sure) else ("",)).get("", 0)
+    toxic = _tally(bad, lambda w: beginnings(w - words), least)
+    begins, stem = set(toxic), stems(toxic)
+    sure |= _certain(toxic, _tally(good, lambda w: begun(w - words, begins, stem)), CERTAIN_BEGINNING)
+    stem = stems(sure)
+    left = _tally(bad, lambda w: () if evidence(w, sure, stem) else ("",)).get("", 0)
     return sure, left / max(1, left + sizes.get(False, 0))
 
 
@@ -432,9 +608,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
         if key not in _DECODERS:
             _DECODERS.clear()
             _DECODERS[key] = Decoder(table.value)
-        decode = _DECODERS[key].words
-        found = ["\n".join(sorted(w for w in decode(t.decode("utf-8", "replace")) if len(w) > 2))
-                 for t in texts]
+        decode = _DECODERS[key].all_words
+        found = ["\n".join(sorted(w for w in words if len(w) > 2))
+                 for words in decode([t.decode("utf-8", "replace") for t in texts])]
         return [rows.column(0), rows.column(1), rows.column(2), found]
 
     restored = written(map_texts(src, ["_id", "_train", "h"], restore,
@@ -442,14 +618,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
     sure, rest = learn(labelled(restored, labels_by_id(labels.select(id_col, label_col),
                                                        id_col, label_col)))
 
+    stem = stems(sure)
+
     def run(rows, texts):
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            hits = evidence(_words(t), sure) if sure else ()
+            hits = evidence(_words(t), sure, stem) if sure else ()
             out[i] = rest
             if hits:
-                stems = {h.rstrip("*")[:4] for h in hits}
-                out[i] = max(rest, 1 - (1 - max(sure[h] for h in hits)) * 0.5 ** (len(stems) - 1))
+                apart = {h.rstrip("*")[:4] for h in hits}
+                out[i] = max(rest, 1 - (1 - max(sure[h] for h in hits)) * 0.5 ** (len(apart) - 1))
         return [rows.column(0), out, (out >= threshold).astype(np.int32)]
 
     return map_texts(restored, ["_id"], run, f"_id {kind}, score double, predicted int",
