@@ -400,6 +400,38 @@ def test_joined_pieces_equal_exhaustive_search():
         assert set(d.spaced(tuple(pieces))) == {w for w in best[1] if w not in pieces}
 
 
+def test_batches_equal_single_steps():
+    words = Counter("idiot stupid the it is in into to a zoé letter".split() * 9)
+    table = np.zeros(toxicity.BUCKETS)
+    for w, n in words.items():
+        for k in range(1, toxicity.ORDER + 1):
+            for i in range(len(w) + 5 - k):
+                table[toxicity._bucket(f"^^^{w}$"[i:i + k])] += n
+    assert (table == toxicity.count_grams(words)).all()
+    assert not toxicity.count_grams(Counter()).any()
+    d = toxicity.Decoder(table)
+    for w in ("idiot", "x", "", "zoé", "lletter"):
+        marked = f"^^^{w}$"
+        assert d.spell([w])[0] == pytest.approx(
+            sum(d.cost(marked[i - 3:i], marked[i]) for i in range(3, len(marked))))
+    rng = np.random.default_rng(3)
+    some = ["id", "iot", "st", "u", "pid", "i", "t", "the", "int", "o", "1d", "is,", "story", "77", "book"]
+    texts = [" ".join(rng.choice(some, n)) for n in [0, 1, 2, *rng.integers(3, 60, 40)]]
+    together = toxicity.Decoder(table).all_words(texts)
+    for text, got in zip(texts, together):
+        assert got == d.words(text)              # neighbours in a batch change nothing
+        run: list[str] = []
+        for token in [*text.split(), ""]:        # each run by itself
+            piece = d.pieces[token]
+            if piece:
+                run.append(piece)
+                continue
+            if len(run) > 1:
+                assert set(d.spaced(tuple(run))) <= got
+            run = []
+    assert toxicity.Decoder(table).all_words([]) == []
+
+
 def test_viterbi_equals_exhaustive_search():
     import itertools
 
