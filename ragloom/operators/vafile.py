@@ -7,8 +7,9 @@ r, s the triangle inequality bounds the distance by |q' - v'| -+ (r + s) (l2), a
 inner product by q'v' -+ (|q'| s + |v'| r + r s).
 
 1. Codes of both sides are hashed into blocks and every (query block, code block) pair is
-   one cogroup: only ids, bytes and residuals are replicated, never full vectors or text.
-   A pair is kept if its lower bound is within the k-th best upper bound of its block.
+   one task: only ids, bytes and residuals are replicated, never full vectors or text.
+   A pair is kept if its lower bound is within the k-th best upper bound of its block;
+   ``blocks.scan`` finds those pairs tile by tile.
 2. The k-th best upper bound over all blocks cuts the survivors again.
 3. Only survivors meet the full vectors, by equi-joins on the ids, and are scored exactly.
 
@@ -19,29 +20,21 @@ gives no quadratic survivors. Vectors that are null have no part in it.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from .blocks import QUERIES, Tiles, _unit, dealt, grid, scan, two_sides, written
 from .knn import METRICS, _exact, _matrix
 
-#: Bytes of codes in one block of either side, and distances held at once in a task.
-BLOCK_BYTES, CELLS = 32 << 20, 4 << 20
+#: Bytes of codes in one block of either side, and numbers held at once in a task.
+BLOCK_BYTES, CELLS = 8 << 20, 4 << 20
 STEPS = 255
 _DISTANCES = [T.StructField("_dist", T.DoubleType()), T.StructField("_key", T.DoubleType())]
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Codes:
     """One byte per dimension between the limits ``low`` and ``high``."""
 
@@ -56,11 +49,6 @@ class Codes:
         return self.low + codes * self.step
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(axis=1))[:, None]
-    return np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
-
-
 def limits(vectors: DataFrame, metric: str) -> Codes | None:
     """Least and greatest value of every dimension, from one row per task."""
     def run(batches):
@@ -118,29 +106,51 @@ def bounds(q: np.ndarray, qmiss: np.ndarray, v: np.ndarray, vmiss: np.ndarray,
     return 1 - dot - miss, 1 - dot + miss
 
 
-def _survivors(codes: Codes, k: int, metric: str, half: float, schema: pa.Schema):
-    def side(t: pa.Table):
+def _pair_bounds(q, qmiss, v, vmiss, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """``bounds`` of the pairs ``q[i]``, ``v[i]``."""
+    qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+    if metric == "l2":
+        centre = np.sqrt(np.square(q - v).sum(axis=1))
+        miss = qmiss + vmiss + 1e-7 * (qn + vn + 1e-30)
+        return np.square(np.maximum(centre - miss, 0)), np.square(centre + miss)
+    dot = (q * v).sum(axis=1)
+    miss = qn * vmiss + qmiss * vn + qmiss * vmiss + 1e-12 * (1 + qn * vn)
+    return 1 - dot - miss, 1 - dot + miss
+
+
+def _survivors(codes: Codes, k: int, metric: str, half: float, digits: int, schema: pa.Schema):
+    def side(t):
         raw = np.frombuffer(b"".join(t.column("_code").to_pylist()), np.uint8)
-        return (codes.decode(raw.reshape(t.num_rows, -1)),
-                t.column("_miss").to_numpy())
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        v, vmiss = side(right)
-        found, step = [], max(1, CELLS // len(v))
-        for at in range(0, left.num_rows, step):
-            q, qmiss = side(left.slice(at, step))
-            low, high = bounds(q, qmiss, v, vmiss, metric)
-            kth = np.partition(high, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
-            r, c = np.nonzero(low - half <= kth[:, None] + half)
-            found.append((r + at, c, low[r, c], high[r, c]))
-        r, c, low, high = (np.concatenate(x) for x in zip(*found))
-        return pa.Table.from_arrays(
-            [left.column("_qid").take(pa.array(r)), right.column("_vid").take(pa.array(c)),
-             pa.array(low), pa.array(high)], schema=schema)
-
-    return pair
+        return codes.decode(raw.reshape(t.num_rows, -1)), t.column("_miss").to_numpy()
+
+    def run(batches):
+        sides = two_sides(batches)
+        table = next(sides, None)
+        if table is None:
+            return
+        v, vmiss = side(table)
+        vid = table.column("_vid").combine_chunks()
+        tiles = Tiles(v, metric == "l2", miss=vmiss)
+        for batch in sides:
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                q, qmiss = side(part)
+                r, c = scan(tiles, q, k, metric == "l2", digits, miss=qmiss)
+                low, high = np.empty(len(r)), np.empty(len(r))
+                for s in range(0, len(r), CELLS // 64):
+                    i = slice(s, s + CELLS // 64)
+                    low[i], high[i] = _pair_bounds(q[r[i]], qmiss[r[i]], v[c[i]], vmiss[c[i]], metric)
+                order = np.lexsort((high, r))
+                first = np.searchsorted(r[order], np.arange(len(q)))
+                kth = np.full(len(q), np.inf)
+                full = first + k - 1 < np.append(first[1:], len(r))
+                kth[full] = high[order[first[full] + k - 1]]
+                keep = low - half <= kth[r] + half
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_qid").take(pa.array(r[keep])), vid.take(pa.array(c[keep])),
+                     pa.array(low[keep]), pa.array(high[keep])], schema=schema)
+
+    return run
 
 
 def knn_codes(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
@@ -155,9 +165,9 @@ def knn_codes(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2"
         raise ValueError(f"metric must be one of {METRICS}")
     if query_id == vector_id:
         raise ValueError("query_id and vector_id must have different names")
-    q = _written(queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
+    q = written(queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
                  .where(F.col("_qv").isNotNull()), "va-queries")
-    v = _written(vectors.select(F.col(vector_id).alias("_vid"), F.col(vector_vec).cast("array<double>").alias("_vv"))
+    v = written(vectors.select(F.col(vector_id).alias("_vid"), F.col(vector_vec).cast("array<double>").alias("_vv"))
                  .where(F.col("_vv").isNotNull()), "va-vectors")
     pairs = T.StructType([T.StructField("_qid", q.schema["_qid"].dataType),
                           T.StructField("_vid", v.schema["_vid"].dataType),
@@ -182,21 +192,13 @@ def _scored(q, v, codes, k, metric, rank_digits, block_bytes, pairs, arrow_pairs
     cq = encoded(q, "_qid", "_qv", codes, metric)
     cv = encoded(v.withColumn("_copy", F.row_number().over(copy)).where(F.col("_copy") <= k),
                  "_vid", "_vv", codes, metric)
-    cq, cv = _written(cq, "va-codes"), _written(cv, "va-codes")
-    row = dim + 40
-    nq = max(1, math.ceil(cq.count() * row / block_bytes))
-    nv = max(1, math.ceil(cv.count() * row / block_bytes))
-    # enough pairs to keep the cluster busy: blocks of codes are cheap to make smaller
-    want = cq.sparkSession.sparkContext.defaultParallelism
-    nv = max(nv, math.ceil(want / nq)) if cv.count() >= 64 * want else nv
-    left = (cq.withColumn("_i", F.pmod(F.xxhash64("_qid"), F.lit(nq)))
-            .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))))
-    right = (cv.withColumn("_j", F.pmod(F.xxhash64("_vid"), F.lit(nv)).cast("int"))
-             .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))))
+    cq, cv = written(cq, "va-codes"), written(cv, "va-codes")
+    a, b = grid(cq.count(), cv.count(), dim + 40, cq.sparkSession.sparkContext.defaultParallelism,
+                block_bytes)
+    both = dealt(cq.withColumn("_row", F.xxhash64("_qid")), cv.withColumn("_row", F.xxhash64("_vid")), a, b)
     half = 0.5 * 10.0 ** -rank_digits
-    kernel = _survivors(codes, k, metric, half, arrow_pairs)
-    near = _written(left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j"))
-                    .applyInArrow(kernel, pairs), "va-pairs")
+    near = written(both.mapInArrow(_survivors(codes, k, metric, half, rank_digits, arrow_pairs), pairs),
+                   "va-pairs")
     best = Window.partitionBy("_qid").orderBy("_high")
     cut = (near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
            .groupBy("_qid").agg(F.max("_high").alias("_kth")))
