@@ -53,3 +53,18 @@ def test_empty(spark, tmp_dir):
     q = spark.createDataFrame(QUESTIONS, "question_id int, question string")
     LX.build_index(c, f"{tmp_dir}/e")
     assert LX.search(q, f"{tmp_dir}/e", 6).count() == 0
+
+
+def test_few_questions_move_each_posting_once(spark, tmp_dir, monkeypatch):
+    chunks = CHUNKS + [(103, "w1 again"), (None, "common w5")]       # a repeated and a missing id
+    c = spark.createDataFrame(chunks, "chunk_id int, content string")
+    q = spark.createDataFrame(QUESTIONS + [(1, "w1 w3"), (None, "w5")], "question_id int, question string")
+    LX.build_index(c, f"{tmp_dir}/m")
+    kept = lambda df: sorted(map(tuple, df.collect()), key=str)     # noqa: E731
+    monkeypatch.setattr(LX, "CELLS", 8)
+    few = LX.search(q, f"{tmp_dir}/m", 6)
+    assert kept(few) == kept(LX.search(q, f"{tmp_dir}/m", 6, salts=2))
+    assert "MapInArrow" in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(LX, "MAX_QUESTIONS", 2)
+    many = LX.search(q, f"{tmp_dir}/m", 6)
+    assert kept(few) == kept(many) and "MapInArrow" not in many._jdf.queryExecution().toString()
