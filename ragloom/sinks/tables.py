@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import duplicate_rows
 
+#: Ids up to which a list of them is broadcast (after a count).
+MAX_TOLD = 100_000
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -51,22 +54,25 @@ def vector_append(chunks: DataFrame, base: str, key: str = "chunk_id",
     other costly step) runs on the rows that are left. Of rows that share an id one is
     kept, the same one on every replay; rows without an id are not kept apart. Returns the
     number of added rows; ``reads`` is filled with what was read of the index."""
-    from ..session import scratch_path
     from .idindex import IdIndex
 
     spark = chunks.sparkSession
     have = versions(spark, base)
-    new = _one_per_key(chunks, key)
+    # made once, read for ids and then for what is left
+    new = _distinct(_written(chunks, "append"), key)
     if have:
         index = IdIndex(spark, base, have[-1], key)
         index.ready(read_current(spark, base))
-        # the batch's rows are read twice (ids, then what is left): written once
-        path = scratch_path(spark, "append")
-        new.write.parquet(path)
-        new = spark.read.schema(new.schema).parquet(path)
-        held = index.held(new.select(key), reads)
-        new = new.join(held, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
-        ids = new.select(key)
+        held = _written(index.held(new.select(key), reads), "held")
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        ids = _written(new.select(key).join(held, same, "left_anti"), "new-ids")
+        left, gone = ids.count(), held.count()
+        if not left:
+            return 0
+        if gone:
+            left_ids = ids.select(F.col(key).alias("_k"))
+            new = (new.join(F.broadcast(left_ids), same, "left_semi") if left <= MAX_TOLD else
+                   new.join(F.broadcast(held) if gone <= MAX_TOLD else held, same, "left_anti"))
     if embed is not None:
         new = embed(new)
     seen = Observation()
@@ -80,6 +86,29 @@ def vector_append(chunks: DataFrame, base: str, key: str = "chunk_id",
     return int(seen.get["n"])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _distinct(rows: DataFrame, key: str) -> DataFrame:
+    """``_one_per_key`` of written rows, where only rows of repeated keys are moved: the keys
+    are counted without the other columns."""
+    twice = _written(rows.groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("_n"))
+                     .where("_n > 1").select("_twice"), "twice")
+    n = twice.count()
+    if not n:
+        return rows
+    if n > MAX_TOLD:
+        return _one_per_key(rows, key)
+    same = F.col(key).eqNullSafe(F.col("_twice"))
+    return rows.join(F.broadcast(twice), same, "left_anti").unionByName(
+        _one_per_key(rows.join(F.broadcast(twice), same, "left_semi"), key))
+
+
 def _version_folders(spark: SparkSession, base: str) -> dict[int, bool]:
     """Version number -> whether it was committed."""
     fs, p = _fs(spark, base)
