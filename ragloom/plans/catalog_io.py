@@ -112,8 +112,10 @@ def split_routing(spark, sf):
 def graph_sink(spark, sf):
     """E7, K7 twice: the second append adds nothing."""
     d = C._docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
-    edges = GR.extract_graph(d, GR.cooccurrence_extractor())
     base = scratch_path(spark, "graph")
+    extracted = GR.extract_graph(d, GR.cooccurrence_extractor())
+    extracted.write.parquet(f"{base}/extracted")            # read for nodes and edges of both appends
+    edges = spark.read.schema(extracted.schema).parquet(f"{base}/extracted")
     for _ in range(2):
         SK.graph_append(edges, GR.graph_nodes(edges), base)
     return (SK.read_current(spark, f"{base}/edges").groupBy("src", "dst", "type")
