@@ -20,6 +20,11 @@ Jaccard similarity reaches ``threshold`` percent. Equal sets are one node.
    differences are cut into blocks, each block of far members against each block
    of members, with an inverted index inside; no pair is a row. Only edges that
    join parts not yet joined in the block are kept.
+   Most members met their hub by chance and are like nothing there. Before any text
+   moves, sketches tell: the parities of a set's tokens in about as many bits as it has
+   tokens. Two sketches never differ in more bits than their sets in tokens, so who
+   differs too much from the hub and from all its members goes, and no link with it;
+   members that are only like each other get a hub among themselves.
 4. Components of the links by alternating stars.
 
 Defined results: a null or wordless text has an empty set and links with nothing;
@@ -51,6 +56,8 @@ BROADCAST_IDS = 1_000_000
 SPREAD = 16
 #: Members of a hub compared in one run; tokens of differences in one block.
 RUN, BLOCK = 2000, 1 << 20
+#: Eight-byte words of sketches in one block.
+SKETCHES = 1 << 14
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -159,17 +166,39 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of how many tokens fall to each of 2^c bits, c the size class; 64 bits at least."""
+    bits = max(64, 1 << size_class(max(1, len(tokens))))
+    place = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of numbers, all as narrow as the narrowest: a wider one's parts add up."""
+    wide = min(map(len, sketches), default=8) // 8
+    out = np.empty((len(sketches), wide), np.uint64)
+    for i, raw in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, wide), axis=0)
+    return out
+
+
+def may_link(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the ``others`` the set of ``n`` tokens may link with, by their sketches."""
+    differ = np.maximum(np.bitwise_count(others ^ one).sum(1, dtype=np.int64), np.abs(sizes - n))
+    return (100 + percent) * differ <= (100 - percent) * (sizes + n)
+
+
 def node_table(docs: DataFrame, width: int) -> DataFrame:
-    """(_id, n_shingles, digest) per row; no digest for an empty set."""
+    """(_id, n_shingles, digest, sketch) per row; no digest and sketch for an empty set."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(rows, texts):
         sets = shingle_sets(texts, width)
         return [rows.column(0), [len(s) for s in sets],
                 [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                 for s in sets]]
+                 for s in sets], [sketch(s) if len(s) else None for s in sets]]
 
-    return map_texts(docs, ["_id"], run, f"_id {kind}, n_shingles long, digest binary")
+    return map_texts(docs, ["_id"], run, f"_id {kind}, n_shingles long, digest binary, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
@@ -230,6 +259,93 @@ def hub_members(signed: DataFrame, percent: int) -> DataFrame:
     return rows.join(hubs, ["sig", "step"]).where("_id != hub").select("hub", "_id").distinct()
 
 
+def in_blocks(rows: DataFrame, words: F.Column, limit: int, cols: list[str]) -> DataFrame:
+    """(hub, i, j, side, cols): the ``far`` rows of a hub (side 0) in blocks i against all its
+    rows (side 1) in blocks j of about ``limit`` words; of hubs with far rows."""
+    hubs = (rows.groupBy("hub").agg(F.sum(words).alias("w"), F.sum(F.when(F.col("far"), words)).alias("v"))
+            .where("v is not null").select("hub", F.ceil(F.col("v") / limit).alias("lefts"),
+                                           F.ceil(F.col("w") / limit).alias("rights")))
+    rows = rows.join(hubs, "hub")
+    own = F.xxhash64("_id", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("far").select("hub", F.pmod(own, F.col("lefts")).alias("i"),
+                                    every("rights").alias("j"), F.lit(0).alias("side"), *cols)
+    right = rows.select("hub", every("lefts").alias("i"), F.pmod(own, F.col("rights")).alias("j"),
+                        F.lit(1).alias("side"), *cols)
+    return (left.unionByName(right).repartition("hub", "i", "j")
+            .sortWithinPartitions("hub", "i", "j", "side", "_id"))
+
+
+def new_stars(far: list, others: list, percent: int) -> list[tuple]:
+    """(hub, id): stars around some far members in which each two that may link, one of ``far``
+    and one of ``others``, meet. Rows are (id, size, sketch).
+
+    A member whose pairs are not all within earlier stars is the hub of one more; so alike
+    members share one star."""
+    rows = far + others
+    table = folded([r[2] for r in rows])
+    size, ident = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows])
+    hubs, reach, held = [], np.zeros((0, len(rows)), bool), []
+    for k, (x, n, _) in enumerate(far):
+        alike = may_link(table[k], n, table, size, percent) & (ident != x)
+        left = alike.copy()
+        left[:len(far)] = False
+        for h in np.flatnonzero(reach[:len(hubs), k]):
+            met = left & reach[h]
+            if met.any():
+                held[h] |= met
+                held[h][k] = True
+                left &= ~met
+        if left.any():
+            if len(hubs) == len(reach):
+                reach = np.concatenate([reach, np.zeros((len(hubs) + 8, len(rows)), bool)])
+            reach[len(hubs)] = alike
+            hubs.append(x)
+            held.append(left)
+    return list({(h, rows[k][0]) for h, mask in zip(hubs, held) for k in np.flatnonzero(mask)})
+
+
+def likely(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(hub, _id): stars in which all members of one of ``stars``, its hub included, meet whom they
+    may link with. Members like their hub stay with it; the others meet in stars of their own."""
+    kind = stars.schema["_id"].dataType.simpleString()
+    of = nodes.where("sketch is not null").select("_id", F.col("n_shingles").alias("size"), "sketch")
+    few = stars.count() <= BROADCAST_IDS
+    hubs = stars.select(F.col("hub").alias("_id")).distinct()
+    members = of.join(F.broadcast(stars) if few else stars, "_id").select("hub", "_id", "size", "sketch")
+    middle = of.join(F.broadcast(hubs) if few else hubs, "_id").select(
+        F.col("_id").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch"))
+
+    def compare(batches):
+        for b in batches:
+            hub, ident, size, one, n, other = (b.column(c) for c in range(6))
+            far = []
+            for s, x, m, y in zip(*(c.to_pylist() for c in (size, one, n, other))):
+                x, y = folded([x, y])
+                far.append(not may_link(x, s, y[None], np.array([m]), percent)[0])
+            yield pa.RecordBatch.from_arrays([hub, ident, size, one, pa.array(far, pa.bool_())],
+                                             names=["hub", "_id", "size", "sketch", "far"])
+
+    rows = written(members.join(middle.distinct(), "hub").distinct().mapInArrow(
+        compare, f"hub {kind}, _id {kind}, size long, sketch binary, far boolean"), "sketched")
+
+    def meet(batches):
+        for _, group in runs_of(batches, 3):
+            far, others = [], []
+            for _, _, _, side, *row in group:
+                (others if side else far).append(row)
+            found = new_stars(far, others, percent) if far and others else []
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["hub", "_id"])
+
+    several = rows.groupBy("hub").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a != b")
+    met = in_blocks(rows.join(several.select("hub"), "hub", "left_semi"),
+                    F.octet_length("sketch") / 8 + 8, SKETCHES, ["_id", "size", "sketch"])
+    return (rows.where("not far").select("hub", "_id")
+            .unionByName(met.mapInArrow(meet, f"hub {kind}, _id {kind}")).distinct())
+
+
 def differences(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
     """(hub, id, size, hub_size, far, delta): each member's symmetric difference from its hub."""
     kind = docs.schema["_id"].dataType.simpleString()
@@ -322,17 +438,6 @@ def block_links(far_rows: list, rows: list, percent: int) -> list[tuple]:
 def far_links(deltas: DataFrame, percent: int) -> DataFrame:
     """(u, v) links of members that are far from their hub."""
     kind = deltas.schema["_id"].dataType.simpleString()
-    hubs = (deltas.groupBy("hub").agg(F.sum(F.octet_length("delta") / 8 + 8).alias("w"),
-                                      F.max("far").alias("any"))
-            .where("any").select("hub", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")))
-    rows = deltas.join(hubs, "hub").withColumn("own", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    left = rows.where("far").select("hub", F.col("own").cast("long").alias("i"),
-                                    F.explode(every).alias("j"), F.lit(0).alias("side"),
-                                    "_id", "size", "delta")
-    right = rows.select("hub", F.explode(every).alias("i"), F.col("own").cast("long").alias("j"),
-                        F.lit(1).alias("side"), "_id", "size", "delta")
-
     def run(batches):
         for _, group in runs_of(batches, 3):
             far, rows = [], []
@@ -343,8 +448,7 @@ def far_links(deltas: DataFrame, percent: int) -> DataFrame:
                 u, v = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return (left.unionByName(right).repartition("hub", "i", "j")
-            .sortWithinPartitions("hub", "i", "j", "side", "_id")
+    return (in_blocks(deltas, F.octet_length("delta") / 8 + 8, BLOCK, ["_id", "size", "delta"])
             .mapInArrow(run, f"u {kind}, v {kind}"))
 
 
@@ -388,7 +492,7 @@ def similar_groups(docs: DataFrame, percent: int = 90, width: int = 3, id_col: s
 
     signed = written(map_texts(alone, ["_id"], sign, f"_id {kind}, sig long, size int, class int, "
                                "rare boolean, held int, often int"), "signatures")
-    stars = written(hub_members(signed, percent), "members")
+    stars = written(likely(written(hub_members(signed, percent), "members"), nodes, percent), "likely")
     far = (100 + percent) * F.octet_length("delta") / 8 > (100 - percent) * (F.col("size") + F.col("hub_size"))
     deltas = written(differences(alone, stars, width).withColumn("far", far), "differences")
     links = (deltas.where("not far").select(F.col("_id").alias("u"), F.col("hub").alias("v"))
