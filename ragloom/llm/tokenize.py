@@ -55,12 +55,9 @@ class _Words(dict):
         if ids is None:
             if word.isalpha():
                 ids = self.part(self.lead + word)
-            elif "\n" in word and word != "\n":
-                # single line breaks between words: each its own pre-token; only the words
-                # are kept
-                first, *rest = word.split("\n")
-                bare, line = self.bare, self.bare["\n"]
-                return self[first] + b"".join([line + bare[w] for w in rest])
+            elif word[0] == "\n" and word != "\n":
+                # a single line break is a pre-token of its own, the word behind it has no lead
+                ids = self.bare["\n"] + self.bare[word[1:]]
             else:
                 core = word.rstrip(punctuation)
                 if core and len(core) < len(word) and core.isalpha():
@@ -115,7 +112,8 @@ class Encoder:
             if not raw:
                 out.append(b"")
             elif self.plain(raw, text):
-                first, *rest = text.split(" ")
+                # a line break goes with the word behind it: as few keys as words, not as pairs
+                first, *rest = text.replace("\n", " \n").split(" ")
                 out.append(self.bare[first] + b"".join(map(get, rest)))
             else:
                 out.append(self.whole(text))
