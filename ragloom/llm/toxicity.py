@@ -10,6 +10,7 @@ whose letters are only doubled counts as it stands, too.
 
 Every text is decoded once: its distinct restored words (of three letters and more,
 as shorter ones are no evidence) are written as a table that learning and scoring read.
+Workers number tokens and words and keep what a token reads as between slices of texts.
 
 Restored words and their beginnings (``PREFIXES`` letters) are the evidence. From
 labelled texts, each distinct text once, those are kept that toxic texts hold with a
@@ -35,6 +36,7 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ Z, CERTAIN, CERTAIN_BEGINNING = 2.5, 0.4, 0.7
 #: Labelled rows up to this many ids are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEEP = 400_000
+#: Tokens and restored words of which a worker keeps the readings, some 200 bytes each, and their letters.
+TOKENS, LETTERS = 800_000, 32_000_000
 #: Words whose cost is worked out at once; pieces of a stretch up to which all its parts are.
 BATCH, LONG = 50_000, 6
 _K, _M = 0x01000193, 0xFFFFFFFF
@@ -127,23 +131,25 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
-class _Pieces(dict):
-    """token -> its letters if they may be a piece of a spaced word, or an empty string."""
+def _piece(token: str) -> str:
+    """Its letters if they may be a piece of a spaced word, or an empty string."""
+    core = token.strip(EDGE)
+    if not 0 < len(core) <= SHORT or not (core.isalpha() or any(
+            c.isalpha() for c in core) and all(c.isalpha() or c in LEET for c in core)):
+        return ""
+    return core
 
-    def __missing__(self, token: str) -> str:
-        if token.isalpha():              # most words of a text
-            if len(token) > SHORT:
-                return ""
-            core = token
-        else:
-            core = token.strip(EDGE)
-        if not 0 < len(core) <= SHORT or not (core.isalpha() or any(
-                c.isalpha() for c in core) and all(c.isalpha() or c in LEET for c in core)):
-            core = ""
-        if len(self) > KEEP:
-            self.clear()
-        self[token] = core
-        return core
+
+class _Ids(dict):
+    """string -> its number, counted by first sight; ``names`` has them by number."""
+
+    def __init__(self):
+        self.names: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        got = self[name] = len(self.names)
+        self.names.append(name)
+        return got
 
 
 class _Costs(dict):
@@ -208,9 +214,20 @@ class Decoder:
     """Restored words of a text under a table of n-gram counts."""
 
     def __init__(self, table: np.ndarray):
-        self.costs, self.pieces = _Costs(table), _Pieces()
+        self.costs, self.pieces = _Costs(table), _Known(_piece)
         self.moves, self.known = _Moves(self.costs), _Known(self._token)
         self.stretches, self.single = _Known(self._stretch), _Known(self.undoubled)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Tables of tokens, restored words and pieces by number, kept between slices."""
+        self.ids, self.parts = _Ids(), _Ids()        # tokens and words; pieces
+        self.parts[""]                               # number 0: no piece
+        self.size, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.reads = np.zeros(0, np.int64)           # restored words, ``count`` from ``begin`` on
+        self.seen = np.zeros(0, np.int64)            # slices with the token, halved by ``_shrink``
+        self.wide, self.odd, self.alone = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
 
     def spell(self, words: list[str]) -> np.ndarray:
         """Cost of each word as a whole, its end included; what ``cost`` adds up letter by letter."""
@@ -393,92 +410,178 @@ class Decoder:
 
     def all_words(self, texts: list[str]) -> list[set[str]]:
         """The restored words of each text."""
-        cut = [t.lower().split() for t in texts]
-        flat = list(chain.from_iterable(cut))
-        place = {t: i for i, t in enumerate(dict.fromkeys(flat))}
-        vocabulary = list(place)
-        double = _paired(vocabulary)
-        plain, pieces, pairs = set(), [], set()  # plain tokens have one reading, themselves
-        for token, twice in zip(vocabulary, double):
-            if token.isalpha():
-                pieces.append(token if len(token) <= SHORT else "")
-                if twice:
-                    pairs.add(token)
-                else:
-                    plain.add(token)
-            else:
-                pieces.append(self.pieces[token])
-                if twice and (core := token.strip(EDGE)).isalpha() and _DOUBLE.search(core):
-                    pairs.add(core)
-        self._learn_doubled([w for w in pairs if not _TRIPLE.search(w)])
-        ids = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        doc = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        out = []
-        for tokens in cut:
-            distinct = set(tokens)
-            found = distinct & plain
-            found.update(chain.from_iterable(map(self.known.__getitem__, distinct - plain)))
-            self._single(tokens, {t for t in distinct if len(t) == 1}, found)
-            out.append(found)
-        for i, word in self._runs(ids, doc, pieces):
-            out[i].add(word)
+        out: list[set[str]] = [set() for _ in texts]
+        for i, w in zip(*(x.tolist() for x in self._found(texts))):
+            out[i].add(self.ids.names[w])
         return out
 
-    def _single(self, tokens: list[str], single: set[str], out: set[str]) -> None:
-        """Single characters in a row are one lattice."""
-        short = [i for i, t in enumerate(tokens) if t in single] if single else []
-        run: list[int] = []
-        for i in [*short, -9]:
-            if run and i != run[-1] + 1:
-                if len(run) > 2 and sum(tokens[k].isalnum() or tokens[k] in LEET for k in run) > 2:
-                    out.update(self.viterbi(" ".join(tokens[k] for k in run)))
-                run = []
-            run.append(i)
-
-    def _runs(self, ids: np.ndarray, doc: np.ndarray, pieces: list[str]):
+    def restored(self, texts: list[str], least: int) -> pa.Array:
+        """The sorted restored words of ``least`` letters and more of each text, one a line."""
+        doc, word = self._found(texts)
+        long = self.size[word] >= least
+        doc, word = doc[long], word[long]
+        rank = np.zeros(len(self.size), np.int64)
+        rank[word] = 1
+        used = np.flatnonzero(rank)
+        some = pa.array([self.ids.names[w] for w in used.tolist()], pa.string())
+        order = pc.sort_indices(some)
+        rank[used[order.to_numpy()]] = np.arange(len(used))
+        key = np.sort(doc * len(used) + rank[word])
+        doc, word = np.divmod(key[np.append(True, key[1:] != key[:-1])[:len(key)]], max(1, len(used)))
+        ends = np.cumsum(np.bincount(doc + 1, minlength=len(texts) + 1))
+        return pc.binary_join(pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), some.take(order).take(pa.array(word))), "\n")
+
+    def _found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number of a restored word), some of them more than once."""
+        if len(self.ids) > TOKENS or self.size.sum() > LETTERS:
+            self._shrink()
+        cut = [t.lower().split() for t in texts]
+        long = np.fromiter(map(len, cut), np.int64, len(cut))
+        ids = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(cut)), np.int64, long.sum())
+        del cut
+        doc = np.repeat(np.arange(len(texts)), long)
+        if not len(ids):
+            return doc, ids
+        self._learn(ids)
+        reads, n = self._reads(ids)
+        found = [(np.repeat(doc, n), reads), self._single(ids, doc), self._runs(ids, doc)]
+        self._grow()
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _reads(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Restored words of the tokens one after another, and how many each has."""
+        n = self.count[ids]
+        return self.reads[np.repeat(self.begin[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def _shrink(self) -> None:
+        """Forget tokens that one slice had, and words that only such gave; all if too many stay."""
+        keep = self.seen > 1
+        tokens = np.flatnonzero(keep)
+        if (2 * len(tokens) > TOKENS or 2 * self.size[tokens].sum() > LETTERS
+                or len(self.parts) > KEEP):
+            self._forget()
+            return
+        reads, n = self._reads(tokens)
+        self.count[~keep] = -1
+        self.begin[tokens] = np.cumsum(n) - n
+        keep[reads] = True
+        self.reads = (np.cumsum(keep) - 1)[reads]
+        ids = _Ids()
+        for i in np.flatnonzero(keep).tolist():
+            ids[self.ids.names[i]]
+        self.ids, self.size, self.piece, self.begin, self.count, self.seen = (
+            ids, self.size[keep], self.piece[keep], self.begin[keep], self.count[keep], self.seen[keep] // 2)
+
+    def _grow(self) -> None:
+        """Places for the tokens, words and pieces that were seen since."""
+        names, parts = self.ids.names[len(self.size):], self.parts.names[len(self.wide):]
+        self.size = np.append(self.size, np.fromiter(map(len, names), np.int64, len(names)))
+        self.piece, self.begin, self.seen, self.count = (
+            np.append(x, np.full(len(names), y)) for x, y in
+            ((self.piece, 0), (self.begin, 0), (self.seen, 0), (self.count, -1)))
+        self.wide = np.append(self.wide, np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.odd = np.append(self.odd, np.array([not p.isalpha() for p in parts], bool))
+        self.alone = np.append(self.alone, self.spell(parts))
+
+    def _learn(self, ids: np.ndarray) -> None:
+        """Restored words and pieces of those tokens that were not read before."""
+        self._grow()
+        new = np.zeros(len(self.size), bool)
+        new[ids] = True
+        self.seen += new
+        new = np.flatnonzero(new & (self.count < 0))
+        tokens = [self.ids.names[i] for i in new.tolist()]
+        cores, double = [t if t.isalpha() else t.strip(EDGE) for t in tokens], _paired(tokens)
+        self._learn_doubled([*{c for c, twice in zip(cores, double) if twice and c.isalpha()
+                               and _DOUBLE.search(c) and not _TRIPLE.search(c)}])
+        piece, reads, count = [], [], []
+        for i, token, core, twice in zip(new.tolist(), tokens, cores, double):
+            if not core.isalpha():
+                piece.append(self.parts[_piece(token)])
+                words = [self.ids[w] for w in self._token(token)]
+            else:
+                piece.append(self.parts[core] if len(core) <= SHORT else 0)
+                if twice or len(core) < len(token) and _LOOKS.search(token):
+                    words = [self.ids[w] for w in self._token(token)]
+                else:                                # one reading, the token itself
+                    words = (i if len(core) == len(token) else self.ids[core],)
+            reads += words
+            count.append(len(words))
+        self._grow()
+        self.piece[new], self.count[new] = piece, count
+        self.begin[new] = len(self.reads) + np.cumsum(self.count[new]) - self.count[new]
+        self.reads = np.append(self.reads, np.array(reads, np.int64))
+
+    def _single(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) of single characters in a row, which are one lattice."""
+        link = np.zeros(len(ids) + 1, bool)          # place i and the one before it are in one run
+        short = self.size[ids] == 1
+        link[1:-1] = short[1:] & short[:-1] & (doc[1:] == doc[:-1])
+        docs, words = [], []
+        for lo, hi in zip(np.flatnonzero(link[1:] & ~link[:-1]), np.flatnonzero(link[:-1] & ~link[1:])):
+            run = [self.ids.names[k] for k in ids[lo:hi + 1].tolist()]
+            if len(run) > 2 and sum(t.isalnum() or t in LEET for t in run) > 2:
+                words += [self.ids[w] for w in self.viterbi(" ".join(run))]
+                docs += [doc[lo]] * (len(words) - len(docs))
+        return np.array(docs, np.int64), np.array(words, np.int64)
+
+    def _runs(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, word) for the words that ``spaced`` finds in each run of pieces of a text.
 
         What a run's stretches (see ``spaced``) cost is worked out for all of them at once:
         the likeliest way to cut a stretch into words is a shortest path over its ends."""
-        wide = np.array([len(p) for p in pieces], np.int64)[ids] if len(ids) else ids
+        part, names = self.piece[ids], self.parts.names
+        wide = self.wide[part]
         link = np.zeros(len(ids) + 1, bool)      # place i and the one before it are in one run
         link[1:-1] = (wide[1:] > 0) & (wide[:-1] > 0) & (doc[1:] == doc[:-1])
         before, behind = link[:-1], link[1:]
-        odd = np.array([not p.isalpha() for p in pieces], bool)[ids] if len(ids) else before
         heads = np.flatnonzero(behind & ~before)
         tails = np.flatnonzero(before & ~behind)
-        dirty = np.add.reduceat(odd, np.stack([heads, tails + 1], 1).ravel()[:2 * len(heads) - 1]
-                                if len(heads) else [])[::2] > 0 if len(heads) else heads > 0
-        for lo, hi in zip(heads[dirty], tails[dirty]):
-            for word in self.spaced(tuple(pieces[k] for k in ids[lo:hi + 1])):
-                yield int(doc[lo]), word
+        many = np.append(0, np.cumsum(self.odd[part]))
+        dirty = many[tails + 1] > many[heads]
+        docs, words = [], []
+        for lo, hi in zip(heads[dirty].tolist(), tails[dirty].tolist()):
+            words += [self.ids[w] for w in self.spaced(tuple(names[k] for k in part[lo:hi + 1].tolist()))]
+            docs += [doc[lo]] * (len(words) - len(docs))
             behind[lo:hi] = False                # these are done
-        before = link[:-1] & np.concatenate([[False], behind[:-1]]) if len(ids) else before
         cuts = np.flatnonzero((before | behind) & ((wide >= ORDER - 1) | ~before | ~behind))
         first = cuts[behind[cuts]]
         length = np.append(cuts[1:], 0)[behind[cuts]] - first + 1
         joins = np.zeros(len(ids) + 1, bool)     # place i is joined to the one before it
-        alone = self.spell(pieces)
-        for n in np.unique(length):
-            at = first[length == n]
-            rows = ids[at[:, None] + np.arange(n)]
-            key = rows[:, 0]
-            for k in range(1, n):
-                key = np.unique(key * len(pieces) + rows[:, k], return_inverse=True)[1]
-            _, where, same = np.unique(key, return_index=True, return_inverse=True)
-            joins[at[:, None] + np.arange(1, n)] = self._cut(rows[where], pieces, alone)[same]
+        for n, at, rows, same in self._alike(part, first, length):
+            joins[at[:, None] + np.arange(1, n)] = self._cut(rows, names, self.alone[rows])[same]
         begin = np.flatnonzero(joins[1:] & ~joins[:-1])
         end = np.flatnonzero(joins[:-1] & ~joins[1:]) + 1
-        for lo, hi in zip(begin.tolist(), end.tolist()):
-            yield int(doc[lo]), "".join([pieces[k] for k in ids[lo:hi].tolist()])
+        docs, words = [np.array(docs, np.int64)], [np.array(words, np.int64)]
+        for n, at, rows, same in self._alike(part, begin, end - begin):
+            text = [self.ids["".join([names[k] for k in row])] for row in rows.tolist()]
+            docs.append(doc[at])
+            words.append(np.array(text, np.int64)[same])
+        return np.concatenate(docs), np.concatenate(words)
+
+    def _alike(self, part: np.ndarray, first: np.ndarray, length: np.ndarray):
+        """Rows of two pieces and more by length: (length, first places, distinct rows, row of each)."""
+        for n in np.unique(length).tolist():
+            at = first[length == n]
+            rows = part[at[:, None] + np.arange(n)]
+            same = rows[:, 0]
+            if n > LONG:                         # few
+                yield n, at, rows, np.arange(len(rows))
+                continue
+            for k in range(1, n):
+                _, where, same = np.unique(same * len(self.parts) + rows[:, k],
+                                           return_index=True, return_inverse=True)
+            yield n, at, rows[where], same
 
     def _cut(self, rows: np.ndarray, pieces: list[str], alone: np.ndarray) -> np.ndarray:
-        """Which pieces of each row (a stretch) are joined to the one before, the first left out."""
+        """Which pieces of each row (a stretch) are joined to the one before, the first left out;
+        ``alone`` is what each costs as a word."""
         n = rows.shape[1]
         if n > LONG:
             return np.array([self.stretches[tuple(pieces[k] for k in r)] for r in rows.tolist()])
         text = [[pieces[k] for k in column] for column in rows.T.tolist()]
-        cost = {(a, a + 1): alone[rows[:, a]] for a in range(n)}
+        cost = {(a, a + 1): alone[:, a] for a in range(n)}
         for a in range(n):
             word = text[a]
             for b in range(a + 1, n):
@@ -535,6 +638,18 @@ def _words(t: bytes) -> set[str]:
     return set(t.decode().split("\n")) if t else set()
 
 
+def picked(words: pa.Array, whole, stem) -> list[set[str]]:
+    """Of each text the restored words that are in ``whole`` or begin with one of ``stem``."""
+    lists = pc.split_pattern(words, "\n")
+    word, text = lists.flatten(), pc.list_parent_indices(lists)
+    keep = pc.or_(pc.is_in(word, pa.array(list(whole), pa.string())), pc.is_in(
+        pc.utf8_slice_codeunits(word, 0, PREFIXES[0]), pa.array(list(stem), pa.string())))
+    out: list[set[str]] = [set() for _ in range(len(words))]
+    for i, w in zip(text.filter(keep).to_pylist(), word.filter(keep).to_pylist()):
+        out[i].add(w)
+    return out
+
+
 def _tally(rows: DataFrame, found, least: int = 1) -> dict[str, int]:
     """Texts per item of ``found(words)``, for items of at least ``least`` texts."""
 
@@ -608,9 +723,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
         if key not in _DECODERS:
             _DECODERS.clear()
             _DECODERS[key] = Decoder(table.value)
-        decode = _DECODERS[key].all_words
-        found = ["\n".join(sorted(w for w in words if len(w) > 2))
-                 for words in decode([t.decode("utf-8", "replace") for t in texts])]
+        found = _DECODERS[key].restored([t.decode("utf-8", "replace") for t in texts], 3)
         return [rows.column(0), rows.column(1), rows.column(2), found]
 
     restored = written(map_texts(src, ["_id", "_train", "h"], restore,
@@ -622,8 +735,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, threshol
 
     def run(rows, texts):
         out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            hits = evidence(_words(t), sure, stem) if sure else ()
+        for i, words in enumerate(picked(rows.column(1), sure, stem)):
+            hits = evidence(words, sure, stem) if sure else ()
             out[i] = rest
             if hits:
                 apart = {h.rstrip("*")[:4] for h in hits}

@@ -432,6 +432,38 @@ def test_batches_equal_single_steps():
     assert toxicity.Decoder(table).all_words([]) == []
 
 
+def test_readings_kept_between_slices(monkeypatch):
+    table = toxicity.count_grams(Counter("idiot stupid the it is in into to a zoé letter".split() * 9))
+    rng = np.random.default_rng(4)
+    some = ["id", "iot", "st", "u", "pid", "i", "t", "the", "iddiot", "1d10t", "is,", "Letter.", "stuuupid", "s", "É"]
+    texts = [" ".join([*rng.choice(some, n), *[f"it{chr(97 + k)}{chr(97 + n % 26)}" for k in range(n % 5)]])
+             for n in [0, 1, *rng.integers(2, 50, 60)]]
+    for tokens, letters in ((800_000, 32_000_000), (60, 32_000_000), (800_000, 200), (0, 0)):
+        monkeypatch.setattr(toxicity, "TOKENS", tokens)      # tables that stay, shrink, start anew
+        monkeypatch.setattr(toxicity, "LETTERS", letters)
+        d, read, learn = toxicity.Decoder(table), [], toxicity.Decoder._token
+        monkeypatch.setattr(d, "_token", lambda t, d=d: read.append(t) or learn(d, t))
+        for at in [*range(0, len(texts), 7)] * 2:
+            part = texts[at:at + 7]
+            alone = [toxicity.Decoder(table).words(t) for t in part]
+            assert d.all_words(part) == alone
+            assert d.restored(part, 3).to_pylist() == [
+                "\n".join(sorted(w for w in words if len(w) > 2)) for words in alone]
+            assert len(d.size) == len(d.ids) <= tokens + 500
+        if min(tokens, letters) > 200:
+            assert len(read) == len(set(read))   # a token is read once, not once a slice
+    assert d.restored([], 3).to_pylist() == [] and d.restored(["", "a"], 3).to_pylist() == ["", ""]
+
+
+def test_picked_words_are_those_that_count():
+    import pyarrow as pa
+
+    texts = ["idiot\nidiots\nstory", "", "zoés\nzoé", "the"]
+    for whole, stem in (({"idiot", "zoé"}, ()), ((), {"idio", "zoés"}), ({"the"}, {"stor"}), ((), ())):
+        assert toxicity.picked(pa.array(["x", *texts])[1:], whole, stem) == [
+            {w for w in t.split("\n") if w in whole or w[:4] in stem} for t in texts]
+
+
 def test_viterbi_equals_exhaustive_search():
     import itertools
 
