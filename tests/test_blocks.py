@@ -87,3 +87,29 @@ def test_code_blocks_are_small_enough_for_the_slots(spark, monkeypatch):
     want = K.knn(q, v, 3)
     assert rows(got, "question_id", "chunk_id", "rank") == rows(want, "question_id", "chunk_id", "rank")
     assert min(moved[0]) > 1
+
+
+def test_blocks_move_in_rounds(spark, monkeypatch):
+    moved = []
+    real = B.dealt
+    monkeypatch.setattr(B, "dealt", lambda l, r, a, b: moved.append(a * r.count() + b * l.count()) or real(l, r, a, b))
+    rng = np.random.default_rng(4)
+    V = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(V)], "chunk_id int, embedding array<double>")
+    q = v.where("chunk_id < 300").withColumnRenamed("chunk_id", "question_id")
+    got = B.knn_blocks(q, v, 3, block_bytes=640)          # 20 rows a block: 15 x 20 pairs of blocks
+    assert len(moved) > 2 and max(moved) <= 1.5 * B.ROUND * 700
+    assert rows(got, "question_id", "chunk_id", "rank") == rows(K.knn(q, v, 3), "question_id", "chunk_id", "rank")
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    from pathlib import Path
+
+    def files():
+        return {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+                for f in Path(d).rglob("shuffle_*")}
+
+    was, conf = files(), spark.conf.get(B._CLEANUP, None)
+    df = B.written(spark.range(5000).repartition(3, "id").withColumn("x", F.col("id") % 7), "kept")
+    assert df.count() == 5000 and not {f for f in files() - was if f.stat().st_size > 1000}
+    assert spark.conf.get(B._CLEANUP, None) == conf

@@ -103,6 +103,21 @@ def test_multi_query_with_many_variants(spark, chunks):
     assert got.where("question_id = 'r'").count() == 2
 
 
+def test_multi_query_ranks_without_texts(spark, chunks, monkeypatch):
+    variants = spark.createDataFrame([("q", 1, "w5 w9"), ("q", 2, "w9 w30"), ("r", 1, "w7"), (None, 1, "w8 w1")],
+                                     "question_id string, variant_no int, question string")
+    seen = []
+    real = OR.group_rank
+    monkeypatch.setattr(OR, "group_rank", lambda df, *a: seen.extend(df.columns) or real(df, *a))
+    cfg = RT.RetrieverConfig(k=4, use_mmr=False, dedup=False, rerank=False, reorder=False)
+    got = RT.multi_query(variants, chunks, cfg).collect()
+    assert seen and "content" not in seen
+    text = {r.chunk_id: r.content for r in chunks.collect()}
+    assert all(r.content == text[r.chunk_id] and r.distance is not None for r in got)
+    assert sorted(r["rank"] for r in got if r.question_id == "r") == [1, 2, 3, 4]
+    assert sum(r.question_id is None for r in got) == 4
+
+
 def test_model_is_asked_once_per_prompt(spark, tmp_dir):
     df = spark.range(400).select("id", F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(
         F.concat(F.lit("p" * 3), (F.col("id") % 7).cast("string"))).alias("prompt")).repartition(8)
