@@ -1,10 +1,11 @@
 """S1/S2/ST1 as a Spark data source: ``spark.read.format("docx")`` and ``readStream``.
 
 One row a Word file: path, modified, length, text, error. Files are listed once on the
-driver and dealt to partitions of about ``partitionBytes``; a file that cannot be read
-gives a row with its error and no text, in batch and stream alike, so one bad file stops
-nothing. Options: ``path`` (a folder, any address pyarrow's file systems know),
-``partitionBytes``, ``partitionFiles``.
+driver and dealt to partitions of about ``partitionBytes``; the driver holds them packed, a
+dozen bytes or two a file (a listing of a store that is not local comes whole before that).
+A file that cannot be read gives a row with its error and no text, in batch and stream alike,
+so one bad file stops nothing. Options: ``path`` (a folder, any address pyarrow's file systems
+know), ``partitionBytes``, ``partitionFiles``.
 
 The stream's offset is the last (modified, path) it has read. A file must not get a
 modification time before that of files read earlier (files written in place or copied do;
@@ -14,7 +15,12 @@ Spark's own readers reach are read by ``sources.files`` (``binaryFile``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import zlib
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from stat import S_ISREG
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +30,34 @@ SCHEMA = "path string, modified timestamp, length long, text string, error strin
 PARTITION_BYTES, PARTITION_FILES = 32 << 20, 2000
 
 
+#: Names packed at once while a folder is listed.
+NAMES = 2000
+
+
+def _packed(names: list[str]) -> bytes:
+    return zlib.compress(os.fsencode("\0".join(names)))
+
+
+def _unpacked(data: bytes) -> list[str]:
+    return os.fsdecode(zlib.decompress(data)).split("\0")
+
+
 class Files(InputPartition):
+    """(modified ns, path, length) of the files of one partition, packed: the driver holds
+    the partitions of a whole folder."""
+
     def __init__(self, files: list[tuple]):
-        self.files = files
+        modified, paths, lengths = zip(*files) if files else ((), (), ())
+        self.paths = _packed(paths) if files else b""
+        self.numbers = zlib.compress(array("q", modified).tobytes() + array("q", lengths).tobytes())
+
+    @property
+    def files(self) -> Iterator[tuple]:
+        if not self.paths:
+            return iter(())
+        numbers = array("q", zlib.decompress(self.numbers))
+        half = len(numbers) // 2
+        return zip(numbers[:half], _unpacked(self.paths), numbers[half:])
 
 
 def _open(path: str):
@@ -37,17 +68,36 @@ def _open(path: str):
     return fs.LocalFileSystem(), path
 
 
-def _listed(path: str) -> list[tuple]:
-    """(modified ns, path, length) of the Word files directly in a folder, in that order."""
+def _listed(path: str) -> Iterator[tuple]:
+    """(modified ns, path, length) of the Word files directly in a folder, one by one."""
     from pyarrow import fs
 
     system, root = _open(path)
-    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted((f.mtime_ns, f.path, f.size) for f in found
-                  if f.is_file and f.base_name.endswith(".docx"))
+    if not isinstance(system, fs.LocalFileSystem):
+        found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        while found:
+            f = found.pop()
+            if f.is_file and f.base_name.endswith(".docx"):
+                yield f.mtime_ns, f.path, f.size
+        return
+    if not os.path.lexists(root):
+        return
+    # all names before the first file is looked at: files that come meanwhile are for the next listing
+    with os.scandir(root) as entries:
+        names = (e.name for e in entries if e.name.endswith(".docx"))
+        held = [_packed(some) for some in iter(lambda: list(islice(names, NAMES)), [])]
+    for some in held:
+        for name in _unpacked(some):
+            file = os.path.join(root, name)
+            try:
+                st = os.stat(file)
+            except FileNotFoundError:      # gone meanwhile, or a link to nowhere
+                continue
+            if S_ISREG(st.st_mode):
+                yield st.st_mtime_ns, file, st.st_size
 
 
-def _dealt(files: list[tuple], size: int, count: int) -> list[Files]:
+def _dealt(files: Iterable[tuple], size: int, count: int) -> list[Files]:
     out, held, used = [], [], 0
     for f in files:
         if held and (used + f[2] > size or len(held) == count):
@@ -92,12 +142,12 @@ class DocxStreamReader(_Reading, DataSourceStreamReader):
         return {"modified": -1, "path": ""}
 
     def latestOffset(self) -> dict:
-        files = _listed(self.path)
-        return {"modified": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
+        last = max((f[:2] for f in _listed(self.path)), default=None)
+        return {"modified": last[0], "path": last[1]} if last else self.initialOffset()
 
     def partitions(self, start: dict, end: dict):
         low, high = ((o["modified"], o["path"]) for o in (start, end))
-        files = [f for f in _listed(self.path) if low < f[:2] <= high]
+        files = (f for f in _listed(self.path) if low < f[:2] <= high)
         return _dealt(files, self.size, self.count) or [Files([])]
 
     def commit(self, end: dict) -> None:

@@ -69,3 +69,30 @@ def test_ingest_stream_goes_on_after_a_bad_file(spark, folder, tmp_dir):
     assert {"a.docx", "c.docx", "d.docx", "more.docx"} <= got and "bad.docx" not in got
     bad = spark.read.parquet(f"{tmp_dir}/table-errors")
     assert [(r.source, "BadZipFile" in r.error) for r in bad.collect()] == [("bad.docx", True)]
+
+
+def test_driver_holds_few_bytes_a_file(tmp_dir):
+    import tracemalloc
+
+    from pyspark import cloudpickle
+
+    folder, n = f"{tmp_dir}/{'deep' * 20}", 20_000
+    os.mkdir(folder)
+    for i in range(n):
+        with open(f"{folder}/doc-{i}.docx", "wb") as f:
+            f.write(b"x" * (i % 90))
+    os.mkdir(f"{folder}/folder.docx")
+    os.symlink(f"{folder}/nowhere", f"{folder}/link.docx")
+    stream = DX.DocxStreamReader({"path": folder})
+    for plan in (DX.DocxReader({"path": f"file://{folder}"}).partitions,
+                 lambda: stream.partitions(stream.initialOffset(), stream.latestOffset())):
+        plan()                                            # imports
+        tracemalloc.start()
+        parts = plan()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 150 * n and sum(len(cloudpickle.dumps(p)) for p in parts) < 25 * n
+        found = sorted(f for p in parts for f in p.files)
+        assert found == sorted((os.stat(p).st_mtime_ns, p, i % 90) for i in range(n)
+                               for p in [f"{folder}/doc-{i}.docx"])
+        assert {len(list(p.files)) for p in parts} == {DX.PARTITION_FILES}
